@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, simhash
+from weftline.llm import exact_dedup, mixing, sentencepiece_codec, sharding, simhash
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
 registry = Registry()
 
+
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is; WEFTLINE_TOKENIZERS names another folder."""
+    if folder := os.environ.get("WEFTLINE_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def read_bytes(path: str) -> bytes:
+    with open(path, "rb") as file:
+        return file.read()
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
      n AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
@@ -24,7 +41,24 @@ def op1_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@registry.add("op4_mixing", None)
+def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
+    mixed = mixing.mix(mixing.sized(table(spark, root, "documents")))
+    return mixing.taken(mixed).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @registry.add("op7_simhash_groups")
 def op7_simhash_groups(spark: SparkSession, root: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, root, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@registry.add("op8_sharding")
+def op8_sharding(spark: SparkSession, root: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, root, "documents"))
+    return placed.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@registry.add("op10_sentencepiece")
+def op10_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
+    return sentencepiece_codec.encode_digests(table(spark, root, "documents"), read_bytes(tokenizer_file("piece_bpe_32k.model")))
