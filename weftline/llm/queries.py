@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, mixing, sentencepiece_codec, sharding, simhash
+from weftline.llm import exact_dedup, mixing, quality_rules, secrets, sentencepiece_codec, sharding, simhash
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -47,6 +47,20 @@ def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
     return mixing.taken(mixed).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@registry.add("op5_secrets")
+def op5_secrets(spark: SparkSession, root: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, root, "documents"))
+    counts = [secrets.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.spelled(F.col("base")), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
+
+
+@registry.add("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    judged = quality_rules.judge(docs, quality_rules.learn_rules(docs, table(spark, root, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @registry.add("op7_simhash_groups")
 def op7_simhash_groups(spark: SparkSession, root: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, root, "documents"))

@@ -1,0 +1,188 @@
+"""Secret scan with DataFrame operations only.
+
+Base kinds, leftmost and non-overlapping per kind over the whole text: `assign` (a keyword, a
+separator and a value of 6 characters or more), `access` (AKIA and capitals or digits, 20 or more)
+and `hex` (24 or more). A match that is too short is dropped after it was matched.
+
+The method adds spans of kind `random`: runs of 20 or more of [A-Za-z0-9+/_=-] with a digit that
+overlap no base span. Their encoding is inferred (hex in either case, base32, base64 or alphanumeric), and two
+questions are asked in that alphabet:
+
+* could it be random? A chi-squared test of symbol uniformity, a Wald-Wolfowitz runs test of
+  symbols above and below the middle of the alphabet, and Knuth's circular serial correlation; a
+  token that one of them rejects is no secret;
+* could it be language? Under the null that symbols repeat as in words (coincidence rate) and
+  that letters, capitals and digits alternate as seldom as in names (class changes), both give a
+  z-value; their sum gives one p-value. Both null variances shrink with length, so the same look
+  is worth more in a longer token.
+
+The p-values of all candidates of the corpus are held against a false-discovery rate of 1 %
+(Benjamini-Hochberg) within bands of length, so that many short candidates do not decide about
+long ones. The procedure needs only the counts of candidates per band and p-value step, a table of
+fixed size that is summed with a map-side combine; p-values are rounded up to their step.
+
+Texts are read once; spans and p-value steps are written, and the decision is a filter on them.
+
+Edge cases: a null text counts as empty; positions are code points, end exclusive; rows may repeat
+and ids may be null; an empty table gives an empty result; only id and text are read.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from weftline.llm.arrays import let, matches
+from weftline.staging import stage
+
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
+ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
+ACCESS, HEX, RUN = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9+/_=-]{20,}"
+KINDS = ("assign", "access", "hex", "random")
+
+#: encoding: (symbols, lower half of the alphabet, coincidence rate and class-change rate of tokens that are not random)
+BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+ENCODINGS = {
+    "hex": ("0123456789abcdef", "[0-7]", 0.10, 0.20),
+    "hexcaps": ("0123456789ABCDEF", "[0-7]", 0.10, 0.20),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "[A-P]", 0.065, 0.15),
+    "base64": (BASE64, "[A-Za-f]", 0.065, 0.15),
+    "alnum": (BASE64[:62], "[A-Za-e]", 0.065, 0.15),
+}
+BANDS = (20, 24, 32, 48, 96)
+RATE, STEPS_PER_NAT, STEPS = 0.01, 4, 2000
+#: Bounds on |z| of the randomness battery: some 1 random token in 10,000 is lost per test.
+CHI_BOUND, RUNS_BOUND, SERIAL_BOUND = 5.0, 4.0, 4.0
+
+
+def _spans(text: Column, pattern: str, kind: str) -> Column:
+    rank = KINDS.index(kind)
+    return F.transform(matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), F.lit(rank).alias("rank"), m["end"].alias("end"), m["hit"].alias("hit")))
+
+
+def base_spans(text: Column) -> Column:
+    """All base spans, by start and then kind."""
+    assign = F.filter(_spans(text, ASSIGN, "assign"), lambda s: F.length(F.regexp_extract(s["hit"], ASSIGN_VALUE, 1)) >= 6)
+    return F.array_sort(F.concat(assign, _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
+
+
+def _encoding(token: Column) -> Column:
+    """The name of the narrowest alphabet that holds the token, null where it has no digit or one class of letters in words only."""
+    body = F.regexp_replace(token, "=+$", "")
+    return (
+        F.when(~token.rlike("[0-9]") | body.contains("="), F.lit(None))
+        .when(body.rlike("^[0-9a-f]+$") & body.rlike("[a-f]"), "hex")
+        .when(body.rlike("^[0-9A-F]+$") & body.rlike("[A-F]"), "hexcaps")
+        .when(body.rlike("^[A-Z2-7]+$") & body.rlike("[A-Z]"), "base32")
+        .when(body.rlike("^[A-Za-z0-9]+$") & body.rlike("[A-Za-z]"), "alnum")
+        .when(body.rlike("[A-Za-z]"), "base64")
+    )
+
+
+def _of_encoding(encoding: Column, part: int) -> Column:
+    found = F.lit(None)
+    for name, values in ENCODINGS.items():
+        found = F.when(encoding == name, F.lit(len(values[0]) if part == -1 else values[part])).otherwise(found)
+    return found
+
+
+def _runs(text: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"(.)\1*", "r")).cast("double")
+
+
+def negative_log_tail(z: Column) -> Column:
+    """-ln of the upper normal tail (Abramowitz and Stegun 26.2.17); 0, so p = 1, for z below one half."""
+    t = 1 / (1 + 0.2316419 * z)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.when(z < 0.5, 0.0).otherwise(z * z / 2 + math.log(math.sqrt(2 * math.pi)) - F.log(poly))
+
+
+def _scored(span: Column, token: Column, encoding: Column) -> Column:
+    """start, end, band, step (of -ln p) and whether the battery lets the token pass as random."""
+    n = F.length(token).cast("double")
+    k = _of_encoding(encoding, -1).cast("double")
+    squares = F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda a, c: a + F.when(c == "", 0.0).otherwise(F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0))))
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[^A-Za-z0-9]", "-"), "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "9")
+    low = F.regexp_replace(token, "[^A-Za-e]", "+")
+    for name, (_, half, _, _) in ENCODINGS.items():
+        low = F.when(encoding == name, F.regexp_replace(token, half.replace("[", "[^"), "+")).otherwise(low)
+    halves = F.regexp_replace(low, "[^+]", "0")
+    n1 = (F.length(token) - F.length(F.replace(halves, F.lit("+"), F.lit("")))).cast("double")
+    symbols = _of_encoding(encoding, 0)
+    plain = F.translate(token, "-_", "+/")
+
+    def verdict(x: Column) -> Column:
+        sq, mu = x["sq"], 2 * x["n1"] * (n - x["n1"]) / n + 1
+        chi = (k / n * sq - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+        spread = (mu - 1) * (mu - 2) / (n - 1)
+        runs = F.when(spread <= 0, 99.0).otherwise(F.abs(x["runs"] - mu) / F.sqrt(F.greatest(spread, F.lit(1e-9))))
+        s = x["serial"]
+        down = n * s["xx"] - s["x"] * s["x"]
+        serial = F.when(down <= 0, 99.0).otherwise(F.abs((n * (s["xy"] + s["first"] * s["last"]) - s["x"] * s["x"]) / F.greatest(down, F.lit(1e-9))) * F.sqrt(n))
+        rate = (sq - n) / (n * (n - 1))
+        ic, change = _of_encoding(encoding, 2), _of_encoding(encoding, 3)
+        z_words = (ic - rate) / F.sqrt(0.004 / n + 2 * ic / (n * n))
+        z_names = (x["changes"] - change * (n - 1)) / F.sqrt((n - 1) * change * (1 - change))
+        step = F.least(F.lit(STEPS), F.floor(negative_log_tail((z_words + z_names) / math.sqrt(2)) * STEPS_PER_NAT)).cast("int")
+        band = sum((F.length(token) >= b).cast("int") for b in BANDS[1:])
+        passes = (chi <= CHI_BOUND) & (runs <= RUNS_BOUND) & (serial <= SERIAL_BOUND)
+        return F.struct(span["start"].alias("start"), span["end"].alias("end"), band.alias("band"), step.alias("step"), passes.alias("passes"))
+
+    start = F.struct(F.lit(-1.0).alias("first"), F.lit(0.0).alias("last"), F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy"))
+    indexed = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(symbols, c).cast("double"))
+    serial = F.aggregate(
+        indexed,
+        start,
+        lambda a, v: F.struct(F.when(a["first"] < 0, v).otherwise(a["first"]).alias("first"), v.alias("last"), (a["x"] + v).alias("x"), (a["xx"] + v * v).alias("xx"), F.when(a["first"] < 0, 0.0).otherwise(a["xy"] + a["last"] * v).alias("xy")),
+    )
+    return let(F.struct(squares.alias("sq"), (_runs(classes) - 1).alias("changes"), _runs(halves).alias("runs"), n1.alias("n1"), serial.alias("serial")), verdict)
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """Scored token runs that overlap no base span."""
+
+    def free(m: Column) -> Column:
+        return ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+
+    runs = F.filter(matches(text, RUN), lambda m: m["hit"].rlike("[0-9]") & _encoding(m["hit"]).isNotNull() & free(m))
+    return F.transform(runs, lambda m: _scored(m, F.regexp_replace(m["hit"], "=+$", ""), _encoding(m["hit"])))
+
+
+def thresholds(counts: list[tuple[int, int, int]], rate: float = RATE) -> list[int]:
+    """The smallest accepted step per band from (band, step, candidates): Benjamini-Hochberg on p rounded up to its step."""
+    found = []
+    for band in range(len(BANDS)):
+        steps = sorted(((s, c) for b, s, c in counts if b == band), reverse=True)
+        total, above, accepted = sum(c for _, c in steps), 0, STEPS + 1
+        for step, count in steps:
+            above += count
+            if math.exp(-step / STEPS_PER_NAT) * total <= rate * above:
+                accepted = step
+        found.append(accepted)
+    return found
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
+    """doc_id, base and spans of each document: arrays of start, rank (of KINDS), end, hit (null for random)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    scan = docs.select(F.col(id_col).alias("doc_id"), let(F.struct(text.alias("t")), lambda x: let(base_spans(x["t"]), lambda base: F.struct(base.alias("base"), candidates(x["t"], base).alias("found")))).alias("r"))
+    scanned = stage(scan.select("doc_id", "r.base", "r.found"), "secrets")
+    tally = scanned.where(F.size("found") > 0).select(F.explode("found").alias("f")).groupBy("f.band", "f.step").agg(F.count("*").alias("n"))
+    accepted = F.array(*[F.lit(t) for t in thresholds([tuple(r) for r in tally.collect()], rate)])
+    random = F.transform(
+        F.filter("found", lambda f: f["passes"] & (f["step"] >= F.element_at(accepted, f["band"] + 1))),
+        lambda f: F.struct(f["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), f["end"].alias("end"), F.lit(None).cast("string").alias("hit")),
+    )
+    return scanned.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
+
+
+def spelled(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["rank"] == KINDS.index(kind))).cast("long")
