@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, mixing, quality_rules, secrets, sentencepiece_codec, sharding, simhash
+from weftline.llm import exact_dedup, mixing, quality_model, quality_rules, secrets, sentencepiece_codec, sharding, simhash
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -73,6 +73,13 @@ def op8_sharding(spark: SparkSession, root: str) -> DataFrame:
     return placed.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@registry.add("op9_quality_model")
+def op9_quality_model(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    scored = quality_model.score(docs, *quality_model.train(docs, table(spark, root, "labels")))
+    return scored.select("doc_id", quality_model.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @registry.add("op10_sentencepiece")
 def op10_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, root, "documents"), read_bytes(tokenizer_file("piece_bpe_32k.model")))
