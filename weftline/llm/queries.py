@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, mixing, quality_model, quality_rules, secrets, sentencepiece_codec, sharding, simhash
+from weftline.llm import exact_dedup, mixing, quality_model, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, token_shards
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -23,6 +23,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def word_pattern() -> str:
+    """The pattern by which the public byte-level tokenizer cuts words before merging."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def read_bytes(path: str) -> bytes:
     with open(path, "rb") as file:
         return file.read()
@@ -41,6 +48,12 @@ def op1_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@registry.add("op3_token_shards")
+def op3_token_shards(spark: SparkSession, root: str) -> DataFrame:
+    written = token_shards.sequences(table(spark, root, "documents"), read_bytes(tokenizer_file("byte_bpe_50k.tiktoken")), word_pattern())
+    return token_shards.training_order(written)
+
+
 @registry.add("op4_mixing", None)
 def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
     mixed = mixing.mix(mixing.sized(table(spark, root, "documents")))
@@ -49,9 +62,9 @@ def op4_mixing(spark: SparkSession, root: str) -> DataFrame:
 
 @registry.add("op5_secrets")
 def op5_secrets(spark: SparkSession, root: str) -> DataFrame:
-    found = secrets.find_secrets(table(spark, root, "documents"))
-    counts = [secrets.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
-    return found.select("doc_id", *counts, F.sha2(secrets.spelled(F.col("base")), 256).alias("base_sha256"), secrets.spelled(F.col("spans")).alias("spans"))
+    found = secret_scan.find_secrets(table(spark, root, "documents"))
+    counts = [secret_scan.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.spelled(F.col("base")), 256).alias("base_sha256"), secret_scan.spelled(F.col("spans")).alias("spans"))
 
 
 @registry.add("op6_quality_rules")
