@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, mixing, quality_model, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, token_shards
+from weftline.llm import exact_dedup, licences, mixing, quality_model, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, token_shards
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -48,6 +48,12 @@ def op1_exact_dedup(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@registry.add("op2_licences")
+def op2_licences(spark: SparkSession, root: str) -> DataFrame:
+    found = licences.scan_licences(table(spark, root, "documents"))
+    return found.select("doc_id", "n_windows", "n_confirmed", "n_unknown", F.array_join("families", ",").alias("families"))
+
+
 @registry.add("op3_token_shards")
 def op3_token_shards(spark: SparkSession, root: str) -> DataFrame:
     written = token_shards.sequences(table(spark, root, "documents"), read_bytes(tokenizer_file("byte_bpe_50k.tiktoken")), word_pattern())
