@@ -14,9 +14,11 @@ segment value in the table of (segment, value). The complete distance is verifie
 and a pair is taken at the first segment that brings it up, from its smaller to its larger side
 only: each link comes out once.
 
-Three segments (45 look-ups a fingerprint) cost least up to some 2^25 distinct fingerprints, two
-(562 look-ups in far smaller buckets) beyond that. The choice changes the cost and not the result:
-the pigeonhole argument holds for each m.
+A ball of radius 2 is met halfway: both sides spell their ball of radius 1, and a pair counts only
+where the asking side flipped the lowest differing bit, so it still comes out once. Three segments
+(48 entries a fingerprint) cost least up to some 2^23 distinct fingerprints, two (100 entries in
+far smaller buckets) beyond that. The choice changes the cost and not the result: the pigeonhole
+argument holds for each m.
 
 Components: large-star and small-star rounds over the links, each round a written table, until
 nothing changes. Nothing is gathered in one task or the driver.
@@ -40,8 +42,8 @@ from pyspark.sql import functions as F
 from weftline.staging import stage
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
-#: From so many distinct fingerprints, 562 N look-ups are cheaper than 45 N that meet N / 2^21 entries each.
-TWO_SEGMENTS_FROM = 1 << 25
+#: From so many distinct fingerprints, 100 N entries are cheaper than 48 N that meet N / 2^21 others each.
+TWO_SEGMENTS_FROM = 1 << 23
 #: Hashes whose bits are unpacked at once; bounds the memory a very long text takes.
 BLOCK = 1 << 15
 
@@ -82,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def segments(distinct: int, max_bits: int = MAX_BITS) -> list[tuple[int, int, int]]:
     """(first bit, bits, radius) of each segment for a table of so many fingerprints."""
-    m = min(max_bits + 1, 3 if distinct < TWO_SEGMENTS_FROM else 2)
+    m = 3 if max_bits > 1 and distinct < TWO_SEGMENTS_FROM else 2
     sizes = [64 // m + (i >= m - 64 % m) for i in range(m)]
     a, b = divmod(max_bits, m)
     firsts = [sum(sizes[:i]) for i in range(m)]
@@ -98,21 +100,26 @@ def _segment(fp: Column, first: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def _looked_up(distinct: DataFrame, parts: list[tuple[int, int, int]], name: str, spread: int) -> DataFrame:
-    """(`name`, seg, val): the segment values of each fingerprint, with `spread` 1 all values in their balls."""
-    masks = [(s, first, (1 << bits) - 1, mask) for s, (first, bits, radius) in enumerate(parts) for mask in ball(bits, spread * radius)]
+def _looked_up(distinct: DataFrame, parts: list[tuple[int, int, int]], name: str) -> DataFrame:
+    """(`name`, seg, val, mask): all values in the balls around the segment values of each fingerprint."""
+    masks = [(s, first, (1 << bits) - 1, mask) for s, (first, bits, radius) in enumerate(parts) for mask in ball(bits, radius)]
     listed = F.array(*[F.struct(F.lit(s).alias("seg"), F.lit(first).alias("first"), F.lit(ones).cast("long").alias("ones"), F.lit(mask).cast("long").alias("mask")) for s, first, ones, mask in masks])
     spelled = distinct.select(F.col("fp").alias(name), F.explode(listed).alias("e"))
-    return spelled.select(name, F.col("e.seg").alias("seg"), F.expr(f"((shiftrightunsigned({name}, e.first)) & e.ones) ^ e.mask").alias("val"))
+    return spelled.select(name, F.col("e.seg").alias("seg"), F.col("e.mask").alias("mask"), F.expr(f"((shiftrightunsigned({name}, e.first)) & e.ones) ^ e.mask").alias("val"))
 
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, parts: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """u, v: all pairs u < v of the distinct fingerprints in column fp within `max_bits` bits, each once."""
     parts = parts or segments(distinct.count(), max_bits)
-    held, asked = _looked_up(distinct, parts, "v", 0), _looked_up(distinct, parts, "u", 1)
+    asked = _looked_up(distinct, [(first, bits, 1 if radius == 2 else radius) for first, bits, radius in parts], "u")
+    held = _looked_up(distinct, [(first, bits, 1 if radius == 2 else 0) for first, bits, radius in parts], "v").drop("mask")
     differ = F.col("u").bitwiseXOR(F.col("v"))
     at = F.col("a.seg")
     verified = (F.col("u") < F.col("v")) & (F.bit_count(differ) <= max_bits)
+    for s, (first, bits, radius) in enumerate(parts):  # met halfway: one of the middle values counts
+        if radius == 2:
+            here = _segment(differ, first, bits)
+            verified &= (at != s) | (F.col("a.mask") == here.bitwiseAND(-here))
     for s, (first, bits, radius) in enumerate(parts[:-1]):  # an earlier segment within its radius has brought the pair up already
         verified &= (at <= s) | (F.bit_count(_segment(differ, first, bits)) > radius)
     return asked.alias("a").join(held.alias("h"), (at == F.col("h.seg")) & (F.col("a.val") == F.col("h.val")) & verified).select("u", "v")
