@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import filters, usage
+from weftline.plans import filters, joins, usage
 from weftline.plans.registry import Registry
 
-registry = Registry().merge(usage.registry, filters.registry)
+registry = Registry().merge(usage.registry, filters.registry, joins.registry)
