@@ -1 +1 @@
-"""Part of weftline; see the README for what lives where."""
+"""Scalar functions and decision tables as Column expressions."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import aggregates, filters, joins, usage
+from weftline.plans import aggregates, filters, joins, ordering, usage, windows
 from weftline.plans.registry import Registry
 
-registry = Registry().merge(usage.registry, filters.registry, joins.registry, aggregates.registry)
+registry = Registry().merge(usage.registry, filters.registry, joins.registry, aggregates.registry, windows.registry, ordering.registry)
