@@ -102,17 +102,10 @@ def overall(scores: dict[str, Column]) -> Column:
     return F.bround(sum((scores[d] * w for d, w in WEIGHTS.items()), F.lit(0.0)))
 
 
-def lifecycle_status(today: Column, eol: Column, eol_flag: Column, support: Column, extended: Column) -> Column:
+def lifecycle_status(today: Column, eol: Column, eol_flag: Column, extended: Column) -> Column:
     """Status from dates that may be absent and a flag that may stand for a date."""
     ended = F.coalesce(eol <= today, eol_flag, F.lit(False))
-    return (
-        F.when(ended & (extended > today), "extended")
-        .when(ended, "eol")
-        .when(F.datediff(eol, today) <= 365, "ending")
-        .when(support <= today, "extended")
-        .when(eol.isNull() & eol_flag.isNull(), "unknown")
-        .otherwise("supported")
-    )
+    return F.when(ended & (extended > today), "extended").when(ended, "eol").when(F.datediff(eol, today) <= 365, "ending").otherwise("supported")
 
 
 def usage_cost(price_in: Column, price_out: Column, tokens_in: Column, tokens_out: Column, cache_write: Column, cache_write_long: Column, cache_read: Column) -> Column:
@@ -135,7 +128,7 @@ def contrast(fg: Column, bg: Column) -> Column:
         return 0.2126 * r + 0.7152 * g + 0.0722 * b
 
     a, b = light(fg), light(bg)
-    return (F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05)
+    return F.bround((F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05), 2)
 
 
 # The CVSS 3.1 base metric weights.
@@ -147,25 +140,29 @@ CVSS_CIA = {"H": 0.56, "L": 0.22, "N": 0.0}
 
 
 def _weight(column: Column, table: dict[str, float]) -> Column:
-    found = F.lit(None).cast("double")
-    for name, value in table.items():
-        found = F.when(column == name, value).otherwise(found)
-    return found
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), column)
 
 
 def cvss_base(av: Column, ac: Column, pr: Column, ui: Column, scope: Column, c: Column, i: Column, a: Column) -> Column:
     """CVSS 3.1 base score with the standard's round-up to one decimal."""
-    changed = scope == "C"
-    iss = 1 - (1 - _weight(c, CVSS_CIA)) * (1 - _weight(i, CVSS_CIA)) * (1 - _weight(a, CVSS_CIA))
-    hit = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15.0))).otherwise(6.42 * iss)
-    privileges = F.when(changed, _weight(pr, CVSS_PR[True])).otherwise(_weight(pr, CVSS_PR[False]))
-    reach = 8.22 * _weight(av, CVSS_AV) * _weight(ac, CVSS_AC) * privileges * _weight(ui, CVSS_UI)
-    raw = F.least(F.when(changed, 1.08 * (hit + reach)).otherwise(hit + reach), F.lit(10.0))
-    scaled = F.round(raw * 100000).cast("long")
-    up = F.when(scaled % 10000 == 0, scaled / 100000.0).otherwise((F.floor(scaled / 10000) + 1) / 10.0)
-    return F.when(hit <= 0, 0.0).otherwise(up)
+    parts = F.struct(
+        (scope == "C").alias("changed"),
+        (1 - (1 - _weight(c, CVSS_CIA)) * (1 - _weight(i, CVSS_CIA)) * (1 - _weight(a, CVSS_CIA))).alias("iss"),
+        (8.22 * _weight(av, CVSS_AV) * _weight(ac, CVSS_AC) * _weight(ui, CVSS_UI)).alias("reach"),
+        F.when(scope == "C", _weight(pr, CVSS_PR[True])).otherwise(_weight(pr, CVSS_PR[False])).alias("privileges"),
+    )
+
+    def rated(p: Column) -> Column:
+        hit = F.when(p["changed"], 7.52 * (p["iss"] - 0.029) - 3.25 * F.pow(p["iss"] - 0.02, F.lit(15.0))).otherwise(6.42 * p["iss"])
+        raw = (hit + p["reach"] * p["privileges"]) * F.when(p["changed"], 1.08).otherwise(1.0)
+        return F.struct(hit.alias("hit"), F.round(F.least(raw, F.lit(10.0)) * 100000).cast("long").alias("scaled"))
+
+    def rounded_up(r: Column) -> Column:
+        return F.when(r["hit"] <= 0, 0.0).when(r["scaled"] % 10000 == 0, r["scaled"] / 100000.0).otherwise((F.floor(r["scaled"] / 10000) + 1) / 10.0)
+
+    return F.element_at(F.transform(F.transform(F.array(parts), rated), rounded_up), 1)
 
 
 def half_steps(value: Column) -> Column:
-    """Rounding to halves, at least one half."""
-    return F.greatest(F.lit(0.5), F.round(value * 2) / 2)
+    """Rounding to halves from 1 on, to tenths below; half to even."""
+    return F.when(value >= 1, F.bround(value * 2) / 2).otherwise(F.bround(value, 1))

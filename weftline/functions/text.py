@@ -15,14 +15,11 @@ def short_name(name: Column) -> Column:
     return F.upper(F.element_at(F.split(name, "[.:]"), -1))
 
 
-# General words that say nothing about what a field means.
-STOP_CONCEPTS = ("CODE", "NAME", "DATE", "TYPE", "FLAG", "TEXT", "FIELD", "FILLER", "NUMBER", "VALUE")
-
-
-def concept_word(name: Column) -> Column:
-    """the last part of an identifier of four characters or more that is no number and no general word."""
-    parts = F.filter(F.split(F.upper(name), "[-_ #]+"), lambda p: (F.length(p) >= 4) & ~p.rlike("^[0-9]+$") & ~p.isin(*STOP_CONCEPTS))
-    return F.get(parts, F.size(parts) - 1)
+def concept_word(name: Column, general: tuple[str, ...]) -> Column:
+    """the last part of an identifier that is no number; empty if shorter than four characters, general, or a letter with digits."""
+    parts = F.filter(F.split(name, "[^A-Za-z0-9]+"), lambda p: (p != "") & ~p.rlike("^[0-9]+$"))
+    word = F.upper(F.coalesce(F.get(parts, F.size(parts) - 1), F.lit("")))
+    return F.when((F.length(word) >= 4) & ~word.isin(*general) & ~word.rlike("^[A-Z][0-9]+$"), word).otherwise("")
 
 
 def upper_snake(name: Column) -> Column:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def versions(df: DataFrame, by: str, order: list[str], row_id: str) -> DataFrame:
@@ -66,7 +67,7 @@ def batches(df: DataFrame, by: str, order: str, low: str, high: str, size: int =
         return group.assign(batch=out)
 
     rows = df.select(*dict.fromkeys((by, order, low, high)))
-    return rows.groupBy(by).applyInPandas(fold, rows.schema.add("batch", "long"))
+    return rows.groupBy(by).applyInPandas(fold, StructType([*rows.schema.fields, StructField("batch", LongType())]))
 
 
 def repeated_definitions(lines: DataFrame, key: str = "doc_id") -> DataFrame:
