@@ -111,7 +111,7 @@ def lifecycle_status(today: Column, eol: Column, eol_flag: Column, extended: Col
 def usage_cost(price_in: Column, price_out: Column, tokens_in: Column, tokens_out: Column, cache_write: Column, cache_write_long: Column, cache_read: Column) -> Column:
     """Cost in money of one call, six decimals; prices are per million."""
     weighted = tokens_in + cache_write * CACHE_WRITE + cache_write_long * CACHE_WRITE_LONG + cache_read * CACHE_READ
-    return F.bround((weighted * price_in + tokens_out * price_out) / 1_000_000, 6)
+    return F.bround(weighted * price_in + tokens_out * price_out) / 1_000_000
 
 
 def luminance(channel: Column) -> Column:

@@ -203,7 +203,7 @@ def v11(spark: SparkSession, root: str) -> DataFrame:
 
 @add(
     "v_cost_with_cache_weights",
-    "SELECT l_orderkey, l_linenumber, round_even(((l_partkey + l_suppkey * 1.25::DOUBLE + l_linenumber * 2.0::DOUBLE + l_quantity * 0.1::DOUBLE) * 3.0::DOUBLE + l_orderkey * 15.0::DOUBLE) / 1000000, 6)::DOUBLE AS cost FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, round_even((l_partkey + l_suppkey * 1.25::DOUBLE + l_linenumber * 2.0::DOUBLE + l_quantity * 0.1::DOUBLE) * 3.0::DOUBLE + l_orderkey * 15.0::DOUBLE, 0) / 1000000 AS cost FROM lineitem",
 )
 def v_cost(spark: SparkSession, root: str) -> DataFrame:
     c = F.col
