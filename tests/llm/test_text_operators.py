@@ -1,0 +1,236 @@
+import base64
+import collections
+import hashlib
+import os
+import random
+import re
+
+import numpy as np
+import pytest
+
+from weftline.llm import licences, quality_model, quality_rules, queries, secret_scan, sentencepiece_codec, token_shards
+from weftline.llm.arrays import matches, sums_before
+
+
+def frame(spark, rows, more=""):
+    return spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, s string, windows string")
+
+
+NASTY = [(9001, None), (9002, ""), (9003, " \n\t"), (9004, "é🙂 \x0b日本"), (9005, "a" * 200_000), (9006, "word " * 20_000), (None, "null id"), (9001, None)]
+
+
+def test_sums_before(spark):
+    from pyspark.sql import functions as F
+
+    values = [list(range(n)) for n in (0, 1, 2, 255, 256, 257, 1000)]
+    got = spark.createDataFrame([(v,) for v in values], "v array<long>").select("v", sums_before(F.col("v")).alias("s")).collect()
+    assert all(r.s == [sum(r.v[:i]) for i in range(len(r.v))] for r in got)
+
+
+def test_match_positions(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "ab", "xxabab", "🙂ab é ab", "ab" * 700, "no"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", matches(F.col("t"), "ab").alias("m")).collect()
+    assert all([(m.start, m.end) for m in r.m] == [m.span() for m in re.finditer("ab", r.t)] for r in got)
+
+
+ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
+
+
+def base_spans(t):
+    found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    return sorted(found + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
+
+
+def test_secret_base_spans_match_brute_force(spark):
+    rnd = random.Random(8)
+    parts = ["token", "Secret", "API_KEY", "apikey", "=", " : ", '"', "'", "abc", "0123456789abcdef" * 2, "AKIA", "ABCDEFGH12345678", "AKIAABC", "\n", " ", "é🙂", ".", "_x-=", "password"]
+    rows = [(i + 1000, "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 25)))) for i in range(400)] + [(900, "secret=token:abcdefgh"), (901, "token=" + "ab" * 9000), *NASTY]
+    got = secret_scan.find_secrets(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    text = {i: t or "" for i, t in rows}
+    for r in got:
+        assert [(s.start, s.rank, s.end) for s in r.base] == base_spans(text[r.doc_id])
+        assert [s for s in r.spans if s.rank < 3] == list(r.base)
+
+
+def test_random_tokens_are_found_and_words_are_not(spark):
+    rnd = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rnd.choice("eeeetaoinshrdlu" if rnd.random() < 0.8 else letters) for _ in range(rnd.randrange(3, 9))) for _ in range(300)]
+    real = [base64.b64encode(rnd.randbytes(24)).decode().rstrip("=") for _ in range(40)]
+    real = [x for x in real if re.search("[0-9]", x)]
+    names = [f"{rnd.choice(words)}{rnd.choice(words).title()}{rnd.choice(words).title()}{rnd.choice(words).title()}{rnd.randrange(2000, 2030)}" for _ in range(60)]
+    rows = [(i, f"{rnd.choice(words)} {x} {rnd.choice(words)}") for i, x in enumerate(real)] + [(1000 + i, f"see {x} there") for i, x in enumerate(names)]
+    found = {r.doc_id: len(r.spans) - len(r.base) for r in secret_scan.find_secrets(frame(spark, rows)).collect()}
+    assert sum(found[i] for i in range(len(real))) >= 0.85 * len(real)
+    assert sum(found[1000 + i] for i in range(len(names))) <= 0.05 * len(names)
+
+
+def test_false_discovery_thresholds():
+    import math
+
+    p_step = lambda p: int(-math.log(p) * secret_scan.STEPS_PER_NAT)
+    counts = [(0, p_step(1e-6), 5), (0, 0, 995), (1, 0, 10)]
+    assert secret_scan.thresholds(counts)[:2] == [p_step(1e-6), secret_scan.STEPS + 1]
+
+
+def test_secret_scan_of_an_empty_table(spark):
+    assert secret_scan.find_secrets(frame(spark, [])).count() == 0
+
+
+def reference_statistics(t):
+    t = t or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    windows = collections.defaultdict(list)
+    for i in range(len(words) - 4):
+        windows[tuple(words[i : i + 5])].append(i)
+    covered = {j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + 5)}
+    seen, again = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            again += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", t)), again, len(covered)
+
+
+def test_quality_statistics_match_brute_force(spark):
+    rnd = random.Random(9)
+    rows = [(i + 1000, "".join(rnd.choice(["a", "b", " ", " ", "\n", "#", "\x0b", "é", "|"]) for _ in range(rnd.randrange(0, 120)))) for i in range(300)] + NASTY
+    got = quality_rules.judge(frame(spark, rows), []).collect()
+    text = {i: t for i, t in rows}
+    for r in got:
+        want = reference_statistics(text[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0]) and r.kept == (not r.base_failed)
+    assert len(got) == len(rows)
+
+
+def test_decision_list_learns_a_conjunction():
+    rng = np.random.default_rng(0)
+    values = {name: rng.random(3000) for name in quality_rules.RATIOS}
+    bad = (values["symbols_per_char"] >= 0.7) & (values["chars_per_word"] < 0.4)
+    rules = quality_rules.learn(values, bad, rng.random(3000) < 0.33)
+    caught = np.zeros(3000, bool)
+    for rule in rules:
+        caught |= quality_rules._covers(rule, values, 3000)
+    assert (caught & ~bad).sum() <= 0.05 * caught.sum() and (caught & bad).sum() >= 0.9 * bad.sum()
+
+
+def test_rules_without_labels_and_with_bad_labels(spark):
+    docs = frame(spark, [(i, "plain words " * 10) for i in range(5)])
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality_rules.learn_rules(docs, none) == []
+    odd = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, None, 0), (None, 1, 0), (77, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality_rules.learn_rules(docs, odd) == []
+    assert quality_rules.keep_good(frame(spark, []), []).count() == 0
+
+
+def test_quality_model_on_held_out_rows(spark):
+    root = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/labels.parquet")
+    scored = {r.doc_id: r for r in queries.op9_quality_model(spark, root).collect()}
+    held = [(r.quality, scored[r.doc_id].score) for r in labels.collect() if scored[r.doc_id].held_out]
+    good, bad = [s for q, s in held if q == 1], [s for q, s in held if q == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+    assert len(scored) == docs.count() and all(0 <= r.score <= 1 for r in scored.values())
+
+
+def test_quality_model_edges(spark):
+    docs = frame(spark, NASTY)
+    weights, bias = quality_model.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    got = quality_model.score(docs, weights, bias).collect()
+    assert len(got) == len(NASTY) and all(r.score == 0.5 for r in got)
+    assert quality_model.score(frame(spark, []), weights, bias).count() == 0
+
+
+MODEL = queries.read_bytes(queries.tokenizer_file("piece_bpe_32k.model"))
+
+
+def test_sentencepiece_equals_the_library(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    rnd = random.Random(2)
+    texts = [t for _, t in NASTY] + [" ", "  ", "a ", " a", "▁", "a▁ b", "<s></s>", "\x00", "a b"]
+    texts += ["".join(rnd.choice([" ", "  ", "▁", "the", "é", "\n", "🙂", "<0x41>"]) for _ in range(rnd.randrange(15))) for _ in range(500)]
+    rows = list(enumerate(texts))
+    for r in sentencepiece_codec.encode_documents(frame(spark, rows), MODEL).collect():
+        ids = sp.encode(texts[r.doc_id] or "")
+        assert list(r.ids) == ids and r.decoded == sp.decode(ids)
+    for r in sentencepiece_codec.encode_digests(frame(spark, rows), MODEL).collect():
+        ids = sp.encode(texts[r.doc_id] or "")
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    assert sentencepiece_codec.encode_digests(frame(spark, []), MODEL).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 1000, 4097])
+def test_permutation_is_one_to_one(n):
+    slots = token_shards.permute(np.arange(n), n)
+    assert sorted(slots) == list(range(n)) and (token_shards.permute(slots, n, inverse=True) == np.arange(n)).all()
+    assert n < 100 or (slots != np.arange(n)).mean() > 0.9
+
+
+def test_token_shards_round_trip(spark, tmp_path):
+    ranks, pattern = queries.read_bytes(queries.tokenizer_file("byte_bpe_50k.tiktoken")), queries.word_pattern()
+    rows = [*NASTY[:-1], *[(100 + i, f"text number {i} " * (i % 90)) for i in range(200)], (999, "<|endoftext|> stays text")]
+    written = token_shards.sequences(frame(spark, rows), ranks, pattern, length=64)
+    ordered = token_shards.training_order(written, length=64, slots_per_shard=100)
+    got = ordered.collect()
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    parts = collections.defaultdict(dict)
+    for r in got:
+        assert len(r.record) == 128 and r.shard == r.slot // 100 and r.byte_offset == r.slot % 100 * 128
+        parts[r.doc_id][r.seq_no] = np.frombuffer(r.record, "<u2")[: r.n_tokens].tolist()
+    encoding = token_shards.tokenizer(ranks, pattern)
+    for i, t in rows:
+        ids = [x for k in sorted(parts[i]) for x in parts[i][k]]
+        assert ids == [*encoding.encode_ordinary(t or ""), token_shards.END]
+    token_shards.write_shards(ordered, str(tmp_path / "shards"))
+    part = token_shards.read_slots(spark, str(tmp_path / "shards"), 150, 30).collect()
+    assert [r.slot for r in part] == list(range(150, 180))
+    files = token_shards.export_binary(ordered, str(tmp_path / "raw")).collect()
+    by_slot = {r.slot: bytes(r.record) for r in got}
+    for f in files:
+        data = open(f.path, "rb").read()
+        assert len(data) == f.bytes and data[:128] == by_slot[f.shard * 100]
+    assert sum(f.bytes for f in files) == 128 * len(got) and not [x for x in os.listdir(tmp_path / "raw") if x.startswith(".")]
+    assert token_shards.training_order(token_shards.sequences(frame(spark, []), ranks, pattern)).count() == 0
+
+
+def test_licence_families_and_unknowns(spark):
+    rows = [(k, s) for k, s in enumerate(["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "All rights reserved.", *licences.OTHERS[:8]])]
+    rows += [(50, "Erste Zeile mit der Katze.\nThis work is licensed under the GNU General Public License, version 3.\nMore."), (51, " ".join(["filler"] * 900) + " Released under the MIT License. " + " ".join(["filler"] * 900)), *NASTY[1:]]
+    got = collections.defaultdict(list)
+    for r in licences.scan_licences(frame(spark, rows)).collect():
+        got[r.doc_id].append((tuple(r.families), r.n_windows, r.n_confirmed, r.n_unknown))
+    family = {k: v[0][0] for k, v in got.items() if len(v) == 1}
+    assert [family[k] for k in range(4)] == [("MIT",), ("Apache-2.0",), ("CC-BY-NC",), ("proprietary",)]
+    assert family[50] == ("GPL",) and family[51] == ("MIT",)
+    assert all(family[k] == () for k in range(4, 12))
+    assert sum(map(len, got.values())) == len(rows)
+    assert licences.scan_licences(frame(spark, [])).count() == 0
+
+
+def test_licence_scores_match_plain_python(spark):
+    sentences = [s for group in licences.TEMPLATES.values() for s in group] + list(licences.OTHERS)
+    weights, bias, _ = licences.model()
+    judged = {}
+    scanned = licences.scan_windows(frame(spark, list(enumerate(sentences))))
+    ids = {r.row_no: r.doc_id for r in scanned.collect()}
+    for r in licences.classify(scanned).collect():
+        judged.setdefault(ids[r.row_no], []).append(r)
+    for i, s in enumerate(sentences):
+        words = licences.words_of(s)
+        if len(words) > licences.WINDOW or len(re.split(r"(?<=[.!?;])[ \t]+", s)) > 1 or i not in judged:
+            continue
+        logits = bias + weights[sorted({licences.place(g) for g in licences.grams_of(words)})].sum(0)
+        p = np.exp(logits - logits.max())
+        p /= p.sum()
+        (r,) = judged[i]
+        assert r.family == licences.FAMILIES[int(p.argmax())] and abs(r.probability - p.max()) < 1e-3
+
+
