@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
 def short_name(name: Column) -> Column:
@@ -151,7 +152,7 @@ def squeeze_outside_quotes(line: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def squeezed_outside_quotes(lines: pd.Series) -> pd.Series:
     """F1 over a column; equal lines are worked on once per batch."""
     known = {x: squeeze_outside_quotes(x) for x in lines.dropna().unique()}
@@ -163,7 +164,7 @@ def similarity(a: str, b: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """F18 over two columns; null where either is."""
     for a, b in pairs:
