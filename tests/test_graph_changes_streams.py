@@ -1,0 +1,109 @@
+"""Truth tables of mutations, cycles in graphs, streams, files."""
+
+import datetime
+import json
+
+from pyspark.sql import functions as F
+
+from weftline.operators import aggregates, changes, graph, joins
+from weftline.sources import files
+from weftline.streaming import events as ev
+
+ENTITY = "key string, name string, origin string, confidence double, line_start int, attrs map<string,string>"
+
+
+def test_merging_upsert_truth_table(spark):
+    old = [("c", "old", "corrected", 0.5, 1, {"a": "1"}), ("p", "old", "placeholder", 0.5, None, {"a": "1"}), ("e", "old", "extracted", 0.9, 4, {"a": "1", "b": "1"}), ("only", "old", "extracted", 1.0, 1, {})]
+    new = [("c", "new", "extracted", 1.0, 9, {"a": "2"}), ("p", "new", "extracted", 0.7, 9, {"c": "3"}), ("e", "new", "extracted", 0.4, 9, {"b": "2"}), ("x", "new", "placeholder", 0.1, None, {})]
+    got = {r.key: (r.name, r.origin, r.confidence, r.line_start, r.attrs) for r in changes.merged_upsert(spark.createDataFrame(old, ENTITY), spark.createDataFrame(new, ENTITY)).collect()}
+    assert got == {
+        "c": ("old", "corrected", 0.5, 1, {"a": "1"}),
+        "p": ("new", "extracted", 0.7, 9, {"a": "1", "c": "3"}),
+        "e": ("old", "extracted", 0.9, 4, {"a": "1", "b": "2"}),
+        "only": ("old", "extracted", 1.0, 1, {}),
+        "x": ("new", "placeholder", 0.1, None, {}),
+    }
+    again = changes.merged_upsert(spark.createDataFrame(old, ENTITY), spark.createDataFrame([("e", "new", "placeholder", 1.0, 9, {"b": "2"})], ENTITY))
+    assert again.where("key = 'e'").first().name == "old"
+
+
+def test_retract_rehomes_demotes_or_deletes(spark):
+    entities = spark.createDataFrame([(1, "extracted", 7, 1, 2), (2, "extracted", 7, 1, 2), (3, "extracted", 7, 1, 2), (4, "corrected", 7, 1, 2), (5, "extracted", 8, 1, 2)], "id long, origin string, artifact_id long, line_start int, line_end int")
+    sources = spark.createDataFrame([(1, 7, 1, 2), (1, 8, 5, 6), (2, 7, 1, 2), (3, 7, 1, 2), (4, 7, 1, 2), (5, 8, 1, 2)], "entity_id long, artifact_id long, line_start int, line_end int")
+    edges = spark.createDataFrame([(5, 2, 8, "extracted"), (5, 3, 7, "extracted"), (1, 4, 7, "corrected")], "from_id long, to_id long, artifact_id long, origin string")
+    e, s, r = changes.retracted(entities, sources, edges, 7)
+    assert sorted(map(tuple, e.collect())) == [(1, "extracted", 8, 5, 6), (2, "placeholder", None, None, None), (4, "corrected", 7, 1, 2), (5, "extracted", 8, 1, 2)]
+    assert s.count() == 2 and sorted((x.from_id, x.to_id) for x in r.collect()) == [(1, 4), (5, 2)]
+
+
+def test_flows_end_on_cycles_and_take_the_first_path(spark):
+    edges = spark.createDataFrame([(1, 1, 2, "calls"), (2, 2, 3, "calls"), (3, 3, 1, "calls"), (4, 1, 3, "uses"), (5, 3, 9, "writes"), (6, 2, 9, "reads")], "id long, from_id long, to_id long, kind string")
+    got = sorted((r.access, r.length, list(r.path)) for r in graph.flows(edges, spark.createDataFrame([(1,)], "node long"), ["calls", "uses"], ["reads", "writes"]).collect())
+    assert got == [("reads", 2, [1, 6]), ("writes", 2, [4, 5])]
+
+
+def test_depth_bound_and_closure_on_cycles(spark):
+    chain = spark.createDataFrame([(i, i, i + 1, "calls") for i in range(20)] + [(99, 15, 100, "writes")], "id long, from_id long, to_id long, kind string")
+    assert graph.flows(chain, spark.createDataFrame([(0,)], "node long"), ["calls"], ["writes"], 12).count() == 0
+    ring = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "parent long, child long")
+    assert graph.closure(ring, spark.createDataFrame([(1,)], "node long")).count() == 3
+
+
+def test_stamp_does_not_depend_on_order(spark):
+    df = spark.createDataFrame([(i, str(i)) for i in range(100)], "a int, b string")
+    assert aggregates.stamp(df, ["a"]).first() == aggregates.stamp(df.orderBy(F.desc("a")).repartition(7), ["a"]).first()
+    assert aggregates.stamp(df, ["a"]).first() != aggregates.stamp(df.where("a < 99"), ["a"]).first()
+
+
+def test_segment_families_take_the_largest_first(spark):
+    names = [f"A.B{i}.C" for i in range(8)] + [f"A.B0.D{i}" for i in range(6)] + ["X.Y"]
+    assert [(f, len(n)) for f, n in aggregates.segment_families(spark.createDataFrame([(n,) for n in names], "n string"), "n")] == [("A.*.C", 8), ("A.B0.*", 6)]
+
+
+def test_guarded_lookup_needs_one_candidate(spark):
+    left = spark.createDataFrame([("a", "X"), ("b", "Y"), ("c", "Z")], "name string, short string")
+    right = spark.createDataFrame([(1, "a", "X"), (2, "q", "Y"), (3, "r", "Y"), (4, "s", "Z")], "id long, full string, tail string")
+    got = joins.only_candidate(left, right, [F.col("name"), F.col("short")], [F.col("full"), F.col("tail")], "id").collect()
+    assert {r.name: r.match for r in got} == {"a": 1, "b": None, "c": 4}
+
+
+def test_similarity_join_is_exact(spark):
+    left = spark.createDataFrame([(1, "red green blue"), (2, "nothing here at all"), (3, None)], "l long, t string")
+    right = spark.createDataFrame([(7, "red green"), (8, "green blue red"), (9, "yellow")], "r long, t string")
+    assert [(x.l, x.r, x.score) for x in joins.best_by_jaccard(left, right, "l", "r", "t", 0.4).collect()] == [(1, 8, 1.0)]
+
+
+def test_streams(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(i, t + datetime.timedelta(minutes=m), u, "view", v) for i, (m, u, v) in enumerate([(0, 1, 10.0), (1, 1, 10.01), (2, 1, 12.0), (90, 1, 12.0), (0, 2, 5.0)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "e"))
+    stream = lambda: ev.source(spark, str(tmp_path / "e"))
+    kept = ev.run_to_end(ev.changed(stream(), "user_id", "value", 0.05)).collect()
+    assert sorted((r.user_id, r.event_id, r.rejected) for r in kept) == [(1, 0, 0), (1, 2, 1), (2, 4, 0)]
+    assert sorted((r.user_id, r.n) for r in ev.run_to_end(ev.sessions(stream()), "complete").collect()) == [(1, 1), (1, 3), (2, 1)]
+    assert ev.run_to_end(ev.once(stream(), ["user_id"])).count() == 2
+
+
+def test_folder_scan_and_imports(spark, tmp_path):
+    base = tmp_path / "proj"
+    (base / "node_modules").mkdir(parents=True)
+    for name, data in (("a.py", b"x = 1"), ("b.py", b"caf\xe9"), ("c.py", b"\x00\x01"), ("d.py", b""), ("e.exe", b"z"), (".h.py", b"z"), ("node_modules/f.py", b"z"), ("g.py", b"y" * 1_000_001)):
+        (base / name).write_bytes(data)
+    got = {r.path: (r.reason, r.text) for r in files.scan_folder(spark, str(base), ("py",)).collect()}
+    assert got["a.py"] == (None, "x = 1") and got["b.py"] == (None, "café")
+    assert {k: v[0] for k, v in got.items() if v[0]} == {"c.py": "binary", "d.py": "empty", "e.exe": "extension", ".h.py": "hidden", "node_modules/f.py": "folder", "g.py": "size"}
+    assert {r.reason: r.n for r in files.skip_counts(files.scan_folder(spark, str(base), ("py",))).collect()}["taken"] == 2
+    log = tmp_path / "in.json"
+    log.write_text("\n".join([json.dumps({"name": "a", "text": "x"}), json.dumps({"name": "b", "text": " "}), '{"name": "c", "te', json.dumps({"name": "d", "text": "y"})]))
+    known = spark.createDataFrame([("d",)], "name string")
+    assert [r.name for r in files.import_bundles(spark, str(log), known).collect()] == ["a"]
+
+
+def test_replace_partitions_and_export(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    files.replace_partitions(df, path, "k")
+    files.replace_partitions(spark.createDataFrame([(2, "c")], "k int, v string"), path, "k")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+    out = files.nested_export(df, spark.createDataFrame([(1, 5), (1, 4)], "k int, c int"), "k").collect()
+    assert json.loads(sorted(r.value for r in out)[0]) == {"k": 1, "v": "a", "children": [{"c": 4}, {"c": 5}]}

@@ -48,12 +48,19 @@ PERSONAL_DATA = (
 def personal_data_class(name: Column) -> Column:
     """struct(label, severity) of the first class that the name, or the name without its first one or two parts, belongs to."""
     parts = F.split(F.regexp_replace(upper_snake(name), "_(IN|OUT|I|O|L|A|F)$", ""), "_")
-    found = F.lit(None)
-    for dropped in (2, 1, 0):
-        candidate = F.array_join(F.slice(parts, F.lit(dropped + 1), F.greatest(F.size(parts) - dropped, F.lit(0))), "_")
-        for pattern, label, severity in reversed(PERSONAL_DATA):
-            found = F.when((F.size(parts) > dropped) & candidate.rlike(pattern), F.struct(F.lit(label).alias("label"), F.lit(severity).alias("severity"))).otherwise(found)
-    return found
+
+    def class_of(candidate: Column) -> Column:
+        chain = None
+        for pattern, label, severity in PERSONAL_DATA:
+            found = F.struct(F.lit(label).alias("label"), F.lit(severity).alias("severity"))
+            chain = F.when(candidate.rlike(pattern), found) if chain is None else chain.when(candidate.rlike(pattern), found)
+        return chain
+
+    def first_class(p: Column) -> Column:
+        tails = F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.size(p))), lambda d: F.array_join(F.slice(p, d, F.size(p)), "_"))
+        return F.get(F.array_compact(F.transform(tails, class_of)), 0)
+
+    return F.get(F.transform(F.array(parts), first_class), 0)
 
 
 # What secrets look like on an evidence line, applied in this order.

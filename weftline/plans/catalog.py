@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftline.plans import aggregates, filters, graphs, joins, ordering, reports, scalars, sequences, usage, windows
+from weftline.plans import aggregates, exports, filters, graphs, joins, ordering, reports, rules, scalars, sequences, streams, usage, windows
 from weftline.plans.registry import Registry
 
-registry = Registry().merge(usage.registry, filters.registry, joins.registry, aggregates.registry, windows.registry, ordering.registry, scalars.registry, graphs.registry, reports.registry, sequences.registry)
+registry = Registry().merge(usage.registry, filters.registry, joins.registry, aggregates.registry, windows.registry, ordering.registry, scalars.registry, graphs.registry, reports.registry, sequences.registry, rules.registry, streams.registry, exports.registry)
