@@ -31,7 +31,11 @@ def decoded(content: Column) -> Column:
 
 
 def scan_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...]) -> DataFrame:
-    """S3: (path, reason, text): every file below a folder, with the reason it is skipped or its text."""
+    """S3: (path, reason, text): every file below a folder, with the reason it is skipped or its text.
+
+    Spark's file sources list neither hidden nor empty files, so these have no row here; the two
+    reasons are kept for listings that come from elsewhere.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     inner = F.regexp_replace("path", "^.*?" + folder.rstrip("/").split("/")[-1] + "/", "")
     skipped = F.arrays_overlap(F.split(inner, "/"), F.array(*[F.lit(x) for x in SKIPPED_FOLDERS]))
