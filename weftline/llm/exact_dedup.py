@@ -125,12 +125,12 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = decided.where("kept").select("doc_id", "digest")
     # Only these need a look at the text again: ids that are both kept and dropped.
     unclear = stage(lost.join(kept.select("doc_id").withColumnRenamed("doc_id", "k"), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").select("doc_id").distinct(), "unclear")
-    gone = lost.select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = lost.select(F.col("doc_id").alias("gone_id")).distinct().hint("merge")  # grows with the input: never broadcast
     on = F.col(f"`{id_col}`")
     if unclear.isEmpty():
         return docs.join(gone, on.eqNullSafe(F.col("gone_id")), "left_anti")
     again = unclear.select(F.col("doc_id").alias("again_id"))
-    clear = docs.join(gone.unionByName(again.withColumnRenamed("again_id", "gone_id")).distinct(), on.eqNullSafe(F.col("gone_id")), "left_anti")
+    clear = docs.join(gone.unionByName(again.withColumnRenamed("again_id", "gone_id")).distinct().hint("merge"), on.eqNullSafe(F.col("gone_id")), "left_anti")
     repeated = docs.join(again, on.eqNullSafe(F.col("again_id")), "left_semi").withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
     staying = kept.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
     repeated = repeated.join(staying, on.eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")

@@ -97,5 +97,5 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     decided = mix(sized(docs, id_col, text_col, source_col)).select(F.col("doc_id").alias("mixed_id"), copies.alias("copies"))
     decided = decided.groupBy("mixed_id").agg(F.max("copies").alias("copies")).where("copies > 0")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    repeated = docs.join(decided, F.col(f"`{id_col}`").eqNullSafe(F.col("mixed_id")))
+    repeated = docs.join(decided.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("mixed_id")))
     return repeated.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).select(*columns)

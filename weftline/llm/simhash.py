@@ -162,5 +162,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """Of each component the document with the smallest id stays, with all its columns. Null ids stay."""
     found = near_duplicates(docs, id_col, text_col, words, max_bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct().hint("merge")  # grows with the input: never broadcast
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("gone_id"), "left_anti")
