@@ -7,12 +7,12 @@ That fixed point is the water level L at which sum(min(L w, 3 s)) equals the tot
 one sort of the sources by 3 s / w.
 
 Cut: each document has a key, the hash of its id. Per source, the hash range is cut into equal
-ranges (buckets); the words of each bucket are summed with a map-side combine, a running sum over
-a source's buckets gives the words before each bucket, and a running sum inside a bucket the words
-before each document. Whole epochs take every document; the last one takes documents in key order
-until the source's budget is met exactly, so the document at the cut gives a part of its words. A
-bucket holds some 2,048 documents whatever the size of the source: a source with a third of all
-rows is spread over many tasks, and no task sees a whole source.
+ranges (buckets) of some 512 rows of the table; the words of each bucket are summed with a map-side
+combine. Running sums in three levels give the words before a document: over a source's blocks of
+buckets, over the buckets of a block, and inside a bucket. With 2^b buckets no level sums more than
+some 2^(b/2) rows or one bucket in a task, so a source with a third of all rows is spread like any
+other. Whole epochs take every document; the last one takes documents in key order until the
+source's budget is met exactly, so the document at the cut gives a part of its words.
 
 Only (id, source, size, key) are shuffled, never texts. Keys depend on the id alone, so reruns
 and other layouts agree.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from weftline.staging import stage
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, 20
-ROWS_PER_BUCKET = 2048
+ROWS_PER_BUCKET = 512
 
 
 def word_count(text: Column) -> Column:
@@ -63,6 +63,16 @@ def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return stage(rows.select("doc_id", "source", group.alias("group"), "size", F.xxhash64(F.lit(SEED), "doc_id").alias("key"), F.monotonically_increasing_id().alias("row_no")), "sized")
 
 
+def _words_before(sums: DataFrame, bits: int) -> DataFrame:
+    """Adds before: the words of a source in all earlier buckets."""
+    blocked = sums.withColumn("block", F.shiftrightunsigned("bucket", bits // 2))
+    earlier = lambda by, order: W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocked.groupBy("group", "block").agg(F.sum("words").alias("in_block"))
+    blocks = blocks.select("group", "block", F.coalesce(F.sum("in_block").over(earlier(["group"], "block")), F.lit(0)).alias("before_block"))
+    inside = F.coalesce(F.sum("words").over(earlier(["group", "block"], "bucket")), F.lit(0))
+    return blocked.withColumn("inside", inside).join(blocks, ["group", "block"]).withColumn("before", F.col("before_block") + F.col("inside"))
+
+
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """What the mix takes of each row of `sized`: doc_id, source, size, source_size, target, epochs, cut, words_before."""
     bits = max(1, (rows.count() // ROWS_PER_BUCKET).bit_length())
@@ -72,8 +82,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     budget = F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     targets = targets.withColumn("rest", budget - F.col("epochs") * F.col("source_size")).withColumnRenamed("source", "of")
-    earlier = W.partitionBy("group").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0))).join(targets, F.col("source").eqNullSafe(F.col("of")))
+    starts = _words_before(sums, bits).join(targets, F.col("source").eqNullSafe(F.col("of")))
     placed = rows.join(starts.select("group", "bucket", "before", "source_size", "target", "epochs", "rest"), ["group", "bucket"])
     inside = W.partitionBy("group", "bucket").orderBy("key", "doc_id", "size", "row_no").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("words_before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
