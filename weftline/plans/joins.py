@@ -118,15 +118,16 @@ def j11(spark: SparkSession, root: str) -> DataFrame:
 
 @registry.add(
     "j12_similarity_best",
-    r"""WITH t AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1)) AS w FROM documents),
-    a AS (SELECT doc_id AS a_id, len(w) AS na, unnest(w) AS tok FROM t WHERE doc_id % 2 = 0), b AS (SELECT doc_id AS b_id, len(w) AS nb, unnest(w) AS tok FROM t WHERE doc_id % 2 = 1),
+    r"""WITH p AS (SELECT p_partkey, lower(p_name || ' ' || p_type) AS text FROM part), r AS (SELECT text, min(p_partkey) AS b_id FROM p WHERE p_partkey % 2 = 1 GROUP BY 1),
+    a AS (SELECT p_partkey AS a_id, len(list_distinct(string_split(text, ' '))) AS na, unnest(list_distinct(string_split(text, ' '))) AS tok FROM p WHERE p_partkey % 2 = 0), b AS (SELECT b_id, len(list_distinct(string_split(text, ' '))) AS nb, unnest(list_distinct(string_split(text, ' '))) AS tok FROM r),
     s AS (SELECT a_id, b_id, count(*) / (any_value(na) + any_value(nb) - count(*)) AS score FROM a JOIN b USING (tok) GROUP BY 1, 2)
     SELECT a_id, b_id, score FROM s WHERE score >= 0.4 QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) = 1""",
 )
 def j12(spark: SparkSession, root: str) -> DataFrame:
-    """Each document of one half (the left table) finds its best match in the other half (the right table)."""
-    docs = table(spark, root, "documents").select("doc_id", "text")
-    left, right = docs.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "a_id"), docs.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "b_id")
+    """The words of each part of one half (the left table) find their best match among the different ones of the other half."""
+    parts = table(spark, root, "part").select("p_partkey", F.lower(F.concat("p_name", F.lit(" "), "p_type")).alias("text"))
+    left = parts.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "a_id")
+    right = parts.where("p_partkey % 2 = 1").groupBy("text").agg(F.min("p_partkey").alias("b_id"))
     return joins.best_by_jaccard(left, right, "a_id", "b_id", "text", 0.4)
 
 
