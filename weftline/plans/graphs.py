@@ -93,7 +93,7 @@ def u6(spark: SparkSession, root: str) -> DataFrame:
     return spark.sql("WITH RECURSIVE t(node) AS (SELECT 1000003L UNION ALL SELECT child FROM weftline_tree JOIN t ON parent = node) SELECT node FROM t")
 
 
-@add("g7_longest_ranks", "WITH RECURSIVE r AS (SELECT c_custkey AS node, 0 AS d FROM customer WHERE c_custkey BETWEEN 1 AND 200 UNION ALL SELECT node * 3 + k, d + 1 FROM r, (VALUES (0), (1), (2)) v(k) WHERE node * 3 + k <= 200 AND d < 20) SELECT node, max(d)::INTEGER AS rank FROM r GROUP BY 1")
+@add("g7_longest_ranks", "WITH RECURSIVE r AS (SELECT c_custkey AS node, 0 AS d FROM customer WHERE c_custkey BETWEEN 1 AND 200 UNION ALL SELECT c_custkey, d + 1 FROM r JOIN customer ON c_custkey // 3 = node AND c_custkey BETWEEN 2 AND 200 WHERE d < 20) SELECT node, max(d)::INTEGER AS rank FROM r GROUP BY 1")
 def g7(spark: SparkSession, root: str) -> DataFrame:
     calls = _calls(spark, root).where("kind = 'calls' AND to_id <= 200")
     return graph.longest_ranks(calls)
