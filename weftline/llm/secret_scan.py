@@ -4,8 +4,9 @@ Base kinds, leftmost and non-overlapping per kind over the whole text: `assign`
 separator and a value of 6 characters or more), `access` (AKIA and capitals or digits, 20 or more)
 and `hex` (24 or more). A match that is too short is dropped after it was matched.
 
-The method adds spans of kind `random`: runs of 20 or more of [A-Za-z0-9+/_=-] with a digit that
-overlap no base span. Their encoding is inferred (hex in either case, base32, base64 or alphanumeric), and two
+The method adds spans of kind `random`: runs of 20 or more of [A-Za-z0-9+/_-] and the `=` that end
+them, with a digit. A run is cut at an `=` with more behind it, so that the value of `NAME=value` is
+tested by itself, and of a run that overlaps base spans the parts between them are tested. Their encoding is inferred (hex in either case, base32, base64 or alphanumeric), and two
 questions are asked in that alphabet:
 
 * could it be random? A chi-squared test of symbol uniformity, a Wald-Wolfowitz runs test of
@@ -39,7 +40,9 @@ from weftline.staging import stage
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
 ASSIGN_VALUE = r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$"""
-ACCESS, HEX, RUN = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9+/_=-]{20,}"
+ACCESS, HEX, SIGN, LEAST = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9+/_-]", 20
+#: `=` belongs to a run only as padding at its end, and then counts for the length.
+RUN = f"(?<!{SIGN})(?:{SIGN}{{{LEAST},}}+(?:=++(?!{SIGN}))?|(?={SIGN}++=++(?!{SIGN}))(?:{SIGN}|=){{{LEAST},}}+)"
 KINDS = ("assign", "access", "hex", "random")
 
 #: encoding: (symbols, lower half of the alphabet, coincidence rate and class-change rate of tokens that are not random)
@@ -72,7 +75,7 @@ def _encoding(token: Column) -> Column:
     """The name of the narrowest alphabet that holds the token, null where it has no digit or one class of letters in words only."""
     body = F.regexp_replace(token, "=+$", "")
     return (
-        F.when(~token.rlike("[0-9]") | body.contains("="), F.lit(None))
+        F.when(~token.rlike("[0-9]"), F.lit(None))
         .when(body.rlike("^[0-9a-f]+$") & body.rlike("[a-f]"), "hex")
         .when(body.rlike("^[0-9A-F]+$") & body.rlike("[A-F]"), "hexcaps")
         .when(body.rlike("^[A-Z2-7]+$") & body.rlike("[A-Z]"), "base32")
@@ -140,14 +143,29 @@ def _scored(span: Column, token: Column, encoding: Column) -> Column:
     return let(F.struct(squares.alias("sq"), (_runs(classes) - 1).alias("changes"), _runs(halves).alias("runs"), n1.alias("n1"), serial.alias("serial")), verdict)
 
 
-def candidates(text: Column, base: Column) -> Column:
-    """Scored token runs that overlap no base span."""
+def _parts(run: Column, base: Column) -> Column:
+    """The stretches of LEAST signs or more of a run that are in no base span; base spans come by start."""
+
+    def grown(parts: Column, start: Column, end: Column) -> Column:
+        part = F.struct(start.alias("start"), end.alias("end"), F.substring(run["hit"], (start - run["start"] + 1).cast("int"), (end - start).cast("int")).alias("hit"))
+        return F.when(end - start >= LEAST, F.concat(parts, F.array(part))).otherwise(parts)
 
-    def free(m: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
+    met = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    none = F.array().cast("array<struct<start:long,end:long,hit:string>>")
+    left = F.aggregate(
+        met,
+        F.struct(run["start"].alias("at"), none.alias("parts")),
+        lambda a, b: F.struct(F.greatest(a["at"], b["end"]).alias("at"), grown(a["parts"], a["at"], b["start"]).alias("parts")),
+        lambda a: grown(a["parts"], a["at"], run["end"]),
+    )
+    return F.when(F.size(met) == 0, F.array(run)).otherwise(left)
 
-    runs = F.filter(matches(text, RUN), lambda m: m["hit"].rlike("[0-9]") & _encoding(m["hit"]).isNotNull() & free(m))
-    return F.transform(runs, lambda m: _scored(m, F.regexp_replace(m["hit"], "=+$", ""), _encoding(m["hit"])))
+
+def candidates(text: Column, base: Column) -> Column:
+    """Scored token runs, or what is left of them beside base spans."""
+    runs = F.filter(matches(text, RUN), lambda m: m["hit"].rlike("[0-9]"))
+    tokens = F.filter(F.flatten(F.transform(runs, lambda m: _parts(m, base))), lambda m: _encoding(m["hit"]).isNotNull())
+    return F.transform(tokens, lambda m: _scored(m, F.regexp_replace(m["hit"], "=+$", ""), _encoding(m["hit"])))
 
 
 def thresholds(counts: list[tuple[int, int, int]], rate: float = RATE) -> list[int]:
