@@ -178,6 +178,27 @@ def test_quality_model_edges(spark):
     assert quality_model.score(frame(spark, []), weights, bias).count() == 0
 
 
+def test_quality_features_come_from_whole_words():
+    of = quality_model.Featuriser()
+    rnd = random.Random(3)
+    head, tails = "".join(rnd.choice("a,") for _ in range(64)), ["(a)=>{A;}" * 400, "".join(rnd.choice("aA0+/") for _ in range(4000))]
+    first, second = (dict(zip(*of(head + t), strict=True)) for t in tails)
+    for t in tails:
+        signs = quality_model.outline(head + t)
+        pieces = [signs[i : i + 64] for i in range(0, len(signs), 64)]
+        places, weights = of(head + t)
+        assert len(places) > len(set(pieces)) and all(0 < w <= 1 for w in weights)
+    assert len(set(second) - set(first)) > 30
+    # what is learnt from the end of long words tells texts apart whose words all begin alike
+    texts = [(f"{head}{i}" + (";{a}" if y else "+/A") * 300, y) for i in range(60) for y in (0, 1)]
+    weights, bias = quality_model.ftrl([(*of(t), y) for t, y in texts[:80]], epochs=20)
+    scores = [(bias + float(weights[p] @ v), y) for (p, v), y in ((of(t), y) for t, y in texts[80:])]
+    assert min(s for s, y in scores if y) > max(s for s, y in scores if not y)
+    plain = "Some plain words, 12 of them; and, and a last."
+    places, weights = of(plain)
+    assert len(places) > 0 and abs(float((weights**2).sum()) * len(plain.split()) - (5 * 10 - 1 - 1 - 2)) < 1e-3
+
+
 MODEL = queries.read_bytes(queries.tokenizer_file("piece_bpe_32k.model"))
 
 

@@ -34,6 +34,7 @@ BITS, SAMPLE_ROWS, EPOCHS = 18, 12_000, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 #: Words whose hash and form are kept per task.
 WORDS_KEPT = 300_000
+FORM_SIGNS = 64
 
 
 def outline(word: str) -> str:
@@ -53,13 +54,19 @@ class Featuriser:
     def __init__(self, bits: int = BITS) -> None:
         self.mask = np.uint64((1 << bits) - 1)
         self.words: dict[str, tuple[int, int]] = {}
+        #: Of words whose outline is longer than one form, the forms after the first.
+        self.more: dict[str, list[int]] = {}
 
     def _known(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         table = self.words
         if len(table) > WORDS_KEPT:
             table = self.words = {}
+            self.more = {}
         for word in set(words).difference(table):
-            table[word] = (xxhash.xxh32_intdigest(word.lower()), xxhash.xxh32_intdigest(outline(word[:64]), 7))
+            signs = outline(word)
+            table[word] = (xxhash.xxh32_intdigest(word.lower()), xxhash.xxh32_intdigest(signs[:FORM_SIGNS], 7))
+            if len(signs) > FORM_SIGNS:
+                self.more[word] = [xxhash.xxh32_intdigest(signs[at : at + FORM_SIGNS], 7) for at in range(FORM_SIGNS, len(signs), FORM_SIGNS)]
         pairs = np.array([table[w] for w in words], np.uint64)
         return pairs[:, 0], pairs[:, 1]
 
@@ -71,11 +78,14 @@ class Featuriser:
         ids, forms = self._known(words)
         same = np.concatenate([[False], ids[1:] == ids[:-1]])
         forms = np.where(same, np.uint64(61), forms)
+        if self.more and not self.more.keys().isdisjoint(words):
+            more = [(i + 1, form) for i, word in enumerate(words) if not same[i] for form in self.more.get(word, ())]
+            forms = np.insert(forms, [i for i, _ in more], np.array([form for _, form in more], np.uint64))
         grams = [ids, self._joined(ids, 2), forms + np.uint64(1 << 40), self._joined(forms, 2), self._joined(forms, 3)]
         mixed = np.concatenate(grams)
         mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         places, counts = np.unique((mixed >> np.uint64(20)) & self.mask, return_counts=True)
-        return places.astype(np.int64), np.sqrt(counts / len(words)).astype(np.float32)
+        return places.astype(np.int64), np.sqrt(counts / len(forms)).astype(np.float32)
 
     @staticmethod
     def _joined(values: np.ndarray, n: int) -> np.ndarray:
