@@ -268,6 +268,21 @@ def test_licence_families_and_unknowns(spark):
     assert licences.scan_licences(frame(spark, [])).count() == 0
 
 
+def test_licence_notices_over_line_ends(spark):
+    cases = {
+        "This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.": "CC-BY-SA",
+        "This work is licensed under a Creative Commons Attribution-\nShareAlike 4.0 International License.": "CC-BY-SA",
+        "# This library is licensed under the GNU Lesser\r\n# General Public License, version 3.\r\n": "LGPL",
+        "/*\n * Some tool\n *\n * This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser\n * General Public License as published by the Free Software\n * Foundation.\n */": "LGPL",
+        "Code is released under the MIT License\nTexts are licensed under CC BY 4.0\nand so on": "CC-BY,MIT",
+        "Released under the MIT License\n\nLicensed under CC BY-SA 4.0": "CC-BY-SA,MIT",
+        "The driving licence of the\ngeneral public was\nrenewed": "",
+    }
+    got = licences.scan_licences(frame(spark, list(enumerate(cases)))).collect()
+    assert {r.doc_id: ",".join(r.families) for r in got} == dict(enumerate(cases.values()))
+    assert all(r.n_windows == r.n_confirmed + r.n_unknown for r in got) and len(got) == len(cases)
+
+
 def test_licence_scores_match_plain_python(spark):
     sentences = [s for group in licences.TEMPLATES.values() for s in group] + list(licences.OTHERS)
     weights, bias, _ = licences.model()

@@ -1,7 +1,12 @@
 """Licence scan: a trained paragraph classifier with template comparison, DataFrame operations only.
 
-Paragraph windows: lines are cut at sentence ends, longer stretches into windows of `WINDOW` words
-that overlap by half. Features are the word 1-, 2- and 3-grams that hold an anchor (a word that
+Paragraph windows: paragraphs (blank lines end them) are cut at sentence ends into units, whose
+wrapped lines are joined by a space, with the comment marks before them left out; longer units are
+cut into windows of `WINDOW` words that overlap by half, across line ends. The lines of a unit of
+several lines are windows too, for statements that stand on lines of their own; such a line counts
+only when it is confirmed and less than half of its family's 3-grams are in the templates of a
+family that is confirmed for its unit ("General Public License" behind "GNU Lesser" adds no GPL).
+Features are the word 1-, 2- and 3-grams that hold an anchor (a word that
 licence notices are written with, such as "license", "copyright", "gpl"), so a window without an
 anchor has no feature and scores "unknown" by its bias alone: the scan looks for anchors first and
 scores only what has one.
@@ -34,6 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.arrays import let
 from weftline.staging import stage
 
 PLACES, WINDOW, CONTAINED, FALSE_SHARE, SEED = 1 << 12, 40, 0.5, 0.01, 7
@@ -119,6 +125,9 @@ ANCHOR = r"(?:un)?licen[cs].*|copyright.*|mit|l?gpl.*|agpl.*|bsd.*|isc|mpl.*|moz
 HINT = r"(?i)(?<![a-z])(?:unlicen[cs]|licen[cs]|copyright|mit|l?gpl|agpl|bsd|isc|mpl|mozilla|apache|cc|creative|commons|rights|domain|warrant|redistribut|permission|gnu|spdx)"
 FAMILIES = ("unknown", *TEMPLATES)
 NOT_WORD = "[^a-z0-9.+-]+"
+#: A line end with the comment marks and blanks before the next line's text.
+LINE_END = r"\n[ \t\r*#/%;>|-]*"
+UNIT_END = rf"{LINE_END}(?:{LINE_END})+|(?<=[.!?;])(?:[ \t]+|[ \t\r]*{LINE_END})"
 
 
 def words_of(text: str) -> list[str]:
@@ -204,11 +213,21 @@ def word_column(text: Column) -> Column:
 
 
 def windows(text: Column) -> Column:
-    """array<array<string>> of the words of all windows that have an anchor."""
-    units = F.transform(F.split(text, r"\n|(?<=[.!?;])[ \t]+"), word_column)
+    """array<struct<unit, line, words>> of all windows that have an anchor; `line` marks those inside one line of a unit of several."""
     half = WINDOW // 2
-    cut = F.transform(units, lambda u: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(u) - 1 - half) / half)).cast("int")), lambda i: F.slice(u, i * half + 1, WINDOW)))
-    return F.filter(F.flatten(cut), lambda w: F.exists(w, lambda x: x.rlike(f"^(?:{ANCHOR})$")))
+    units = F.filter(F.transform(F.split(text, UNIT_END), lambda u, i: F.struct(i.alias("unit"), u.alias("text"))), lambda u: u["text"].rlike(HINT))
+
+    def cut(words: Column, unit: Column, line: bool) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(words) - 1 - half) / half)).cast("int"))
+        return F.transform(starts, lambda i: F.struct(unit.alias("unit"), F.lit(line).alias("line"), F.slice(words, i * half + 1, WINDOW).alias("words")))
+
+    def of(u: Column) -> Column:
+        joined = F.regexp_replace(F.regexp_replace(u["text"], rf"(?<=[A-Za-z])-[ \t\r]*{LINE_END}", "-"), rf"[ \t\r]*{LINE_END}", " ")
+        lines = F.when(F.contains(u["text"], F.lit("\n")), F.split(u["text"], LINE_END)).otherwise(F.array().cast("array<string>"))
+        by_line = F.flatten(F.transform(F.filter(lines, lambda x: x.rlike(HINT)), lambda x: let(word_column(x), lambda w: cut(w, u["unit"], True))))
+        return F.concat(let(word_column(joined), lambda w: cut(w, u["unit"], False)), by_line)
+
+    return F.filter(F.flatten(F.transform(units, of)), lambda w: F.exists(w["words"], lambda x: x.rlike(f"^(?:{ANCHOR})$")))
 
 
 def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
@@ -219,12 +238,15 @@ def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 def scan_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_no, doc_id, windows (only those with an anchor); the only pass over the texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    none = F.array().cast("array<array<string>>")
+    none = F.array().cast("array<struct<unit:int,line:boolean,words:array<string>>>")
     return stage(docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).alias("doc_id"), F.when(text.rlike(HINT), windows(text)).otherwise(none).alias("windows")), "windows")
 
 
 def classify(scanned: DataFrame) -> DataFrame:
-    """row_no, window, family, probability, contained, confirmed of each window with an anchor."""
+    """row_no, window, family, probability, contained, confirmed of each window with an anchor that counts.
+
+    `window` holds the unit from bit 32 up, in bit 31 whether it is one line of several, and its position.
+    """
     spark = scanned.sparkSession
     weights, bias, bound = model()
     used = np.flatnonzero(np.abs(weights).sum(1) > 0)
@@ -232,7 +254,8 @@ def classify(scanned: DataFrame) -> DataFrame:
     known = [{"family": k, "template": f"{k}.{i}", "gram": g, "of": len(grams)} for k, family in enumerate(FAMILIES) if k for i, grams in enumerate(template_grams(family)) for g in sorted(grams)]
     templates = _table(spark, known, "family: int, template: string, gram: string, of: int")
 
-    unit = scanned.where(F.size("windows") > 0).select("row_no", F.posexplode("windows").alias("window", "words"))
+    number = F.shiftleft(F.col("w.unit").cast("long"), 32) + F.when(F.col("w.line"), F.lit(1 << 31)).otherwise(F.lit(0)) + F.col("at")
+    unit = scanned.where(F.size("windows") > 0).select("row_no", F.posexplode("windows").alias("at", "w")).select("row_no", number.alias("window"), "w.words")
     none = F.array().cast("array<array<string>>")
     spans = F.flatten(F.array(*[F.when(F.size("words") >= n, _slices(n)).otherwise(none) for n in (1, 2, 3)]))
     grams = unit.select("row_no", "window", F.explode(F.array_distinct(spans)).alias("g"))
@@ -250,10 +273,20 @@ def classify(scanned: DataFrame) -> DataFrame:
     family_hits = threes.join(F.broadcast(templates.select("family", "gram").distinct()), "gram").groupBy("row_no", "window", "family").agg(F.count("*").alias("in_family"))
     whole = shared.groupBy("row_no", "window", "family").agg(F.max(F.col("hits") / F.col("of")).alias("of_template"))
     near = family_hits.join(whole, ["row_no", "window", "family"]).join(size, ["row_no", "window"]).select("row_no", "window", "family", F.greatest(F.col("in_family") / F.col("n"), "of_template").alias("contained"))
-    judged = predicted.join(near, ["row_no", "window", "family"], "left")
+    hits = family_hits.groupBy("row_no", "window").agg(F.map_from_entries(F.collect_list(F.struct("family", "in_family"))).alias("hits"))
+    judged = predicted.join(near, ["row_no", "window", "family"], "left").join(hits, ["row_no", "window"], "left")
     contained = F.coalesce("contained", F.lit(0.0))
+    confirmed = (F.col("family") > 0) & (F.col("probability") >= bound) & (contained >= CONTAINED)
+    is_line = F.col("window").bitwiseAND(F.lit(1 << 31)) != 0
+    judged = stage(judged.select("row_no", "window", F.shiftright("window", 32).alias("unit"), is_line.alias("line"), "family", "probability", contained.alias("contained"), confirmed.alias("confirmed"), "hits").where(~F.col("line") | F.col("confirmed")), "licences")
+
+    families = judged.where(~F.col("line") & F.col("confirmed")).groupBy("row_no", "unit").agg(F.collect_set("family").alias("of_unit"))
+    own = F.element_at("hits", F.col("family"))
+    explained = F.exists(F.coalesce("of_unit", F.array().cast("array<int>")), lambda f: F.coalesce(F.try_element_at(F.col("hits"), f), F.lit(0).cast("long")) >= CONTAINED * own)
+    lines = judged.where("line").join(families, ["row_no", "unit"], "left").where(~explained)
+    counted = judged.where(~F.col("line")).unionByName(lines.drop("of_unit"))
     name = F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.col("family") + 1)
-    return judged.select("row_no", "window", name.alias("family"), "probability", contained.alias("contained"), ((F.col("family") > 0) & (F.col("probability") >= bound) & (contained >= CONTAINED)).alias("confirmed"))
+    return counted.select("row_no", "window", name.alias("family"), "probability", "contained", "confirmed")
 
 
 def _slices(n: int) -> Column:
