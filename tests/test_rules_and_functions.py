@@ -1,5 +1,7 @@
 """Vulnerable and safe pairs per rule, masking, extraction and decision functions."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,18 @@ def test_block_balance_and_stated_counts(spark):
     docs = spark.createDataFrame([(1, "It has twelve tables and 1,000 rows."), (2, "Only five tables.")], "doc_id long, text string")
     actual = spark.createDataFrame([("tables", 12), ("rows", 1000)], "noun string, actual int")
     assert [(r.doc_id, r.stated, r.actual) for r in checks.stated_counts(docs, actual).collect()] == [(2, 5, 12)]
+
+
+def test_fuzzy_lines_meet_all_parts(spark):
+    from difflib import SequenceMatcher
+
+    from weftline.plans import matching
+
+    root = "/root/testdata/sf0.01"
+    lines = {r.p_partkey: " ".join(f"{r.p_name} {r.p_type.lower()}".split()) for r in spark.read.parquet(f"{root}/part.parquet").collect()}
+    met = {}
+    for b, y in lines.items():
+        met.setdefault((re.sub("[^0-9]+", " ", y), y[:2].lower()), []).append(b)
+    want = {(a, b) for a, x in lines.items() if a % 20 == 0 for b in met[(re.sub("[^0-9]+", " ", x), x[:2].lower())] if a != b and SequenceMatcher(None, x, lines[b], False).ratio() >= 0.85}
+    got = [(r.a, r.b) for r in matching.j13(spark, root).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and any(b % 20 != 1 for _, b in want)
