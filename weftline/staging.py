@@ -43,11 +43,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged.staged_at = path
+    return staged
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete the tables this application staged. Call it when no frame built on them is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete what `stage` wrote for this frame. Iterations call it for the round before the last, which nothing reads any more."""
+    _delete(staged.sparkSession, staged.staged_at)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all tables this application staged. Call it when no frame built on them is needed."""
+    _delete(spark, run_folder(spark))
