@@ -105,4 +105,4 @@ def test_shard_edges(spark):
     assert sorted(r.slot for r in one) == [0, 1, 2] and len({r.shard for r in one}) == 1
     docs = frame(spark, [(i, str(i), "s") for i in range(50)])
     moved = sharding.shard_documents(docs, shards=3)
-    assert moved.columns == [*docs.columns, "__shard"] and moved.count() == 50 and {r["__shard"] for r in moved.collect()} == {0, 1, 2}
+    assert moved.columns == [*docs.columns, "shard"] and moved.count() == 50 and {r["shard"] for r in moved.collect()} == {0, 1, 2}

@@ -191,7 +191,7 @@ def test_quality_features_come_from_whole_words():
     assert len(set(second) - set(first)) > 30
     # what is learnt from the end of long words tells texts apart whose words all begin alike
     texts = [(f"{head}{i}" + (";{a}" if y else "+/A") * 300, y) for i in range(60) for y in (0, 1)]
-    weights, bias = quality_model.ftrl([(*of(t), y) for t, y in texts[:80]], epochs=20)
+    weights, bias = quality_model.ftrl(lambda: [(*of(t), y) for t, y in texts[:80]], 40, 80, epochs=20)
     scores = [(bias + float(weights[p] @ v), y) for (p, v), y in ((of(t), y) for t, y in texts[80:])]
     assert min(s for s, y in scores if y) > max(s for s, y in scores if not y)
     plain = "Some plain words, 12 of them; and, and a last."
@@ -283,22 +283,106 @@ def test_licence_notices_over_line_ends(spark):
     assert all(r.n_windows == r.n_confirmed + r.n_unknown for r in got) and len(got) == len(cases)
 
 
-def test_licence_scores_match_plain_python(spark):
-    sentences = [s for group in licences.TEMPLATES.values() for s in group] + list(licences.OTHERS)
-    weights, bias, _ = licences.model()
-    judged = {}
-    scanned = licences.scan_windows(frame(spark, list(enumerate(sentences))))
-    ids = {r.row_no: r.doc_id for r in scanned.collect()}
-    for r in licences.classify(scanned).collect():
-        judged.setdefault(ids[r.row_no], []).append(r)
-    for i, s in enumerate(sentences):
-        words = licences.words_of(s)
-        if len(words) > licences.WINDOW or len(re.split(r"(?<=[.!?;])[ \t]+", s)) > 1 or i not in judged:
-            continue
-        logits = bias + weights[sorted({licences.place(g) for g in licences.grams_of(words)})].sum(0)
-        p = np.exp(logits - logits.max())
-        p /= p.sum()
-        (r,) = judged[i]
-        assert r.family == licences.FAMILIES[int(p.argmax())] and abs(r.probability - p.max()) < 1e-3
+def test_ftrl_update_by_hand():
+    import math
+
+    learner = quality_model.Ftrl(0.75, bits=3)
+    alpha, beta, l1, l2 = quality_model.ALPHA, quality_model.BETA, quality_model.L1, quality_model.L2
+    places, values = np.array([2, 5]), np.array([0.5, 0.01])
+    assert abs(learner.update(places, values, 0) - 0.75) < 1e-12
+    g = 0.75
+    for at, x, bar in ((2, 0.5, l1), (5, 0.01, l1), (8, 1.0, 0.0)):
+        z = g * x
+        assert abs(learner.z[at] - z) < 1e-12 and abs(learner.n[at] - z * z) < 1e-12
+        w = 0.0 if z <= bar else -(z - bar) / ((beta + z) / alpha + l2)
+        assert abs(learner.weights(np.array([at]))[0] - w) < 1e-12
+    w, b = learner.model()
+    logit = math.log(3) + 0.5 * float(learner.weights(np.array([2]))[0]) + float(learner.weights(np.array([8]))[0])
+    assert w[5] == 0 and abs(learner.update(places, values, 1) - 1 / (1 + math.exp(-logit))) < 1e-9 and b < math.log(3)
+
+
+def test_repeated_labelled_ids_are_one_training_row(spark):
+    docs = frame(spark, [(1, "b a"), (1, "a b"), (2, None)] * 30)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality_model.training_rows(docs, labels).collect()
+    assert {(r.label, r.text) for r in got} <= {(1, "a b"), (0, "")} and len(got) == len({r.h for r in got})
+    values, bad, held = quality_rules.training_values(docs, labels)
+    assert len(bad) == len(held) == len(values["symbols_per_char"]) <= 2
+
+
+def test_decision_list_in_spark_equals_the_list_in_numpy(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    n = 4000
+    values = {name: rng.random(n) for name in quality_rules.RATIOS}
+    kinds = [values["symbols_per_char"] >= 0.9, (values["digits_per_char"] >= 0.8) & (values["words_per_line"] < 0.3), (values["chars_per_word"] < 0.15) & (values["pipes_per_word"] >= 0.5)]
+    bad = kinds[0] | kinds[1] | kinds[2]
+    rules = quality_rules.learn(values, bad, rng.random(n) < 0.33)
+    told = quality_rules.report(rules, values, bad)
+    assert len(rules) >= 3 and any(len(r) > 1 for r in rules) and all(share >= 0.9 for *_, share in told)
+    covered = sum(c for _, c, _ in told)
+    assert covered * 0.95 >= 0.85 * bad.sum()
+    first = np.zeros(n, int)
+    for number, rule in reversed(list(enumerate(rules, 1))):
+        first[quality_rules._covers(rule, values, n)] = number
+    # counts whose ratios are the values: numerator v * 10^6, denominator 10^6
+    names = sorted({x for pair in quality_rules.RATIOS.values() for x in pair})
+    rows = [(i, *[float(rng.integers(0, 50)) for _ in names]) for i in range(500)]
+    stats = spark.createDataFrame(rows, "i int, " + ", ".join(f"{x} double" for x in names))
+    got = stats.select("*", quality_rules.rejected_by(rules, F.struct(*names)).alias("rule")).toPandas()
+    own = {name: (got[up] / np.maximum(got[down], 1)).to_numpy() for name, (up, down) in quality_rules.RATIOS.items()}
+    want = np.zeros(len(got), int)
+    for number, rule in reversed(list(enumerate(rules, 1))):
+        want[quality_rules._covers(rule, own, len(got))] = number
+    assert (got["rule"].to_numpy() == want).all()
+
+
+def test_tokens_in_key_order_do_not_depend_on_the_scan(spark):
+    ranks, pattern = queries.read_bytes(queries.tokenizer_file("byte_bpe_50k.tiktoken")), queries.word_pattern()
+    rows = [(100 + i, f"text number {i} " * (i % 50)) for i in range(150)] + [(None, "a"), (None, "b"), (7, None)]
+    slots = []
+    for docs in (frame(spark, rows).repartition(3), frame(spark, rows[::-1]).repartition(5)):
+        ordered = token_shards.training_order(token_shards.sequences(token_shards.in_key_order(docs, 4), ranks, pattern, length=64), length=64, slots_per_shard=64)
+        slots.append(sorted((r.slot, bytes(r.record)) for r in ordered.collect()))
+    assert slots[0] == slots[1]
+    small = b"\n".join(base64.b64encode(bytes([i])) + b" " + str(i).encode() for i in range(256))
+    with pytest.raises(ValueError):
+        token_shards.sequences(frame(spark, rows), small, pattern, end=70_000)
+
+
+def test_registered_queries_give_the_contract_columns(spark):
+    root = "/root/testdata/sf0.001"
+    columns = {
+        "op4_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+        "op5_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+        "op6_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+        "op7_simhash_groups": ["doc_id", "fingerprint", "component_id"],
+        "op8_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+        "op10_sentencepiece": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    }
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{root}/documents.parquet").collect()}
+    got = {}
+    for name, wanted in columns.items():
+        frame_of = queries.registry.queries[name](spark, root)
+        got[name] = {r.doc_id: r for r in frame_of.collect()}
+        assert frame_of.columns == wanted and got[name].keys() == docs.keys()
+    names = {0: "assign", 1: "access", 2: "hex"}
+    import sentencepiece
 
+    from weftline.llm import simhash
 
+    sp = sentencepiece.SentencePieceProcessor(model_proto=MODEL)
+    for i, text in docs.items():
+        base = base_spans(text)
+        secret, rule, near, piece = (got[n][i] for n in ("op5_secrets", "op6_quality_rules", "op7_simhash_groups", "op10_sentencepiece"))
+        assert secret.base_sha256 == hashlib.sha256(",".join(f"{names[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
+        assert [secret.n_assign, secret.n_access, secret.n_hex] == [sum(k == x for _, k, _ in base) for x in range(3)]
+        assert (rule.n_words, rule.word_chars, rule.n_symbols, rule.n_dup_lines, rule.n_repeat_words) == reference_statistics(text)
+        assert near.fingerprint == f"{simhash.fingerprint(text.encode()):016x}"
+        ids = sp.encode(text)
+        assert piece.n_tokens == len(ids) and piece.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+    placed = queries.op3_token_shards(spark, root).collect()
+    assert sorted(r.slot for r in placed) == list(range(len(placed))) and {r.doc_id for r in placed} == docs.keys()
+    scanned = queries.op2_licences(spark, root).collect()
+    assert sorted(r.doc_id for r in scanned) == sorted(docs)

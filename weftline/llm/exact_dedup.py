@@ -15,10 +15,10 @@ Their SHA-256 stands for them. The plan:
 4. all other digests are grouped with an ordinary shuffle and joined back. No group there has more
    than 2 / (counters + 1) of the rows.
 
-Edge cases: a null text counts as empty; empty texts are equal to one another. Null ids are
-allowed and lose to any other id; rows that repeat both id and text are copies, of which exactly
-one stays. An empty table gives an empty result. Columns other than id and text are not read, so
-their names cannot clash.
+Edge cases: a null text counts as empty; empty texts are equal to one another. A very long text is
+hashed whole, in its own task. Null ids are allowed and lose to any other id; rows that repeat both
+id and text are copies, of which exactly one stays. An empty table gives an empty result. Other
+columns are carried in one struct or not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.rows import column, packed, unpacked
 from weftline.staging import stage
 
 #: Counters of a Misra-Gries summary, and so the most rows that are ever broadcast (about 60 bytes each).
@@ -42,13 +44,18 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")
 
 
+def digest(text: Column) -> Column:
+    """The SHA-256 of the normalised text."""
+    return F.unhex(F.sha2(normalised(text), 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_no, doc_id, digest (32 bytes). Written to the shared folder, so row_no is stable from then on."""
     return stage(
         docs.select(
             F.monotonically_increasing_id().alias("row_no"),
-            F.col(id_col).alias("doc_id"),
-            F.unhex(F.sha2(normalised(F.col(text_col)), 256)).alias("digest"),
+            column(id_col).alias("doc_id"),
+            digest(column(text_col)).alias("digest"),
         ),
         "digests",
     )
@@ -115,23 +122,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """The documents that stay, with all their columns.
+    """The documents that stay, with all their columns: one row for each distinct text.
 
-    Ids name documents here: a row goes when its id belongs to a dropped document and to no kept
-    one. Rows that repeat id and text, where there are any, are reduced to one row each.
+    Copies of the winners go on the map side, before any row is shuffled; of the rest, and of rows
+    that repeat the id of a winner's keeper, the first of each digest stays, cut down once before
+    the exchange and once behind it. Rows that repeat id and text stay as one of them.
     """
-    decided = stage(exact_duplicates(docs, id_col, text_col, counters), "exact")
-    lost = decided.where("NOT kept").select("doc_id", "digest")
-    kept = decided.where("kept").select("doc_id", "digest")
-    # Only these need a look at the text again: ids that are both kept and dropped.
-    unclear = stage(lost.join(kept.select("doc_id").withColumnRenamed("doc_id", "k"), F.col("doc_id").eqNullSafe(F.col("k")), "left_semi").select("doc_id").distinct(), "unclear")
-    gone = lost.select(F.col("doc_id").alias("gone_id")).distinct().hint("merge")  # grows with the input: never broadcast
-    on = F.col(f"`{id_col}`")
-    if unclear.isEmpty():
-        return docs.join(gone, on.eqNullSafe(F.col("gone_id")), "left_anti")
-    again = unclear.select(F.col("doc_id").alias("again_id"))
-    clear = docs.join(gone.unionByName(again.withColumnRenamed("again_id", "gone_id")).distinct().hint("merge"), on.eqNullSafe(F.col("gone_id")), "left_anti")
-    repeated = docs.join(again, on.eqNullSafe(F.col("again_id")), "left_semi").withColumn("__digest", F.unhex(F.sha2(normalised(F.col(text_col)), 256)))
-    staying = kept.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__kept"))
-    repeated = repeated.join(staying, on.eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
-    return clear.unionByName(repeated.dropDuplicates([id_col, "__digest"]).drop("__digest"))
+    winners = stage(heavy_hitters(digests(docs, id_col, text_col), counters), "winners")
+    hot = F.broadcast(winners.select("digest", "keep_id", F.lit(True).alias("hot")))
+    held = docs.select(packed(docs), column(id_col).alias("doc_id"), digest(column(text_col)).alias("digest"))
+    left = held.join(hot, "digest", "left").where(F.col("hot").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    nth = F.row_number().over(W.partitionBy("digest").orderBy(F.col("doc_id").asc_nulls_last()))
+    return unpacked(left.withColumn("nth", nth).where("nth = 1"))

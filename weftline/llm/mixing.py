@@ -6,7 +6,7 @@ that leaves over is shared again among the others by weight, until no target is
 That fixed point is the water level L at which sum(min(L w, 3 s)) equals the total; it is found in
 one sort of the sources by 3 s / w.
 
-Cut: each document has a key, the hash of its id. Per source, the hash range is cut into equal
+Cut: each document has a key, the hash of its id and text. Per source, the hash range is cut into equal
 ranges (buckets) of some 512 rows of the table; the words of each bucket are summed with a map-side
 combine. Running sums in three levels give the words before a document: over a source's blocks of
 buckets, over the buckets of a block, and inside a bucket. With 2^b buckets no level sums more than
@@ -14,12 +14,14 @@ some 2^(b/2) rows or one bucket in a task, so a source with a third of all rows
 other. Whole epochs take every document; the last one takes documents in key order until the
 source's budget is met exactly, so the document at the cut gives a part of its words.
 
-Only (id, source, size, key) are shuffled, never texts. Keys depend on the id alone, so reruns
-and other layouts agree.
+Only (id, source, size, key) are shuffled to find the cut, never texts. Keys depend on id and text
+alone, so reruns and other layouts agree.
 
-Edge cases: a null text has size 0; null ids share a key and are ordered by size; a null source is
+Edge cases: a null text has size 0; rows without id have the key of their text; a null source is
 a source of its own, after all others; a source without words has target 0. An empty table gives
-an empty result. Repeated rows are taken like different ones. Only id, text and source are read.
+an empty result. Repeated rows are taken like different ones. A very long text is counted whole; it
+is one document, so it is taken or left as one. Other columns are carried in one struct or not read,
+so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.rows import ROW, column, packed, unpacked
 from weftline.staging import stage
 
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, 20
@@ -56,11 +59,21 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_e
     return levelled.select("source", "source_size", F.when(F.col("full"), stop.cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """The random key of a row; it depends on its id and text alone, so reruns and other layouts agree."""
+    return F.xxhash64(F.lit(SEED), id_, F.coalesce(text, F.lit("")))
+
+
+def group_of(source: Column) -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, group (the source, never null), size, key; written once, the only pass over the texts."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    group = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    return stage(rows.select("doc_id", "source", group.alias("group"), "size", F.xxhash64(F.lit(SEED), "doc_id").alias("key"), F.monotonically_increasing_id().alias("row_no")), "sized")
+    source = column(source_col)
+    key = row_key(column(id_col), column(text_col))
+    return stage(docs.select(column(id_col).alias("doc_id"), source.alias("source"), group_of(source).alias("group"), word_count(column(text_col)).alias("size"), key.alias("key"), F.monotonically_increasing_id().alias("row_no")), "sized")
 
 
 def _words_before(sums: DataFrame, bits: int) -> DataFrame:
@@ -74,7 +87,7 @@ def _words_before(sums: DataFrame, bits: int) -> DataFrame:
 
 
 def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """What the mix takes of each row of `sized`: doc_id, source, size, source_size, target, epochs, cut, words_before."""
+    """What the mix takes of each row of `sized`: doc_id, source, group, key, size, source_size, target, epochs, cut, words_before."""
     bits = max(1, (rows.count() // ROWS_PER_BUCKET).bit_length())
     rows = rows.withColumn("bucket", F.shiftrightunsigned("key", 64 - bits))
     sums = stage(rows.groupBy("group", "source", "bucket").agg(F.sum("size").alias("words")), "buckets")
@@ -87,7 +100,7 @@ def mix(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     inside = W.partitionBy("group", "bucket").orderBy("key", "doc_id", "size", "row_no").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.withColumn("words_before", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     cut = F.greatest(F.lit(0).cast("long"), F.least("size", F.col("rest") - F.col("words_before")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", "epochs", cut.alias("cut"), (F.col("words_before") < F.col("rest")).alias("reached"))
+    return placed.select("doc_id", "source", "group", "key", "size", "source_size", "target", "epochs", cut.alias("cut"), (F.col("words_before") < F.col("rest")).alias("reached"))
 
 
 def taken(mixed: DataFrame) -> DataFrame:
@@ -99,12 +112,13 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The mixed corpus: each document once per epoch that takes it, whole, with the columns of `docs`.
 
     Here the document at a source's cut stays whole, so a source exceeds its budget by less than
-    one document. Rows that share an id are repeated alike. A document without words is taken only
-    by whole epochs.
+    one document. A row is known by its id and key; rows that repeat id and text are repeated
+    alike. A document without words is taken only by whole epochs.
     """
     copies = F.col("epochs") + (F.col("reached") & (F.col("size") > 0)).cast("long")
-    decided = mix(sized(docs, id_col, text_col, source_col)).select(F.col("doc_id").alias("mixed_id"), copies.alias("copies"))
-    decided = decided.groupBy("mixed_id").agg(F.max("copies").alias("copies")).where("copies > 0")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    repeated = docs.join(decided.hint("merge"), F.col(f"`{id_col}`").eqNullSafe(F.col("mixed_id")))
-    return repeated.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).select(*columns)
+    decided = mix(sized(docs, id_col, text_col, source_col)).groupBy("doc_id", "key", "group").agg(F.max(copies).alias("copies")).where("copies > 0")
+    decided = decided.hint("merge").alias("mixed")  # grows with the input: never broadcast
+    held = docs.select(packed(docs), column(id_col).alias("doc_id"), row_key(column(id_col), column(text_col)).alias("key"), group_of(column(source_col)).alias("group")).alias("held")
+    same = F.col("held.doc_id").eqNullSafe(F.col("mixed.doc_id")) & (F.col("held.key") == F.col("mixed.key")) & (F.col("held.group") == F.col("mixed.group"))
+    repeated = held.join(decided, same).select(ROW, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return unpacked(repeated)

@@ -9,27 +9,31 @@ length. The score is the logistic function of a sparse dot product and a bias.
 
 Training: FTRL-proximal with per-coordinate rates (McMahan et al., 2013) over `EPOCHS` passes, in
 hash order of the ids, on at most `SAMPLE_ROWS` labelled documents, those with the smallest id
-hashes among the rows whose crc32 of the id as text, modulo 3, is not 1. Their features come to the
-driver in Arrow batches, one row a document. The weights (a float per place, 1 MB) are
-broadcast. Scoring reads each text once, without a shuffle.
+hashes among the rows whose crc32 of the id as text, modulo 3, is not 1 (of rows that share a
+labelled id, the least text). Their features are a staged table that the driver reads partition by
+partition. The weights (a float per place, 1 MB) are broadcast. Scoring reads each text once,
+without a shuffle.
 
 Edge cases: a null or empty text has no features and gets the bias' score. Null or contradictory
 labels are not used; without labels of both classes all scores are the share of good labels, or
 one half. Rows may repeat; null ids are scored (they are not held out). An empty table gives an
-empty result. Only id and text are read; labels, language, source and id are never features.
+empty result. Only id and text are read, so other columns cannot clash; labels, language, source and
+id are never features. A very long text is read whole by its task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.rows import column
+from weftline.staging import discard, stage
+
 BITS, SAMPLE_ROWS, EPOCHS = 18, 12_000, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.05
 #: Words whose hash and form are kept per task.
@@ -107,7 +111,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, i
     usable = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(target).alias("label"), F.max(target).alias("most"))
     chosen = usable.where("label = most").select(F.col("doc_id").alias("labelled_id"), F.col("label").cast("int").alias("label"), F.xxhash64("doc_id").alias("h"))
     chosen = chosen.orderBy("h", "labelled_id").limit(rows)
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id")).select("h", "label", "text")
+    read = docs.select(column(id_col).alias("id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
+    return read.join(F.broadcast(chosen), F.col("id") == F.col("labelled_id")).groupBy("h", "labelled_id", "label").agg(F.min("text").alias("text")).select("h", "label", "text")
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,35 +123,57 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["h", "label", "places", "weights"])
 
 
-def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
-    """Weights and bias after FTRL-proximal updates over (places, values, label), in the order given."""
-    z, n = np.zeros(1 << bits), np.zeros(1 << bits)
-    good = sum(label for *_, label in examples)
-    prior = (good + 1) / (len(examples) + 2)
-    bias = float(np.log(prior / (1 - prior)))
-    if not examples or good in (0, len(examples)):
-        return np.zeros(1 << bits, np.float32), bias
+class Ftrl:
+    """FTRL-proximal with one learning rate per place; the bias is a place of its own, without L1, behind the prior's log odds."""
+
+    def __init__(self, prior: float, bits: int = BITS) -> None:
+        self.z, self.n, self.l1 = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1), np.full((1 << bits) + 1, L1)
+        self.l1[-1], self.offset = 0.0, float(np.log(prior / (1 - prior)))
+
+    def weights(self, at: np.ndarray | slice) -> np.ndarray:
+        z, n, l1 = self.z[at], self.n[at], self.l1[at]
+        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+    def update(self, places: np.ndarray, values: np.ndarray, label: int) -> float:
+        """One example; returns the probability before the update."""
+        at, x = np.append(places, len(self.z) - 1), np.append(values, 1.0)
+        w = self.weights(at)
+        p = 1 / (1 + np.exp(-np.clip(self.offset + float(w @ x), -30, 30)))
+        g = (p - label) * x
+        self.z[at] += g - (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA * w
+        self.n[at] += g * g
+        return float(p)
 
-    def weights(at: np.ndarray | slice) -> np.ndarray:
-        return np.where(np.abs(z[at]) <= L1, 0.0, -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
+    def model(self) -> tuple[np.ndarray, float]:
+        w = self.weights(slice(None))
+        return w[:-1].astype(np.float32), self.offset + float(w[-1])
 
-    for _ in range(epochs):
-        for places, values, label in examples:
-            w = weights(places)
-            p = 1 / (1 + np.exp(-np.clip(bias + float(w @ values), -30, 30)))
-            g = (p - label) * values
-            sigma = (np.sqrt(n[places] + g * g) - np.sqrt(n[places])) / ALPHA
-            z[places] += g - sigma * w
-            n[places] += g * g
-            bias -= 0.02 * (p - label)
-    return weights(slice(None)).astype(np.float32), bias
+
+def ftrl(examples: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], good: int, total: int, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, float]:
+    """Weights and bias after FTRL-proximal updates over (places, values, label); `examples` gives them anew, in order, for each epoch."""
+    learner = Ftrl((good + 1) / (total + 2), bits)
+    for _ in range(epochs if 0 < good < total else 0):
+        for places, values, label in examples():
+            learner.update(places, values, label)
+    return learner.model()
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
-    """Weights and bias. Reruns agree: the order of training is that of the id hashes."""
-    got: pd.DataFrame = training_rows(docs, labels, rows, id_col, text_col).mapInArrow(_featurise, "h long, label int, places binary, weights binary").toPandas()
-    got = got.sort_values(["h", "places"], kind="stable")
-    return ftrl([(np.frombuffer(p, "<i4").astype(np.int64), np.frombuffer(w, "<f4").astype(np.float64), int(y)) for p, w, y in zip(got["places"], got["weights"], got["label"], strict=True)])
+    """Weights and bias. Reruns agree: the order of training is that of the id hashes.
+
+    The features are written and read again in order for each epoch, a partition at a time, so the
+    driver holds one partition of them, however long the labelled texts are.
+    """
+    sample = stage(training_rows(docs, labels, rows, id_col, text_col).mapInArrow(_featurise, "h long, label int, places binary, weights binary"), "features")
+    good, total = sample.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
+
+    def examples() -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        for row in sample.orderBy("h", "places").toLocalIterator():
+            yield np.frombuffer(row["places"], "<i4").astype(np.int64), np.frombuffer(row["weights"], "<f4").astype(np.float64), row["label"]
+
+    found = ftrl(examples, good, total)
+    discard(sample)
+    return found
 
 
 def _score_batches(shared, bias: float):
@@ -167,4 +194,4 @@ def _score_batches(shared, bias: float):
 def score(docs: DataFrame, weights: np.ndarray, bias: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1, higher: label 1 likelier) of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_score_batches(shared, bias), "doc_id long, score double")
+    return docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text")).mapInArrow(_score_batches(shared, bias), "doc_id long, score double")

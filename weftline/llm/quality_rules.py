@@ -3,9 +3,10 @@
 Statistics come from the whole text in one expression, without a shuffle: word windows are hashed
 and counted inside the row. The decision list is learned by sequential covering from the
 statistics of labelled documents: a conjunction of thresholds is grown by information gain on two
-thirds of them, pruned on the rest while its worth (p - n) / (p + n) does not fall, and taken when
-it is right about at least `PRECISION` of the held-back documents it covers; the documents it
-covers are then set aside. The list becomes an ordered conditional expression, so applying it is a
+thirds of them from each of the `SEEDS` best first conditions, pruned on the rest while its worth
+(p - n) / (p + n) does not fall, and taken when it is right about at least `PRECISION` of the
+held-back documents it covers, of which at least `LEAST_HELD` are bad; of several, the one that
+catches most is taken. The documents it covers are then set aside. The list becomes an ordered conditional expression, so applying it is a
 projection of the scan.
 
 Learning uses at most `SAMPLE_ROWS` labelled documents, those with the smallest hashes of their
@@ -14,9 +15,10 @@ driver. Everything else covers all documents.
 
 Edge cases: a null text has no words; a document without words is rejected by the base rules.
 Without usable labels (no table rows, one class only) the list is empty and the base rules decide.
-Labels that are null or disagree for one id are not used. Rows may repeat; ids may be null; an
-empty table gives an empty result; statistics columns are built apart from the table's own
-columns, so names cannot clash.
+Labels that are null or disagree for one id are not used; of rows that share a labelled id one is
+learned from. Rows may repeat; ids may be null; an empty table gives an empty result. A very long
+text is counted whole, in its own row. Nothing is added to the table's own columns, so names cannot
+clash.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.arrays import let
+from weftline.llm.rows import column
 
 WS, BLANKS, WINDOW = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r", 5
-SAMPLE_ROWS, PRECISION, LEAST_COVERED, MAX_RULES, MAX_CONDITIONS = 20_000, 0.95, 8, 12, 4
+SAMPLE_ROWS, PRECISION, LEAST_COVERED, LEAST_HELD, MAX_RULES, MAX_CONDITIONS, SEEDS = 20_000, 0.95, 8, 3, 12, 4, 8
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 
 #: name: (numerator, denominator) of the ratios that rules are learned on.
@@ -136,17 +139,16 @@ def _covers(rule: Rule, values: dict[str, np.ndarray], n: int) -> np.ndarray:
     return found
 
 
-def _best_condition(values: dict[str, np.ndarray], bad: np.ndarray, inside: np.ndarray) -> tuple[float, Condition | None]:
-    """The threshold with the largest FOIL gain among the rows inside."""
+def _conditions(values: dict[str, np.ndarray], bad: np.ndarray, inside: np.ndarray) -> list[Condition]:
+    """The threshold with the largest FOIL gain of each ratio and direction among the rows inside, best first."""
     p0, n0 = int(bad[inside].sum()), int((~bad[inside]).sum())
-    best: tuple[float, Condition | None] = (0.0, None)
     if not p0 or not n0:
-        return best
-    base = math.log2(p0 / (p0 + n0))
+        return []
+    base, found = math.log2(p0 / (p0 + n0)), []
     for name in RATIOS:
-        column, label = values[name][inside], bad[inside]
-        order = np.argsort(column, kind="stable")
-        v, y = column[order], label[order]
+        inner, label = values[name][inside], bad[inside]
+        order = np.argsort(inner, kind="stable")
+        v, y = inner[order], label[order]
         edges = np.flatnonzero(v[1:] > v[:-1]) + 1
         if not len(edges):
             continue
@@ -155,59 +157,103 @@ def _best_condition(values: dict[str, np.ndarray], bad: np.ndarray, inside: np.n
         for at_least, p, n in ((True, p0 - p_below, n0 - n_below), (False, p_below, n_below)):
             gain = np.where(p > 0, p * (np.log2(np.maximum(p, 1) / np.maximum(p + n, 1)) - base), -1.0)
             k = int(np.argmax(gain))
-            if gain[k] > best[0] + 1e-9:
-                best = (float(gain[k]), Condition(name, at_least, float((v[edges[k] - 1] + v[edges[k]]) / 2)))
-    return best
+            if gain[k] > 1e-9:
+                found.append((float(gain[k]), Condition(name, at_least, float((v[edges[k] - 1] + v[edges[k]]) / 2))))
+    return [condition for _, condition in sorted(found, key=lambda x: -x[0])]
+
+
+def _grown(rule: Rule, values: dict[str, np.ndarray], bad: np.ndarray, inside: np.ndarray) -> Rule:
+    """Conditions are added while they gain and good documents are left inside."""
+    inside = inside & _covers(rule, values, len(bad))
+    while len(rule) < MAX_CONDITIONS and (~bad[inside]).any():
+        conditions = _conditions(values, bad, inside)
+        if not conditions:
+            break
+        rule += (conditions[0],)
+        inside &= conditions[0].holds(values)
+    return rule
+
+
+def _hits(rule: Rule, values: dict[str, np.ndarray], bad: np.ndarray, among: np.ndarray) -> tuple[int, int]:
+    """Bad and good documents among those that the rule covers."""
+    hit = among & _covers(rule, values, len(bad))
+    return int(bad[hit].sum()), int((~bad[hit]).sum())
+
+
+def _pruned(rule: Rule, values: dict[str, np.ndarray], bad: np.ndarray, check: np.ndarray) -> Rule:
+    """The condition whose loss does the least harm goes while the worth does not fall."""
+
+    def worth(r: Rule) -> float:
+        p, n = _hits(r, values, bad, check)
+        return (p - n) / (p + n) if p + n else -1.0
+
+    while len(rule) > 1:
+        shorter = max((rule[:k] + rule[k + 1 :] for k in range(len(rule))), key=worth)
+        if worth(shorter) < worth(rule):
+            break
+        rule = shorter
+    return rule
 
 
 def learn(values: dict[str, np.ndarray], bad: np.ndarray, held_back: np.ndarray) -> list[Rule]:
-    """Sequential covering of the bad documents. `held_back` marks the rows for pruning."""
+    """Sequential covering of the bad documents. `held_back` marks the rows for pruning.
+
+    A rule is grown and pruned from each of the best first conditions; of those that are right often
+    enough on the rows held back, the one that catches most of them is taken.
+    """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
     while len(rules) < MAX_RULES and bad[left & ~held_back].sum() >= LEAST_COVERED:
-        rule: Rule = ()
-        inside = left & ~held_back
-        while len(rule) < MAX_CONDITIONS and (~bad[inside]).any():
-            _, condition = _best_condition(values, bad, inside)
-            if condition is None:
-                break
-            rule += (condition,)
-            inside &= condition.holds(values)
-        check = left & held_back
-
-        def worth(r: Rule, check: np.ndarray = check) -> float:
-            hit = check & _covers(r, values, len(bad))
-            p, n = int(bad[hit].sum()), int((~bad[hit]).sum())
-            return (p - n) / (p + n) if p + n else -1.0
-
-        while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
-            rule = rule[:-1]
-        hit = check & _covers(rule, values, len(bad)) if rule else np.zeros(len(bad), bool)
-        p, n = int(bad[hit].sum()), int((~bad[hit]).sum())
-        if not rule or p + n == 0 or p < PRECISION * (p + n):
+        grow, check = left & ~held_back, left & held_back
+        found: list[tuple[int, Rule]] = []
+        for first in _conditions(values, bad, grow)[:SEEDS]:
+            rule = _pruned(_grown((first,), values, bad, grow), values, bad, check)
+            p, n = _hits(rule, values, bad, check)
+            if p >= LEAST_HELD and p >= PRECISION * (p + n):
+                found.append((p, rule))
+        if not found:
             break
-        rules.append(rule)
-        left &= ~_covers(rule, values, len(bad))
+        rules.append(max(found, key=lambda x: x[0])[1])
+        left &= ~_covers(rules[-1], values, len(bad))
     return rules
 
 
+def report(rules: list[Rule], values: dict[str, np.ndarray], bad: np.ndarray) -> list[tuple[str, int, float]]:
+    """Per rule, in order: its text, the documents it is the first to cover, and the share of bad ones among them."""
+    found, left = [], np.ones(len(bad), bool)
+    for rule in rules:
+        p, n = _hits(rule, values, bad, left)
+        found.append((" and ".join(map(str, rule)), p + n, p / max(1, p + n)))
+        left &= ~_covers(rule, values, len(bad))
+    return found
+
+
 def labelled_statistics(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, quality and statistics of at most `rows` labelled documents (by the hash of the id)."""
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     chosen = usable.where("quality = most").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select(F.col("doc_id").alias("labelled_id"), F.col("quality").cast("int").alias("label"))
-    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
+    pair = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("labelled_id"))
     return pair.select("id", "label", statistics(F.col("text")).alias("s"))
 
 
+def training_values(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Ratios, whether bad, and whether held back, of the labelled documents that the base rules keep.
+
+    One row for each labelled id comes to the driver, so at most `rows`; what the base rules reject is left
+    out there and not by a filter in the plan, which Spark would apply to all documents before the join.
+    """
+    sample = labelled_statistics(docs, labels, rows, id_col, text_col)
+    sample = sample.select("id", "label", base_failed(F.col("s")).alias("base_failed"), F.xxhash64(F.lit(1), "id").alias("h"), *[ratio(F.col("s"), name).alias(name) for name in RATIOS])
+    sample = sample.groupBy("id").agg(F.min(F.struct("label", "base_failed", "h", *RATIOS)).alias("r")).select("id", "r.*")
+    got = sample.toPandas().sort_values(["h", "id"], kind="stable")
+    got = got[~got["base_failed"].astype(bool)]
+    return {name: got[name].to_numpy(np.float64) for name in RATIOS}, (got["label"] == 0).to_numpy(bool), (got["h"].to_numpy(np.int64) % 3 == 0)
+
+
 def learn_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> list[Rule]:
     """The decision list for these documents and labels (columns doc_id, quality)."""
-    sample = labelled_statistics(docs, labels, rows, id_col, text_col)
-    sample = sample.where(~base_failed(F.col("s"))).select("id", "label", F.xxhash64(F.lit(1), "id").alias("h"), *[ratio(F.col("s"), name).alias(name) for name in RATIOS])
-    got = sample.toPandas().sort_values(["h", "id", *RATIOS], kind="stable")
-    if got.empty:
-        return []
-    values = {name: got[name].to_numpy(np.float64) for name in RATIOS}
-    return learn(values, (got["label"] == 0).to_numpy(), (got["h"].to_numpy(np.int64) % 3 == 0))
+    values, bad, held_back = training_values(docs, labels, rows, id_col, text_col)
+    return learn(values, bad, held_back) if len(bad) else []
 
 
 def rejected_by(rules: list[Rule], stats: Column) -> Column:
@@ -223,12 +269,11 @@ def rejected_by(rules: list[Rule], stats: Column) -> Column:
 
 def judge(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the statistics, base_failed, rule (first of the list that rejects, 0: none) and kept."""
-    scored = docs.select(F.col(id_col).alias("doc_id"), statistics(F.col(text_col)).alias("s"))
+    scored = docs.select(column(id_col).alias("doc_id"), statistics(column(text_col)).alias("s"))
     judged = scored.select("doc_id", "s.*", base_failed(F.col("s")).alias("base_failed"), rejected_by(rules, F.col("s")).alias("rule"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule], text_col: str = "text") -> DataFrame:
-    """The documents that are kept, with all their columns; one pass, no shuffle."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), statistics(F.col(text_col)).alias("s"))
-    return held.where(~base_failed(F.col("s")) & (rejected_by(rules, F.col("s")) == 0)).select("row.*")
+    """The documents that are kept, with all their columns; one filter on the scan, no shuffle."""
+    return docs.where(let(statistics(column(text_col)), lambda s: ~base_failed(s) & (rejected_by(rules, s) == 0)))

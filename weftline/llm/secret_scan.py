@@ -5,27 +5,31 @@ separator and a value of 6 characters or more), `access` (AKIA and capitals or d
 and `hex` (24 or more). A match that is too short is dropped after it was matched.
 
 The method adds spans of kind `random`: runs of 20 or more of [A-Za-z0-9+/_-] and the `=` that end
-them, with a digit. A run is cut at an `=` with more behind it, so that the value of `NAME=value` is
-tested by itself, and of a run that overlaps base spans the parts between them are tested. Their encoding is inferred (hex in either case, base32, base64 or alphanumeric), and two
-questions are asked in that alphabet:
-
-* could it be random? A chi-squared test of symbol uniformity, a Wald-Wolfowitz runs test of
-  symbols above and below the middle of the alphabet, and Knuth's circular serial correlation; a
-  token that one of them rejects is no secret;
-* could it be language? Under the null that symbols repeat as in words (coincidence rate) and
-  that letters, capitals and digits alternate as seldom as in names (class changes), both give a
-  z-value; their sum gives one p-value. Both null variances shrink with length, so the same look
-  is worth more in a longer token.
-
-The p-values of all candidates of the corpus are held against a false-discovery rate of 1 %
-(Benjamini-Hochberg) within bands of length, so that many short candidates do not decide about
-long ones. The procedure needs only the counts of candidates per band and p-value step, a table of
-fixed size that is summed with a map-side combine; p-values are rounded up to their step.
+them, with a letter and at least two of small letters, capitals and digits. A run is cut at an `=`
+with more behind it, so that the value of `NAME=value` is tested by itself, and of a run that overlaps
+base spans the parts between them are tested. The encoding of a run is the narrowest alphabet that
+holds it. Three tests ask, in that alphabet, whether its symbols could be drawn at random:
+
+* chi-squared test of symbol uniformity, its upper tail by a gamma law with the statistic's mean,
+  variance and skewness (with few symbols per cell it is the law of the number of coincidences);
+* runs test on the changes between classes of characters (small letters, capitals, digits, signs),
+  whose shares the alphabet gives; in hex and base32, where classes are of no use, the
+  Wald-Wolfowitz test of runs in the lower and upper half of the alphabet;
+* Knuth's circular serial correlation of the symbols' values.
+
+Fisher's method combines the three p-values. A small one says that the run is not random: a name,
+words, a path. All runs of the corpus are held against a false-discovery rate of `RATE`
+(Benjamini-Hochberg) within bands of length, so that long names, which are easily told, do not
+lower the bar for short ones. What the procedure rejects is no secret, and at most that share of what
+it rejects is random after all; the runs it does not reject are the spans. It needs only the counts
+of runs per band and p-value step, a table of fixed size that is summed with a map-side combine;
+p-values are rounded up to their step.
 
 Texts are read once; spans and p-value steps are written, and the decision is a filter on them.
 
 Edge cases: a null text counts as empty; positions are code points, end exclusive; rows may repeat
-and ids may be null; an empty table gives an empty result; only id and text are read.
+and ids may be null; an empty table gives an empty result; a very long text is searched whole, in
+its own row; only id and text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -36,6 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.arrays import let, matches
+from weftline.llm.rows import column
 from weftline.staging import stage
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+"""
@@ -45,19 +50,19 @@ ACCESS, HEX, SIGN, LEAST = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}", "[A-Za-z0-9+/_-
 RUN = f"(?<!{SIGN})(?:{SIGN}{{{LEAST},}}+(?:=++(?!{SIGN}))?|(?={SIGN}++=++(?!{SIGN}))(?:{SIGN}|=){{{LEAST},}}+)"
 KINDS = ("assign", "access", "hex", "random")
 
-#: encoding: (symbols, lower half of the alphabet, coincidence rate and class-change rate of tokens that are not random)
+#: encoding: (symbols, lower half of the alphabet where runs are counted on halves, else None)
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 ENCODINGS = {
-    "hex": ("0123456789abcdef", "[0-7]", 0.10, 0.20),
-    "hexcaps": ("0123456789ABCDEF", "[0-7]", 0.10, 0.20),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "[A-P]", 0.065, 0.15),
-    "base64": (BASE64, "[A-Za-f]", 0.065, 0.15),
-    "alnum": (BASE64[:62], "[A-Za-e]", 0.065, 0.15),
+    "hex": ("0123456789abcdef", "[0-7]"),
+    "hexcaps": ("0123456789ABCDEF", "[0-7]"),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "[A-P]"),
+    "small": ("abcdefghijklmnopqrstuvwxyz0123456789", None),
+    "capitals": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", None),
+    "alnum": (BASE64[:62], None),
+    "base64": (BASE64, None),
 }
 BANDS = (20, 24, 32, 48, 96)
 RATE, STEPS_PER_NAT, STEPS = 0.01, 4, 2000
-#: Bounds on |z| of the randomness battery: some 1 random token in 10,000 is lost per test.
-CHI_BOUND, RUNS_BOUND, SERIAL_BOUND = 5.0, 4.0, 4.0
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
@@ -71,28 +76,38 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, _spans(text, ACCESS, "access"), _spans(text, HEX, "hex")))
 
 
+def class_shares(symbols: str) -> list[float]:
+    """The shares of small letters, capitals, digits and signs in an alphabet."""
+    counts = [sum(c.islower() for c in symbols), sum(c.isupper() for c in symbols), sum(c.isdigit() for c in symbols)]
+    return [c / len(symbols) for c in (*counts, len(symbols) - sum(counts))]
+
+
 def _encoding(token: Column) -> Column:
-    """The name of the narrowest alphabet that holds the token, null where it has no digit or one class of letters in words only."""
+    """The name of the narrowest alphabet that holds the token; null for digits alone and for letters of one case alone."""
     body = F.regexp_replace(token, "=+$", "")
     return (
-        F.when(~token.rlike("[0-9]"), F.lit(None))
-        .when(body.rlike("^[0-9a-f]+$") & body.rlike("[a-f]"), "hex")
-        .when(body.rlike("^[0-9A-F]+$") & body.rlike("[A-F]"), "hexcaps")
-        .when(body.rlike("^[A-Z2-7]+$") & body.rlike("[A-Z]"), "base32")
-        .when(body.rlike("^[A-Za-z0-9]+$") & body.rlike("[A-Za-z]"), "alnum")
-        .when(body.rlike("[A-Za-z]"), "base64")
+        F.when(~body.rlike("[A-Za-z]") | ~(body.rlike("[a-z]") & body.rlike("[A-Z]") | body.rlike("[0-9]")), F.lit(None))
+        .when(body.rlike("^[0-9a-f]+$"), "hex")
+        .when(body.rlike("^[0-9A-F]+$"), "hexcaps")
+        .when(body.rlike("^[A-Z2-7]+$"), "base32")
+        .when(body.rlike("^[a-z0-9]+$"), "small")
+        .when(body.rlike("^[A-Z0-9]+$"), "capitals")
+        .when(body.rlike("^[A-Za-z0-9]+$"), "alnum")
+        .otherwise("base64")
     )
 
 
-def _of_encoding(encoding: Column, part: int) -> Column:
+def _of_encoding(encoding: Column, value) -> Column:
+    """`value` of each encoding's (symbols, half)."""
     found = F.lit(None)
-    for name, values in ENCODINGS.items():
-        found = F.when(encoding == name, F.lit(len(values[0]) if part == -1 else values[part])).otherwise(found)
+    for name, parts in ENCODINGS.items():
+        found = F.when(encoding == name, F.lit(value(*parts))).otherwise(found)
     return found
 
 
-def _runs(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"(.)\1*", "r")).cast("double")
+def _changes(text: Column) -> Column:
+    """How often a character differs from the one before it."""
+    return (F.length(F.regexp_replace(text, r"(.)\1*", "r")) - 1).cast("double")
 
 
 def negative_log_tail(z: Column) -> Column:
@@ -102,45 +117,82 @@ def negative_log_tail(z: Column) -> Column:
     return F.when(z < 0.5, 0.0).otherwise(z * z / 2 + math.log(math.sqrt(2 * math.pi)) - F.log(poly))
 
 
+def _two_sided(size: Column) -> Column:
+    """-ln of both tails, of a deviate's absolute value."""
+    return F.greatest(F.lit(0.0), negative_log_tail(size) - math.log(2))
+
+
 def _scored(span: Column, token: Column, encoding: Column) -> Column:
-    """start, end, band, step (of -ln p) and whether the battery lets the token pass as random."""
-    n = F.length(token).cast("double")
-    k = _of_encoding(encoding, -1).cast("double")
+    """start, end, band and step (of -ln p of the battery) of one token. Each `let` keeps what follows from repeating what it binds."""
+    bound = F.struct(token.alias("token"), encoding.alias("encoding"), F.length(token).cast("double").alias("n"), span["start"].alias("start"), span["end"].alias("end"))
+    return let(bound, lambda b: let(_counted(b), lambda c: let(_deviations(b, c), lambda d: let(_surprise(b, d), lambda total: _stepped(b, total)))))
+
+
+def _counted(b: Column) -> Column:
+    """What the tests count in a token, and what its encoding fixes."""
+    token, encoding = b["token"], b["encoding"]
     squares = F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), lambda a, c: a + F.when(c == "", 0.0).otherwise(F.pow((F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("double"), F.lit(2.0))))
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[^A-Za-z0-9]", "-"), "[A-Z]", "U"), "[a-z]", "l"), "[0-9]", "9")
-    low = F.regexp_replace(token, "[^A-Za-e]", "+")
-    for name, (_, half, _, _) in ENCODINGS.items():
-        low = F.when(encoding == name, F.regexp_replace(token, half.replace("[", "[^"), "+")).otherwise(low)
-    halves = F.regexp_replace(low, "[^+]", "0")
-    n1 = (F.length(token) - F.length(F.replace(halves, F.lit("+"), F.lit("")))).cast("double")
-    symbols = _of_encoding(encoding, 0)
-    plain = F.translate(token, "-_", "+/")
-
-    def verdict(x: Column) -> Column:
-        sq, mu = x["sq"], 2 * x["n1"] * (n - x["n1"]) / n + 1
-        chi = (k / n * sq - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-        spread = (mu - 1) * (mu - 2) / (n - 1)
-        runs = F.when(spread <= 0, 99.0).otherwise(F.abs(x["runs"] - mu) / F.sqrt(F.greatest(spread, F.lit(1e-9))))
-        s = x["serial"]
-        down = n * s["xx"] - s["x"] * s["x"]
-        serial = F.when(down <= 0, 99.0).otherwise(F.abs((n * (s["xy"] + s["first"] * s["last"]) - s["x"] * s["x"]) / F.greatest(down, F.lit(1e-9))) * F.sqrt(n))
-        rate = (sq - n) / (n * (n - 1))
-        ic, change = _of_encoding(encoding, 2), _of_encoding(encoding, 3)
-        z_words = (ic - rate) / F.sqrt(0.004 / n + 2 * ic / (n * n))
-        z_names = (x["changes"] - change * (n - 1)) / F.sqrt((n - 1) * change * (1 - change))
-        step = F.least(F.lit(STEPS), F.floor(negative_log_tail((z_words + z_names) / math.sqrt(2)) * STEPS_PER_NAT)).cast("int")
-        band = sum((F.length(token) >= b).cast("int") for b in BANDS[1:])
-        passes = (chi <= CHI_BOUND) & (runs <= RUNS_BOUND) & (serial <= SERIAL_BOUND)
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), band.alias("band"), step.alias("step"), passes.alias("passes"))
-
+    halves = F.lit("")
+    for name, (_, half) in ENCODINGS.items():
+        if half:
+            low = F.regexp_replace(F.regexp_replace(token, half.replace("[", "[^"), "+"), "[^+]", "0")
+            halves = F.when(encoding == name, low).otherwise(halves)
     start = F.struct(F.lit(-1.0).alias("first"), F.lit(0.0).alias("last"), F.lit(0.0).alias("x"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("xy"))
-    indexed = F.transform(F.filter(F.split(plain, ""), lambda c: c != ""), lambda c: F.instr(symbols, c).cast("double"))
+    symbols = _of_encoding(encoding, lambda symbols, half: symbols)
+    indexed = F.transform(F.filter(F.split(F.translate(token, "-_", "+/"), ""), lambda c: c != ""), lambda c: F.instr(symbols, c).cast("double"))
     serial = F.aggregate(
         indexed,
         start,
         lambda a, v: F.struct(F.when(a["first"] < 0, v).otherwise(a["first"]).alias("first"), v.alias("last"), (a["x"] + v).alias("x"), (a["xx"] + v * v).alias("xx"), F.when(a["first"] < 0, 0.0).otherwise(a["xy"] + a["last"] * v).alias("xy")),
     )
-    return let(F.struct(squares.alias("sq"), (_runs(classes) - 1).alias("changes"), _runs(halves).alias("runs"), n1.alias("n1"), serial.alias("serial")), verdict)
+    return F.struct(
+        squares.alias("sq"),
+        _changes(classes).alias("changes"),
+        halves.alias("halves"),
+        serial.alias("serial"),
+        _of_encoding(encoding, lambda symbols, half: float(len(symbols))).alias("k"),
+        _of_encoding(encoding, lambda symbols, half: sum(q**2 for q in class_shares(symbols))).alias("same"),
+        _of_encoding(encoding, lambda symbols, half: sum(q**3 for q in class_shares(symbols))).alias("twice"),
+    )
+
+
+def _deviations(b: Column, c: Column) -> Column:
+    """The three tests as normal deviates; where a test has no spread, its -ln p stands in `sure`."""
+    n, k, s, none = b["n"], c["k"], c["serial"], F.lit(0.0)
+    # symbols: gamma law by mean, variance and skewness; Wilson and Hilferty's cube root makes it normal
+    shape = 4 / (8 / (k - 1) + 2 * k / (n * (n - 1)))
+    z = (k / n * c["sq"] - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    uniform = 3 * F.sqrt(shape) * (F.pow(F.greatest(none, 1 + z / F.sqrt(shape)), F.lit(1 / 3)) - 1 + 1 / (9 * shape))
+    # runs of classes, with the alphabet's own shares
+    by_class = (c["changes"] - (n - 1) * (1 - c["same"])) / F.sqrt((n - 1) * c["same"] * (1 - c["same"]) + 2 * (n - 2) * (c["twice"] - c["same"] * c["same"]) + 1e-9)
+    # runs of halves, given how many symbols are in each
+    n1 = (F.length(b["token"]) - F.length(F.replace(c["halves"], F.lit("+"), F.lit("")))).cast("double")
+    mu = 2 * n1 * (n - n1) / n + 1
+    spread = (mu - 1) * (mu - 2) / (n - 1)
+    by_half = (_changes(c["halves"]) + 1 - mu) / F.sqrt(F.greatest(spread, F.lit(1e-9)))
+    halved = b["encoding"].isin(*[name for name, (_, half) in ENCODINGS.items() if half])
+    one_sided = halved & (spread <= 0)
+    # circular serial correlation: mean -1 / (n - 1), variance n^2 / ((n - 1)^2 (n - 2))
+    down = n * s["xx"] - s["x"] * s["x"]
+    r = (n * (s["xy"] + s["first"] * s["last"]) - s["x"] * s["x"]) / F.greatest(down, F.lit(1e-9))
+    serial = F.when(down <= 0, none).otherwise((r + 1 / (n - 1)) * (n - 1) * F.sqrt(n - 2) / n)
+    sure = F.when(one_sided, (n - 1) * math.log(2)).otherwise(none) + F.when(down <= 0, n).otherwise(none)
+    runs = F.when(one_sided, none).when(halved, by_half).otherwise(by_class)
+    return F.struct(uniform.alias("uniform"), F.abs(runs).alias("runs"), F.abs(serial).alias("serial"), sure.alias("sure"))
+
+
+def _surprise(b: Column, d: Column) -> Column:
+    """-ln of the product of the three p-values."""
+    return negative_log_tail(d["uniform"]) + _two_sided(d["runs"]) + _two_sided(d["serial"]) + d["sure"]
+
+
+def _stepped(b: Column, total: Column) -> Column:
+    """Fisher's combination of three p-values, in steps."""
+    fisher = total - F.log(1 + total + total * total / 2)
+    step = F.least(F.lit(STEPS), F.floor(fisher * STEPS_PER_NAT + 1e-9)).cast("int")
+    band = sum((b["n"] >= least).cast("int") for least in BANDS[1:])
+    return F.struct(b["start"].alias("start"), b["end"].alias("end"), band.alias("band"), step.alias("step"))
 
 
 def _parts(run: Column, base: Column) -> Column:
@@ -163,13 +215,12 @@ def _parts(run: Column, base: Column) -> Column:
 
 def candidates(text: Column, base: Column) -> Column:
     """Scored token runs, or what is left of them beside base spans."""
-    runs = F.filter(matches(text, RUN), lambda m: m["hit"].rlike("[0-9]"))
-    tokens = F.filter(F.flatten(F.transform(runs, lambda m: _parts(m, base))), lambda m: _encoding(m["hit"]).isNotNull())
+    tokens = F.filter(F.flatten(F.transform(matches(text, RUN), lambda m: _parts(m, base))), lambda m: _encoding(m["hit"]).isNotNull())
     return F.transform(tokens, lambda m: _scored(m, F.regexp_replace(m["hit"], "=+$", ""), _encoding(m["hit"])))
 
 
 def thresholds(counts: list[tuple[int, int, int]], rate: float = RATE) -> list[int]:
-    """The smallest accepted step per band from (band, step, candidates): Benjamini-Hochberg on p rounded up to its step."""
+    """The smallest rejected step per band from (band, step, candidates): Benjamini-Hochberg on p rounded up to its step."""
     found = []
     for band in range(len(BANDS)):
         steps = sorted(((s, c) for b, s, c in counts if b == band), reverse=True)
@@ -184,13 +235,13 @@ def thresholds(counts: list[tuple[int, int, int]], rate: float = RATE) -> list[i
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """doc_id, base and spans of each document: arrays of start, rank (of KINDS), end, hit (null for random)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    scan = docs.select(F.col(id_col).alias("doc_id"), let(F.struct(text.alias("t")), lambda x: let(base_spans(x["t"]), lambda base: F.struct(base.alias("base"), candidates(x["t"], base).alias("found")))).alias("r"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    scan = docs.select(column(id_col).alias("doc_id"), let(F.struct(text.alias("t")), lambda x: let(base_spans(x["t"]), lambda base: F.struct(base.alias("base"), candidates(x["t"], base).alias("found")))).alias("r"))
     scanned = stage(scan.select("doc_id", "r.base", "r.found"), "secrets")
     tally = scanned.where(F.size("found") > 0).select(F.explode("found").alias("f")).groupBy("f.band", "f.step").agg(F.count("*").alias("n"))
-    accepted = F.array(*[F.lit(t) for t in thresholds([tuple(r) for r in tally.collect()], rate)])
+    rejected = F.array(*[F.lit(t) for t in thresholds([tuple(r) for r in tally.collect()], rate)])
     random = F.transform(
-        F.filter("found", lambda f: f["passes"] & (f["step"] >= F.element_at(accepted, f["band"] + 1))),
+        F.filter("found", lambda f: f["step"] < F.element_at(rejected, f["band"] + 1)),
         lambda f: F.struct(f["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), f["end"].alias("end"), F.lit(None).cast("string").alias("hit")),
     )
     return scanned.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.rows import column
+
 TABLE_ROWS, LONGEST_KEPT = 300_000, 96
 MARK = "▁"
 #: A run of spaces and the characters up to the next one.
@@ -110,7 +112,7 @@ def _whole(rows: list[tuple[int, str, str]]) -> tuple[list[int], str]:
 
 
 def _run(docs: DataFrame, model: bytes, id_col: str, text_col: str, of_rows, names: list[str], types: list[pa.DataType], schema: str) -> DataFrame:
-    pair = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    pair = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     return pair.mapInArrow(_per_batch(model, of_rows, names, types), f"doc_id long, {schema}")
 
 

@@ -15,8 +15,9 @@ cells by a hash of (id, text hash); the rows of earlier cells plus the rank in t
 give a gapless slot from 0. No task ranks a whole shard.
 
 Edge cases: a null text counts as empty; null ids sort first. Rows that repeat id and text cannot
-be told apart, so a boundary never runs between them. An empty table gives an empty result. Only
-id and text are read.
+be told apart, so a boundary never runs between them. An empty table gives an empty result. A very
+long text is one row: a shard can exceed its share by that one text. Other columns are carried in
+one struct or not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.llm.rows import ROW, column, free_name, packed
 from weftline.staging import stage
 
 SHARDS, TOLERANCE, STEP_BITS = 24, 0.001, 12
-ROWS_PER_CELL = 2048
+ROWS_PER_CELL, BYTES_PER_CELL = 2048, 1 << 27
 SIGN = 1 << 63
 
 
@@ -66,20 +68,16 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= SIGN else value
 
 
+def _key(id_: Column, text: Column) -> tuple[Column, Column]:
+    flip = F.lit(-SIGN)
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseXOR(flip).alias("h"), F.coalesce(id_.cast("long"), flip).bitwiseXOR(flip).alias("d")
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, crc, h and d (hash and id, shifted so that unsigned order is their order); the only pass over the texts."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    flip = F.lit(-SIGN)
-    return stage(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            (F.octet_length(text) + 8).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("crc"),
-            F.xxhash64(text).bitwiseXOR(flip).alias("h"),
-            F.coalesce(F.col(id_col).cast("long"), flip).bitwiseXOR(flip).alias("d"),
-        ),
-        "keyed",
-    )
+    text = F.coalesce(column(text_col), F.lit(""))
+    size, crc = (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc")
+    return stage(docs.select(column(id_col).cast("long").alias("doc_id"), size, crc, *_key(column(id_col), text)), "keyed")
 
 
 def splitters(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -142,11 +140,15 @@ def shard_of(bounds: list[tuple[int, int]]) -> Column:
     return found.cast("int")
 
 
+def _celled(rows: DataFrame, shards: int, tolerance: float, rows_per_cell: int) -> tuple[DataFrame, int]:
+    """Adds shard and cell to columns h and d, and how many cells a shard has."""
+    cells = max(1, rows.count() // (shards * rows_per_cell))
+    return rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance))).withColumn("cell", F.pmod(F.xxhash64("d", "h"), F.lit(cells)).cast("int")), cells
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, crc, shard, slot: one row per document."""
-    rows = keyed(docs, id_col, text_col)
-    cells = max(1, rows.count() // (shards * ROWS_PER_CELL))
-    placed = rows.withColumn("shard", shard_of(splitters(rows, shards, tolerance))).withColumn("cell", F.pmod(F.xxhash64("d", "h"), F.lit(cells)))
+    placed, _ = _celled(keyed(docs, id_col, text_col), shards, tolerance, ROWS_PER_CELL)
     counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("shard").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("shard", "cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
@@ -155,10 +157,16 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLE
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of `docs` and __shard, exchanged once: rows of a shard are in one run of partitions, sorted by key."""
-    bounds = splitters(keyed(docs, id_col, text_col), shards, tolerance)
-    flip, text = F.lit(-SIGN), F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.withColumn("h", F.xxhash64(text).bitwiseXOR(flip)).withColumn("d", F.coalesce(F.col(id_col).cast("long"), flip).bitwiseXOR(flip))
-    placed = own.withColumn("__shard", shard_of(bounds)).withColumn("__key", F.col("h").bitwiseXOR(flip))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return placed.repartitionByRange("__shard", "__key", F.col(id_col)).sortWithinPartitions("__shard", "__key", F.col(id_col)).select(*columns, "__shard")
+    """All columns of `docs` and their shard, exchanged once.
+
+    The new column is called `shard`, with underscores in front while that name is taken. With the
+    splitters known, each row computes its partition: a shard is a run of partitions (its cells, of
+    some 128 MB of text each), and no sample of the texts is taken to find them.
+    """
+    rows = keyed(docs, id_col, text_col)
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    bounds, cells = splitters(rows, shards, tolerance), max(1, -(-total // (shards * BYTES_PER_CELL)))
+    held = docs.select(packed(docs), *_key(column(id_col), column(text_col))).withColumn("shard", shard_of(bounds))
+    cell = F.pmod(F.xxhash64("d", "h"), F.lit(cells)).cast("int")
+    dealt = held.repartitionById(shards * cells, F.col("shard") * cells + cell).sortWithinPartitions("shard", "h", "d")
+    return dealt.select(f"{ROW}.*", F.col("shard").alias(free_name(docs, "shard")))

@@ -21,11 +21,13 @@ far smaller buckets) beyond that. The choice changes the cost and not the result
 argument holds for each m.
 
 Components: large-star and small-star rounds over the links, each round a written table, until
-nothing changes. Nothing is gathered in one task or the driver.
+nothing changes. Nodes with very many links, and fingerprints with very many copies, are split off
+and joined by a broadcast of bounded size; nothing is gathered in one task or the driver.
 
 Edge cases: rows may repeat and ids may be null (a null id is never the smallest id of a
-component that has another); an empty table gives an empty result; only id and text are read, so
-other columns cannot clash.
+component that has another); an empty table gives an empty result. A very long text is read whole
+by its task, its hashes in blocks. Other columns are carried in one struct or not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -39,13 +41,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.staging import stage
+from weftline.llm.rows import column, packed, unpacked
+from weftline.staging import discard, stage
 
 SHINGLE_WORDS, MAX_BITS, SEED = 4, 4, 42
 #: From so many distinct fingerprints, 100 N entries are cheaper than 48 N that meet N / 2^21 others each.
 TWO_SEGMENTS_FROM = 1 << 23
 #: Hashes whose bits are unpacked at once; bounds the memory a very long text takes.
 BLOCK = 1 << 15
+#: A key with more than 1 / HUBS of all rows is joined by broadcast, so at most this many rows are.
+HUBS = 1024
 
 
 def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
@@ -72,14 +77,20 @@ def _fingerprint_batches(words: int):
         for batch in batches:
             texts = batch.column(1).cast(pa.large_binary()).to_pylist()
             found = np.fromiter((fingerprint(x or b"", words) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64))], ["doc_id", "text_hash", "fp"])
 
     return run
 
 
+def text_hash(text: Column) -> Column:
+    """Tells rows that share an id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long), one row per document."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_fingerprint_batches(words), "doc_id long, fp long")
+    """doc_id, text_hash, fp (the fingerprint's bits as a signed long), one row per document."""
+    read = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"), text_hash(column(text_col)).alias("text_hash"))
+    return read.mapInArrow(_fingerprint_batches(words), "doc_id long, text_hash long, fp long")
 
 
 def segments(distinct: int, max_bits: int = MAX_BITS) -> list[tuple[int, int, int]]:
@@ -125,21 +136,36 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, parts: list[tuple[int,
     return asked.alias("a").join(held.alias("h"), (at == F.col("h.seg")) & (F.col("a.val") == F.col("h.val")) & verified).select("u", "v")
 
 
+def least_neighbours(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The (u, v) links with m, the least v of their u, and the staged (u, m, n) they were joined with.
+
+    A node with more than 1 / HUBS of all links is a hub; there are fewer than HUBS of them, so they are
+    broadcast and their links stay where they are. All other links meet their u by a shuffle.
+    """
+    low = stage(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+    hub = F.col("n") > F.lit((edges.count()) / HUBS)
+    hubs = F.broadcast(low.where(hub).select("u", "m"))
+    rest = edges.join(hubs.select("u"), "u", "left_anti").join(low.where(~hub).select("u", "m"), "u")
+    return edges.join(hubs, "u").unionByName(rest), low
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for each node of the (u, v) links; root is the smallest node of the component.
 
     Large-star then small-star per round (after Kiveris et al., 2014): the number of rounds grows
-    with the logarithm of a component's size.
+    with the logarithm of a component's size. A round's tables are deleted when the next one stands.
     """
     edges = stage(edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct(), "edges")
     before = None
     while True:
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        edges = stage(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        both = stage(edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
+        met, low = least_neighbours(both)
+        large = stage(met.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct(), "large")
+        met, low_small = least_neighbours(large)
+        small = met.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        older, edges = edges, stage(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        for done in (older, both, low, large, low_small):
+            discard(done)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -147,20 +173,32 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fp, component_id (the smallest id in the document's component), one row per document."""
+    """One row per document: doc_id, text_hash, fp, component_id (the smallest id in the document's component), kept.
+
+    The row with the smallest id of a component is kept; a row without id only where the component has no id.
+    """
     rows = stage(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    distinct = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
-    pairs = stage(links(distinct.select("fp"), max_bits), "links")
-    linked = components(pairs).withColumnRenamed("node", "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_hash")).alias("first")
+    distinct = stage(rows.groupBy("fp").agg(first, F.count("*").alias("n")), "distinct")
+    linked = components(stage(links(distinct.select("fp"), max_bits), "links")).withColumnRenamed("node", "fp")
     member = stage(linked.join(distinct, "fp"), "members")
-    smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = member.join(smallest, "root").select("fp", "component_id")
-    named = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    of = member.join(member.groupBy("root").agg(F.min("first").alias("keeper")), "root").select("fp", "keeper")
+    named = stage(distinct.join(of, "fp", "left").select("fp", "n", F.coalesce("keeper", "first").alias("keeper")), "named")
+    hot = F.col("n") > F.lit(rows.count() / HUBS)  # fingerprints of very many copies: fewer than HUBS, broadcast
+    hubs = F.broadcast(named.where(hot).drop("n"))
+    decided = rows.join(hubs, "fp").unionByName(rows.join(hubs.select("fp"), "fp", "left_anti").join(named.where(~hot).drop("n"), "fp"))
+    kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_hash") == F.col("keeper.text_hash"))
+    return decided.select("doc_id", "text_hash", "fp", F.col("keeper.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
-    """Of each component the document with the smallest id stays, with all its columns. Null ids stay."""
+    """Of each component one document stays (see `near_duplicates`), with all its columns.
+
+    A row is known by its id and the hash of its text, so rows without id or with a common id are
+    decided one by one; rows that repeat both stay or go together.
+    """
     found = near_duplicates(docs, id_col, text_col, words, max_bits)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct().hint("merge")  # grows with the input: never broadcast
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("gone_id"), "left_anti")
+    gone = found.where(~F.col("kept")).select("doc_id", "text_hash").distinct().hint("merge").alias("gone")  # grows with the input: never broadcast
+    held = docs.select(packed(docs), column(id_col).cast("long").alias("doc_id"), text_hash(column(text_col)).alias("text_hash")).alias("held")
+    same = F.col("held.doc_id").eqNullSafe(F.col("gone.doc_id")) & (F.col("held.text_hash") == F.col("gone.text_hash"))
+    return unpacked(held.join(gone, same, "left_anti"))
