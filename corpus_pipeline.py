@@ -11,6 +11,13 @@ tasks in one stage only. All stages but the last keep the columns of `documents`
 5. sentencepiece: doc_id, n_tokens and the digests of the ids and of the decoded text, one
    row per mixed document.
 
+Edge cases, as the stages define them: a null or empty text has no words, so the base rules of the
+first stage reject it. Very long texts are read whole by their task in each stage and stay one
+document. Rows that repeat an id with different texts are decided one by one; rows that repeat both
+are reduced to one by the second stage. Rows may lack ids and sources (no source is a source of its
+own). Of ties the smallest id stays. An empty table passes as an empty table. Extra columns pass
+through the first four stages unchanged, whatever their names.
+
 The last stage has no SQL form, so neither has the whole; tests hold it against plain Python.
 """
 
