@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.staging import stage
+from weftline.staging import discard, stage
 
 
 def neighbours(edges: DataFrame, node: int, kinds: Iterable[str] | None = None) -> DataFrame:
@@ -45,6 +45,13 @@ def flows(edges: DataFrame, entries: DataFrame, walk: Iterable[str], terminal: I
     return out.select("entry", "target", "access", F.size("path").alias("length"), "path")
 
 
+def dead_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, reason): nodes without a way out, and nodes that nothing leads to."""
+    out, into = edges.select(F.col("from_id").alias("node")).distinct(), edges.select(F.col("to_id").alias("node")).distinct()
+    stuck = nodes.select("node").join(out, "node", "left_anti").select("node", F.lit("dead end").alias("reason"))
+    return stuck.unionAll(nodes.select("node").join(into, "node", "left_anti").select("node", F.lit("orphan").alias("reason")))
+
+
 def simple_paths(edges: DataFrame, starts: DataFrame, most_depth: int = 10) -> DataFrame:
     """(path, node): all paths without repeats of up to `most_depth` steps that cannot go on, or ended at the bound."""
     path = starts.select(F.array("node").alias("path"), "node")
@@ -71,52 +78,99 @@ def canonical(nodes: DataFrame, same_as: DataFrame) -> DataFrame:
     return nodes.join(target, F.col("node") == F.col("from_id"), "left").select("node", F.coalesce("__c", "node").alias("canonical"))
 
 
-def closure(parents: DataFrame, roots: DataFrame, most_depth: int = 100) -> DataFrame:
-    """(root, node, depth) of all descendants; safe on cycles: a node is visited once per root."""
-    reached = stage(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), "closure")
-    frontier, parts = reached, [reached]
-    seen = reached.select("root", "node")
-    for depth in range(1, most_depth + 1):
-        step = frontier.join(parents.select(F.col("parent").alias("__p"), F.col("child")), F.col("node") == F.col("__p")).select("root", F.col("child").alias("node")).distinct()
-        frontier = stage(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-        seen = seen.unionAll(frontier.select("root", "node"))
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionAll(more)
-    return out
-
+def closure(parents: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, node, depth) of all descendants at any depth; safe on cycles: a node is visited once per root."""
+    up = parents.select(F.col("parent").alias("of"), F.col("child").alias("under"))
+    seen = stage(roots.select(F.col("node").alias("root"), "node", F.lit(0).alias("depth")), "closure")
+    frontier, depth = seen, 0
+    while not frontier.isEmpty():
+        depth += 1
+        step = frontier.join(up, F.col("node") == F.col("of")).select("root", F.col("under").alias("node")).distinct()
+        reached, frontier = frontier, stage(step.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        older, seen = seen, stage(seen.unionByName(frontier), "closure")
+        discard(older)
+        if reached is not older:
+            discard(reached)
+    return seen
 
-def nearest_ancestor(parents: DataFrame, kinds: DataFrame, wanted: str, most_depth: int = 20) -> DataFrame:
-    """(node, ancestor): the nearest ancestor of a kind; nodes that are of the kind name themselves."""
-    up = parents.select(F.col("child").alias("__c"), F.col("parent").alias("__p"))
-    kind = kinds.select(F.col("node").alias("__n"), F.col("kind").alias("__k"))
-    at = kinds.select("node", F.col("node").alias("at"), F.col("kind").alias("k"))
-    found = at.where(F.col("k") == wanted).select("node", F.col("at").alias("ancestor"))
-    left = at.where(F.col("k") != wanted)
-    for _ in range(most_depth):
-        left = left.join(up, F.col("at") == F.col("__c")).join(kind, F.col("__p") == F.col("__n")).select("node", F.col("__p").alias("at"), F.col("__k").alias("k"))
-        left = stage(left, "ancestors")
-        if left.isEmpty():
-            break
-        found = found.unionAll(left.where(F.col("k") == wanted).select("node", F.col("at").alias("ancestor")))
-        left = left.where(F.col("k") != wanted)
-    return found
 
+def nearest_ancestor(parents: DataFrame, kinds: DataFrame, wanted: str) -> DataFrame:
+    """(node, ancestor): the nearest ancestors of a kind, at any height; nodes that are of the kind name themselves.
 
-def longest_ranks(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, rank): length of the longest path that ends there, for acyclic edges; rounds end when no rank grows."""
+    Safe on cycles: a node climbs through each ancestor once.
+    """
+    up = parents.select(F.col("child").alias("of"), F.col("parent").alias("above"))
+    kind = kinds.select(F.col("node").alias("named"), F.col("kind").alias("k"))
+    at = stage(kinds.select("node", F.col("node").alias("at"), F.col("kind").alias("k")), "ancestors")
+    seen, found = at.select("node", "at"), at.where(F.col("k") == wanted).select("node", F.col("at").alias("ancestor"))
+    while True:
+        step = at.where(F.col("k") != wanted).join(up, F.col("at") == F.col("of")).select("node", F.col("above").alias("at")).distinct()
+        at = stage(step.join(seen, ["node", "at"], "left_anti").join(kind, F.col("at") == F.col("named")).select("node", "at", "k"), "ancestors")
+        if at.isEmpty():
+            return found
+        found = found.unionAll(at.where(F.col("k") == wanted).select("node", F.col("at").alias("ancestor")))
+        seen = stage(seen.unionAll(at.select("node", "at")), "climbed")
+
+
+def back_edges(edges: DataFrame) -> DataFrame:
+    """(from_id, to_id) of the edges that close a cycle: those inside a strongly connected part that do not lead to a larger id.
+
+    Without them every edge inside such a part climbs in id and those between parts have no way
+    back, so no cycle is left. Two nodes are in one part when each reaches the other; labels are the
+    largest id that reaches a node and that it reaches, and parts whose labels agree are set aside,
+    round by round, until no edge is undecided.
+    """
+    left = stage(edges.select("from_id", "to_id").distinct(), "undecided")
+    back = left.where("from_id >= to_id AND from_id = to_id")
+    left = stage(left.where("from_id <> to_id"), "undecided")
+    while not left.isEmpty():
+        down, up = _largest_reaching(left, "from_id", "to_id"), _largest_reaching(left, "to_id", "from_id")
+        both = stage(down.join(up.withColumnRenamed("label", "up"), "node").select("node", "label", (F.col("label") == F.col("up")).alias("done")), "labels")
+        a, b = both.select(F.col("node").alias("from_id"), F.col("label").alias("la"), F.col("done").alias("da")), both.select(F.col("node").alias("to_id"), F.col("label").alias("lb"), F.col("done").alias("db"))
+        judged = stage(left.join(a, "from_id").join(b, "to_id"), "judged")
+        back = back.unionAll(judged.where("da AND db AND la = lb AND from_id > to_id").select("from_id", "to_id"))
+        left = stage(judged.where("la = lb AND NOT da AND NOT db").select("from_id", "to_id"), "undecided")
+    return back
+
+
+def _largest_reaching(edges: DataFrame, source: str, target: str) -> DataFrame:
+    """(node, label): the largest id from which a node is reached along the edges, itself included."""
+    nodes = edges.select(F.col(source).alias("node")).union(edges.select(target)).distinct()
+    labels = stage(nodes.withColumn("label", F.col("node")), "labels")
+    before = None
+    while True:
+        pushed = edges.join(labels, F.col(source) == F.col("node")).groupBy(F.col(target).alias("node")).agg(F.max("label").alias("pushed"))
+        older, labels = labels, stage(labels.join(pushed, "node", "left").select("node", F.greatest("label", "pushed").alias("label")), "labels")
+        discard(older)
+        state = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if state == before:
+            return labels
+        before = state
+
+
+def longest_ranks(edges: DataFrame) -> DataFrame:
+    """(node, rank): length of the longest path that ends there, for acyclic edges (see `back_edges`); rounds end when no rank grows."""
     nodes = edges.select(F.col("from_id").alias("node")).union(edges.select("to_id")).distinct()
     ranks = stage(nodes.withColumn("rank", F.lit(0)), "ranks")
-    for _ in range(most_rounds):
-        pushed = edges.join(ranks, F.col("from_id") == F.col("node")).groupBy(F.col("to_id").alias("node")).agg((F.max("rank") + 1).alias("__r"))
-        grown = stage(ranks.join(pushed, "node", "left").select("node", F.greatest("rank", F.coalesce("__r", F.lit(0))).alias("rank")), "ranks")
-        if grown.agg(F.sum("rank")).first()[0] == ranks.agg(F.sum("rank")).first()[0]:
-            return grown
-        ranks = grown
-    raise ValueError("the edges have a cycle, or a path longer than most_rounds")
+    most, before, rounds = ranks.count(), 0, 0
+    while True:
+        pushed = edges.join(ranks, F.col("from_id") == F.col("node")).groupBy(F.col("to_id").alias("node")).agg((F.max("rank") + 1).alias("pushed"))
+        older, ranks = ranks, stage(ranks.join(pushed, "node", "left").select("node", F.greatest("rank", F.coalesce("pushed", F.lit(0))).alias("rank")), "ranks")
+        discard(older)
+        now, rounds = ranks.agg(F.sum("rank")).first()[0] or 0, rounds + 1
+        if now == before:
+            return ranks
+        if rounds > most:  # no path of an acyclic graph is longer than its nodes are many
+            raise ValueError("the edges have a cycle")
+        before = now
+
+
+def ranks_without_cycles(edges: DataFrame) -> DataFrame:
+    """(node, rank) after the edges that close a cycle are left out; every node of the edges has a row."""
+    plain = stage(edges.select("from_id", "to_id").distinct(), "ranked")
+    forward = stage(plain.join(back_edges(plain), ["from_id", "to_id"], "left_anti"), "forward")
+    nodes = plain.select(F.col("from_id").alias("node")).union(plain.select("to_id")).distinct()
+    return nodes.join(longest_ranks(forward), "node", "left").select("node", F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
 def lifted(edges: DataFrame, owner: DataFrame) -> DataFrame:

@@ -90,27 +90,66 @@ def _window_hashes(size: int) -> Column:
 
 
 def contained_passages(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, quote: str, text: str, anchor_words: int = 5) -> DataFrame:
-    """(quote_id, doc_id) where the squeezed quote occurs in the squeezed text.
+    """(quote_id, doc_id) where the squeezed quote occurs in the squeezed text, as a string.
 
-    Word windows of `anchor_words` are hashed; a quote meets only the documents that hold its
-    first window, and the full text decides. Quotes of fewer words anchor with all they have.
+    A quote's first and last word may be parts of longer words of the text, those between are whole.
+    Quotes of three words or more meet the documents that hold their inner words (at most
+    `anchor_words` - 2) as a hashed window. Of two words, they meet the distinct word pairs whose
+    letters around the blank are theirs; of one word, the distinct words that hold its first letters;
+    and by these the documents. The full text decides. Quotes and texts without a word have no row.
     """
-    q = quotes.select(quote_id, squeezed(F.col(quote)).alias("q")).withColumn("w", F.split("q", " "))
-    q = q.withColumn("k", F.least(F.lit(anchor_words), F.size("w"))).where(F.length("q") > 0)
-    anchors = q.select(quote_id, "q", "k", F.expr("xxhash64(array_join(slice(w, 2, greatest(k - 2, 1)), ' '))").alias("h"), (F.greatest(F.col("k") - 2, F.lit(1))).alias("size"))
-    sizes = [r["size"] for r in anchors.select("size").distinct().collect()]  # at most anchor_words numbers
-    d = docs.select(doc_id, squeezed(F.col(text)).alias("t")).withColumn("w", F.split("t", " "))
-    if not sizes:
-        return anchors.select(quote_id).join(d.select(doc_id)).limit(0)
-    windows = reduce(DataFrame.unionAll, [d.where(F.size("w") >= s).select(doc_id, F.explode(_window_hashes(s)).alias("h"), F.lit(s).alias("size")) for s in sizes])
-    met = windows.join(anchors.select(quote_id, "h", "size"), ["h", "size"]).select(quote_id, doc_id).distinct()
-    return met.join(anchors.select(quote_id, "q"), quote_id).join(d.select(doc_id, "t"), doc_id).where(F.contains("t", "q")).select(quote_id, doc_id)
-
-
-def drift_pairs(cells: DataFrame, owner: str, name: str, value: str, least: int = 3, share: float = 0.5) -> DataFrame:
-    """Pairs of owners that hold at least `least` names with different values, and those are at least `share` of the common names."""
-    a, b = cells.select(F.col(owner).alias("a"), name, F.col(value).alias("va")), cells.select(F.col(owner).alias("b"), name, F.col(value).alias("vb"))
-    met = a.join(b, name).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"), F.count_if(F.col("va") != F.col("vb")).alias("differ"))
+    q = quotes.select(F.col(quote_id).alias("quote_id"), squeezed(F.col(quote)).alias("q")).where("q <> ''").withColumn("w", F.split("q", " "))
+    d = docs.select(F.col(doc_id).alias("doc_id"), squeezed(F.col(text)).alias("t")).where("t <> ''").withColumn("w", F.split("t", " "))
+    inner = F.least(F.lit(anchor_words), F.size("w")) - 2
+    long = q.where(F.size("w") > 2).select("quote_id", F.xxhash64(F.array_join(F.slice("w", F.lit(2), inner), " ")).alias("h"), inner.alias("size"))
+    by_window = reduce(DataFrame.unionAll, [d.where(F.size("w") >= n).select("doc_id", F.explode(_window_hashes(n)).alias("h"), F.lit(n).alias("size")) for n in range(1, anchor_words - 1)])
+    met = by_window.join(long, ["h", "size"]).select("quote_id", "doc_id")
+
+    pairs = d.where(F.size("w") > 1).select("doc_id", F.explode(F.array_distinct(F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.concat_ws(" ", x, F.get("w", i + 1))))).alias("unit"))
+    words = d.select("doc_id", F.explode(F.array_distinct("w")).alias("unit"))
+    seam = lambda a, b, m, n: F.concat(F.right(a, F.least(m, F.length(a))), F.lit(" "), F.left(b, F.least(n, F.length(b))))
+    first, last, two = F.split_part("unit", F.lit(" "), F.lit(1)), F.split_part("unit", F.lit(" "), F.lit(2)), F.lit(2)
+    at_seam = F.array_distinct(F.array(*[seam(first, last, F.lit(m), F.lit(n)) for m in (1, 2) for n in (1, 2)]))
+    begins = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(4), F.length("unit"))), lambda n: F.transform(F.sequence(F.lit(1), F.length("unit") - n + 1), lambda i: F.substring("unit", i, n))))
+    short = q.where(F.size("w") == 2).select("quote_id", "q", seam(F.get("w", 0), F.get("w", 1), two, two).alias("anchor"))
+    single = q.where(F.size("w") == 1).select("quote_id", "q", F.left("q", F.least(F.lit(4), F.length("q"))).alias("anchor"))
+    for asked, units, anchors in ((short, pairs, at_seam), (single, words, F.array_distinct(begins))):
+        spelled = units.select("unit").distinct().select("unit", F.explode(anchors).alias("anchor"))
+        holding = asked.join(spelled, "anchor").where(F.contains("unit", "q")).select("quote_id", "unit").distinct()
+        met = met.unionAll(holding.join(units, "unit").select("quote_id", "doc_id"))
+    sure = met.distinct().join(q.select("quote_id", "q"), "quote_id").join(d.select("doc_id", "t"), "doc_id").where(F.contains("t", "q"))
+    return sure.select(F.col("quote_id").alias(quote_id), F.col("doc_id").alias(doc_id)).distinct()
+
+
+def contained_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(held, holder): texts whose lines stand as one run inside another, different text.
+
+    Equal texts are one class, named by their smallest id. A text meets only those that hold its
+    longest line; the joined lines decide. Texts without a written line are held by none.
+    """
+    classes = docs.groupBy(F.col(text).alias("t")).agg(F.min(key).alias("id")).where("trim(t) <> ''")
+    lines = F.split("t", "\n")
+    longest = F.array_max(F.transform(lines, lambda x: F.struct(F.length(x), x.alias("line"))))["line"]
+    asked = classes.select(F.col("id").alias("held"), F.col("t").alias("part"), F.xxhash64(longest).alias("h"))
+    index = classes.select(F.col("id").alias("holder"), F.explode(F.array_distinct(F.transform(lines, lambda x: F.xxhash64(x)))).alias("h"))
+    met = asked.select("held", "h").join(index, "h").where("held <> holder").select("held", "holder").distinct()
+    both = met.join(asked.select("held", "part"), "held").join(classes.select(F.col("id").alias("holder"), F.col("t").alias("whole")), "holder")
+    edged = lambda x: F.concat(F.lit("\n"), x, F.lit("\n"))
+    return both.where(F.contains(edged(F.col("whole")), edged(F.col("part")))).select("held", "holder")
+
+
+def drift_pairs(cells: DataFrame, owner: str, name: str, value: str, least: int = 3, share: float = 0.5, blocks: int = 16) -> DataFrame:
+    """Pairs of owners that hold at least `least` names with different values, and those are at least `share` of the common names.
+
+    Owners with fewer than `least` names are in no pair. Owners are dealt to `blocks` blocks, and the
+    pairs of a name are made per pair of blocks, so a name that many owners hold is spread over
+    blocks^2 keys; the price is that each cell is written `blocks` times. Pairs are summed on the map side.
+    """
+    held = cells.select(F.col(owner).alias("o"), F.col(name).alias("n"), F.col(value).alias("v"), F.pmod(F.xxhash64(owner), F.lit(blocks)).cast("int").alias("k"))
+    rich = held.join(held.groupBy("o").agg(F.count("*").alias("c")).where(F.col("c") >= least), "o")
+    a = rich.select(F.col("o").alias("a"), "n", F.col("v").alias("va"), F.col("k").alias("ka"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("kb"))
+    b = rich.select(F.col("o").alias("b"), "n", F.col("v").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("ka"), F.col("k").alias("kb"))
+    met = a.join(b, ["n", "ka", "kb"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"), F.count_if(F.col("va") != F.col("vb")).alias("differ"))
     return met.where((F.col("differ") >= least) & (F.col("differ") >= share * F.col("common")))
 
 

@@ -10,20 +10,29 @@ from weftline.functions.text import ratio, ratio_bound
 from weftline.operators.lines import carried_down, folded, squeezed
 
 
-def fuzzy_lines(left: DataFrame, right: DataFrame, left_id: str, right_id: str, line: str, least: float = 0.8) -> DataFrame:
-    """Pairs of lines with the same digits and the same first letters that are alike by the exact ratio.
+def fuzzy_lines(left: DataFrame, right: DataFrame, left_id: str, right_id: str, line: str, least: float = 0.8, blocks: int = 16) -> DataFrame:
+    """Pairs of lines with the same digits that are alike by the exact ratio, no pair left out.
 
-    Lines meet by equality of (digits, first two characters); the length bound comes before the
-    exact ratio, and equal lines are compared once.
+    Distinct lines meet by equality of their digits; the right side is dealt to `blocks` blocks and the
+    left side repeated in each, so lines without digits are spread. Two bounds come before the exact
+    ratio: that of the lengths, and the characters that only one line has, none of which can match.
     """
     def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
         body = squeezed(F.col(line))
-        return df.select(key, body.alias(name), F.regexp_replace(body, "[^0-9]+", " ").alias("digits"), F.lower(F.substring(body, 1, 2)).alias("head")).where(F.length(name) > 0)
+        return df.select(F.col(key).alias(f"{name}_id"), body.alias(name)).where(F.length(name) > 0)
+
+    def measured(df: DataFrame, name: str) -> DataFrame:
+        seen = F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a.bitwiseOR(F.element_at(F.array(*[F.lit(1 << k) for k in range(63)]).cast("array<long>"), F.pmod(F.ascii(c), F.lit(63)) + 1))))
+        return df.select(name).distinct().select(name, F.regexp_replace(name, "[^0-9]+", " ").alias("digits"), F.length(name).alias(f"{name}_n"), seen.alias(f"{name}_set"))
 
     a, b = keyed(left, left_id, "x"), keyed(right, right_id, "y")
-    texts = a.select("x", "digits", "head").distinct().join(b.select("y", "digits", "head").distinct(), ["digits", "head"]).where(ratio_bound(F.col("x"), F.col("y")) >= least)
+    asked = measured(a, "x").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    held = measured(b, "y").withColumn("block", F.pmod(F.xxhash64("y"), F.lit(blocks)).cast("int"))
+    total = F.col("x_n") + F.col("y_n")
+    alone = F.bit_count(F.col("x_set").bitwiseXOR(F.col("y_set")))
+    texts = asked.join(held, ["digits", "block"]).where((2 * F.least("x_n", "y_n") >= least * total) & (total - alone >= least * total) & (ratio_bound(F.col("x"), F.col("y")) >= least))
     alike = texts.select("x", "y", F.when(F.col("x") == F.col("y"), 1.0).otherwise(ratio("x", "y")).alias("ratio")).where(F.col("ratio") >= least)
-    return a.select(left_id, "x").join(alike, "x").join(b.select(right_id, "y"), "y").select(left_id, right_id, "ratio")
+    return a.join(alike, "x").join(b, "y").select(F.col("x_id").alias(left_id), F.col("y_id").alias(right_id), "ratio")
 
 
 def positioned(source: DataFrame, reading: DataFrame, n: str = "n", line: str = "line", widest: int = 12) -> DataFrame:
@@ -45,14 +54,18 @@ def positioned(source: DataFrame, reading: DataFrame, n: str = "n", line: str =
 
 
 def piece_holders(pieces: DataFrame, lines: DataFrame, piece: str, line_id: str, line: str, gram: int = 8) -> DataFrame:
-    """(piece, line_id) of lines that hold a piece of `gram` characters or more: an index of character windows, then the exact test."""
-
-    def windows(text: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(text) - gram + 1), lambda i: F.substring(text, i, F.lit(gram)))
+    """(piece, line_id) of lines that hold a piece of `gram` characters or more.
 
-    index = lines.where(F.length(line) >= gram).select(line_id, line, F.explode(F.array_distinct(windows(F.col(line)))).alias("g"))
-    asked = pieces.where(F.length(piece) >= gram).select(piece, F.substring(piece, 1, gram).alias("g"))
-    return asked.join(index, "g").where(F.contains(line, piece)).select(piece, line_id).distinct()
+    The index is over distinct lines and holds (line hash, hash of a character window) only for windows
+    that a piece asks for; the line itself is fetched for the pairs that meet, and decides.
+    """
+    body = lines.select(F.col(line_id).alias("id"), F.col(line).alias("body")).where(F.length("body") >= gram)
+    hashes = F.transform(F.sequence(F.lit(1), F.length("body") - gram + 1), lambda i: F.xxhash64(F.substring("body", i, F.lit(gram))))
+    distinct = body.groupBy("body").agg(F.lit(0).alias("one")).select("body", F.xxhash64("body").alias("h"))
+    asked = pieces.select(F.col(piece).alias("piece")).where(F.length("piece") >= gram).distinct().select("piece", F.xxhash64(F.substring("piece", 1, gram)).alias("g"))
+    index = distinct.select("h", F.explode(F.array_distinct(hashes)).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
+    met = asked.join(index, "g").select("piece", "h").distinct().join(distinct, "h").where(F.contains("body", "piece"))
+    return met.select("piece", "body").join(body, "body").select(F.col("piece").alias(piece), F.col("id").alias(line_id)).distinct()
 
 
 def collapsed_doubles(lines: DataFrame, fragments: DataFrame, key: str = "doc_id", least: int = 6) -> DataFrame:
@@ -88,9 +101,9 @@ def checked_facts(facts: DataFrame, lines: DataFrame, bucket: int = 1) -> DataFr
 
 
 def version_numbers(version: Column) -> Column:
-    """The first four numbers of a version; arrays compare as versions do."""
-    numbers = F.transform(F.slice(F.regexp_extract_all(version, F.lit("[0-9]+"), F.lit(0)), 1, 4), lambda x: x.try_cast("int"))
-    return F.when(F.size(numbers) == 0, F.array(F.lit(0))).otherwise(numbers)
+    """All numbers of a version; arrays compare as versions do."""
+    numbers = F.transform(F.regexp_extract_all(version, F.lit("[0-9]+"), F.lit(0)), lambda x: x.try_cast("long"))
+    return F.when(F.size(numbers) == 0, F.array(F.lit(0).cast("long"))).otherwise(numbers)
 
 
 def vulnerable(products: DataFrame, advisories: DataFrame) -> DataFrame:

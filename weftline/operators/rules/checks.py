@@ -79,11 +79,13 @@ def stated_counts(docs: DataFrame, actual: DataFrame, key: str = "doc_id", text:
     return parts.join(actual, "noun").where(F.col("stated") != F.col("actual")).select(key, "noun", "stated", "actual").distinct()
 
 
-def contradictions(pairs: DataFrame, text: Column) -> DataFrame:
-    """Pairs (left, right, body) of quotes that both occur, each unordered pair once."""
-    body = F.trim(F.regexp_replace(text, r"\s+", " "))
-    both = F.contains(body, F.trim(F.regexp_replace("left", r"\s+", " "))) & F.contains(body, F.trim(F.regexp_replace("right", r"\s+", " ")))
-    return pairs.where(both).select(F.least("left", "right").alias("left"), F.greatest("left", "right").alias("right")).distinct()
+def contradictions(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, left, right): pairs of different quotes (columns key, left, right) that both occur in their document, each unordered pair once."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    asked = pairs.select(F.col(key).alias("asked_of"), plain("left").alias("x"), plain("right").alias("y")).where("x <> '' AND y <> '' AND x <> y")
+    met = asked.join(docs.select(F.col(key).alias("held_by"), plain(text).alias("body")), F.col("asked_of") == F.col("held_by"))
+    both = met.where(F.contains("body", "x") & F.contains("body", "y"))
+    return both.select(F.col("asked_of").alias(key), F.least("x", "y").alias("left"), F.greatest("x", "y").alias("right")).distinct()
 
 
 def sql_references(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

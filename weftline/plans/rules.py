@@ -62,14 +62,16 @@ def r17(spark: SparkSession, root: str) -> DataFrame:
     return checks.stated_counts(table(spark, root, "documents"), actual)
 
 
-@add("r18_contradictions")
+@add("r18_contradictions", r"""WITH d AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS body FROM documents), n AS (SELECT doc_id - 1 AS doc_id, split_part(text, chr(10), 1) AS next FROM d),
+    p AS (SELECT doc_id, body, trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')) AS x, trim(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN split_part(text, chr(10), 3) ELSE next END, '\s+', ' ', 'g')) AS y FROM d LEFT JOIN n USING (doc_id))
+    SELECT DISTINCT doc_id, least(x, y) AS "left", greatest(x, y) AS "right" FROM p WHERE x <> '' AND y <> '' AND x <> y AND contains(body, x) AND contains(body, y)""")
 def r18(spark: SparkSession, root: str) -> DataFrame:
-    """Quotes of one document paired with the benchmark passages that follow each other; both must occur in it."""
-    passages = table(spark, root, "benchmark").select("item_id", F.col("text").alias("quote"))
-    pairs = passages.select("item_id", F.col("quote").alias("left")).join(passages.select((F.col("item_id") - 1).alias("item_id"), F.col("quote").alias("right")), "item_id")
-    held = table(spark, root, "documents").select(F.col("text").alias("body"))
-    met = pairs.join(held, F.contains("body", "left"))
-    return checks.contradictions(met, F.col("body"))
+    """A document's first line against its third (even ids), or against the next document's first line."""
+    docs = table(spark, root, "documents")
+    line = lambda n: F.split_part("text", F.lit("\n"), F.lit(n))
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), line(1).alias("next"))
+    pairs = docs.join(after, "doc_id", "left").select("doc_id", line(1).alias("left"), F.when(F.col("doc_id") % 2 == 0, line(3)).otherwise(F.col("next")).alias("right"))
+    return checks.contradictions(pairs, docs)
 
 
 @add("x2_sql_references")
