@@ -57,17 +57,17 @@ def a10(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "lineitem").groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("fan_out"), F.count_distinct("l_orderkey").alias("fan_in"))
 
 
-@add("a11_shared_writes", "WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 45), s AS (SELECT l_partkey, count(*) AS writers FROM p GROUP BY 1 HAVING count(*) > 1) SELECT l_suppkey, l_partkey, writers FROM p JOIN s USING (l_partkey)")
+@add("a11_shared_writes", "WITH p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem), s AS (SELECT l_partkey, count(*) AS writers FROM p GROUP BY 1 HAVING count(*) > 1) SELECT l_suppkey, l_partkey, writers FROM p JOIN s USING (l_partkey)")
 def a11(spark: SparkSession, root: str) -> DataFrame:
-    return ag.shared_targets(table(spark, root, "lineitem").where("l_quantity > 45"), "l_suppkey", "l_partkey")
+    return ag.shared_targets(table(spark, root, "lineitem"), "l_suppkey", "l_partkey")
 
 
 @add(
     "a12_capped_score",
-    "WITH r AS (SELECT l_suppkey, l_returnflag, least(sum(l_linenumber), 40) AS p FROM lineitem WHERE l_quantity > 40 GROUP BY ALL) SELECT l_suppkey, greatest(0, 100 - sum(p))::BIGINT AS score FROM r GROUP BY 1",
+    "WITH r AS (SELECT l_suppkey, l_returnflag, least(sum(l_linenumber), 40) AS p FROM lineitem GROUP BY ALL) SELECT l_suppkey, greatest(0, 100 - sum(p))::BIGINT AS score FROM r GROUP BY 1",
 )
 def a12(spark: SparkSession, root: str) -> DataFrame:
-    deductions = table(spark, root, "lineitem").where("l_quantity > 40").select("l_suppkey", "l_returnflag", "l_linenumber", F.lit(40).alias("cap"))
+    deductions = table(spark, root, "lineitem").select("l_suppkey", "l_returnflag", "l_linenumber", F.lit(40).alias("cap"))
     return ag.capped_score(deductions, ["l_suppkey"], "l_returnflag", "l_linenumber", "cap")
 
 
@@ -126,11 +126,11 @@ def a20(spark: SparkSession, root: str) -> DataFrame:
 @add(
     "a21_ownership_rollup",
     """SELECT l_partkey % 50 AS entity, count(DISTINCT l_suppkey) AS copies, list_sort(list_distinct(list(CASE WHEN l_returnflag = 'A' THEN l_suppkey END))) AS writers,
-    list_sort(list_filter(list_distinct(list(CASE WHEN l_returnflag = 'R' THEN l_suppkey END)), lambda x: NOT list_contains(list_distinct(list(CASE WHEN l_returnflag = 'A' THEN l_suppkey END)), x))) AS readers FROM lineitem WHERE l_quantity = 50 GROUP BY 1""",
+    list_sort(list_filter(list_distinct(list(CASE WHEN l_returnflag = 'R' THEN l_suppkey END)), lambda x: NOT list_contains(list_distinct(list(CASE WHEN l_returnflag = 'A' THEN l_suppkey END)), x))) AS readers FROM lineitem GROUP BY 1""",
 )
 def a21(spark: SparkSession, root: str) -> DataFrame:
     of = lambda flag: F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("l_suppkey")))
-    rows = table(spark, root, "lineitem").where("l_quantity = 50").groupBy((F.col("l_partkey") % 50).alias("entity"))
+    rows = table(spark, root, "lineitem").groupBy((F.col("l_partkey") % 50).alias("entity"))
     return rows.agg(F.count_distinct("l_suppkey").alias("copies"), F.sort_array(of("A")).alias("writers"), F.sort_array(F.array_except(of("R"), of("A"))).alias("readers"))
 
 
@@ -147,11 +147,11 @@ def a22(spark: SparkSession, root: str) -> DataFrame:
 
 @add(
     "a23_dense_grid",
-    """WITH c AS (SELECT c_custkey % 5 + 1 AS l, c_nationkey % 5 + 1 AS i, c_custkey FROM customer WHERE c_acctbal > 9000) SELECT g.l::INTEGER AS l, h.i::INTEGER AS i, coalesce(list(c_custkey ORDER BY c_custkey) FILTER (c_custkey IS NOT NULL), []) AS names
+    """WITH c AS (SELECT c_custkey % 5 + 1 AS l, c_nationkey % 5 + 1 AS i, c_custkey FROM customer) SELECT g.l::INTEGER AS l, h.i::INTEGER AS i, coalesce(list(c_custkey ORDER BY c_custkey) FILTER (c_custkey IS NOT NULL), []) AS names
     FROM range(1, 6) g(l) CROSS JOIN range(1, 6) h(i) LEFT JOIN c ON c.l = g.l AND c.i = h.i GROUP BY ALL""",
 )
 def a23(spark: SparkSession, root: str) -> DataFrame:
-    rich = table(spark, root, "customer").where("c_acctbal > 9000")
+    rich = table(spark, root, "customer")
     cells = rich.groupBy((F.col("c_custkey") % 5 + 1).cast("int").alias("l"), (F.col("c_nationkey") % 5 + 1).cast("int").alias("i")).agg(F.sort_array(F.collect_list("c_custkey")).alias("names"))
     grid = spark.range(25).select((F.floor(F.col("id") / 5) + 1).cast("int").alias("l"), (F.col("id") % 5 + 1).cast("int").alias("i"))
     return grid.join(cells, ["l", "i"], "left").select("l", "i", F.coalesce("names", F.array().cast("array<bigint>")).alias("names"))

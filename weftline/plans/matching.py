@@ -40,12 +40,12 @@ def _unique_positions(found: DataFrame, rows: DataFrame) -> DataFrame:
 
 @add(
     "j22_piece_holders",
-    f"WITH {LINES}, u AS (SELECT DISTINCT line FROM l), p AS (SELECT DISTINCT substr(line, 3, 20) AS piece FROM l WHERE doc_id % 50 = 0 AND length(line) >= 22) SELECT piece, doc_id * 100000 + n AS line_id FROM p JOIN l ON contains(l.line, piece)",
+    f"WITH {LINES}, u AS (SELECT DISTINCT line FROM l), p AS (SELECT DISTINCT substr(line, 3, 20) AS piece FROM l WHERE doc_id % 20 = 0 AND length(line) >= 22) SELECT piece, doc_id * 100000 + n AS line_id FROM p JOIN l ON contains(l.line, piece)",
 )
 def j22(spark: SparkSession, root: str) -> DataFrame:
-    """The queries are pieces of every fiftieth document, a stated set, against all lines."""
+    """The queries are pieces of every twentieth document, a stated set, against all lines."""
     rows = lines.lines_of(table(spark, root, "documents")).select("doc_id", (F.col("doc_id") * 100000 + F.col("n")).alias("line_id"), "line")
-    pieces = rows.where("doc_id % 50 = 0 AND length(line) >= 22").select(F.substring("line", 3, 20).alias("piece")).distinct()
+    pieces = rows.where("doc_id % 20 = 0 AND length(line) >= 22").select(F.substring("line", 3, 20).alias("piece")).distinct()
     return matching.piece_holders(pieces, rows, "piece", "line_id", "line")
 
 
@@ -158,10 +158,10 @@ def f8(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "part").select("p_partkey", vd.without_keys(line).alias("line"))
 
 
-@add("f10_without_frames", "SELECT doc_id, sha256(text) AS h FROM documents WHERE NOT contains(text, '```')")
+@add("f10_without_frames", "SELECT doc_id, sha256(replace(text, '```', '~~~')) AS h FROM documents")
 def f10(spark: SparkSession, root: str) -> DataFrame:
     """Documents with line numbers and a status bar added come out as they were."""
-    docs = table(spark, root, "documents").where(~F.contains("text", F.lit("```")))
+    docs = table(spark, root, "documents").select("doc_id", F.replace("text", F.lit("```"), F.lit("~~~")).alias("text"))
     numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit("|"), x)), "\n")
     return docs.select("doc_id", F.sha2(vd.without_frames(F.concat(F.lit("```\n"), numbered, F.lit("\nLn 1, Col 2\n```"))), 256).alias("h"))
 

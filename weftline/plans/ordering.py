@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import joins
 from weftline.operators import ordering as od
 from weftline.operators.lines import squeezed
 from weftline.plans.registry import Registry
@@ -68,13 +69,14 @@ def t10(spark: SparkSession, root: str) -> DataFrame:
 
 @add(
     "t11_full_containment",
-    "WITH l AS (SELECT doc_id, text FROM documents WHERE length(text) < 400), s AS (SELECT sha256(text) AS h, min(doc_id) AS k FROM documents GROUP BY 1) SELECT l.doc_id, s.k AS holder FROM l JOIN s ON sha256(l.text) = s.h WHERE s.k <> l.doc_id",
+    r"""WITH p AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 10000000, array_to_string(string_split(text, chr(10))[2:4], chr(10)) FROM documents), c AS (SELECT text AS t, min(doc_id) AS id FROM p WHERE trim(text) <> '' GROUP BY 1)
+    SELECT a.id AS held, b.id AS holder FROM c a JOIN c b ON a.id <> b.id AND contains(chr(10) || b.t || chr(10), chr(10) || a.t || chr(10))""",
 )
 def t11(spark: SparkSession, root: str) -> DataFrame:
-    """Short fragments that add nothing: their whole text is held by an earlier document."""
-    docs = table(spark, root, "documents").select("doc_id", F.sha2("text", 256).alias("h"), F.length("text").alias("n"))
-    held = docs.groupBy("h").agg(F.min("doc_id").alias("holder"))
-    return docs.where("n < 400").join(held, "h").where("holder <> doc_id").select("doc_id", "holder")
+    """All documents, and of each a fragment of its second to fourth line: which of them another one holds as a run of lines."""
+    docs = table(spark, root, "documents").select("doc_id", "text")
+    inner = F.array_join(F.slice(F.split("text", "\n"), F.lit(2), F.lit(3)), "\n")
+    return joins.contained_runs(docs.unionAll(docs.select(F.col("doc_id") + 10_000_000, inner)))
 
 
 @add("u1_union_distinct", "SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey FROM supplier")

@@ -15,12 +15,12 @@ add = registry.add
 
 @add(
     "n1_component_profile",
-    """WITH s AS (SELECT l_suppkey, list_distinct(list(l_partkey % 40) FILTER (l_returnflag = 'R')) AS r, list_distinct(list(l_partkey % 40) FILTER (l_returnflag = 'A')) AS w FROM lineitem WHERE l_quantity > 45 GROUP BY 1)
+    """WITH s AS (SELECT l_suppkey, list_distinct(list(l_partkey % 40) FILTER (l_returnflag = 'R')) AS r, list_distinct(list(l_partkey % 40) FILTER (l_returnflag = 'A')) AS w FROM lineitem GROUP BY 1)
     SELECT l_suppkey, list_sort(list_filter(coalesce(r, []), lambda x: NOT list_contains(coalesce(w, []), x))) AS reads_only, list_sort(coalesce(w, [])) AS writes FROM s""",
 )
 def n1(spark: SparkSession, root: str) -> DataFrame:
     of = lambda flag: F.collect_set(F.when(F.col("l_returnflag") == flag, F.col("l_partkey") % 40))
-    rows = table(spark, root, "lineitem").where("l_quantity > 45").groupBy("l_suppkey")
+    rows = table(spark, root, "lineitem").groupBy("l_suppkey")
     return rows.agg(F.sort_array(F.array_except(of("R"), of("A"))).alias("reads_only"), F.sort_array(of("A")).alias("writes"))
 
 

@@ -52,13 +52,14 @@ def w3_gaps(spark: SparkSession, root: str) -> DataFrame:
 
 @add(
     "w4_uncovered_runs",
-    """WITH l AS (SELECT c AS k, n FROM range(0, 40) r(c), range(1, 201) s(n)), s AS (SELECT DISTINCT o_custkey % 40 AS k, o_orderkey % 200 AS lo, o_orderkey % 200 + o_custkey % 5 AS hi FROM orders WHERE o_orderstatus = 'P'),
-    f AS (SELECT k, n FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = l.k AND n BETWEEN lo AND hi)) SELECT k, min(n) AS "from", max(n) AS "to", count(*) AS size FROM (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS g FROM f) GROUP BY k, g HAVING count(*) >= 3""",
+    """WITH l AS (SELECT doc_id AS k, unnest(generate_series(1, len(string_split(text, chr(10))))) AS n FROM documents), s AS (SELECT DISTINCT o_orderkey % 1000 AS k, o_orderkey % 23 AS lo, o_orderkey % 23 + o_custkey % 5 AS hi FROM orders WHERE o_orderstatus = 'P'),
+    f AS (SELECT k, n FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.k = l.k AND n BETWEEN lo AND hi)) SELECT k, min(n)::BIGINT AS "from", max(n)::BIGINT AS "to", count(*) AS size FROM (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS g FROM f) GROUP BY k, g HAVING count(*) >= 3""",
 )
 def w4(spark: SparkSession, root: str) -> DataFrame:
-    ids = spark.range(8000).select(F.floor(F.col("id") / 200).alias("k"), (F.col("id") % 200 + 1).alias("n"))
-    low = F.col("o_orderkey") % 200
-    spans = table(spark, root, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") % 40).alias("k"), low.alias("lo"), (low + F.col("o_custkey") % 5).alias("hi")).distinct()
+    """The lines of all documents against spans made of orders."""
+    ids = lines.lines_of(table(spark, root, "documents")).select(F.col("doc_id").alias("k"), F.col("n").cast("long").alias("n"))
+    low = F.col("o_orderkey") % 23
+    spans = table(spark, root, "orders").where("o_orderstatus = 'P'").select((F.col("o_orderkey") % 1000).alias("k"), low.alias("lo"), (low + F.col("o_custkey") % 5).alias("hi")).distinct()
     return runs.uncovered(ids, spans, "k", "n", "lo", "hi")
 
 
