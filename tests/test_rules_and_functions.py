@@ -1,5 +1,6 @@
 """Vulnerable and safe pairs per rule, masking, extraction and decision functions."""
 
+import collections
 import re
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import decisions, text
 from weftline.operators import lines
-from weftline.operators.rules import checks, line_rules
+from weftline.operators.rules import checks, line_rules, packs
 
 PAIRS = [
     ("cs", "SEC-CRED", 'string password = "hunter22";', "string password = Read();"),
@@ -85,7 +86,7 @@ def test_sql_references_and_packs(spark):
     got = {(r.kind, r.name) for r in checks.sql_references(spark.createDataFrame([(1, sql)], "doc_id long, text string")).collect()}
     assert got == {("writes", "orders"), ("reads", "b.items"), ("defines", "t1")}
     code = "import os\nfrom a import b\n\ndef f():\n    pass\nclass C:\n    pass\n"
-    assert checks.pack_scores(spark.createDataFrame([(1, code), (2, "text")], "doc_id long, text string")).orderBy("doc_id").collect()[0].pack == "python"
+    assert packs.chosen(spark.createDataFrame([(1, None, None, code), (2, None, None, "text")], "doc_id long, name string, language string, text string")).orderBy("doc_id").collect()[0].pack == "python"
 
 
 def test_block_balance_and_stated_counts(spark):
@@ -104,9 +105,14 @@ def test_fuzzy_lines_meet_all_parts(spark):
 
     root = "/root/testdata/sf0.01"
     lines = {r.p_partkey: " ".join(f"{r.p_name} {r.p_type.lower()}".split()) for r in spark.read.parquet(f"{root}/part.parquet").collect()}
-    met = {}
-    for b, y in lines.items():
-        met.setdefault((re.sub("[^0-9]+", " ", y), y[:2].lower()), []).append(b)
-    want = {(a, b) for a, x in lines.items() if a % 20 == 0 for b in met[(re.sub("[^0-9]+", " ", x), x[:2].lower())] if a != b and SequenceMatcher(None, x, lines[b], False).ratio() >= 0.85}
+    digits = {k: re.sub("[^0-9]+", " ", x) for k, x in lines.items()}
+    letters = {k: collections.Counter(x) for k, x in lines.items()}
+
+    def alike(x, y):
+        most = sum((letters[x] & letters[y]).values())  # no ratio exceeds 2 most / total
+        total = len(lines[x]) + len(lines[y])
+        return 2 * most >= 0.85 * total and SequenceMatcher(None, lines[x], lines[y], False).ratio() >= 0.85
+
+    want = {(a, b) for a in lines if a % 20 == 0 for b in lines if a != b and digits[a] == digits[b] and alike(a, b)}
     got = [(r.a, r.b) for r in matching.j13(spark, root).collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(b % 20 != 1 for _, b in want)

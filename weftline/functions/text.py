@@ -135,11 +135,11 @@ def first_sentence(text: Column, most: int) -> Column:
 
 
 def squeeze_outside_quotes(line: str) -> str:
-    """runs of blanks outside quotes as one space; a backslash keeps the next character."""
+    """runs of blanks outside quotes (\", ' and `) as one space, none at the ends but inside an open quote; a backslash keeps the next character."""
     out: list[str] = []
     quote = ""
     escape = False
-    for ch in line.strip():
+    for ch in line.lstrip():
         if escape:
             out.append(ch)
             escape = False
@@ -148,7 +148,7 @@ def squeeze_outside_quotes(line: str) -> str:
             escape = ch == "\\"
             if ch == quote:
                 quote = ""
-        elif ch in "\"'":
+        elif ch in "\"'`":
             quote = ch
             out.append(ch)
         elif ch.isspace():
@@ -156,7 +156,7 @@ def squeeze_outside_quotes(line: str) -> str:
                 out.append(" ")
         else:
             out.append(ch)
-    return "".join(out)
+    return "".join(out) if quote else "".join(out).rstrip()
 
 
 @F.pandas_udf(StringType())

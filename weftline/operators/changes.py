@@ -92,3 +92,49 @@ def replaced_if_unchanged(current: DataFrame, proposed: DataFrame) -> DataFrame:
 def renamed(df: DataFrame, names: DataFrame, column: str) -> DataFrame:
     """M9: names replaced by a (old, new) table."""
     return df.join(names.withColumnRenamed("old", "__old").withColumnRenamed("new", "__new"), F.col(column) == F.col("__old"), "left").withColumn(column, F.coalesce("__new", column)).drop("__old", "__new")
+
+
+def purged(artifacts: DataFrame, sources: DataFrame, edges: DataFrame, entities: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """M5: (entities, edges) after the files of `names` (name) are purged with all their versions.
+
+    artifacts: id, name; sources: artifact_id, entity_id; edges: id, from_id, to_id, artifact_id. Edges of
+    a purged version go, corrected ones as well; an entity goes when every source it has is purged
+    (one without any source stays), and with it the edges that name it.
+    """
+    gone = artifacts.join(names.select("name").distinct(), "name", "left_semi").select(F.col("id").alias("artifact_id"))
+    kept_sources = sources.join(gone, "artifact_id", "left_anti").select("entity_id").distinct()
+    lost = sources.join(gone, "artifact_id", "left_semi").select("entity_id").distinct().join(kept_sources, "entity_id", "left_anti")
+    left = edges.join(gone, "artifact_id", "left_anti")
+    for end in ("from_id", "to_id"):
+        left = left.join(lost.select(F.col("entity_id").alias(end)), end, "left_anti")
+    return entities.join(lost.select(F.col("entity_id").alias("id")), "id", "left_anti"), left.select(*edges.columns)
+
+
+def undone(log: DataFrame, undo: DataFrame) -> DataFrame:
+    """M7: (target, field, value) with the operations of `undo` (id) taken back: the log is replayed without them, so what stood before stands again."""
+    return replayed(log.join(undo.select("id"), "id", "left_anti"))
+
+
+def claimed(items: DataFrame, requests: DataFrame, alive: DataFrame) -> DataFrame:
+    """(item, owner): items (item, owner) after a round of claims by requests (owner, at).
+
+    An item whose owner is in `alive` (owner) stays with it; the others are free, and go by item to
+    the requests of live owners by time, then owner, one item each. The ranks are those of one
+    queue, so free items and requests are numbered in blocks and not in one task.
+    """
+    live = items.join(alive.select("owner"), "owner", "left_semi")
+    free = items.join(alive.select("owner"), "owner", "left_anti").select("item", F.col("owner").alias("was"))
+    asking = requests.join(alive.select("owner"), "owner", "left_semi")
+    met = numbered(free, ["item"]).join(numbered(asking, ["at", "owner"]).select("number", "owner"), "number", "left")
+    return live.select("item", "owner").unionByName(met.select("item", F.coalesce("owner", F.lit(None)).alias("owner")))
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """`df` with number 1, 2, .. in an order over the whole table: a range sort, then counts per partition."""
+    from weftline.staging import stage
+
+    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "numbered")
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # one row per partition
+    rank = F.row_number().over(W.partitionBy("part").orderBy(*order))
+    return placed.join(F.broadcast(before), "part").withColumn("number", F.col("before") + rank).drop("part", "before")

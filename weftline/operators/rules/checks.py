@@ -107,32 +107,6 @@ def _kind_of(kind: str, names: Column) -> Column:
     return F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("name")))
 
 
-# Fixed values of a few packs: unit and call patterns by family.
-PACK_PATTERNS = {
-    "python": (r"(?m)^\s*(?:def|class)\s+(\w+)", r"(?m)^\s*(?:from|import)\s+([\w.]+)"),
-    "javascript": (r"\bfunction\s+(\w+)", r"""\b(?:require\(|from\s+)["']([^"']+)["']"""),
-    "vb6": (r"(?im)^\s*(?:public\s+|private\s+)?(?:sub|function)\s+(\w+)", r"(?im)^\s*call\s+(\w+)"),
-    "shell": (r"(?m)^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{", r"(?m)^\s*(?:source|\.)\s+(\S+)"),
-    "cobol": (r"(?im)^.{0,11}PROGRAM-ID\.\s+([\w-]+)", r"(?i)\bCALL\s+['\"]([\w-]+)['\"]"),
-}
-
-
-def units_and_calls(docs: DataFrame, key: str = "doc_id", text: str = "text", family: str = "family") -> DataFrame:
-    """(key, kind, name) by the language pack of the document."""
-    out = F.array().cast("array<struct<kind:string,name:string>>")
-    for pack, (units, calls) in PACK_PATTERNS.items():
-        found = F.concat(_kind_of("unit", _all(text, units)), _kind_of("call", _all(text, calls)))
-        out = F.when(F.col(family) == pack, found).otherwise(out)
-    return docs.select(key, F.explode(F.array_distinct(out)).alias("r")).select(key, "r.*")
-
-
-def pack_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 3) -> DataFrame:
-    """(key, pack): the pack with the most signals in the text, at least `least`; ties by name."""
-    scores = F.array(*[F.struct((F.size(_all(text, u)) + F.size(_all(text, c))).alias("n"), F.lit(pack).alias("pack")) for pack, (u, c) in PACK_PATTERNS.items()])
-    best = F.get(F.sort_array(F.filter(scores, lambda s: s["n"] >= least), asc=False), 0)
-    return docs.select(key, best["pack"].alias("pack"))
-
-
 def block_balance(lines: DataFrame, key: str, opens: str, closes: str) -> DataFrame:
     """(key, first_bad, left_open): the first line where more blocks are closed than open, and how many stay open."""
     delta = F.size(_all("line", opens, 0)) - F.size(_all("line", closes, 0))
@@ -180,3 +154,63 @@ def crawl(pages: DataFrame, start: str, most_pages: int = 10) -> DataFrame:
         frontier = [r["to"] for r in sorted(found, key=lambda r: (order[r["url"]], r["to"])) if r["to"] not in seen]
         depth += 1
     return spark.createDataFrame(out or [(start, 0)], "url string, depth int")
+
+
+def logic_findings(lines: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, n, rule) of lines whose logic is doubtful by form.
+
+    weekend-by-one-day: a weekday is compared with one end of the weekend, and no line of the document
+    within three names the other. csv-formula: values are joined by commas into a line of a file that
+    nothing in it guards against a leading =, +, - or @. unsafe-rerun: a plain insert or append without a
+    check that the rows are there. swallowed: a handler that does nothing.
+    """
+    near = W.partitionBy(key).orderBy("n").rowsBetween(-3, 3)
+    day = lambda name: F.col("line").rlike(rf"(?i)day\w*\s*(?:\(\s*\)|\(\w+\))?\s*(?:==?|eq|\.equals\()\s*[\"']?(?:\w+\.)?{name}")
+    rows = lines.withColumns({"sat": day("sat"), "sun": day("sun")})
+    rows = rows.withColumns({"near_sat": F.max(F.col("sat").cast("int")).over(near), "near_sun": F.max(F.col("sun").cast("int")).over(near)})
+    guards = W.partitionBy(key)
+    rows = rows.withColumns({"guarded": F.max(F.col("line").rlike(r"[\"'\[]=?[+=@-]{2,}|(?i)escape.?csv|sanitize").cast("int")).over(guards), "checked": F.max(F.col("line").rlike(r"(?i)\bnot\s+exists\b|\bon\s+conflict\b|\bmerge\s+into\b|\btruncate\b|\bdelete\s+from\b").cast("int")).over(guards)})
+    rules = {
+        "weekend-by-one-day": (F.col("sat") & (F.col("near_sun") == 0)) | (F.col("sun") & (F.col("near_sat") == 0)),
+        "csv-formula": F.col("line").rlike(r"""(?i)(?:write\w*|print\w*|append)\s*\(.*[+&]\s*["'],["']\s*[+&]""") & (F.col("guarded") == 0),
+        "unsafe-rerun": F.col("line").rlike(r"(?i)\binsert\s+into\b") & (F.col("checked") == 0),
+        "swallowed": F.col("line").rlike(r"(?i)catch\s*\([^)]*\)\s*\{\s*\}|except[^:]*:\s*pass\b|when\s+others\s+then\s+null|on error resume next"),
+    }
+    found = F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    return rows.select(key, "n", F.explode(found).alias("rule"))
+
+
+def never_set(states: DataFrame, uses: DataFrame) -> DataFrame:
+    """(owner, value) of declared status values that their owner compares but never sets. states: owner, value; uses: owner, value, set."""
+    made = uses.where("set").select("owner", "value").distinct()
+    return states.join(uses.where("NOT set").select("owner", "value").distinct(), ["owner", "value"]).join(made, ["owner", "value"], "left_anti").select("owner", "value").distinct()
+
+
+def truncations(moves: DataFrame, widths: DataFrame) -> DataFrame:
+    """(id, source, target, lost) of moves (id, source, target) into fields narrower than their source. widths: field, width; a field of several widths counts by its narrowest as a target and its widest as a source."""
+    known = widths.groupBy("field").agg(F.min("width").alias("least"), F.max("width").alias("most"))
+    a, b = known.select(F.col("field").alias("source"), F.col("most").alias("from_width")), known.select(F.col("field").alias("target"), F.col("least").alias("to_width"))
+    met = moves.join(a, "source").join(b, "target").where("from_width > to_width")
+    return met.select("id", "source", "target", (F.col("from_width") - F.col("to_width")).alias("lost"))
+
+
+def lifecycle_inventory(uses: DataFrame, cycles: DataFrame, today: Column) -> DataFrame:
+    """(product, cycle, status, confirmed, files) of products in use against their support cycles.
+
+    uses: file, product, version, confirmed; cycles: product, cycle (a version prefix), eol and
+    extended (dates or null), eol_flag. A version belongs to the longest cycle it begins with, at a dot;
+    a use without a version, or without such a cycle, has none and the status `unknown`. Of one
+    (product, cycle) confirmed uses beat unconfirmed ones: only they are counted where there are any.
+    """
+    from weftline.functions.decisions import lifecycle_status
+
+    parts = F.split(F.coalesce("version", F.lit("")), r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
+    numbered = uses.withColumn("use", F.xxhash64("file", "product", "version", "confirmed"))
+    met = numbered.select("use", "product", F.explode(prefixes).alias("cycle")).join(cycles.select("product", "cycle"), ["product", "cycle"])
+    longest = met.groupBy("use").agg(F.max_by("cycle", F.length("cycle")).alias("cycle"))
+    placed = numbered.join(longest, "use", "left")
+    groups = placed.groupBy("product", "cycle").agg(F.bool_or("confirmed").alias("confirmed"), F.count_distinct(F.when(F.col("confirmed"), F.col("file"))).alias("sure"), F.count_distinct("file").alias("every"))
+    dated = groups.alias("g").join(cycles.alias("c"), (F.col("g.product") == F.col("c.product")) & (F.col("g.cycle") == F.col("c.cycle")), "left")
+    status = F.when(F.col("g.cycle").isNull(), "unknown").otherwise(lifecycle_status(today, F.col("c.eol"), F.col("c.eol_flag"), F.col("c.extended")))
+    return dated.select("g.product", "g.cycle", status.alias("status"), "g.confirmed", F.when(F.col("confirmed"), F.col("sure")).otherwise(F.col("every")).alias("files"))

@@ -56,52 +56,121 @@ def line_likeness(x: str, y: str) -> float:
     return difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
-def stitch_two(merged: list[str], incoming: list[str]) -> tuple[list[str], str]:
-    """Q2: append the fragment where the longest tail of the text begins it, and say how it was joined.
+class Stitcher:
+    """Q2, Q3: the text so far, its lines as keys, and where each key stands, so that no step reads the whole text again."""
+
+    def __init__(self) -> None:
+        self.lines: list[str] = []
+        self.keys: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        self.shift = 0  # positions in `at` count from here, so that lines put in front move nothing
+
+    def _push(self, lines: list[str]) -> None:
+        for line in lines:
+            key = " ".join(line.split())
+            self.at.setdefault(key, []).append(len(self.keys) + self.shift)
+            self.lines.append(line)
+            self.keys.append(key)
+
+    def _pop(self, n: int) -> None:
+        for _ in range(n):
+            self.at[self.keys.pop()].pop()
+            self.lines.pop()
+
+    def _put_before(self, lines: list[str]) -> None:
+        for line in reversed(lines):
+            key = " ".join(line.split())
+            self.shift -= 1
+            self.at.setdefault(key, []).insert(0, self.shift)
+            self.lines.insert(0, line)
+            self.keys.insert(0, key)
+
+    def _holds(self, new: list[str]) -> bool:
+        rarest = min(range(len(new)), key=lambda i: (len(self.at.get(new[i], ())), i))
+        starts = (p - self.shift - rarest for p in self.at.get(new[rarest], ()))
+        return any(s >= 0 and self.keys[s : s + len(new)] == new for s in starts)
+
+    def _offset(self, new: list[str]) -> int | None:
+        """Where the fragment begins by the rows that both have once: three or more that agree on it, and most of all such rows."""
+        counts: dict[str, int] = {}
+        for key in new:
+            counts[key] = counts.get(key, 0) + 1
+        votes: dict[int, int] = {}
+        for i, key in enumerate(new):
+            if key and counts[key] == 1 and len(self.at.get(key, ())) == 1:
+                offset = self.at[key][0] - self.shift - i
+                votes[offset] = votes.get(offset, 0) + 1
+        if not votes:
+            return None
+        best = max(votes, key=lambda o: (votes[o], -abs(o)))
+        return best if votes[best] >= 3 and 2 * votes[best] > sum(votes.values()) else None
+
+    def add(self, incoming: list[str]) -> str:
+        """Join one fragment and say how: first, blank, contained, exact, trimmed, prepended, alike, anchored or break.
+
+        A tail of k lines counts when each pair of lines is alike and so is their mean; up to two
+        doubtful rows at the seam are let go. Exact seams come before alike ones; where the text
+        begins with the fragment's tail the fragment goes in front; a fragment that shares rows
+        which both have once is placed by them; and what has no place follows after a break.
+        """
+        if not self.lines:
+            self._push(incoming)
+            return "first"
+        new = [" ".join(x.split()) for x in incoming]
+        if not any(new):
+            return "blank"
+        if self._holds(new):
+            return "contained"
+        keys = self.keys
+        for cut in range(MOST_TRIMMED + 1):  # doubtful rows at the end of the text
+            end = len(keys) - cut
+            for drop in range(MOST_TRIMMED + 1):  # doubtful rows at the start of the fragment
+                head = new[drop:]
+                for k in range(min(LONGEST_OVERLAP, end, len(head)), 2, -1):
+                    if keys[end - k] == head[0] and keys[end - k : end] == head[:k] and any(head[:k]):
+                        self._pop(cut)
+                        self._push(incoming[drop + k :])
+                        return "exact" if not cut and not drop else "trimmed"
+        for k in range(min(LONGEST_OVERLAP, len(keys), len(new)), 2, -1):
+            if new[-k:] == keys[:k] and any(keys[:k]):
+                self._put_before(incoming[: len(new) - k])
+                return "prepended"
+        for k in range(min(LONGEST_OVERLAP, len(keys), len(new)), 2, -1):
+            likeness = []
+            for a, b in zip(keys[-k:], new[:k], strict=True):
+                value = line_likeness(a, b)
+                if value < LINE_LIKE:
+                    break
+                likeness.append(value)
+            if len(likeness) == k and sum(likeness) / k >= MEAN_LIKE and sum(bool(x) for x in new[:k]) >= 2:
+                self._push(incoming[k:])
+                return "alike"
+        offset = self._offset(new)
+        if offset is not None:
+            beyond = len(keys) - offset
+            self._push(incoming[beyond:] if beyond < len(new) else [])
+            self._put_before(incoming[: max(0, -offset)])
+            return "anchored"
+        self._push(incoming)
+        return "break"
 
-    A tail of k lines counts when each pair of lines is alike and so is their mean; up to two
-    doubtful rows at the seam are let go. Exact seams are found by hashing lines first; without any
-    overlap the fragment follows after a recorded break (Q3's last resort), and one that is inside
-    the text already adds nothing (T11).
-    """
-    if not merged:
-        return list(incoming), "first"
-    keys, new = [" ".join(x.split()) for x in merged[-600:]], [" ".join(x.split()) for x in incoming]
-    if not any(new):
-        return merged, "blank"
-    window = "\n".join(keys)
-    if len(new) <= len(keys) and f"\n{chr(10).join(new)}\n" in f"\n{window}\n":
-        return merged, "contained"
-    for cut in range(MOST_TRIMMED + 1):  # doubtful rows at the end of the text
-        tail = keys[: len(keys) - cut] if cut else keys
-        for drop in range(MOST_TRIMMED + 1):  # doubtful rows at the start of the fragment
-            head = new[drop:]
-            for k in range(min(LONGEST_OVERLAP, len(tail), len(head)), 2, -1):
-                if tail[-k] == head[0] and tail[-k:] == head[:k] and any(head[:k]):
-                    return merged[: len(merged) - cut] + incoming[drop + k :], "exact" if not cut and not drop else "trimmed"
-    for k in range(min(LONGEST_OVERLAP, len(keys), len(new)), 2, -1):
-        likeness = []
-        for a, b in zip(keys[-k:], new[:k], strict=True):
-            value = line_likeness(a, b)
-            if value < LINE_LIKE:
-                break
-            likeness.append(value)
-        if len(likeness) == k and sum(likeness) / k >= MEAN_LIKE and sum(bool(x) for x in new[:k]) >= 2:
-            return merged + incoming[k:], "alike"
-    return merged + incoming, "break"
+
+def stitch_two(merged: list[str], incoming: list[str]) -> tuple[list[str], str]:
+    """Q2: two texts as one, and how they were joined."""
+    stitcher = Stitcher()
+    stitcher._push(merged)
+    how = stitcher.add(incoming)
+    return stitcher.lines, how
 
 
 def stitched(fragments: DataFrame, key: str = "artifact_id", order: str = "ord", text: str = "text") -> DataFrame:
     """Q2, Q3, Q9: (key, text, breaks, joins): each artifact's fragments merged in order."""
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        merged: list[str] = []
-        how: list[str] = []
-        for piece in group.sort_values([order, text], kind="stable")[text]:
-            if piece is not None:
-                merged, kind = stitch_two(merged, piece.split("\n"))
-                how.append(kind)
-        return pd.DataFrame({key: [group[key].iloc[0]], "text": ["\n".join(merged)], "breaks": [how.count("break")], "joins": [",".join(how)]})
+        stitcher = Stitcher()
+        pieces = group.sort_values([order, text], kind="stable")[text]
+        how = [stitcher.add(piece.split("\n")) for piece in pieces if piece is not None]
+        return pd.DataFrame({key: [group[key].iloc[0]], "text": ["\n".join(stitcher.lines)], "breaks": [how.count("break")], "joins": [",".join(how)]})
 
     kind = fragments.schema[key].dataType.simpleString()
     return fragments.select(key, order, text).groupBy(key).applyInPandas(fold, f"{key} {kind}, text string, breaks long, joins string")
@@ -117,29 +186,34 @@ def merged_by_numbers(lines: DataFrame, key: str, n: str, text: str, status: str
     return grouped.select(key, n, text), grouped.where("readings > 1").select(key, n, "readings")
 
 
-def combined(pairs: DataFrame, key: str, first: str, second: str) -> DataFrame:
+def combined(pairs: DataFrame, key: str, first: str, second: str, first_ranks: str | None = None, second_ranks: str | None = None) -> DataFrame:
     """Q6: (key, text, agreed, conflicts, added, dropped): two readings of each artifact as one.
 
     The alignment (Q1) gives blocks; everything else is decided per block by column expressions and
     put together in order. Lines that both have are agreed if indented alike. Where both have a
-    block, line by line the first reading is kept, or the block with more text if they differ in
+    block, line by line the reading with the higher rank is kept (columns of ranks, one for each line;
+    the first reading without them and among equals), or the block with more text if they differ in
     length; both are conflicts. A block that one reading alone has stays, unless it is a copy: it
-    stands twice in its own reading, or most of its longer lines stand in the other reading.
+    stands twice in its own reading, or most of its longer lines stand in the other reading, away
+    from the place where the block would be (as far as the block is long).
     """
-    read = pairs.select(key, F.split(F.coalesce(first, F.lit("")), "\n").alias("a"), F.split(F.coalesce(second, F.lit("")), "\n").alias("b"))
+    ranks = [(F.col(r) if r else F.array().cast("array<int>")).alias(name) for r, name in ((first_ranks, "ra"), (second_ranks, "rb"))]
+    read = pairs.select(key, *ranks, F.split(F.coalesce(first, F.lit("")), "\n").alias("a"), F.split(F.coalesce(second, F.lit("")), "\n").alias("b"))
     keyed = read.withColumns({"ka": _line_keys("a"), "kb": _line_keys("b")})
     joined = keyed.select("*", F.array_join("ka", "\n").alias("ta"), F.array_join("kb", "\n").alias("tb"))
     blocks = alignment(joined.select(key, "ta", "tb"), key, "ta", "tb").join(joined, key)
     part = lambda of, side: F.slice(of, F.col(f"{side}_from") + 1, F.col(f"{side}_to") - F.col(f"{side}_from"))
-    blocks = blocks.withColumns({"xs": part("a", "left"), "ys": part("b", "right")})
+    blocks = blocks.withColumns({"xs": part("a", "left"), "ys": part("b", "right"), "rx": part("ra", "left"), "ry": part("rb", "right")})
     mine = F.when(F.col("tag") == "delete", part("ka", "left")).otherwise(part("kb", "right"))
     blocks = blocks.withColumn("keys", mine)
-    own, other = F.when(F.col("tag") == "delete", F.col("ta")).otherwise(F.col("tb")), F.when(F.col("tag") == "delete", F.col("kb")).otherwise(F.col("ka"))
-    bordered = F.concat(F.lit("\n"), own, F.lit("\n"))
-    spelled = F.concat(F.lit("\n"), F.array_join("keys", "\n"), F.lit("\n"))
+    own = F.when(F.col("tag") == "delete", F.col("ta")).otherwise(F.col("tb"))
+    away = lambda of, side: F.concat(F.slice(of, F.lit(1), F.greatest(F.lit(0), F.col(f"{side}_from") - F.size("keys"))), F.slice(of, F.col(f"{side}_to") + F.size("keys") + 1, F.size(of)))
+    other = F.when(F.col("tag") == "delete", away("kb", "right")).otherwise(away("ka", "left"))
+    bordered = F.concat(F.lit("\n"), F.replace(own, F.lit("\n"), F.lit("\n\n")), F.lit("\n"))  # each line has both its borders
+    spelled = F.concat(F.lit("\n"), F.array_join("keys", "\n\n"), F.lit("\n"))
     telling = F.filter("keys", lambda k: F.length(k) >= 6)
     elsewhere = F.size(F.filter(telling, lambda k: F.array_contains(other, k)))
-    twice = (F.size("keys") >= 3) & (F.length(bordered) - F.length(F.replace(bordered, spelled, F.lit(""))) >= 2 * F.length(spelled) - 1)
+    twice = (F.size("keys") >= 3) & (F.length(bordered) - F.length(F.replace(bordered, spelled, F.lit(""))) >= 2 * F.length(spelled))
     copy = F.col("tag").isin("delete", "insert") & (twice | ((F.size(telling) >= 3) & (elsewhere >= 0.8 * F.size(telling))))
     state = lambda line, name: F.struct(line.alias("line"), F.when(F.trim(line) == "", "").otherwise(name).alias("state"))
     indent = lambda line: F.length(line) - F.length(F.ltrim(line))
@@ -149,7 +223,7 @@ def combined(pairs: DataFrame, key: str, first: str, second: str) -> DataFrame:
         .when(copy, F.array().cast("array<struct<line:string,state:string>>"))
         .when(F.col("tag") == "delete", F.transform("xs", lambda x: state(x, F.lit("conflict"))))
         .when(F.col("tag") == "insert", F.transform("ys", lambda y: state(y, F.lit("conflict"))))
-        .when(F.size("xs") == F.size("ys"), F.transform("xs", lambda x: state(x, F.lit("conflict"))))
+        .when(F.size("xs") == F.size("ys"), F.transform("xs", lambda x, i: state(F.when(F.coalesce(F.get("ry", i), F.lit(0)) > F.coalesce(F.get("rx", i), F.lit(0)), F.get("ys", i)).otherwise(x), F.lit("conflict"))))
         .when(written("xs") >= written("ys"), F.transform("xs", lambda x: state(x, F.lit("conflict"))))
         .otherwise(F.transform("ys", lambda y: state(y, F.lit("conflict"))))
     )
@@ -204,8 +278,8 @@ def best_shift(pairs: DataFrame, key: str, a: str, b: str, most: int) -> DataFra
     """Q11: the offset of vector b against a with the smallest mean distance; array functions only."""
 
     def at(shift: Column) -> Column:
-        x = F.slice(F.col(a), F.greatest(F.lit(1), shift + 1), F.lit(1_000_000))
-        y = F.slice(F.col(b), F.greatest(F.lit(1), 1 - shift), F.lit(1_000_000))
+        x = F.slice(F.col(a), F.greatest(F.lit(1), shift + 1), F.greatest(F.size(a), F.size(b)))
+        y = F.slice(F.col(b), F.greatest(F.lit(1), 1 - shift), F.greatest(F.size(a), F.size(b)))
         n = F.least(F.size(x), F.size(y))
         total = F.aggregate(F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda p, q: F.abs(p - q).cast("double")), F.lit(0.0), lambda s, v: s + v)
         return F.struct((total / n).alias("distance"), shift.alias("shift"))
@@ -235,6 +309,44 @@ def completeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(key, reasons.alias("reasons"))
 
 
+def aligned_rows(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """Q10: (key, left_n, right_n): rows (from 1) that every longest common subsequence of the two texts pairs, in runs of three or more."""
+
+    def run(frames):
+        for frame in frames:
+            rows = [(k, i + 1, j + 1) for k, a, b in frame.itertuples(index=False) for i, j in certain_rows((a or "").split("\n"), (b or "").split("\n"))]
+            yield pd.DataFrame(rows, columns=["key", "left_n", "right_n"])
+
+    kind = pairs.schema[key].dataType.simpleString()
+    return pairs.select(key, left, right).mapInPandas(run, f"key {kind}, left_n int, right_n int").withColumnRenamed("key", key)
+
+
+def corresponding_lines(pairs: DataFrame, key: str, left: str, right: str) -> DataFrame:
+    """(key, left_n, right_n, equal): lines (from 1) of two texts that the alignment puts side by side: equal ones, and those of replaced blocks of one length."""
+    blocks = alignment(pairs, key, left, right).where("tag = 'equal' OR (tag = 'replace' AND left_to - left_from = right_to - right_from)")
+    each = blocks.select(key, "tag", "left_from", "right_from", F.explode(F.sequence(F.lit(1), F.col("left_to") - F.col("left_from"))).alias("i"))
+    return each.select(key, (F.col("left_from") + F.col("i")).alias("left_n"), (F.col("right_from") + F.col("i")).alias("right_n"), (F.col("tag") == "equal").alias("equal"))
+
+
+def edge_evidence(docs: DataFrame, confirmed: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Q14: (key, first_proved, last_proved): whether the first and last written line are confirmed (key, signature) or show by form that nothing is missing.
+
+    The signature of a line is its squeezed text; a first line without indent that opens nothing
+    halfway, and a last line that closes (a full stop, a bracket, END), prove themselves.
+    """
+    plain = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    written = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    ends = docs.select(F.col(key), F.get(written, 0).alias("head"), F.get(written, F.size(written) - 1).alias("tail"))
+    marks = confirmed.select(F.col(key).alias("of"), plain("signature").alias("sig")).distinct()
+    for name, column in (("first_seen", "head"), ("last_seen", "tail")):
+        met = marks.select(F.col("of").alias(f"{name}_of"), F.col("sig").alias(f"{name}_sig"), F.lit(True).alias(name))
+        ends = ends.join(met, (F.col(key) == F.col(f"{name}_of")) & (plain(F.col(column)) == F.col(f"{name}_sig")), "left").drop(f"{name}_of", f"{name}_sig")
+    no = F.lit(False)
+    first = F.coalesce("first_seen", no) | F.coalesce(F.col("head").rlike(r"^\S") & ~F.col("head").rlike(r"^[)\]},;.]"), no)
+    last = F.coalesce("last_seen", no) | F.coalesce(F.col("tail").rlike(r"(?i)(?:[.)\]};]|(?:^|[ ;])end[;.a-z-]*)[ ;]*$"), no)
+    return ends.select(key, first.alias("first_proved"), last.alias("last_proved"))
+
+
 @F.pandas_udf(DoubleType())
 def _agreement(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Share of the shorter text's written lines that stand in order in the longer one."""

@@ -206,3 +206,9 @@ def m8(spark: SparkSession, root: str) -> DataFrame:
 def m9(spark: SparkSession, root: str) -> DataFrame:
     names = spark.sql("SELECT * FROM VALUES ('SMALL', 'TINY'), ('PROMO', 'OFFER') AS n(old, new)")
     return changes.renamed(table(spark, root, "part").select("p_partkey", "p_type"), names, "p_type")
+
+
+@add("g3_dead_ends", "WITH n AS (SELECT c_custkey AS node FROM customer), e AS (SELECT o_custkey AS f, (o_orderkey * 7) % 3000 AS t FROM orders WHERE o_orderstatus = 'P') SELECT node, 'dead end' AS reason FROM n WHERE node NOT IN (SELECT f FROM e) UNION ALL SELECT node, 'orphan' FROM n WHERE node NOT IN (SELECT t FROM e)")
+def g3_dead_ends(spark: SparkSession, root: str) -> DataFrame:
+    links = table(spark, root, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("from_id"), (F.col("o_orderkey") * 7 % 3000).alias("to_id"))
+    return graph.dead_ends(links, table(spark, root, "customer").select(F.col("c_custkey").alias("node")))

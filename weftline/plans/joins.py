@@ -203,15 +203,3 @@ def j_asof(spark: SparkSession, root: str) -> DataFrame:
     bought = events.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("last_value"))
     clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
     return joins.asof(clicks, bought, ["user_id"], "ts", "ts", "last_value").select("event_id", "last_value")
-
-
-@registry.add(
-    "j19_line_correspondence",
-    r"""WITH a AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, trim(regexp_replace(line, '\s+', ' ', 'g')) AS k FROM a),
-    u AS (SELECT k, min(doc_id) AS low, max(doc_id) AS high FROM n WHERE k <> '' GROUP BY k HAVING count(*) = 2 AND count(DISTINCT doc_id) = 2) SELECT low, high, count(*) AS pairs FROM u GROUP BY ALL""",
-)
-def j19(spark: SparkSession, root: str) -> DataFrame:
-    """Anchors of an alignment: lines that occur once in each of exactly two documents."""
-    lines = table(spark, root, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", squeezed(F.col("line")).alias("k"))
-    once = lines.where("k <> ''").groupBy("k").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("n = 2 AND low <> high")
-    return once.groupBy("low", "high").agg(F.count("*").alias("pairs"))

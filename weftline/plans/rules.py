@@ -80,12 +80,6 @@ def x2(spark: SparkSession, root: str) -> DataFrame:
     return checks.sql_references(table(spark, root, "part").select("p_partkey", statement.alias("text")), "p_partkey")
 
 
-@add("x6_units_and_calls")
-def x6(spark: SparkSession, root: str) -> DataFrame:
-    source = F.format_string("import mod%d\ndef f%d():\n    pass\nclass C:\n    pass", F.col("p_size"), F.col("p_partkey"))
-    return checks.units_and_calls(table(spark, root, "part").select("p_partkey", source.alias("text"), F.lit("python").alias("family")), "p_partkey")
-
-
 @add("x8_block_balance", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), d AS (SELECT *, sum(len(regexp_extract_all(line, '[(]')) - len(regexp_extract_all(line, '[)]'))) OVER (PARTITION BY doc_id ORDER BY n) AS depth FROM l) SELECT doc_id, min(CASE WHEN depth < 0 THEN n END)::INTEGER AS first_bad, arg_max(depth, n)::BIGINT AS left_open FROM d GROUP BY 1""")
 def x8(spark: SparkSession, root: str) -> DataFrame:
     return checks.block_balance(lines.lines_of(table(spark, root, "documents")), "doc_id", "[(]", "[)]")
@@ -112,3 +106,52 @@ def s10(spark: SparkSession, root: str) -> DataFrame:
     pages = table(spark, root, "pages")
     start = pages.agg(F.min("url")).first()[0]
     return checks.crawl(pages, start)
+
+
+CODE = ("if (day == \"SATURDAY\") {", "if (day == \"SATURDAY\" || day == \"SUNDAY\") {", "write(a + \",\" + b)", "INSERT INTO t VALUES (1)", "try { x(); } catch (Exception e) {}")
+
+
+@add("r9_logic_findings", "SELECT p_partkey, 2 AS n, ['weekend-by-one-day', 'csv-formula', 'unsafe-rerun', 'swallowed'][[1, NULL, 2, 3, 4][p_partkey % 5 + 1]] AS rule FROM part WHERE p_partkey % 5 <> 1 AND NOT (p_partkey % 5 = 3 AND p_size % 2 = 0) AND NOT (p_partkey % 5 = 2 AND p_size % 3 = 0)")
+def r9(spark: SparkSession, root: str) -> DataFrame:
+    """One doubtful line a part, some with what makes it sound on the line before."""
+    k = (F.col("p_partkey") % 5 + 1).cast("int")
+    guard = F.when((k == 4) & (F.col("p_size") % 2 == 0), "DELETE FROM t").when((k == 3) & (F.col("p_size") % 3 == 0), "a = escapeCsv(a)").otherwise("start()")
+    text = F.concat(guard, F.lit("\n"), F.element_at(F.array(*[F.lit(c) for c in CODE]), k))
+    return checks.logic_findings(lines.lines_of(table(spark, root, "part").select("p_partkey", text.alias("text")), "p_partkey"), "p_partkey")
+
+
+@add(
+    "r9_never_set",
+    "WITH u AS (SELECT o_custkey AS owner, o_orderpriority AS value, o_orderkey % 3 = 0 AS made FROM orders) SELECT DISTINCT owner, value FROM u WHERE NOT made EXCEPT SELECT owner, value FROM u WHERE made",
+)
+def r9_never_set(spark: SparkSession, root: str) -> DataFrame:
+    uses = table(spark, root, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderpriority").alias("value"), (F.col("o_orderkey") % 3 == 0).alias("set"))
+    return checks.never_set(uses.select("owner", "value").distinct(), uses)
+
+
+@add(
+    "r11_truncations",
+    "WITH w AS (SELECT p_size % 20 AS field, min(p_size) AS least, max(p_size) AS most FROM part GROUP BY 1) SELECT p_partkey AS id, p_size % 20 AS source, p_partkey % 20 AS target, (a.most - b.least)::INTEGER AS lost FROM part JOIN w a ON a.field = p_size % 20 JOIN w b ON b.field = p_partkey % 20 WHERE a.most > b.least",
+)
+def r11(spark: SparkSession, root: str) -> DataFrame:
+    part = table(spark, root, "part")
+    moves = part.select(F.col("p_partkey").alias("id"), (F.col("p_size") % 20).alias("source"), (F.col("p_partkey") % 20).alias("target"))
+    return checks.truncations(moves, part.select((F.col("p_size") % 20).alias("field"), F.col("p_size").alias("width")))
+
+
+@add(
+    "r6_lifecycle_inventory",
+    """WITH c(cycle, eol, flag, extended) AS (VALUES ('1', DATE '2020-01-01', NULL, DATE '2027-01-01'), ('2.0', DATE '2026-06-01', NULL, NULL), ('2', NULL, true, NULL), ('3', DATE '2030-01-01', NULL, NULL)),
+    u AS (SELECT p_partkey AS file, p_brand AS product, CASE WHEN p_partkey % 11 > 0 THEN (p_size % 5) || '.' || (p_size % 3) END AS version, p_partkey % 4 = 0 AS confirmed FROM part),
+    p AS (SELECT u.*, CASE WHEN version IS NULL THEN NULL WHEN version IN (SELECT cycle FROM c) THEN version ELSE (SELECT cycle FROM c WHERE cycle = split_part(version, '.', 1)) END AS cycle FROM u),
+    g AS (SELECT product, cycle, bool_or(confirmed) AS confirmed, count(DISTINCT file) FILTER (confirmed) AS sure, count(DISTINCT file) AS n FROM p GROUP BY ALL)
+    SELECT product, g.cycle, CASE g.cycle WHEN '1' THEN 'extended' WHEN '2.0' THEN 'ending' WHEN '2' THEN 'eol' WHEN '3' THEN 'supported' ELSE 'unknown' END AS status, confirmed, CASE WHEN confirmed THEN sure ELSE n END AS files FROM g""",
+)
+def r6(spark: SparkSession, root: str) -> DataFrame:
+    part = table(spark, root, "part")
+    version = F.when(F.col("p_partkey") % 11 > 0, F.concat_ws(".", (F.col("p_size") % 5).cast("string"), (F.col("p_size") % 3).cast("string")))
+    uses = part.select(F.col("p_partkey").alias("file"), F.col("p_brand").alias("product"), version.alias("version"), (F.col("p_partkey") % 4 == 0).alias("confirmed"))
+    dates = spark.sql("SELECT * FROM VALUES ('1', DATE'2020-01-01', NULL, DATE'2027-01-01'), ('2.0', DATE'2026-06-01', NULL, NULL), ('2', NULL, true, NULL), ('3', DATE'2030-01-01', NULL, NULL) AS c(cycle, eol, eol_flag, extended)")
+    rows = dates.agg(F.collect_list(F.struct("*")).alias("c"))  # four rows, spelled out for each product
+    cycles = part.select(F.col("p_brand").alias("product"), F.lit(1).alias("one")).distinct().join(rows.withColumn("one", F.lit(1)), "one").select("product", F.explode("c").alias("c")).select("product", "c.*")
+    return checks.lifecycle_inventory(uses, cycles, F.lit("2026-01-01").cast("date"))

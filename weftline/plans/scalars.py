@@ -233,3 +233,8 @@ def v_contrast(spark: SparkSession, root: str) -> DataFrame:
 @add("v_half_steps", "SELECT p_partkey, CASE WHEN p_retailprice >= 1 THEN round_even(p_retailprice / 100 * 2, 0) / 2 ELSE round_even(p_retailprice / 100, 1) END::DOUBLE AS weeks FROM part WHERE p_retailprice >= 100")
 def v_half(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "part").where("p_retailprice >= 100").select("p_partkey", dc.half_steps(F.col("p_retailprice") / 100).alias("weeks"))
+
+
+@registry.add("f19_ratio_bound", "SELECT p_partkey, CASE WHEN length(p_name) + length(p_type) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * least(length(p_name), length(p_type)) / (length(p_name) + length(p_type)) END AS bound FROM part")
+def f19(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "part").select("p_partkey", tx.ratio_bound(F.col("p_name"), F.col("p_type")).alias("bound"))

@@ -33,6 +33,60 @@ def q2(spark: SparkSession, root: str) -> DataFrame:
     return merged.select(F.col("artifact_id").alias("doc_id"), F.sha2("text", 256).alias("h"), "breaks")
 
 
+@add("q2_overlap_stitch_all")
+def q2_all(spark: SparkSession, root: str) -> DataFrame:
+    """All documents, those with repeated lines as well: how often a break was recorded, how the fragments were joined, and the text."""
+    merged = sequence.stitched(sequence.fragments_of(table(spark, root, "documents"), 12, 8))
+    return merged.select(F.col("artifact_id").alias("doc_id"), F.sha2("text", 256).alias("h"), "breaks", "joins")
+
+
+@add("q2_long_stitch", "SELECT l_suppkey AS artifact_id, sha256(string_agg('       MOVE ITEM-' || l_partkey || ' TO OUT-' || l_orderkey || '-' || l_linenumber, chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey)) AS h, 0::BIGINT AS breaks FROM lineitem GROUP BY 1")
+def q2_long(spark: SparkSession, root: str) -> DataFrame:
+    """Texts of hundreds of alike lines, cut in windows of 45 lines at every 35th."""
+    line = F.format_string("       MOVE ITEM-%d TO OUT-%d-%d", "l_partkey", "l_orderkey", "l_linenumber")
+    rows = table(spark, root, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_partkey", line.alias("line")))).alias("r"))
+    texts = rows.select(F.col("l_suppkey").alias("doc_id"), F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("text"))
+    merged = sequence.stitched(sequence.fragments_of(texts, 45, 35))
+    return merged.select("artifact_id", F.sha2("text", 256).alias("h"), "breaks")
+
+
+@add("q3_fallback_chain", f"SELECT doc_id, sha256(text) AS h, 0::BIGINT AS breaks FROM documents WHERE {DISTINCT_LINES}")
+def q3(spark: SparkSession, root: str) -> DataFrame:
+    """The fragments of documents whose lines are all different come last first: each goes in front of the text so far (repeated lines: see the tests)."""
+    docs = table(spark, root, "documents").where(F.size(F.array_distinct(F.split("text", "\n"))) == F.size(F.split("text", "\n")))
+    parts = sequence.fragments_of(docs, 12, 8).withColumn("ord", -F.col("ord"))
+    return sequence.stitched(parts).select(F.col("artifact_id").alias("doc_id"), F.sha2("text", 256).alias("h"), "breaks")
+
+
+def _turns(spark: SparkSession, root: str) -> DataFrame:
+    """Each turn's words as lines, against those of the next turn."""
+    turns = table(spark, root, "conversations").select("conv_id", "turn", F.replace("text", F.lit(" "), F.lit("\n")).alias("text"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    return turns.join(after, ["conv_id", "turn"]).select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text", "next")
+
+
+@add("q10_certain_rows")
+def q10(spark: SparkSession, root: str) -> DataFrame:
+    return sequence.aligned_rows(_turns(spark, root), "id", "text", "next")
+
+
+@add("j19_line_correspondence")
+def j19(spark: SparkSession, root: str) -> DataFrame:
+    return sequence.corresponding_lines(_turns(spark, root), "id", "text", "next")
+
+
+@add(
+    "q14_edge_evidence",
+    r"""WITH w AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), e AS (SELECT doc_id, l[1] AS head, l[len(l)] AS tail FROM w)
+    SELECT doc_id, coalesce(doc_id % 2 = 0 OR (regexp_matches(head, '^\S') AND NOT regexp_matches(head, '^[)\]},;.]')), false) AS first_proved, coalesce((doc_id % 2 = 0 AND trim(regexp_replace(tail, '\s+', ' ', 'g')) = trim(regexp_replace(head, '\s+', ' ', 'g'))) OR regexp_matches(tail, '(?i)(?:[.)\]};]|(?:^|[ ;])end[;.a-z-]*)[ ;]*$'), false) AS last_proved FROM e""",
+)
+def q14(spark: SparkSession, root: str) -> DataFrame:
+    """The first lines of even documents are confirmed."""
+    docs = table(spark, root, "documents")
+    first = F.get(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), 0)
+    return sequence.edge_evidence(docs, docs.where("doc_id % 2 = 0").select("doc_id", first.alias("signature")))
+
+
 @add(
     "q4_merge_by_numbers",
     "WITH r AS (SELECT user_id, event_id % 20 AS n, event_type || (event_id % 3)::VARCHAR AS text, CASE event_id % 4 WHEN 0 THEN 5 WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS rank FROM events) SELECT user_id, n, arg_min(text, (-rank, text)) AS text FROM r GROUP BY ALL",

@@ -35,3 +35,21 @@ def st5(spark: SparkSession, root: str) -> DataFrame:
 def st_tumbling(spark: SparkSession, root: str) -> DataFrame:
     out = ev.run_to_end(ev.tumbling(_stream(spark, root)), "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"))
+
+
+@add("st2_near_frames")
+def st2(spark: SparkSession, root: str) -> DataFrame:
+    """The hash of a frame is that of its value in steps of ten, so equal steps are near duplicates."""
+    frames = _stream(spark, root).withColumn("value", F.xxhash64(F.floor(F.col("value") / 10)))
+    return ev.run_to_end(ev.kept_by_distance(frames, "user_id", "value"))
+
+
+@add("st4_queued_batches", "SELECT event_id FROM events")
+def st4(spark: SparkSession, root: str) -> DataFrame:
+    return ev.queued(_stream(spark, root).select("event_id"), "event_id").select("event_id")
+
+
+@add("st8_resumed_run", "SELECT event_id FROM events")
+def st8(spark: SparkSession, root: str) -> DataFrame:
+    """The run is interrupted behind its first batch's rows and started again: every row comes once."""
+    return ev.queued(_stream(spark, root).select("event_id"), "event_id", resume_after=0).select("event_id")

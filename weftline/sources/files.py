@@ -92,3 +92,17 @@ def name_variants(files: DataFrame, name: str) -> DataFrame:
 def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     """K5, K4: swap only the partitions that `df` has; readers see the old or the new files."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def appended_log(rows: DataFrame, path: str) -> None:
+    """K6: rows added to a JSON-lines log; earlier files are not touched."""
+    rows.write.mode("append").json(path)
+
+
+def listed(spark: SparkSession, folder: str, cache: DataFrame | None = None) -> DataFrame:
+    """(name, modified, size, fresh) of the files of a folder; `fresh` marks those whose (modified, size) differ from the cache's."""
+    files = spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
+    if cache is None:
+        return files.withColumn("fresh", F.lit(True))
+    known = cache.select("name", F.struct("modified", "size").alias("seen"))
+    return files.join(known, "name", "left").select("name", "modified", "size", (~F.struct("modified", "size").eqNullSafe(F.col("seen"))).alias("fresh"))

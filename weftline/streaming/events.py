@@ -66,6 +66,57 @@ def changed(events: DataFrame, key: str, value: str, share: float = 0.003) -> Da
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long, value double, rejected long", "last double, rejected long", "append", GroupStateTimeout.NoTimeout)
 
 
+def kept_by_distance(frames_: DataFrame, key: str, value: str, least: int = 4) -> DataFrame:
+    """ST2: rows whose 64-bit hash differs in at least `least` bits from the last kept one of the key (distance 3 or less is a near duplicate)."""
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else None
+        out = []
+        for frame in frames:
+            for row in frame.sort_values(["ts", "event_id"], kind="stable").itertuples(index=False):
+                if last is None or bin((row.value ^ last) & 0xFFFFFFFFFFFFFFFF).count("1") >= least:
+                    last = int(row.value)
+                    out.append((k[0], row.event_id))
+        state.update((last,))
+        yield pd.DataFrame(out, columns=[key, "event_id"])
+
+    kind = frames_.schema[key].dataType.simpleString()
+    rows = frames_.select(key, "event_id", "ts", F.col(value).cast("long").alias("value"))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def queued(stream: DataFrame, key: str, resume_after: int | None = None) -> DataFrame:
+    """ST4, ST8, ST6: items appended by micro-batches to a JSON-lines log; a batch that is retried writes nothing twice.
+
+    Each batch goes to a folder named by its number, replaced as a whole, so a repeated batch is the
+    same batch. With `resume_after` the query is stopped by a failure in that batch and started again on
+    its commit log, which is how an interrupted run goes on.
+    """
+    spark = stream.sparkSession
+    base = f"{run_folder(spark)}/queue-{uuid.uuid4().hex}"
+    failed: list[int] = []
+
+    def take(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").json(f"{base}/rows/batch_no={number}")
+        if number == resume_after and not failed:
+            failed.append(number)
+            raise RuntimeError("interrupted after the rows were written and before the batch was committed")
+
+    def run() -> None:
+        stream.writeStream.foreachBatch(take).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+
+    if resume_after is None:
+        run()
+    else:
+        try:
+            run()
+        except Exception:
+            if not failed:
+                raise
+            run()
+    return spark.read.schema(f"{key} long, batch int").json(f"{base}/rows")
+
+
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Drive a stream over all that is there now into a written table; micro-batches and their commit log are Spark's own (ST4, ST8)."""
     spark = stream.sparkSession
