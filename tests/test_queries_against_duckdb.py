@@ -31,6 +31,8 @@ def duck():
 @pytest.mark.parametrize("name", sorted(registry.queries))
 def test_query(spark, duck, name):
     frame = registry.queries[name](spark, ROOT)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().sparkPlan().toString()
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan
     rows = frame.collect()
     if name not in registry.twins:
         assert len(frame.columns) == len(set(frame.columns))

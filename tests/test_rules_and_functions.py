@@ -116,3 +116,17 @@ def test_fuzzy_lines_meet_all_parts(spark):
     want = {(a, b) for a in lines if a % 20 == 0 for b in lines if a != b and digits[a] == digits[b] and alike(a, b)}
     got = [(r.a, r.b) for r in matching.j13(spark, root).collect()]
     assert len(got) == len(set(got)) and set(got) == want and any(b % 20 != 1 for _, b in want)
+
+
+def test_best_windows_are_exact_with_common_words(spark):
+    import random
+
+    from weftline.operators import reports
+
+    rnd = random.Random(3)
+    words = [f"rare{i}" for i in range(60)] + ["common", "often", "every"]
+    text = lambda: " ".join(rnd.choices(words, k=4) + rnd.choices(words[-3:], k=2))
+    items = spark.createDataFrame([(i, text()) for i in range(60)], "item long, text string")
+    windows = spark.createDataFrame([(i, text()) for i in range(40)], "win_id long, text string")
+    answers = [sorted(map(tuple, reports.assigned(items, windows, "item", "win_id", "text", 2, common).collect())) for common in (1, 5, 10_000)]
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) > 60

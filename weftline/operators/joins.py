@@ -48,8 +48,8 @@ def longest_prefix(left: DataFrame, right: DataFrame, value: str, prefix: str, r
     The value's own prefixes, of the lengths that occur in the table, are joined by equality; so
     the table may be large.
     """
-    lengths = right.select(F.length(prefix).alias("n")).distinct().agg(F.sort_array(F.collect_list("n"), asc=False).alias("lengths"))  # one number per length
-    spelled = left.select(value).distinct().join(F.broadcast(lengths)).select(value, F.explode(F.filter("lengths", lambda n: n <= F.length(F.col(value)))).alias("n"))
+    lengths = right.select(F.length(prefix).alias("n")).distinct().agg(F.sort_array(F.collect_list("n"), asc=False).alias("lengths"), F.lit(1).alias("__one"))  # one row, one number per length
+    spelled = left.select(value, F.lit(1).alias("__one")).distinct().join(F.broadcast(lengths), "__one").select(value, F.explode(F.filter("lengths", lambda n: n <= F.length(F.col(value)))).alias("n"))
     met = spelled.select(value, F.expr(f"left({value}, n)").alias("__p"), "n").join(right.withColumnRenamed(prefix, "__p"), "__p")
     best = met.groupBy(value).agg(F.max(F.struct("n", F.col(result).alias("r"))).alias("b")).select(value, F.col("b.r").alias(result))
     return left.join(best, value, "left")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.joins import tokens
+from weftline.staging import stage
 
 
 def labelled_elsewhere(labels: DataFrame, pages: DataFrame, key: str, html: str, least: int = 3, share: float = 0.75) -> DataFrame:
@@ -38,10 +39,29 @@ def level_parents(rows: DataFrame, by: str, order: str, level: str, most_levels:
     return seen.select(by, order, F.array_max(F.slice("__last", F.lit(1), F.greatest(F.lit(0), F.col(level) - 1))).alias("parent"))
 
 
-def assigned(items: DataFrame, windows: DataFrame, item: str, window: str, text: str, k: int) -> DataFrame:
-    """The k windows that share the rarest words with an item; weights are integers, so sums do not depend on order."""
-    words = windows.select(window, F.explode(tokens(F.col(text))).alias("tok"))
-    asked = items.select(item, F.explode(tokens(F.col(text))).alias("tok"))
-    rarity = words.join(asked.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.floor(1_000_000 / F.count("*")).alias("w"))
-    scored = asked.join(rarity, "tok").join(words, "tok").groupBy(item, window).agg(F.sum("w").alias("score"))
-    return scored.withColumn("__k", F.row_number().over(W.partitionBy(item).orderBy(F.desc("score"), window))).where(F.col("__k") <= k).drop("__k")
+def assigned(items: DataFrame, windows: DataFrame, item: str, window: str, text: str, k: int, common: int = 1024) -> DataFrame:
+    """The k windows that share the rarest words with an item; weights are integers, so sums do not depend on order.
+
+    Exact in two steps. Words of more than `common` windows weigh next to nothing and would bring every
+    item to every window, so items first meet windows by their rarer words alone. An item's k-th best
+    score there is a floor; what all its common words together can add is a bound. Where they
+    cannot change the order, only the windows already met are scored in full; the other items (those
+    with few rare words) meet all their windows.
+    """
+    words = windows.select(F.col(window).alias("win"), F.explode(tokens(F.col(text))).alias("tok"))
+    asked = items.select(F.col(item).alias("it"), F.explode(tokens(F.col(text))).alias("tok"))
+    rarity = words.join(asked.select("tok").distinct(), "tok", "left_semi").groupBy("tok").agg(F.floor(1_000_000 / F.count("*")).alias("w"), F.count("*").alias("n"))
+    weighed = stage(asked.join(rarity, "tok"), "weighed")
+    rare = F.col("n") <= common
+    by_rare = stage(weighed.where(rare).join(words, "tok").groupBy("it", "win").agg(F.sum("w").alias("score")), "rare")
+    extra = weighed.groupBy("it").agg(F.coalesce(F.sum(F.when(~rare, F.col("w"))), F.lit(0)).alias("more"))
+    order = W.partitionBy("it").orderBy(F.desc("score"), "win")
+    kth = by_rare.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("it", F.col("score").alias("floor"))
+    sure = extra.join(kth, "it").where((F.col("more") == 0) | (F.col("floor") > F.col("more")))
+    # A window that shares no rare word scores at most `more`, so it is not among the k best of a sure item.
+    candidates = by_rare.join(sure.select("it"), "it", "left_semi")
+    added = candidates.select("it", "win").join(weighed.where(~rare).select("it", "tok", "w"), "it").join(words, ["tok", "win"]).groupBy("it", "win").agg(F.sum("w").alias("plus"))
+    full = candidates.join(added, ["it", "win"], "left").select("it", "win", (F.col("score") + F.coalesce("plus", F.lit(0))).alias("score"))
+    rest = weighed.join(sure.select("it"), "it", "left_anti").join(words, "tok").groupBy("it", "win").agg(F.sum("w").alias("score"))
+    best = full.unionByName(rest).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    return best.select(F.col("it").alias(item), F.col("win").alias(window), "score")

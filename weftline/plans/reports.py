@@ -86,8 +86,8 @@ def n7(spark: SparkSession, root: str) -> DataFrame:
 def n8(spark: SparkSession, root: str) -> DataFrame:
     kind = F.when(F.col("o_orderstatus") == "P", "flow").when(F.col("o_orderpriority") == "1-URGENT", "conflict").when(F.col("o_totalprice") > 200000, "debt").otherwise("agreement")
     rows = table(spark, root, "orders").select("o_orderkey", "o_totalprice", kind.alias("class"))
-    first = rows.where("class = 'flow'").agg(F.min("o_orderkey").alias("first"))
-    kept = rows.join(F.broadcast(first)).where("class <> 'flow' OR o_orderkey = first")  # one row
+    first = rows.where("class = 'flow'").agg(F.min("o_orderkey").alias("first"), F.lit(1).alias("one"))
+    kept = rows.withColumn("one", F.lit(1)).join(F.broadcast(first), "one").where("class <> 'flow' OR o_orderkey = first")  # one row
     return kept.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(16).select("o_orderkey", "class")
 
 
