@@ -138,7 +138,7 @@ def contained_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return both.where(F.contains(edged(F.col("whole")), edged(F.col("part")))).select("held", "holder")
 
 
-def drift_pairs(cells: DataFrame, owner: str, name: str, value: str, least: int = 3, share: float = 0.5, blocks: int = 16) -> DataFrame:
+def drift_pairs(cells: DataFrame, owner: str, name: str, value: str, least: int = 3, share: float = 0.5, blocks: int = 8) -> DataFrame:
     """Pairs of owners that hold at least `least` names with different values, and those are at least `share` of the common names.
 
     Owners with fewer than `least` names are in no pair. Owners are dealt to `blocks` blocks, and the
