@@ -103,6 +103,21 @@ def redacted(text: Column, terms: dict[str, str]) -> Column:
     return text
 
 
+def delivered(text: Column, terms: tuple[str, ...], short: str = "CLIENT") -> Column:
+    """Stated names replaced by `short`, the longest first, spaced or joined by underscores, unless a letter stands before.
+
+    Names of several words match in any case, single words as stated. Characters that XML forbids go
+    (vertical tabs and form feeds become spaces), then doubled underscores and those before an ending.
+    `terms` is the short list of the settings.
+    """
+    text = F.regexp_replace(F.translate(text, "\x0b\x0c", "  "), r"[\x00-\x08\x0e-\x1f\uFFFE\uFFFF]", "")
+    cleaned = text
+    for term in sorted({t.strip() for t in terms} - {""}, key=lambda t: (-len(t), t)):
+        for spelled in sorted({term, term.replace(" ", "_")}):
+            cleaned = F.regexp_replace(cleaned, ("(?i)" if " " in spelled else "") + "(?<![A-Za-z])\\Q" + spelled + "\\E", short.replace("\\", "\\\\").replace("$", "\\$"))
+    return F.regexp_replace(F.regexp_replace(cleaned, r"_+(?=\.[A-Za-z0-9]+\b)", ""), "__+", "_") if terms else text
+
+
 def slug(name: Column) -> Column:
     """lower case, runs of other characters as one hyphen."""
     return F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), F.lit("-"))

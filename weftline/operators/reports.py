@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.joins import tokens
+from weftline.operators.lines import islands
 from weftline.staging import stage
 
 
@@ -65,3 +66,38 @@ def assigned(items: DataFrame, windows: DataFrame, item: str, window: str, text:
     rest = weighed.join(sure.select("it"), "it", "left_anti").join(words, "tok").groupBy("it", "win").agg(F.sum("w").alias("score"))
     best = full.unionByName(rest).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     return best.select(F.col("it").alias(item), F.col("win").alias(window), "score")
+
+
+# Doubts about drawing only, and doubts that ask for another capture.
+STYLE_ONLY = ("glyph", "banner", "debris", "prose")
+RESCAN = ("cut", "break", "rows", "mismatch", "partial", "model")
+
+
+def capture_quality(docs: DataFrame, flags: DataFrame, concerns: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, status, issues array<struct<kind, lines>>, bad_lines array<int>) of each document.
+
+    `docs` has key, text, verified, exact; `flags` key, line, kind, literal; `concerns` key, line. Joins and
+    edits count as mismatch, a mismatch inside a literal as prose; lines that show the cut mark are `cut`, a
+    concern is `model`. Exact documents are good whatever is said of them. Ranges are written low-high;
+    an issue without lines has none. Flags without a document give nothing.
+    """
+    kind = F.when(F.col("kind").isin("wrapped", "edited"), "mismatch").otherwise(F.col("kind"))
+    kind = F.when((kind == "mismatch") & F.coalesce("literal", F.lit(False)), "prose").otherwise(kind)
+    cut = docs.select(key, F.posexplode(F.split(text, "\n"))).where(F.contains("col", F.lit("[CUT OFF]"))).select(key, (F.col("pos") + 1).alias("line"), F.lit("cut").alias("kind"))
+    said = concerns.select(key, F.col("line").cast("int").alias("line"), F.lit("model").alias("kind"))
+    every = flags.select(key, F.col("line").cast("int").alias("line"), kind.alias("kind")).unionByName(cut).unionByName(said)
+    runs = islands(every.where("line > 0"), [key, "kind"], "line")
+    spelled = F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string")))
+    ranges = F.array_sort(F.collect_list(F.struct("low", spelled.alias("range"))))
+    lines = runs.groupBy(key, "kind").agg(F.array_join(F.transform(ranges, lambda r: r["range"]), ",").alias("lines"))
+    issues = every.select(key, "kind").distinct().join(lines, [key, "kind"], "left")
+    issues = issues.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("kind", F.coalesce("lines", F.lit("")).alias("lines")))).alias("issues"))
+    of = docs.select(key, "verified", "exact", F.size(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n_lines"))
+    doubted = every.where(~F.col("kind").isin(*STYLE_ONLY) & (F.col("line") > 0)).join(of.select(key, "n_lines"), key).where("kind <> 'model' OR line <= n_lines")
+    bad = doubted.groupBy(key).agg(F.array_sort(F.collect_set("line")).alias("bad_lines"))
+    found = of.join(issues, key, "left").join(bad, key, "left")
+    rescan = F.arrays_overlap(F.coalesce(F.col("issues.kind"), F.array()), F.array(*[F.lit(k) for k in RESCAN]))
+    exact = F.coalesce("exact", F.lit(False))
+    status = F.when(exact, "good").when(rescan, "rescan").when(~F.coalesce("verified", F.lit(False)), "unchecked").otherwise("good")
+    unless_exact = lambda c, kind: F.when(exact | F.col(c).isNull(), F.array().cast(kind)).otherwise(F.col(c)).alias(c)
+    return found.select(key, status.alias("status"), unless_exact("issues", "array<struct<kind:string,lines:string>>"), unless_exact("bad_lines", "array<int>"))
