@@ -7,8 +7,8 @@ A literal U+2581 in a text is the marker itself, so it is cut like a space.
 
 The table of distinct chunks is kept per task, bounded by `TABLE_ROWS`, and filled per Arrow batch
 with one call for all chunks that are new. A table for the whole corpus would have to shuffle each
-occurrence of each word, some twenty times the text; the task's table gives the same ids, as the
-ids of a chunk depend on nothing else.
+distinct chunk of each document there and back, measured at 2.3 times the input each way; the
+task's table gives the same ids, as the ids of a chunk depend on nothing else.
 
 Edge cases: a null or empty text has no ids and decodes to the empty text. White space is kept by
 the model (no trimming, no collapsing), tabs and line ends stay inside their chunk. Chunks longer
