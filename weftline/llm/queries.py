@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import exact_dedup, licences, mixing, quality_model, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, token_shards
+from weftline.llm import conversation_trie, exact_dedup, hard_negatives, licences, mixing, personal_data, quality_model, quality_rules, secret_scan, sentencepiece_codec, sharding, simhash, token_shards
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -102,3 +102,49 @@ def op9_quality_model(spark: SparkSession, root: str) -> DataFrame:
 @registry.add("op10_sentencepiece")
 def op10_sentencepiece(spark: SparkSession, root: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, root, "documents"), read_bytes(tokenizer_file("piece_bpe_32k.model")))
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+     s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+     p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score QUALIFY rank <= 10
+"""
+
+
+@registry.add("op11_hard_negatives", OP11_SQL)
+def op11_hard_negatives(spark: SparkSession, root: str) -> DataFrame:
+    vectors = table(spark, root, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.prepared(vectors.select("vec_id", "embedding", label.alias("label"))))
+
+
+@registry.add("op12_personal_data")
+def op12_personal_data(spark: SparkSession, root: str) -> DataFrame:
+    found = personal_data.find_personal_data(table(spark, root, "documents"))
+    counts = [personal_data.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in personal_data.BASE]
+    return found.select("doc_id", *counts, F.sha2(personal_data.spelled(F.col("base")), 256).alias("base_sha256"), personal_data.spelled(F.col("spans")).alias("spans"))
+
+
+OP13_SQL = """
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM conversations WHERE conv_id IS NOT NULL),
+     o AS (SELECT conv_id, list({'r': role, 't': text} ORDER BY place) AS turns FROM t GROUP BY conv_id),
+     h AS (SELECT *, (list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+                lambda crc, b: list_reduce(list_prepend(xor(crc, b), [1, 2, 3, 4, 5, 6, 7, 8]::BIGINT[]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))) .xor(4294967295)) % 9 AS h FROM o),
+     r AS (SELECT c.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, c.h), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns FROM h c LEFT JOIN h b ON b.conv_id = c.conv_id - c.conv_id % 5),
+     p AS (SELECT conv_id, d, sha256(to_json(list_slice(turns, 1, d))::VARCHAR) AS k, CASE WHEN d > 0 THEN sha256(to_json(list_slice(turns, 1, d - 1))::VARCHAR) END AS pk, coalesce(strlen(turns[d].t), 0) AS b, d = len(turns) AS ends
+           FROM r, LATERAL (SELECT unnest(range(0, len(turns) + 1)) AS d)),
+     n AS (SELECT d, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n, any_value(b) AS b, sha256(coalesce(string_agg(conv_id, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM p GROUP BY d, k),
+     c AS (SELECT d - 1 AS d, pk AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+     w AS (SELECT DISTINCT a.d AS top_d, a.k AS top_k, b.d, b.k FROM p a JOIN p b ON a.conv_id = b.conv_id AND a.d <= b.d),
+     s AS (SELECT top_d AS d, top_k AS k, sum((n.n - 1) * n.b)::BIGINT AS saved_tokens, (count(*) - count(c.n_children))::BIGINT AS n_leaves FROM w JOIN n ON w.d = n.d AND w.k = n.k LEFT JOIN c ON w.d = c.d AND w.k = c.k GROUP BY top_d, top_k)
+SELECT n.conv_id, n.d AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s USING (d, k) LEFT JOIN c USING (d, k) LEFT JOIN n q ON q.d = n.d - 1 AND q.k = n.pk
+"""
+
+
+@registry.add("op13_conversation_trie", OP13_SQL)
+def op13_conversation_trie(spark: SparkSession, root: str) -> DataFrame:
+    return conversation_trie.trie(*conversation_trie.rebuilt(conversation_trie.numbered_turns(table(spark, root, "conversations"))))
