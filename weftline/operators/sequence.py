@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from weftline.operators.lines import carried_down
 # How far a line's reading is to be trusted.
 RANK = {"verified": 5, "reread": 5, "confirmed": 4, "joined": 3, "unchecked": 2, "edited": 2, "mismatch": 1, "rows": 1, "wrapped": 1, "cut": 0}
 LONGEST_OVERLAP, LINE_LIKE, MEAN_LIKE, MOST_TRIMMED = 60, 0.7, 0.8, 2
+#: Rows that two fragments must share for a seam.
+SEAM = 3
 
 
 def rank_of(status: Column) -> Column:
@@ -57,123 +61,284 @@ def line_likeness(x: str, y: str) -> float:
 
 
 class Stitcher:
-    """Q2, Q3: the text so far, its lines as keys, and where each key stands, so that no step reads the whole text again."""
+    """Q2, Q3: the text so far, its lines as keys, where each key stands, and which rows the latest fragment took.
 
-    def __init__(self) -> None:
+    A fragment is expected to overlap the one before it. It may lie at any place where it has `SEAM`
+    rows or more in common with that one and agrees with every row of the text that it covers. With
+    one such place, that is it. With several, as where rows repeat, no text can tell which is true: the
+    artifact's usual advance decides, if it is among them, else the place that adds most rows, so that none
+    is lost; such a seam counts as ambiguous. Rows that differ at a shared place are conflicts.
+    """
+
+    def __init__(self, usual: int | None = None) -> None:
         self.lines: list[str] = []
         self.keys: list[str] = []
+        self.ranks: list[int] = []
         self.at: dict[str, list[int]] = {}
         self.shift = 0  # positions in `at` count from here, so that lines put in front move nothing
+        self.usual = usual
+        self.span = (0, 0)
+        self.gaps: list[int] = []  # where a break stands, counted like `at`
+        self.ambiguous = 0
+        self.conflicts: list[tuple[str, str]] = []
 
-    def _push(self, lines: list[str]) -> None:
+    def _push(self, lines: list[str], ranks: list[int] | None = None) -> None:
         for line in lines:
-            key = " ".join(line.split())
+            key = _key(line)
             self.at.setdefault(key, []).append(len(self.keys) + self.shift)
             self.lines.append(line)
             self.keys.append(key)
+        self.ranks += ranks or [0] * len(lines)
 
     def _pop(self, n: int) -> None:
         for _ in range(n):
             self.at[self.keys.pop()].pop()
             self.lines.pop()
+            self.ranks.pop()
+
+    def _put_before(self, lines: list[str], ranks: list[int]) -> None:
+        keys = [_key(line) for line in lines]
+        self.shift -= len(lines)
+        found: dict[str, list[int]] = {}
+        for i, key in enumerate(keys):
+            found.setdefault(key, []).append(self.shift + i)
+        for key, places in found.items():
+            self.at[key] = places + self.at.get(key, [])
+        self.lines[:0], self.keys[:0], self.ranks[:0] = lines, keys, ranks
+
+    def _insert(self, at: int, lines: list[str], ranks: list[int]) -> None:
+        self.lines[at:at], self.keys[at:at], self.ranks[at:at] = lines, [_key(x) for x in lines], ranks
+        self.gaps = [g + len(lines) * (g - self.shift > at) for g in self.gaps]
+        self.at = {}
+        for i, key in enumerate(self.keys):
+            self.at.setdefault(key, []).append(i + self.shift)
+
+    def _agrees(self, new: list[str], offset: int) -> bool:
+        low, high = max(0, offset), min(len(self.keys), offset + len(new))
+        return self.keys[low] == new[low - offset] and self.keys[low:high] == new[low - offset : high - offset]
+
+    def places(self, new: list[str], span: tuple[int, int]) -> list[int]:
+        """All offsets at which `new` shares SEAM rows with `span`, or lies inside it, and agrees with all rows it covers."""
+        (start, end), n = span, len(new)
+        least = min(SEAM, n) if n < SEAM else SEAM
+        offsets = range(start - n + least, end - least + 1) if n >= SEAM else range(start, end - n + 1)
+        return [o for o in offsets if self._agrees(new, o)]
+
+    def _telling(self, new: list[str], pairs: list[tuple[int, int]]) -> int:
+        """How many of the (row of the text, row of the fragment) pairs are of rows that both have once."""
+        counts = Counter(new)
+        return sum(new[j] != "" and counts[new[j]] == 1 and len(self.at.get(new[j], ())) == 1 for _, j in pairs)
+
+    def _trimmed(self, new: list[str]) -> tuple[int, int, int, int] | None:
+        """(telling rows, offset, cut, drop) of a seam that lets go of a few doubtful rows at the end of the text or the start of the fragment; fewest of them first, then most telling rows."""
+        keys, options = self.keys, []
+        for cut in range(MOST_TRIMMED + 1):
+            for drop in range(MOST_TRIMMED + 1):
+                end, head = len(keys) - cut, new[drop:]
+                for k in range(min(len(head), end - self.span[0]), SEAM - 1, -1) if cut or drop else ():
+                    if keys[end - k] == head[0] and keys[end - k : end] == head[:k] and any(head[:k]):
+                        telling = self._telling(new, [(end - k + i, drop + i) for i in range(k)])
+                        options.append((-(cut + drop), telling, k, end - k - drop, cut, drop))
+        if not options:
+            return None
+        _, telling, _, offset, cut, drop = max(options)
+        return telling, offset, cut, drop
 
-    def _put_before(self, lines: list[str]) -> None:
-        for line in reversed(lines):
-            key = " ".join(line.split())
-            self.shift -= 1
-            self.at.setdefault(key, []).insert(0, self.shift)
-            self.lines.insert(0, line)
-            self.keys.insert(0, key)
-
-    def _holds(self, new: list[str]) -> bool:
+    def _alike(self, new: list[str]) -> int | None:
+        """The offset of the longest seam at the end of the text whose rows are alike, each and on average."""
+        keys = self.keys
+        for k in range(min(LONGEST_OVERLAP, len(keys) - self.span[0], len(new)), SEAM - 1, -1):
+            likeness = []
+            for a, b in zip(keys[-k:], new[:k], strict=True):
+                value = line_likeness(a, b)
+                if value < LINE_LIKE:
+                    break
+                likeness.append(value)
+            if len(likeness) == k and sum(likeness) / k >= MEAN_LIKE and sum(bool(x) for x in new[:k]) >= 2:
+                return len(keys) - k
+        return None
+
+    def _bridge(self, new: list[str]) -> tuple[int, int, int] | None:
+        """(row at which a break stands, rows before it, rows after it) where the fragment shows both sides of it."""
+        for gap in self.gaps:
+            at = gap - self.shift
+            before = next((i for i in range(min(at, len(new) - 2), 1, -1) if new[:i] == self.keys[at - i : at]), 0)
+            after = next((j for j in range(min(len(self.keys) - at, len(new) - before), 1, -1) if new[-j:] == self.keys[at : at + j]), 0)
+            if before and after:
+                return at, before, after
+        return None
+
+    def _standing(self, new: list[str]) -> list[int]:
+        """Where the whole fragment stands in the text."""
         rarest = min(range(len(new)), key=lambda i: (len(self.at.get(new[i], ())), i))
         starts = (p - self.shift - rarest for p in self.at.get(new[rarest], ()))
-        return any(s >= 0 and self.keys[s : s + len(new)] == new for s in starts)
+        return [s for s in starts if s >= 0 and self.keys[s : s + len(new)] == new]
+
+    def _goes_on(self, new: list[str], following: list[str], start: int) -> bool:
+        """False where the following fragment continues this one, but not the text at the place where this one stands: then it is another copy."""
+        alone = Stitcher()
+        alone._append(new, [0] * len(new))
+        return not alone.places(following, alone.span) or bool(self.places(following, (start, start + len(new))))
 
-    def _offset(self, new: list[str]) -> int | None:
+    def _anchor(self, new: list[str]) -> int | None:
         """Where the fragment begins by the rows that both have once: three or more that agree on it, and most of all such rows."""
-        counts: dict[str, int] = {}
-        for key in new:
-            counts[key] = counts.get(key, 0) + 1
-        votes: dict[int, int] = {}
-        for i, key in enumerate(new):
-            if key and counts[key] == 1 and len(self.at.get(key, ())) == 1:
-                offset = self.at[key][0] - self.shift - i
-                votes[offset] = votes.get(offset, 0) + 1
+        counts = Counter(new)
+        votes = Counter(self.at[key][0] - self.shift - i for i, key in enumerate(new) if key and counts[key] == 1 and len(self.at.get(key, ())) == 1)
         if not votes:
             return None
         best = max(votes, key=lambda o: (votes[o], -abs(o)))
         return best if votes[best] >= 3 and 2 * votes[best] > sum(votes.values()) else None
 
-    def add(self, incoming: list[str]) -> str:
-        """Join one fragment and say how: first, blank, contained, exact, trimmed, prepended, alike, anchored or break.
+    def _place(self, incoming: list[str], ranks: list[int], offset: int, drop: int = 0) -> None:
+        """Lay the fragment at an offset. Of two readings of a row the higher rank stays, the text's among equals; readings that differ are a conflict."""
+        n, front = len(incoming), max(0, -offset)
+        for j in range(drop, n):
+            i = offset + j
+            if 0 <= i < len(self.lines):
+                other = _key(incoming[j])
+                if other != self.keys[i]:
+                    better = ranks[j] > self.ranks[i]
+                    self.conflicts.append((incoming[j], self.lines[i]) if better else (self.lines[i], incoming[j]))
+                    if better:
+                        self.at[self.keys[i]].remove(i + self.shift)
+                        insort(self.at.setdefault(other, []), i + self.shift)
+                        self.keys[i] = other
+                if ranks[j] > self.ranks[i]:
+                    self.lines[i], self.ranks[i] = incoming[j], ranks[j]
+        beyond = len(self.lines) - offset
+        if beyond < n:
+            self._push(incoming[beyond:], ranks[beyond:])
+        if front:
+            self._put_before(incoming[:front], ranks[:front])
+        self.span = (offset + front, offset + front + n)
+
+    def _append(self, incoming: list[str], ranks: list[int]) -> str:
+        if self.lines:
+            self.gaps.append(len(self.lines) + self.shift)
+        self._push(incoming, ranks)
+        self.span = (len(self.lines) - len(incoming), len(self.lines))
+        return "break"
+
+    def add(self, incoming: list[str], following: list[str] | None = None, ranks: list[int] | None = None) -> str:
+        """Join one fragment and say how: first, blank, contained, exact, prepended, ambiguous, bridged, trimmed, alike, anchored or break.
 
-        A tail of k lines counts when each pair of lines is alike and so is their mean; up to two
-        doubtful rows at the seam are let go. Exact seams come before alike ones; where the text
-        begins with the fragment's tail the fragment goes in front; a fragment that shares rows
-        which both have once is placed by them; and what has no place follows after a break.
+        One that adds nothing at its place, while the `following` fragment continues it but not the text
+        there, is another copy and follows after a break. Without an exact place beside the fragment before it, a fragment may show both sides of an earlier
+        break, let go of up to two doubtful rows at the seam, or read alike. One that stands as a whole
+        elsewhere in the text is a look back only if the `following` fragment goes on from there; else it
+        is a block that repeats, and follows after a break. Rows that both have once may place it.
+        What has no place follows after a break.
         """
+        ranks = list(ranks) if ranks is not None and len(ranks) == len(incoming) else [0] * len(incoming)
+        if incoming == [""]:
+            return "blank"
         if not self.lines:
-            self._push(incoming)
+            self._append(incoming, ranks)
             return "first"
-        new = [" ".join(x.split()) for x in incoming]
-        if not any(new):
-            return "blank"
-        if self._holds(new):
-            return "contained"
-        keys = self.keys
-        for cut in range(MOST_TRIMMED + 1):  # doubtful rows at the end of the text
-            end = len(keys) - cut
-            for drop in range(MOST_TRIMMED + 1):  # doubtful rows at the start of the fragment
-                head = new[drop:]
-                for k in range(min(LONGEST_OVERLAP, end, len(head)), 2, -1):
-                    if keys[end - k] == head[0] and keys[end - k : end] == head[:k] and any(head[:k]):
-                        self._pop(cut)
-                        self._push(incoming[drop + k :])
-                        return "exact" if not cut and not drop else "trimmed"
-        for k in range(min(LONGEST_OVERLAP, len(keys), len(new)), 2, -1):
-            if new[-k:] == keys[:k] and any(keys[:k]):
-                self._put_before(incoming[: len(new) - k])
-                return "prepended"
-        for k in range(min(LONGEST_OVERLAP, len(keys), len(new)), 2, -1):
-            likeness = []
-            for a, b in zip(keys[-k:], new[:k], strict=True):
-                value = line_likeness(a, b)
-                if value < LINE_LIKE:
-                    break
-                likeness.append(value)
-            if len(likeness) == k and sum(likeness) / k >= MEAN_LIKE and sum(bool(x) for x in new[:k]) >= 2:
-                self._push(incoming[k:])
-                return "alike"
-        offset = self._offset(new)
+        new = [_key(x) for x in incoming]
+        found = self.places(new, self.span)
+        at_end = self.span[1] == len(self.lines)
+        if found:
+            offset, how = found[0], "exact"
+            covered = [(i, i - offset) for i in range(max(0, offset), min(len(self.keys), offset + len(new)))]
+            if len(found) == 1 and at_end and not self._telling(new, covered):
+                better = self._trimmed(new)  # a seam of common rows alone gives way to a longer one of telling rows
+                if better and better[0] >= SEAM:
+                    found = []
+            if len(found) > 1:
+                self.ambiguous += 1
+                expected = None if self.usual is None else self.span[0] + self.usual
+                offset, how = (expected, "ambiguous") if expected in found else (max(found, key=lambda o: (max(0, -o) + max(0, o + len(new) - len(self.keys)), o)), "ambiguous")
+            if found:
+                if how == "exact" and offset < 0:
+                    how = "prepended"
+                elif how == "exact" and offset + len(new) <= len(self.lines):
+                    how = "contained"
+                    if following and not self._goes_on(new, [_key(x) for x in following], offset):
+                        return self._append(incoming, ranks)
+                self._place(incoming, ranks, offset)
+                return how
+        bridge = self._bridge(new)
+        if bridge:
+            at, before, after = bridge
+            self.gaps.remove(at + self.shift)
+            self._insert(at, incoming[before : len(new) - after], ranks[before : len(new) - after])
+            moved = (len(new) - before - after) * (self.span[0] >= at)  # the next fragment is expected where it was
+            self.span = (self.span[0] + moved, self.span[1] + moved)
+            return "bridged"
+        trimmed = self._trimmed(new) if at_end else None
+        if trimmed:
+            _, offset, cut, drop = trimmed
+            for i in range(len(self.lines) - cut, len(self.lines)):
+                if i - offset < len(new):
+                    self.conflicts.append((incoming[i - offset], self.lines[i]))
+            self.conflicts += [(self.lines[offset + j], incoming[j]) for j in range(drop) if 0 <= offset + j < len(self.lines)]
+            if len(self.lines) - cut - offset < len(new):
+                self._pop(cut)
+            self._place(incoming, ranks, offset, drop)
+            return "trimmed"
+        alike = self._alike(new) if at_end else None
+        if alike is not None:
+            self._place(incoming, ranks, alike)
+            return "alike"
+        for start in self._standing(new):
+            after = [_key(x) for x in following or []]
+            if after and self.places(after, (start, start + len(new))):
+                self.span = (start, start + len(new))
+                return "contained"
+            return self._append(incoming, ranks)
+        offset = self._anchor(new)
         if offset is not None:
-            beyond = len(keys) - offset
-            self._push(incoming[beyond:] if beyond < len(new) else [])
-            self._put_before(incoming[: max(0, -offset)])
+            self._place(incoming, ranks, offset)
             return "anchored"
-        self._push(incoming)
-        return "break"
+        return self._append(incoming, ranks)
+
+
+def _key(line: str) -> str:
+    return " ".join(line.split())
+
+
+def usual_advance(pieces: list[list[str]]) -> int | None:
+    """By how many rows fragments most often move on from the one before, of those whose seam is certain; the smallest of equals."""
+    found: Counter[int] = Counter()
+    for a, b in zip(pieces, pieces[1:], strict=False):
+        pair = Stitcher()
+        pair._append(a, [0] * len(a))
+        places = pair.places([_key(x) for x in b], pair.span)
+        if len(places) == 1:
+            found[places[0]] += 1
+    return min(found, key=lambda o: (-found[o], abs(o), o)) if found else None
 
 
 def stitch_two(merged: list[str], incoming: list[str]) -> tuple[list[str], str]:
     """Q2: two texts as one, and how they were joined."""
     stitcher = Stitcher()
-    stitcher._push(merged)
+    stitcher._append(merged, [0] * len(merged))
+    stitcher.gaps = []
     how = stitcher.add(incoming)
     return stitcher.lines, how
 
 
-def stitched(fragments: DataFrame, key: str = "artifact_id", order: str = "ord", text: str = "text") -> DataFrame:
-    """Q2, Q3, Q9: (key, text, breaks, joins): each artifact's fragments merged in order."""
+def stitched(fragments: DataFrame, key: str = "artifact_id", order: str = "ord", text: str = "text", ranks: str | None = None) -> DataFrame:
+    """Q2, Q3: (key, text, breaks, ambiguous, joins, conflicts): each artifact's fragments merged in order.
+
+    breaks counts fragments without a place, ambiguous those with several; conflicts lists the readings
+    (kept, other) that differ at a shared place. `ranks` names a column with a rank for each line.
+    """
+    result = f"{key} {fragments.schema[key].dataType.simpleString()}, text string, breaks long, ambiguous long, joins string, conflicts array<struct<kept:string,other:string>>"
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        stitcher = Stitcher()
-        pieces = group.sort_values([order, text], kind="stable")[text]
-        how = [stitcher.add(piece.split("\n")) for piece in pieces if piece is not None]
-        return pd.DataFrame({key: [group[key].iloc[0]], "text": ["\n".join(stitcher.lines)], "breaks": [how.count("break")], "joins": [",".join(how)]})
+        of = group[key].iloc[0]
+        group = group[group[text].notna()].sort_values([order, text], kind="stable")
+        pieces = [piece.split("\n") for piece in group[text]]
+        stitcher = Stitcher(usual_advance(pieces))
+        trust = list(group[ranks]) if ranks else [None] * len(pieces)
+        how = [stitcher.add(piece, after, rank) for piece, after, rank in zip(pieces, [*pieces[1:], None], trust, strict=False)]
+        conflicts = [{"kept": a, "other": b} for a, b in stitcher.conflicts]
+        found = ["\n".join(stitcher.lines), how.count("break"), stitcher.ambiguous, ",".join(how), conflicts]
+        return pd.DataFrame([[of, *found]], columns=[key, "text", "breaks", "ambiguous", "joins", "conflicts"])
 
-    kind = fragments.schema[key].dataType.simpleString()
-    return fragments.select(key, order, text).groupBy(key).applyInPandas(fold, f"{key} {kind}, text string, breaks long, joins string")
+    return fragments.select(key, order, text, *([ranks] if ranks else [])).groupBy(key).applyInPandas(fold, result)
 
 
 def merged_by_numbers(lines: DataFrame, key: str, n: str, text: str, status: str) -> tuple[DataFrame, DataFrame]:
@@ -191,9 +356,11 @@ def combined(pairs: DataFrame, key: str, first: str, second: str, first_ranks: s
 
     The alignment (Q1) gives blocks; everything else is decided per block by column expressions and
     put together in order. Lines that both have are agreed if indented alike. Where both have a
-    block, line by line the reading with the higher rank is kept (columns of ranks, one for each line;
-    the first reading without them and among equals), or the block with more text if they differ in
-    length; both are conflicts. A block that one reading alone has stays, unless it is a copy: it
+    line, the reading with the higher rank is kept (columns of ranks, one for each line; the first
+    reading without them and among equals); of blocks that differ in length the one with more text
+    is. Readings that differ are conflicts, and so are blocks inside the first reading that one
+    reading alone has (at its start or end the other may just begin later or end sooner). Such a
+    block stays, unless it is a copy: it
     stands twice in its own reading, or most of its longer lines stand in the other reading, away
     from the place where the block would be (as far as the block is long).
     """
@@ -218,12 +385,15 @@ def combined(pairs: DataFrame, key: str, first: str, second: str, first_ranks: s
     state = lambda line, name: F.struct(line.alias("line"), F.when(F.trim(line) == "", "").otherwise(name).alias("state"))
     indent = lambda line: F.length(line) - F.length(F.ltrim(line))
     written = lambda side: F.size(F.filter(side, lambda x: F.trim(x) != ""))
+    rank = lambda side, i: F.coalesce(F.get(side, i), F.lit(0))
+    better = lambda x, i: F.when(rank("ry", i) > rank("rx", i), F.get("ys", i)).otherwise(x)
+    inside = F.when((F.col("left_from") > 0) & (F.col("left_to") < F.size("a")), "conflict").otherwise("edge")
     kept = (
-        F.when(F.col("tag") == "equal", F.zip_with("xs", "ys", lambda x, y: state(x, F.when(indent(x) == indent(y), "agreed").otherwise("conflict"))))
+        F.when(F.col("tag") == "equal", F.transform("xs", lambda x, i: state(better(x, i), F.when(indent(x) == indent(F.get("ys", i)), "agreed").otherwise("conflict"))))
         .when(copy, F.array().cast("array<struct<line:string,state:string>>"))
-        .when(F.col("tag") == "delete", F.transform("xs", lambda x: state(x, F.lit("conflict"))))
-        .when(F.col("tag") == "insert", F.transform("ys", lambda y: state(y, F.lit("conflict"))))
-        .when(F.size("xs") == F.size("ys"), F.transform("xs", lambda x, i: state(F.when(F.coalesce(F.get("ry", i), F.lit(0)) > F.coalesce(F.get("rx", i), F.lit(0)), F.get("ys", i)).otherwise(x), F.lit("conflict"))))
+        .when(F.col("tag") == "delete", F.transform("xs", lambda x: state(x, inside)))
+        .when(F.col("tag") == "insert", F.transform("ys", lambda y: state(y, inside)))
+        .when(F.size("xs") == F.size("ys"), F.transform("xs", lambda x, i: state(better(x, i), F.lit("conflict"))))
         .when(written("xs") >= written("ys"), F.transform("xs", lambda x: state(x, F.lit("conflict"))))
         .otherwise(F.transform("ys", lambda y: state(y, F.lit("conflict"))))
     )
@@ -404,8 +574,3 @@ def fragments_of(docs: DataFrame, size: int = 45, step: int = 35, key: str = "do
     lines = F.split(F.col(text), "\n")
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size(lines) - size) / step)).cast("int"))
     return docs.select(F.col(key).alias("artifact_id"), lines.alias("l"), F.posexplode(starts).alias("ord", "w")).select("artifact_id", "ord", F.array_join(F.slice("l", F.col("w") * step + 1, F.lit(size)), "\n").alias("text"))
-
-
-def remapped(lines: DataFrame, key: str, n: str) -> DataFrame:
-    """Renumber the rows of each artifact from 1 without gaps."""
-    return lines.withColumn(n, F.row_number().over(W.partitionBy(key).orderBy(n)))

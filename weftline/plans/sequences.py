@@ -22,22 +22,39 @@ def q1(spark: SparkSession, root: str) -> DataFrame:
     return sequence.alignment(pairs, "id", "text", "next")
 
 
-#: Documents whose lines are all different are cut in windows and stitched back: the text must come out as it was.
-DISTINCT_LINES = "len(list_distinct(string_split(text, chr(10)))) = len(string_split(text, chr(10)))"
+def _certain(backwards: bool) -> str:
+    """SQL: documents in windows of 12 lines, every eighth; whether each window has one place beside the one before it, and the text's digest if so.
 
+    A place is an offset at which the window shares three rows or more with the one before and agrees
+    with all rows of the text so far (the document up to there, or from there on) that it covers.
+    """
+    order, so_far, taken = ("w + 1", "0", "p.a + len(p.l)") if not backwards else ("w - 1", "p.a", "len(p.k)")
+    return f"""
+    WITH d AS (SELECT doc_id, text, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS k FROM documents WHERE text IS NOT NULL),
+         f AS (SELECT doc_id, k, w, w * 8 AS a, list_slice(k, w * 8 + 1, w * 8 + 12) AS l FROM d, LATERAL (SELECT unnest(range(0, 1 + greatest(0, ceil((len(k) - 12) / 8.0)::BIGINT))) AS w)),
+         s AS (SELECT p.doc_id, p.w, p.k, {so_far} AS low, {taken} AS high, n.l, unnest(range(p.a - len(n.l) + 3, p.a + len(p.l) - 2)) AS o FROM f p JOIN f n ON p.doc_id = n.doc_id AND n.w = p.{order} WHERE n.l <> ['']),
+         c AS (SELECT doc_id, w, count(*) FILTER (list_slice(k, greatest(low, o) + 1, least(high, o + len(l))) = list_slice(l, greatest(low, o) - o + 1, least(high, o + len(l)) - o)) AS places FROM s GROUP BY ALL),
+         u AS (SELECT doc_id, bool_and(places = 1) AS certain FROM c GROUP BY 1)
+    SELECT doc_id, coalesce(certain, true) AS certain, CASE WHEN coalesce(certain, true) THEN sha256(text) END AS h FROM d LEFT JOIN u USING (doc_id)"""
 
-@add("q2_overlap_stitch", f"SELECT doc_id, sha256(text) AS h, 0::BIGINT AS breaks FROM documents WHERE {DISTINCT_LINES}")
+
+def _told(merged: DataFrame) -> DataFrame:
+    """The digest of each text whose seams are all certain; the others record what was not."""
+    certain = (F.col("breaks") == 0) & (F.col("ambiguous") == 0)
+    return merged.select(F.col("artifact_id").alias("doc_id"), certain.alias("certain"), F.when(certain, F.sha2("text", 256)).alias("h"))
+
+
+@add("q2_overlap_stitch", _certain(False))
 def q2(spark: SparkSession, root: str) -> DataFrame:
-    docs = table(spark, root, "documents").where(F.size(F.array_distinct(F.split("text", "\n"))) == F.size(F.split("text", "\n")))
-    merged = sequence.stitched(sequence.fragments_of(docs, 12, 8))
-    return merged.select(F.col("artifact_id").alias("doc_id"), F.sha2("text", 256).alias("h"), "breaks")
+    """All documents, cut in windows and stitched back: a text comes out as it was, or says where it may not."""
+    return _told(sequence.stitched(sequence.fragments_of(table(spark, root, "documents"), 12, 8)))
 
 
 @add("q2_overlap_stitch_all")
 def q2_all(spark: SparkSession, root: str) -> DataFrame:
-    """All documents, those with repeated lines as well: how often a break was recorded, how the fragments were joined, and the text."""
+    """All documents: how often a break or an ambiguous seam was recorded, how the fragments were joined, and the text."""
     merged = sequence.stitched(sequence.fragments_of(table(spark, root, "documents"), 12, 8))
-    return merged.select(F.col("artifact_id").alias("doc_id"), F.sha2("text", 256).alias("h"), "breaks", "joins")
+    return merged.select(F.col("artifact_id").alias("doc_id"), F.sha2("text", 256).alias("h"), "breaks", "ambiguous", "joins")
 
 
 @add("q2_long_stitch", "SELECT l_suppkey AS artifact_id, sha256(string_agg('       MOVE ITEM-' || l_partkey || ' TO OUT-' || l_orderkey || '-' || l_linenumber, chr(10) ORDER BY l_orderkey, l_linenumber, l_partkey)) AS h, 0::BIGINT AS breaks FROM lineitem GROUP BY 1")
@@ -50,12 +67,11 @@ def q2_long(spark: SparkSession, root: str) -> DataFrame:
     return merged.select("artifact_id", F.sha2("text", 256).alias("h"), "breaks")
 
 
-@add("q3_fallback_chain", f"SELECT doc_id, sha256(text) AS h, 0::BIGINT AS breaks FROM documents WHERE {DISTINCT_LINES}")
+@add("q3_fallback_chain", _certain(True))
 def q3(spark: SparkSession, root: str) -> DataFrame:
-    """The fragments of documents whose lines are all different come last first: each goes in front of the text so far (repeated lines: see the tests)."""
-    docs = table(spark, root, "documents").where(F.size(F.array_distinct(F.split("text", "\n"))) == F.size(F.split("text", "\n")))
-    parts = sequence.fragments_of(docs, 12, 8).withColumn("ord", -F.col("ord"))
-    return sequence.stitched(parts).select(F.col("artifact_id").alias("doc_id"), F.sha2("text", 256).alias("h"), "breaks")
+    """The fragments of all documents come last first: each goes in front of the text so far."""
+    parts = sequence.fragments_of(table(spark, root, "documents"), 12, 8).withColumn("ord", -F.col("ord"))
+    return _told(sequence.stitched(parts))
 
 
 def _turns(spark: SparkSession, root: str) -> DataFrame:
