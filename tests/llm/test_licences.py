@@ -37,8 +37,6 @@ def judged(words):
 
 def twin(text):
     text, families, n_windows, n_confirmed = text or "", set(), 0, 0
-    if not holds(scan.words_of(joined(text))):
-        return 0, 0, ()
     for paragraph in re.split(scan.PARAGRAPH_END, text):
         main = [judged(w) for w in scan.cuts(scan.words_of(joined(paragraph))) if holds(w)]
         of_unit = {k for k, sure, _ in main if sure}
@@ -71,7 +69,7 @@ def test_scan_equals_its_twin(spark):
     sentences = [s for group in scan.TEMPLATES.values() for s in group] + list(scan.OTHERS)
     texts = corpus(spark)[:60] + sentences + [None, "", "\n\n\n", "word " * 30_000, "mit", "spdx-license-identifier: mit"]
     for _ in range(150):  # paragraphs of notices, counter-sentences and words, wrapped and commented at random
-        parts = rnd.choices(sentences, k=rnd.randrange(1, 5)) + [" ".join(rnd.choices(["alpha", "beta", "gamma-", "delta."], k=rnd.randrange(0, 30)))]
+        parts = rnd.choices(sentences, k=rnd.randrange(1, 5)) + [" ".join(rnd.choices(["alpha", "beta", "gamma-", "delta.", "x-\n"], k=rnd.randrange(0, 30)))]
         rnd.shuffle(parts)
         text = rnd.choice([" ", "\n", "\n\n"]).join(parts)
         texts.append("".join(rnd.choice(["\n", "\n * ", "\r\n# "]) if c == " " and rnd.random() < 0.08 else c for c in text))
@@ -80,6 +78,12 @@ def test_scan_equals_its_twin(spark):
         assert got[i] == twin(text), (text, got[i], twin(text))
 
 
+def test_a_hyphen_at_a_line_end_hides_no_notice(spark):
+    texts = ["intro x-\nSPDX-License-Identifier: MIT", "end of a paragraph-\n\nSPDX-License-Identifier: MIT", "SPDX-License-Identifier: MIT"]
+    got = scanned(spark, texts)
+    assert all(got[i] == twin(t) and got[i][2] == ("MIT",) for i, t in enumerate(texts))
+
+
 def test_calibration_rows_are_unseen():
     train, held = scan.fitting_rows()
     assert not {w for w, _ in train} & {w for w, _ in held}

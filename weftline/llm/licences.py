@@ -311,7 +311,9 @@ def scan_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """row_no, doc_id, windows (only those that are scored); the only pass over the texts."""
     text, holds = F.coalesce(column(text_col), F.lit("")), holds_template_gram(docs.sparkSession)
     none = F.array().cast("array<struct<unit:int,piece:boolean,words:array<string>>>")
-    found = let(text, lambda t: F.when(let(word_column(joined(t)), holds), windows(t, holds)).otherwise(none))
+    # the words of each window follow one another in a line as it stands or in a joined paragraph
+    paragraphs = lambda t: F.flatten(F.transform(F.split(t, PARAGRAPH_END), lambda p: word_column(joined(p))))
+    found = let(text, lambda t: F.when(let(word_column(t), holds) | let(paragraphs(t), holds), windows(t, holds)).otherwise(none))
     return stage(docs.select(F.monotonically_increasing_id().alias("row_no"), column(id_col).alias("doc_id"), found.alias("windows")), "windows")
 
 
