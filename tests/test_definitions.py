@@ -41,3 +41,17 @@ def test_delivered(spark):
     docs = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.d for r in docs.select("t", tx.delivered(F.col("t"), terms, "$C").alias("d")).collect()} == cases
     assert docs.select(tx.delivered(F.col("t"), ()).alias("d")).where("d = ''").count() == 1
+
+
+def test_a_definition_behind_a_long_comment(spark):
+    text = "<?xml version='1.0'?>\n<!-- " + "long " * 4000 + "-->\n<!-- wsdl -->\n<wsdl:definitions name='S'><wsdl:portType name='P'><wsdl:operation name='Go'/></wsdl:portType></wsdl:definitions>"
+    other = "<page><!-- <definitions> of wsdl --></page>"
+    frame = spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string")
+    assert [(r.doc_id, r.path) for r in definitions.api_endpoints(frame).collect()] == [(1, "S/Go")]
+
+
+def test_labels_that_differ_late_are_two_names(spark):
+    a, b = "x" * 90 + "a", "x" * 90 + "b"
+    frame = spark.createDataFrame([(1, f'{{"ui": "1", "title": "{a}", "fields": [{{"label": "{a}"}}, {{"label": "{b}"}}]}}')], "doc_id long, text string")
+    rows = definitions.ui_elements(frame, "ui").collect()
+    assert [r.name for r in rows] == [a, b] and {r.screen for r in rows} == {a}

@@ -130,3 +130,18 @@ def test_best_windows_are_exact_with_common_words(spark):
     windows = spark.createDataFrame([(i, text()) for i in range(40)], "win_id long, text string")
     answers = [sorted(map(tuple, reports.assigned(items, windows, "item", "win_id", "text", 2, common).collect())) for common in (1, 5, 10_000)]
     assert answers[0] == answers[1] == answers[2] and len(answers[0]) > 60
+
+
+def test_alike_pairs_miss_none(spark):
+    import difflib
+    import random
+
+    from weftline.operators import joins
+
+    rng = random.Random(18)
+    words = ["", "a", "ab", "small ring", "big ring"] + ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 14))) for _ in range(120)]
+    frame = spark.createDataFrame([(w,) for w in words] + [(None,)], "name string")
+    for floor in (0.4, 0.6, 0.9):
+        got = {(r.a, r.b): r.ratio for r in joins.alike_pairs(frame, "name", floor).collect()}
+        want = {(a, b): difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a in set(words) for b in set(words) if a < b}
+        assert got == {k: v for k, v in want.items() if v >= floor}

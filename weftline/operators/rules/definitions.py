@@ -13,6 +13,8 @@ OPENAPI = "openapi string, swagger string, basePath string, security string, ser
 OPERATION = "operationId string, summary string, deprecated boolean, security string"
 PORT_TYPE = "array<struct<_name: string, operation: array<struct<_name: string, documentation: string>>>>"
 SERVICE = "array<struct<_name: string, port: array<struct<_name: string, address: struct<_location: string>>>>>"
+#: The first element, behind declarations and comments of any length.
+ROOT_DEFINITIONS = r"(?s)^\x{FEFF}?\s*(?:<[?].*?[?]>\s*|<!--.*?-->\s*|<!DOCTYPE[^>]*>\s*)*+<(?:[\w.-]+:)?definitions\b"
 WSDL = f"_name string, portType {PORT_TYPE}, service {SERVICE}"
 
 
@@ -33,8 +35,7 @@ def _openapi(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _wsdl(docs: DataFrame, key: str, text: str) -> DataFrame:
-    head = F.substring(text, 1, 3000)  # a definition states its kind at the start
-    like = head.rlike(r"<(\w+:)?definitions\b") & F.contains(F.lower(head), F.lit("wsdl"))
+    like = F.col(text).rlike(ROOT_DEFINITIONS) & F.contains(F.lower(text), F.lit("wsdl"))
     return docs.where(like).select(key, F.col(text).alias("t"), F.from_xml(F.col(text), WSDL, {"ignoreNamespace": "true"}).alias("d"))
 
 
@@ -87,9 +88,9 @@ def ui_elements(docs: DataFrame, marker: str, key: str = "doc_id", text: str = "
     """
     schema = f"`{marker}` string, title string, fields array<struct<label: string, kind: string>>, actions array<struct<label: string, kind: string>>"
     read = docs.select(key, F.from_json(text, schema).alias("d")).where(F.col("d")[marker].isNotNull())
-    title = F.substring(F.trim(F.regexp_replace(F.coalesce("d.title", F.lit("")), r"\s+", " ")), 1, 80)
+    title = F.trim(F.regexp_replace(F.coalesce("d.title", F.lit("")), r"\s+", " "))
     read = read.select(key, F.when(title == "", "screen").otherwise(title).alias("screen"), F.coalesce("d.fields", F.array()).alias("f"), F.coalesce("d.actions", F.array()).alias("a"))
-    shown = lambda label: F.substring(F.trim(label), 1, 80)
+    shown = F.trim
     stated = lambda label: F.nullif(label, F.lit(""))
     fields = F.transform("f", lambda x, i: F.struct(shown(F.coalesce(stated(x["label"]), F.concat(F.lit("field "), (i + 1).cast("string")))).alias("label"), x["kind"].alias("kind")))
     actions = F.filter(F.transform("a", lambda x: F.struct(shown(F.coalesce(x["label"], F.lit(""))).alias("label"), F.coalesce(stated(x["kind"]), F.lit("button")).alias("kind"))), lambda x: x["label"] != "")

@@ -51,9 +51,9 @@ def f6(spark: SparkSession, root: str) -> DataFrame:
     return hits.select("doc_id", tx.masked(F.col("hit")).alias("masked"))
 
 
-@add("f7_redaction", r"SELECT doc_id, length(regexp_replace(regexp_replace(text, '(?i)\bthe of\b', '[pair]', 'g'), '(?i)\bthe\b', '[the]', 'g')) AS n FROM documents WHERE lang = 'en'")
+@add("f7_redaction", r"SELECT doc_id, length(regexp_replace(regexp_replace(text, '(?i)\bthe of\b', '[pair]', 'g'), '(?i)\bthe\b', '[the]', 'g')) AS n FROM documents")
 def f7(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "documents").where("lang = 'en'").select("doc_id", F.length(tx.redacted(F.col("text"), {"the": "[the]", "the of": "[pair]"})).cast("long").alias("n"))
+    return table(spark, root, "documents").select("doc_id", F.length(tx.redacted(F.col("text"), {"the": "[the]", "the of": "[pair]"})).cast("long").alias("n"))
 
 
 @add("f12_token_set", "SELECT doc_id, len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: length(t) > 1)))::INTEGER AS n FROM documents")
@@ -88,10 +88,8 @@ def f16(spark: SparkSession, root: str) -> DataFrame:
 
 @add("f18_similarity_ratio")
 def f18(spark: SparkSession, root: str) -> DataFrame:
-    part = table(spark, root, "part").select("p_name").distinct()
-    pairs = part.alias("a").join(part.alias("b"), (F.substring("a.p_name", 1, 3) == F.substring("b.p_name", 1, 3)) & (F.col("a.p_name") < F.col("b.p_name")))
-    near = pairs.select(F.col("a.p_name").alias("a"), F.col("b.p_name").alias("b")).where(tx.ratio_bound(F.col("a"), F.col("b")) >= 0.6)
-    return near.withColumn("ratio", tx.ratio("a", "b")).where("ratio >= 0.6")
+    """All pairs of different part names that are alike."""
+    return joins.alike_pairs(table(spark, root, "part").select("p_name").distinct(), "p_name", 0.6)
 
 
 @add("h_hash_identity", "SELECT doc_id, sha256(text) AS sha, sha1('rule|' || doc_id || '|' || lower(lang))[:12] AS sig FROM documents")
@@ -230,9 +228,9 @@ def v_contrast(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "nation").select("n_nationkey", dc.contrast(colour, F.lit("#ffffff")).alias("contrast"), score.alias("cvss"))
 
 
-@add("v_half_steps", "SELECT p_partkey, CASE WHEN p_retailprice >= 1 THEN round_even(p_retailprice / 100 * 2, 0) / 2 ELSE round_even(p_retailprice / 100, 1) END::DOUBLE AS weeks FROM part WHERE p_retailprice >= 100")
+@add("v_half_steps", "SELECT p_partkey, CASE WHEN p_retailprice >= 1 THEN round_even(p_retailprice / 100 * 2, 0) / 2 ELSE round_even(p_retailprice / 100, 1) END::DOUBLE AS weeks FROM part")
 def v_half(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "part").where("p_retailprice >= 100").select("p_partkey", dc.half_steps(F.col("p_retailprice") / 100).alias("weeks"))
+    return table(spark, root, "part").select("p_partkey", dc.half_steps(F.col("p_retailprice") / 100).alias("weeks"))
 
 
 @registry.add("f19_ratio_bound", "SELECT p_partkey, CASE WHEN length(p_name) + length(p_type) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * least(length(p_name), length(p_type)) / (length(p_name) + length(p_type)) END AS bound FROM part")
