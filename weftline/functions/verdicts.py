@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 # Criterion weights of an option, weights of the scorecard's dimensions, effort per fix in days.
 OPTION_WEIGHTS = (25, 20, 15, 15, 10, 10, 5)
@@ -69,31 +67,6 @@ def without_frames(text: Column) -> Column:
     return F.array_join(F.get(F.transform(F.array(rows), strip), 0), "\n")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def top_level_parts(bodies: pd.Series) -> pd.Series:
-    """parts between commas that stand outside brackets and quotes."""
-
-    def cut(body: str | None) -> list[str] | None:
-        if body is None:
-            return None
-        parts, depth, quote, start = [], 0, "", 0
-        for i, ch in enumerate(body):
-            if quote:
-                quote = "" if ch == quote else quote
-            elif ch in "'\"":
-                quote = ch
-            elif ch in "([{":
-                depth += 1
-            elif ch in ")]}":
-                depth -= 1
-            elif ch == "," and depth == 0:
-                parts.append(body[start:i].strip())
-                start = i + 1
-        return [*parts, body[start:].strip()]
-
-    return bodies.map(cut)
-
-
 def counted(n: Column, noun: str) -> Column:
     """a number with its noun in the right form."""
     plural = noun[:-1] + "ies" if noun.endswith("y") and noun[-2] not in "aeiou" else noun + ("es" if noun.endswith(("s", "x", "ch", "sh")) else "s")

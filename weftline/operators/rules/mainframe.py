@@ -7,9 +7,8 @@ smaller level, and names are resolved by joins (records to files, moved program
 copybooks to copybooks in rounds). A text of any length is one pass; nothing is read per document
 in one piece but its rows, which a sort may spill.
 
-entities: doc, kind, name, parent, n (first line), last_n, attrs. relations: doc, kind, source, target,
-n, attrs. attrs are maps of strings without null values. Names are in capitals; a target that is not a
-paragraph of the program reads kind:NAME.
+The results are entities and relations as `facts` states them. Names are in capitals; a target that is not
+a paragraph of the program reads kind:NAME.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.operators.lines import carried_down, folded, split_lines_of
+from weftline.operators.rules.facts import ENTITY, attrs, first_of, relation, united
 from weftline.staging import stage
 
 NAME = r"[A-Z0-9][A-Z0-9-]*"
@@ -44,14 +44,6 @@ VERBS = (
     "SUBTRACT", "UNSTRING", "WHEN", "WRITE",
 )
 NOT_PERFORMED = ("UNTIL", "VARYING", "TEST", "WITH", "FOREVER")
-ENTITY = ["doc", "kind", "name", "parent", "n", "last_n", "attrs"]
-RELATION = ["doc", "kind", "source", "target", "n", "attrs"]
-
-
-def attrs(**values: Column) -> Column:
-    """A map of the values that are there, as strings."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()])
-    return F.map_from_entries(F.filter(pairs, lambda p: F.coalesce(p["value"] != "", F.lit(False))))
 
 
 def _all(text: Column, pattern: str, *groups: int) -> Column:
@@ -132,11 +124,6 @@ def fields(rows: DataFrame) -> DataFrame:
     return items.select("doc", F.lit("field").alias("kind"), "name", parent.alias("parent"), "n", F.col("n").alias("last_n"), told.alias("attrs"))
 
 
-def _relation(rows: DataFrame, kind, source, target: Column, told: Column | None = None) -> DataFrame:
-    kind, source = (F.lit(kind) if isinstance(kind, str) else kind), (F.col(source) if isinstance(source, str) else source)
-    return rows.select("doc", kind.alias("kind"), source.alias("source"), target.alias("target"), "n", (attrs(none=F.lit("")) if told is None else told).alias("attrs"))
-
-
 def _option(name: str) -> Column:
     """The operand of an EXEC option, in capitals; null where the body has none."""
     return F.upper(F.nullif(F.regexp_extract("body", rf"(?i)\b{name}\s*\(\s*['\"]?({NAME}(?:\.{NAME})*)['\"]?\s*\)", 1), F.lit("")))
@@ -155,14 +142,14 @@ def exec_relations(blocks: DataFrame) -> DataFrame:
     read = F.array_except(F.transform(F.regexp_extract_all("body", F.lit(rf"(?i)\b(?:FROM|JOIN)\s+({SQLNAME}(?:\.{SQLNAME})?)"), F.lit(1)), F.upper), "written")
     sql_verb = attrs(verb=F.concat(F.lit("SQL "), "verb"))
     found = [
-        _relation(cics.where(is_in("LINK", "XCTL", "LOAD") & F.col("program").isNotNull()), "calls", "source", to("program", "program"), attrs(verb=verb)),
-        _relation(cics.where(is_in("SEND", "RECEIVE") & F.col("map").isNotNull()), F.when(is_in("SEND"), "displays").otherwise("reads"), "source", to("screen", "map"), attrs(verb=F.concat(verb, F.lit(" MAP")), mapset=F.col("mapset"))),
-        _relation(cics.where(is_in("READ", "READNEXT", "READPREV", "STARTBR") & F.col("store").isNotNull()), "reads", "source", to("data_store", "store"), vsam),
-        _relation(cics.where(is_in("WRITE", "REWRITE", "DELETE") & F.col("store").isNotNull()), "writes", "source", to("data_store", "store"), vsam),
-        _relation(cics.where(is_in("READQ", "WRITEQ", "DELETEQ") & F.col("queue").isNotNull()), F.when(is_in("READQ"), "reads").otherwise("writes"), "source", to("data_store", "queue"), attrs(verb=verb, store_type=F.lit("queue"))),
-        _relation(cics.where(is_in("RETURN", "START") & F.col("transid").isNotNull()), "invokes_transaction", "source", to("transaction", "transid"), attrs(verb=verb)),
-        _relation(sql.withColumn("t", F.explode(read)), "reads", "source", to("table", "t"), sql_verb),
-        _relation(sql.withColumn("t", F.explode("written")), "writes", "source", to("table", "t"), sql_verb),
+        relation(cics.where(is_in("LINK", "XCTL", "LOAD") & F.col("program").isNotNull()), "calls", "source", to("program", "program"), attrs(verb=verb)),
+        relation(cics.where(is_in("SEND", "RECEIVE") & F.col("map").isNotNull()), F.when(is_in("SEND"), "displays").otherwise("reads"), "source", to("screen", "map"), attrs(verb=F.concat(verb, F.lit(" MAP")), mapset=F.col("mapset"))),
+        relation(cics.where(is_in("READ", "READNEXT", "READPREV", "STARTBR") & F.col("store").isNotNull()), "reads", "source", to("data_store", "store"), vsam),
+        relation(cics.where(is_in("WRITE", "REWRITE", "DELETE") & F.col("store").isNotNull()), "writes", "source", to("data_store", "store"), vsam),
+        relation(cics.where(is_in("READQ", "WRITEQ", "DELETEQ") & F.col("queue").isNotNull()), F.when(is_in("READQ"), "reads").otherwise("writes"), "source", to("data_store", "queue"), attrs(verb=verb, store_type=F.lit("queue"))),
+        relation(cics.where(is_in("RETURN", "START") & F.col("transid").isNotNull()), "invokes_transaction", "source", to("transaction", "transid"), attrs(verb=verb)),
+        relation(sql.withColumn("t", F.explode(read)), "reads", "source", to("table", "t"), sql_verb),
+        relation(sql.withColumn("t", F.explode("written")), "writes", "source", to("table", "t"), sql_verb),
     ]
     out = found[0]
     for more in found[1:]:
@@ -204,7 +191,7 @@ def _opened(rows: DataFrame, files: DataFrame) -> DataFrame:
     words = carried_down(words, ["doc", "statement"], ["n", "at"], F.when(F.col("word").isin("INPUT", "OUTPUT", "I-O", "EXTEND"), F.col("word")), "mode")
     met = words.where("mode IS NOT NULL").join(files.select("doc", F.col("file").alias("word")), ["doc", "word"])
     kinds = F.when(F.col("mode") == "INPUT", F.array(F.lit("reads"))).when(F.col("mode") == "I-O", F.array(F.lit("reads"), F.lit("writes"))).otherwise(F.array(F.lit("writes")))
-    return _relation(met.withColumn("k", F.explode(kinds)), F.col("k"), "source", F.concat(F.lit("data_store:"), "word"), attrs(verb=F.lit("OPEN"), mode=F.col("mode")))
+    return relation(met.withColumn("k", F.explode(kinds)), F.col("k"), "source", F.concat(F.lit("data_store:"), "word"), attrs(verb=F.lit("OPEN"), mode=F.col("mode")))
 
 
 def cobol(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -226,7 +213,7 @@ def cobol(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str =
     records = ahead.where(F.col("fd").isNotNull() & code.rlike(rf"(?i)^01\s+{NAME}") & ~code.rlike(FILE_DESCRIPTION)).select("doc", F.upper(F.regexp_extract("code", LEVEL, 2)).alias("record"), "fd", "n")
     records = records.groupBy("doc", "record").agg(F.max_by("fd", "n").alias("fd")).unionByName(files.select("doc", F.col("file").alias("record"), F.col("file").alias("fd"))).groupBy("doc", "record").agg(F.min("fd").alias("fd"))
     copies = ahead.where(~code.rlike(FILE_DESCRIPTION)).withColumn("c", F.explode(F.regexp_extract_all("code", F.lit(rf"(?i)\bCOPY\s+['\"]?({NAME})['\"]?"), F.lit(1))))
-    includes = _relation(copies, "includes", "program", F.concat(F.lit("copybook:"), F.upper("c")), attrs(section=F.concat(F.lit("FD "), "fd")))
+    includes = relation(copies, "includes", "program", F.concat(F.lit("copybook:"), F.upper("c")), attrs(section=F.concat(F.lit("FD "), "fd")))
     items = fields(ahead.where("n >= data_n").select("doc", "n", "code", F.col("program").alias("owner")))
     # sections and paragraphs
     body = lines.where("n > proc_n")
@@ -247,12 +234,12 @@ def cobol(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str =
     names = parts.select("doc", F.col("name").alias("to"), F.lit(True).alias("own")).distinct()
     perform = perform.join(names, ["doc", "to"], "left").where(F.col("own") | F.col("to").rlike(r"[0-9-]"))
     target = F.when(F.col("own"), F.col("to")).otherwise(F.concat(F.lit("paragraph:"), "program", F.lit("."), "to"))
-    performs = _relation(perform, "calls", "source", target, attrs(verb=F.lit("PERFORM"), thru=F.upper("m.g1")))
+    performs = relation(perform, "calls", "source", target, attrs(verb=F.lit("PERFORM"), thru=F.upper("m.g1")))
     called = rows.withColumn("m", F.explode(_all(F.col("code"), rf"(?i)\bCALL\s+(?:'({NAME})'|\"({NAME})\"|({NAME}))", 1, 2, 3))).withColumns({"literal": F.upper(F.concat("m.g0", "m.g1")), "var": F.upper("m.g2")})
-    literal = _relation(called.where("literal <> ''"), "calls", "source", F.concat(F.lit("program:"), "literal"), attrs(verb=F.lit("CALL")))
+    literal = relation(called.where("literal <> ''"), "calls", "source", F.concat(F.lit("program:"), "literal"), attrs(verb=F.lit("CALL")))
     moved = rows.withColumn("m", F.explode(_all(F.col("code"), rf"(?i)\bMOVE\s+['\"]({NAME})['\"]\s+TO\s+({NAME})", 1, 2))).groupBy("doc", F.upper("m.g1").alias("var"), F.upper("m.g0").alias("value")).agg(F.min("n").alias("moved_n"))
     by_name = called.where("literal = ''").join(moved, ["doc", "var"], "left").withColumn("known", F.coalesce(F.col("moved_n") <= F.col("n"), F.lit(False)))
-    dynamic = _relation(by_name.where("known"), "calls", "source", F.concat(F.lit("program:"), "value"), attrs(verb=F.lit("CALL"), dynamic=F.col("var")))
+    dynamic = relation(by_name.where("known"), "calls", "source", F.concat(F.lit("program:"), "value"), attrs(verb=F.lit("CALL"), dynamic=F.col("var")))
     unknown = by_name.groupBy("doc", "n", "var").agg(F.bool_or("known").alias("known")).where("NOT known").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("var")), ",").alias("dynamic_calls"))
     verb_of = lambda pattern: rows.withColumn("m", F.explode(_all(F.col("code"), pattern, 1, 2))).withColumn("record", F.upper("m.g1"))
     reads = verb_of(rf"(?i)\b(READ)\s+({NAME})").join(files.select("doc", F.col("file").alias("record")).distinct(), ["doc", "record"])
@@ -262,28 +249,16 @@ def cobol(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str =
     # EXEC SQL ahead of the procedure
     early = _blocks(ahead.select("doc", "n", "code", F.col("program").alias("source"), F.lit(False).alias("header")))[1].where("of = 'SQL'")
     included = F.upper(F.regexp_extract("body", rf"(?i)^\s*INCLUDE\s+({NAME})\s*$", 1))
-    sql_includes = _relation(early.where((included != "") & ~included.isin("SQLCA", "SQLDA")), "includes", "source", F.concat(F.lit("copybook:"), included), attrs(verb=F.lit("SQL INCLUDE")))
+    sql_includes = relation(early.where((included != "") & ~included.isin("SQLCA", "SQLDA")), "includes", "source", F.concat(F.lit("copybook:"), included), attrs(verb=F.lit("SQL INCLUDE")))
     relations = [
         includes, performs, literal, dynamic, _opened(rows, files), exec_relations(blocks), sql_includes, exec_relations(early.where(included == "")),
-        _relation(reads, "reads", "source", store("record"), attrs(verb=F.lit("READ"))), _relation(deletes, "writes", "source", store("record"), attrs(verb=F.lit("DELETE"))),
-        _relation(writes, "writes", "source", store("fd"), attrs(verb=F.upper("m.g0"), record=F.when(F.col("record") != F.col("fd"), F.col("record")))),
+        relation(reads, "reads", "source", store("record"), attrs(verb=F.lit("READ"))), relation(deletes, "writes", "source", store("record"), attrs(verb=F.lit("DELETE"))),
+        relation(writes, "writes", "source", store("fd"), attrs(verb=F.upper("m.g0"), record=F.when(F.col("record") != F.col("fd"), F.col("record")))),
     ]
     open_blocks = blocks.where("end_n IS NULL").groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_set("n")), lambda n: n.cast("string")), ",").alias("open_blocks"))
     program = programs.join(unknown, "doc", "left").join(open_blocks, "doc", "left").select("doc", F.lit("program").alias("kind"), F.col("program").alias("name"), F.lit(None).cast("string").alias("parent"), "n", "last_n", attrs(language=F.lit("COBOL"), dynamic_calls=F.col("dynamic_calls"), open_blocks=F.col("open_blocks")).alias("attrs"))
     stores = files.select("doc", F.lit("data_store").alias("kind"), F.col("file").alias("name"), F.lit(None).cast("string").alias("parent"), "n", F.col("n").alias("last_n"), attrs(assign=F.col("assign"), store_type=F.lit("file")).alias("attrs"))
-    return _united([program, stores, items, parts]).select(*ENTITY), _first_of(_united(relations))
-
-
-def _united(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for more in frames[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _first_of(relations: DataFrame) -> DataFrame:
-    """One row for each kind, source, target and line."""
-    return relations.groupBy("doc", "kind", "source", "target", "n").agg(F.min_by("attrs", F.map_entries("attrs").cast("string")).alias("attrs")).select(*RELATION)
+    return united([program, stores, items, parts]).select(*ENTITY), first_of(united(relations))
 
 
 def performed(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -300,7 +275,7 @@ def copybooks(docs: DataFrame, key: str = "doc_id", name: str = "name", text: st
     lines = stage(logical_lines(docs, key, name, text).withColumn("owner", F.coalesce(F.nullif("stem", F.lit("")), F.lit("COPYBOOK"))), "copybooks")
     own = lines.groupBy("doc", "owner").agg(F.min("n").alias("n"), F.max("n").alias("last_n")).select("doc", F.lit("copybook").alias("kind"), F.col("owner").alias("name"), F.lit(None).cast("string").alias("parent"), "n", "last_n", attrs(none=F.lit("")).alias("attrs"))
     copies = lines.withColumn("c", F.explode(F.regexp_extract_all("code", F.lit(rf"(?i)\bCOPY\s+['\"]?({NAME})['\"]?"), F.lit(1))))
-    return own.unionByName(fields(lines.select("doc", "n", "code", "owner"))).select(*ENTITY), _first_of(_relation(copies, "includes", "owner", F.concat(F.lit("copybook:"), F.upper("c"))))
+    return own.unionByName(fields(lines.select("doc", "n", "code", "owner"))).select(*ENTITY), first_of(relation(copies, "includes", "owner", F.concat(F.lit("copybook:"), F.upper("c"))))
 
 
 def included_fields(relations: DataFrame, copy_entities: DataFrame, copy_relations: DataFrame) -> DataFrame:
@@ -370,11 +345,11 @@ def jcl(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str = "t
     cards = stage(cards.withColumn("job", F.coalesce("job", F.nullif("stem", F.lit("")), F.lit("JOB"))), "cards")
     step = F.nullif("step", F.lit(""))
     steps = cards.where("op = 'EXEC' AND (program <> '' OR proc <> '')")
-    calls = _relation(steps, "calls", "job", F.when(F.col("program") != "", F.concat(F.lit("program:"), "program")).otherwise(F.concat(F.lit("job:"), "proc")), attrs(step=step, proc=F.when(F.col("program") == "", F.lit("true"))))
+    calls = relation(steps, "calls", "job", F.when(F.col("program") != "", F.concat(F.lit("program:"), "program")).otherwise(F.concat(F.lit("job:"), "proc")), attrs(step=step, proc=F.when(F.col("program") == "", F.lit("true"))))
     data = cards.where("op = 'DD'").withColumn("dsn", F.upper(F.regexp_extract("text", r"(?i)\bDSN(?:AME)?=([A-Z0-9#@$.()&+-]+?)(?:,|$)", 1))).where("dsn <> ''")
     mode = F.when(F.col("text").rlike(r"(?i)\bDISP="), F.coalesce(F.nullif(F.upper(F.regexp_extract("text", r"(?i)\bDISP=\(?([A-Z]*)", 1)), F.lit("")), F.lit("NEW"))).otherwise("SHR")
     data = data.withColumn("mode", mode)
-    uses = _relation(data, F.when(F.col("mode").isin("SHR", "OLD"), "reads").otherwise("writes"), "job", F.concat(F.lit("data_store:"), "dsn"), attrs(step=step, program=F.col("runs"), ddname=F.col("label"), disp=F.col("mode"), store_type=F.lit("dataset")))
+    uses = relation(data, F.when(F.col("mode").isin("SHR", "OLD"), "reads").otherwise("writes"), "job", F.concat(F.lit("data_store:"), "dsn"), attrs(step=step, program=F.col("runs"), ddname=F.col("label"), disp=F.col("mode"), store_type=F.lit("dataset")))
     stated = cards.where("op = 'JOB'").select("doc", "job", "n")
     jobs = last_card.join(stated, "doc", "left").select("doc", F.lit("job").alias("kind"), F.coalesce("job", F.nullif("stem", F.lit("")), F.lit("JOB")).alias("name"), F.lit(None).cast("string").alias("parent"), F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("last_n", "n", F.lit(1)).alias("last_n"), attrs(none=F.lit("")).alias("attrs"))
-    return jobs.select(*ENTITY), _first_of(calls.unionByName(uses))
+    return jobs.select(*ENTITY), first_of(calls.unionByName(uses))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import verdicts as vd
+from weftline.functions import brackets, verdicts as vd
 from weftline.operators import lines, matching
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
@@ -168,7 +168,7 @@ def f10(spark: SparkSession, root: str) -> DataFrame:
 
 @add("f11_top_level_parts", "SELECT p_partkey, ['a', 'f(b, c)', '''d, e''', p_name] AS parts FROM part")
 def f11(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "part").select("p_partkey", vd.top_level_parts(F.concat(F.lit("a, f(b, c), 'd, e', "), "p_name")).alias("parts"))
+    return table(spark, root, "part").select("p_partkey", brackets.top_level_parts(F.concat(F.lit("a, f(b, c), 'd, e', "), "p_name")).alias("parts"))
 
 
 @add("f17_counted_nouns", "SELECT p_partkey, p_size || CASE WHEN p_size = 1 THEN ' entry' ELSE ' entries' END AS words FROM part")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import lines
-from weftline.operators.rules import checks, line_rules
+from weftline.operators.rules import checks, ddl, line_rules
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -80,6 +80,39 @@ def x2(spark: SparkSession, root: str) -> DataFrame:
     return checks.sql_references(table(spark, root, "part").select("p_partkey", statement.alias("text")), "p_partkey")
 
 
+ORDERS_AS_DDL = "o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_orderpriority, c_nationkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders JOIN customer ON c_custkey = o_custkey)"
+
+
+def _scripts(spark: SparkSession, root: str) -> DataFrame:
+    """One script a customer that has orders: a table with a column an order, some of them keys to other tables, and a view."""
+    joined = table(spark, root, "orders").join(table(spark, root, "customer").select("c_custkey", "c_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
+    column = F.concat(F.format_string("  C%d DECIMAL(%d, 2)", "o_orderkey", F.length("o_orderpriority")), F.when(F.col("o_orderstatus") == "F", " NOT NULL").when(F.col("o_orderstatus") == "P", F.concat(F.lit(" REFERENCES N"), "c_nationkey", F.lit(" (ID)"))).otherwise(""))
+    columns = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", column.alias("said")))), lambda x: x["said"]), ",\n")
+    held = joined.groupBy("o_custkey").agg(columns.alias("columns"), F.min("o_orderkey").alias("first"), F.min("c_nationkey").alias("nation"))
+    text = F.concat(F.format_string("-- CREATE TABLE NONE (A INT)\nCREATE TABLE T%d (\n", "o_custkey"), "columns", F.format_string(",\n  PRIMARY KEY (C%d)\n);\nCREATE VIEW V%d AS SELECT ', FROM X' FROM T%d JOIN N%d;\n", "first", "o_custkey", "o_custkey", "nation"))
+    return held.select(F.col("o_custkey").alias("doc_id"), F.format_string("s%d.sql", "o_custkey").alias("name"), text.alias("text"))
+
+
+@add(
+    "x2_sql_columns",
+    f"WITH {ORDERS_AS_DDL} SELECT o_custkey::VARCHAR AS doc, 'T' || o_custkey AS parent, 'C' || o_orderkey AS name, (i + 2)::INTEGER AS n, 'DECIMAL(' || length(o_orderpriority) || ', 2)' AS type, CASE WHEN o_orderstatus = 'F' OR i = 1 THEN 'false' ELSE 'true' END AS nullable, CASE WHEN i = 1 THEN 'true' END AS primary_key FROM o",
+)
+def x2_columns(spark: SparkSession, root: str) -> DataFrame:
+    entities, _ = ddl.sql_structure(_scripts(spark, root))
+    told = lambda name: F.col("attrs")[name].alias(name)
+    return entities.where("kind = 'column'").select("doc", "parent", "name", "n", told("type"), told("nullable"), told("primary_key"))
+
+
+@add(
+    "x2_sql_relations",
+    f"""WITH {ORDERS_AS_DDL} SELECT o_custkey::VARCHAR AS doc, 'depends_on' AS kind, 'T' || o_custkey AS source, 'table:N' || c_nationkey AS target, (i + 2)::INTEGER AS n, 'C' || o_orderkey AS foreign_key FROM o WHERE o_orderstatus = 'P'
+    UNION ALL SELECT DISTINCT o_custkey::VARCHAR, 'reads', 'V' || o_custkey, 'table:' || t, (k + 5)::INTEGER, NULL FROM o, LATERAL (SELECT unnest(['T' || o_custkey, 'N' || c_nationkey]) AS t)""",
+)
+def x2_relations(spark: SparkSession, root: str) -> DataFrame:
+    _, relations = ddl.sql_structure(_scripts(spark, root))
+    return relations.select("doc", "kind", "source", "target", "n", F.col("attrs")["foreign_key"].alias("foreign_key"))
+
+
 @add("x8_block_balance", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), d AS (SELECT *, sum(len(regexp_extract_all(line, '[(]')) - len(regexp_extract_all(line, '[)]'))) OVER (PARTITION BY doc_id ORDER BY n) AS depth FROM l) SELECT doc_id, min(CASE WHEN depth < 0 THEN n END)::INTEGER AS first_bad, arg_max(depth, n)::BIGINT AS left_open FROM d GROUP BY 1""")
 def x8(spark: SparkSession, root: str) -> DataFrame:
     return checks.block_balance(lines.lines_of(table(spark, root, "documents")), "doc_id", "[(]", "[)]")
