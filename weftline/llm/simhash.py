@@ -182,7 +182,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = stage(rows.groupBy("fp").agg(first, F.count("*").alias("n")), "distinct")
     linked = components(stage(links(distinct.select("fp"), max_bits), "links")).withColumnRenamed("node", "fp")
     member = stage(linked.join(distinct, "fp"), "members")
-    of = member.join(member.groupBy("root").agg(F.min("first").alias("keeper")), "root").select("fp", "keeper")
+    groups = stage(member.groupBy("root").agg(F.min("first").alias("keeper"), F.count("*").alias("size")), "groups")
+    large = F.col("size") > F.lit(member.count() / HUBS)  # components of very many fingerprints: fewer than HUBS, broadcast
+    giants = F.broadcast(groups.where(large).drop("size"))
+    of = member.join(giants, "root").unionByName(member.join(giants.select("root"), "root", "left_anti").join(groups.where(~large).drop("size"), "root")).select("fp", "keeper")
     named = stage(distinct.join(of, "fp", "left").select("fp", "n", F.coalesce("keeper", "first").alias("keeper")), "named")
     hot = F.col("n") > F.lit(rows.count() / HUBS)  # fingerprints of very many copies: fewer than HUBS, broadcast
     hubs = F.broadcast(named.where(hot).drop("n"))
