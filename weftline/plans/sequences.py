@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.operators import lines, sequence
+from weftline.operators import lines, repair, sequence
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -132,6 +133,61 @@ def q7(spark: SparkSession, root: str) -> DataFrame:
     return sequence.voted(readings, ["user_id", "n"], "text", "status")
 
 
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    """(key, n, line): one text a customer with six orders or more, one line an order."""
+    orders = table(spark, root, "orders")
+    line = F.concat(F.repeat(F.lit(" "), (F.col("o_orderkey") % 3).cast("int") * 4), F.sha1(F.col("o_orderkey").cast("string")), F.lit(" "), F.regexp_replace(F.lower("o_orderpriority"), "[^a-z]+", "x"), F.lit(" "), F.sha1(F.col("o_custkey").cast("string")), F.lit(" "), F.sha1((-F.col("o_orderkey")).cast("string")))
+    order = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    rows = orders.select(F.col("o_custkey").alias("key"), F.row_number().over(order).alias("n"), F.count("*").over(W.partitionBy("o_custkey")).alias("of"), line.alias("line"))
+    return rows.where("of >= 6")
+
+
+SPELLED = """WITH t AS (SELECT o_custkey AS key, string_agg(repeat(' ', ((o_orderkey % 3) * 4)::INTEGER) || sha1(o_orderkey::VARCHAR) || ' ' || regexp_replace(lower(o_orderpriority), '[^a-z]+', 'x', 'g') || ' ' || sha1(o_custkey::VARCHAR) || ' ' || sha1((-o_orderkey)::VARCHAR), chr(10) ORDER BY o_orderkey) AS text, count(*) AS k FROM orders GROUP BY 1 HAVING count(*) >= 6)"""
+
+
+def _readings(lines: DataFrame) -> DataFrame:
+    """Each text read three times, from its second, first and first line on, the last time without its last line."""
+    starts = F.explode(F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(a).alias("low"), F.lit(b).alias("cut")) for o, a, b in ((1, 2, 0), (2, 1, 0), (3, 1, 1))]))
+    return lines.select("key", "n", "of", "line", starts.alias("s")).where("n >= s.low AND n <= of - s.cut").select("key", F.col("s.ord").alias("ord"), "n", "line", F.lit(2).alias("rank"))
+
+
+@add("q7_repaired_texts", f"{SPELLED} SELECT key, sha256(text) AS h, CASE WHEN key % 4 = 3 THEN 0 ELSE 1 END::BIGINT AS edits FROM t")
+def q7_repaired(spark: SparkSession, root: str) -> DataFrame:
+    """Texts whose third line was doubled, skipped, or read like the second, by customer, come back as they were."""
+    lines = _texts(spark, root)
+    above = F.lag("line").over(W.partitionBy("key").orderBy("n"))
+    kind = F.col("key") % 4
+    copies = F.when((F.col("n") == 3) & (kind == 0), 2).when((F.col("n") == 3) & (kind == 1), 0).otherwise(1)
+    broken = lines.withColumn("line", F.when((F.col("n") == 3) & (kind == 2), above).otherwise(F.col("line"))).withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies)))
+    broken = broken.withColumn("n", F.row_number().over(W.partitionBy("key").orderBy("n", "copy"))).select("key", "n", "line")
+    whole, log = repair.repaired(broken, _readings(lines))
+    told = log.groupBy("key").agg(F.count("*").alias("edits"))
+    return repair.text_of(whole).join(told, "key", "left").select("key", F.sha2("text", 256).alias("h"), F.coalesce("edits", F.lit(0)).cast("long").alias("edits"))
+
+
+@add("q15_respaced_texts", f"{SPELLED} SELECT key, sha256(text) AS h, k::BIGINT AS measured FROM t")
+def q15(spark: SparkSession, root: str) -> DataFrame:
+    """Each reading has one gap too wide in some lines, the merged text in others: the votes give the true ones."""
+    lines = _texts(spark, root)
+    wider = lambda when: F.when(when, F.regexp_replace("line", r"(\S) (\S)", "$1   $2")).otherwise(F.col("line"))
+    finals = lines.select("key", "n", wider(F.col("n") % 2 == 0).alias("line"))
+    readings = _readings(lines).withColumn("line", wider((F.col("n") % 5 == F.col("ord")) & (F.col("n") > 1) & (F.col("n") < 4)))
+    found = repair.respaced(finals, readings)
+    told = found.groupBy("key").agg(F.count_if(F.col("state") == "measured").alias("measured"))
+    return repair.text_of(found).join(told, "key").select("key", F.sha2("text", 256).alias("h"), "measured")
+
+
+@add("q5_joined_sideways", f"{SPELLED} SELECT key, sha256(text) AS h, 2::BIGINT AS pieces FROM t")
+def q5(spark: SparkSession, root: str) -> DataFrame:
+    """Of each text the columns 1 to 60 are at hand, 31 to 100 and 81 to the end come as pieces, the latter first."""
+    lines = _texts(spark, root)
+    pieces = lines.withColumn("s", F.explode(F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(a).alias("at"), F.lit(n).alias("wide")) for o, a, n in ((1, 81, 1000), (2, 31, 70))])))
+    pieces = pieces.select("key", F.col("s.ord").alias("ord"), "n", F.expr("substring(line, s.at, s.wide)").alias("line"))
+    whole, places = repair.joined_sideways(lines.select("key", "n", F.substring("line", 1, 60).alias("line")), pieces)
+    told = places.groupBy("key").agg(F.count("*").alias("pieces"))
+    return repair.text_of(whole).join(told, "key").select("key", F.sha2("text", 256).alias("h"), "pieces")
+
+
 @add("q8_equalised_offsets", r"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n, min(length(line) - length(ltrim(line, ' '))) FILTER (trim(line, ' ') <> '') * 0 AS margin FROM l GROUP BY 1")
 def q8(spark: SparkSession, root: str) -> DataFrame:
     shifted = lines.lines_of(table(spark, root, "documents")).withColumn("line", F.concat(F.repeat(F.lit(" "), (F.col("doc_id") % 5).cast("int")), "line"))
