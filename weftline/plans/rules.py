@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import lines
-from weftline.operators.rules import checks, ddl, line_rules
+from weftline.operators.rules import checks, configs, ddl, line_rules
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -124,6 +124,37 @@ def x12(spark: SparkSession, root: str) -> DataFrame:
     return checks.properties(table(spark, root, "part").select("p_partkey", body.alias("text")), "p_partkey")
 
 
+@add(
+    "x12_json_items",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders)
+    SELECT o_custkey::VARCHAR AS doc, 'orders:' || i || ':status:code' AS name, o_orderstatus AS value, 'orders' AS section, false AS secret FROM o
+    UNION ALL SELECT o_custkey::VARCHAR, 'orders:' || i || ':token', '****', 'orders', true FROM o
+    UNION ALL SELECT DISTINCT o_custkey::VARCHAR, 'id', o_custkey::VARCHAR, NULL, false FROM o""",
+)
+def x12_json(spark: SparkSession, root: str) -> DataFrame:
+    """One nested file a customer: its orders, each with a status below it and a token."""
+    order = F.struct("o_orderkey", F.struct(F.col("o_orderstatus").alias("code")).alias("status"), F.col("o_orderpriority").alias("token"))
+    held = table(spark, root, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: F.struct(x["status"].alias("status"), x["token"].alias("token"))).alias("orders"))
+    texts = held.select(F.col("o_custkey").alias("doc_id"), F.to_json(F.struct(F.col("o_custkey").alias("id"), "orders")).alias("text"))
+    return configs.first_items(configs.json_items(texts)).select("doc", "name", "value", "section", "secret")
+
+
+@add(
+    "x12_xml_items",
+    """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_custkey) AS k FROM orders)
+    SELECT o_custkey::VARCHAR AS doc, 'K' || o_orderkey AS name, o_orderpriority AS value, 'appSettings' AS section, (i + 2)::INTEGER AS n FROM o WHERE o_custkey % 5 <> 0
+    UNION ALL SELECT DISTINCT o_custkey::VARCHAR, 'C' || o_custkey, 'Database=D' || o_custkey || ';Pwd=****', 'connectionStrings', (k + 4)::INTEGER FROM o WHERE o_custkey % 5 <> 0""",
+)
+def x12_xml(spark: SparkSession, root: str) -> DataFrame:
+    """One file a customer, a setting an order; every fifth file is not well formed."""
+    setting = F.concat(F.format_string('<add key="K%d" value="', "o_orderkey"), "o_orderpriority", F.lit('"/>'))
+    held = table(spark, root, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", setting.alias("s")))), lambda x: x["s"]), "\n").alias("body"))
+    close = F.when(F.col("o_custkey") % 5 == 0, "</configuratio>").otherwise("</configuration>")
+    text = F.concat(F.lit("<configuration>\n<appSettings>\n"), "body", F.format_string('\n</appSettings>\n<add name="C%d" connectionString="Database=D%d;Pwd=x"/>\n', "o_custkey", "o_custkey"), close)
+    items = configs.first_items(configs.xml_items(configs.xml_elements(held.select(F.col("o_custkey").alias("doc_id"), text.alias("text")))))
+    return items.select("doc", "name", "value", "section", "n")
+
+
 @add("x14_page_links", r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title, list_sort(list_distinct(regexp_extract_all(html, '(?i)<a\b[^>]*\bhref\s*=\s*["'']([^"'']+)["'']', 1))) AS links FROM pages""")
 def x14(spark: SparkSession, root: str) -> DataFrame:
     return checks.page_links(table(spark, root, "pages"))
