@@ -45,7 +45,7 @@ def test_every_pack_has_a_sample():
 
 
 def test_units_and_relations_of_each_language(spark):
-    docs = spark.createDataFrame([(i, f"src/a.{packs.PACKS[p].extensions.split()[0]}", p, text) for i, (p, (text, _, _)) in enumerate(SAMPLES.items())], "doc_id long, name string, pack string, text string")
+    docs = spark.createDataFrame([(i, f"src/a.{packs.PACKS[p].extensions[0]}", p, text) for i, (p, (text, _, _)) in enumerate(SAMPLES.items())], "doc_id long, name string, pack string, text string")
     entities, relations = packs.extracted(docs)
     units, used = {}, {}
     for r in entities.where("kind <> 'program'").collect():

@@ -145,3 +145,19 @@ def test_alike_pairs_miss_none(spark):
         got = {(r.a, r.b): r.ratio for r in joins.alike_pairs(frame, "name", floor).collect()}
         want = {(a, b): difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() for a in set(words) for b in set(words) if a < b}
         assert got == {k: v for k, v in want.items() if v >= floor}
+
+
+def test_comments_hold_no_findings(spark):
+    from weftline.operators.rules import line_rules
+
+    texts = [
+        ("python", '# password = "abcdef1"\npassword = "abcdef1"'),
+        ("java", '/* String password = "abcdef1";\n String password = "abcdef1"; */ int x;\nString password = "abcdef1"; // note'),
+        ("sql", "-- GRANT ALL ON t TO PUBLIC\nGRANT ALL ON t TO PUBLIC"),
+        ("web", '<!-- x.innerHTML = a + b -->\n<script>x.innerHTML = a + b</script>'),
+        ("cobol", "000100*    EXEC SQL EXECUTE IMMEDIATE\n000200     EXEC SQL EXECUTE IMMEDIATE"),
+        ("vb", "' Password = \"abcdef1\"\nPassword = \"abcdef1\""),
+    ]
+    frame = spark.createDataFrame([(i, f, t) for i, (f, t) in enumerate(texts)], "doc_id long, family string, text string")
+    got = {(r.doc_id, r.n, r.rule) for r in line_rules.scan_documents(frame).collect()}
+    assert got == {(0, 2, "SEC-CRED"), (1, 3, "SEC-CRED"), (2, 2, "SEC-AUTH"), (3, 2, "SEC-XSS"), (4, 2, "SEC-SQLDYN"), (5, 2, "SEC-CRED")}

@@ -29,6 +29,7 @@ STYLES: dict[str, tuple[str, str, str]] = {
     "c": (ESCAPED, C_BLOCK, r"//[^\n]*"),
     "cl": (SINGLE_ONLY, C_BLOCK, ""),
     "sql": (DOUBLED, C_BLOCK, r"--[^\n]*"),
+    "dashes": (DOUBLED, "", r"--[^\n]*"),
     "script": (ESCAPED, "", r"(?<![\w$\"'])#[^\n]*"),
     "php": (ESCAPED, C_BLOCK, r"//[^\n]*|#[^\n]*"),
     "vb": (DOUBLE_ONLY, "", r"'[^\n]*|(?i:(?<![\w.])rem\b)[^\n]*"),
@@ -70,8 +71,8 @@ def stripped(text: Column, style: str) -> Column:
 class Pack:
     """One language. Patterns hold the name in their first group; they are tried without case unless `cased`."""
 
-    extensions: str
-    names: str
+    extensions: tuple[str, ...]
+    names: tuple[str, ...]
     signs: tuple[str, ...]
     comments: str
     units: tuple[tuple[str, str], ...]
@@ -86,38 +87,38 @@ VB_CALL = ("calls", "function", rf"^\s*call\s+{ID}")
 
 # The syntax of languages, as far as units and relations show in single lines.
 PACKS: dict[str, Pack] = {
-    "vb6": Pack("frm ctl vbp dsr", "visual basic 6|vb6", (r"^attribute vb_name", r"^version 5\.00", r"on error (?:goto|resume)", r"\bdim \w+ as\b"), "vb", VB_UNITS, (VB_CALL, ("uses", "external_system", r'createobject\(\s*"([\w.]+)"'), ("navigates_to", "screen", r"\b(frm\w+)\.show\b"))),
-    "vba": Pack("bas cls", "vba|access vba|excel vba", (r"\bdocmd\.", r"\bcurrentdb\b", r"\bforms!", r"\bthisworkbook\b"), "vb", VB_UNITS, (VB_CALL, ("navigates_to", "screen", r'docmd\.openform\s+"([^"]+)"'), ("reads", "table", r'openrecordset\(\s*"(\w+)"'))),
-    "vbnet": Pack("vb", "vb.net|visual basic .net", (r"^\s*imports\s+system", r"^\s*end\s+(?:module|class|namespace)", r"\bhandles\s+\w+\.\w+"), "vb", VB_UNITS, (VB_CALL, ("inherits", "class", r"^\s*inherits\s+([\w.]+)"), ("includes", "module", r"^\s*imports\s+([\w.]+)"), ("uses", "class", rf"\bnew\s+{ID}\s*\("))),
-    "vbscript": Pack("vbs asp wsf", "vbscript|classic asp", (r"<%", r"server\.createobject", r"response\.write", r"wscript\."), "vb", VB_UNITS[:1], (VB_CALL, ("uses", "external_system", r'createobject\(\s*"([\w.]+)"'), ("navigates_to", "screen", r'response\.redirect\s*\(?\s*"([\w./]+)'), ("includes", "file", r'#include\s+(?:file|virtual)\s*=\s*"([^"]+)"'))),
-    "rpg": Pack("rpg rpgle sqlrpgle", "rpg|rpgle|rpg iv", (r"\*\*free", r"\bdcl-(?:s|ds|proc|f)\b", r"\b(?:begsr|endsr|exsr|chain|setll)\b"), "c", (("paragraph", rf"\bbegsr\s+{ID}"), ("paragraph", r"^.{5}C\s+([A-Z][\w#@$]*)\s+begsr\b"), ("function", rf"\bdcl-proc\s+{ID}")), (("calls", "paragraph", rf"\bexsr\s+{ID}"), ("calls", "program", r"\bcallp?\s+'?([A-Z][\w#@$]*)'?"), ("includes", "copybook", r"/(?:copy|include)\s+([\w/,]+)"), ("reads", "file", r"\b(?:chain|reade?|setll)\s*(?:\(\w\))?\s+(?:\w+\s+)?([A-Z][\w#@$]*)\s*;?\s*$"), ("writes", "file", r"\b(?:write|update|delete)\s+([A-Z][\w#@$]*)\s*;?\s*$"), ("displays", "screen", r"\bexfmt\s+(\w+)")), upper=True),
-    "cl": Pack("clp clle cl", "cl|clle|control language", (r"^\s*pgm\b", r"\bdcl\s+var\(", r"\bcall\s+pgm\(", r"\bendpgm\b"), "cl", (("paragraph", r"^\s*([A-Z][\w#@$]*):"),), (("calls", "program", r"\bcall\s+pgm\((?:\w+/)?([A-Z][\w#@$]*)\)"), ("calls", "paragraph", r"\bgoto\s+cmdlbl\((\w+)\)"), ("uses", "file", r"\b(?:ovrdbf|dclf)\s+file\((?:\w+/)?(\w+)\)"), ("reads", "file", r"\bfromfile\((?:\w+/)?(\w+)\)"), ("writes", "file", r"\btofile\((?:\w+/)?(\w+)\)")), upper=True),
-    "natural": Pack("nsp nsn nss", "natural", (r"\bdefine data\b", r"\bend-define\b", r"\bcallnat\b"), "natural", (("paragraph", r"\bdefine\s+subroutine\s+([\w#-]+)"),), (("calls", "program", r"\b(?:callnat|fetch(?:\s+return)?|call)\s+'([\w#-]+)'"), ("calls", "paragraph", r"\bperform\s+([\w#-]+)"), ("includes", "copybook", r"\b(?:local|parameter|global)\s+using\s+([\w#-]+)"), ("reads", "file", r"\b(?:read|find|histogram)\s+([A-Z][\w-]*)\s+(?:by|with)\b"), ("displays", "screen", r"\busing\s+map\s+'([\w#-]+)'")), upper=True),
-    "pli": Pack("pli pl1 inc", "pl/i|pli", (r"\bproc(?:edure)?\s+options\s*\(\s*main", r"\bdcl\s+\w+\s+(?:fixed|char|bit)", r"\bput\s+(?:skip|list|edit)"), "cl", (("function", r"^\s*([A-Z][\w#@$]*)\s*:\s*proc(?:edure)?\b"),), (("calls", "function", r"\bcall\s+([A-Z][\w#@$]*)"), ("includes", "copybook", r"%include\s+(\w+)"), ("reads", "file", r"\bread\s+file\s*\((\w+)\)"), ("writes", "file", r"\b(?:re)?write\s+file\s*\((\w+)\)")), upper=True),
-    "asm": Pack("asm hlasm mac", "assembler|hlasm", (r"\bcsect\b", r"\b(?:stm|balr|bas|using)\s", r"\bdc\s+[cfhx]['\d]"), "star", (("function", r"^([A-Z@#$]\w{0,7})\s+(?:csect|start|dsect)\b"),), (("calls", "program", r"\bcall\s+([A-Z@#$]\w*)"), ("calls", "program", r"=v\((\w+)\)"), ("includes", "copybook", r"^\s+copy\s+(\w+)")), upper=True),
-    "rexx": Pack("rex rexx exec", "rexx", (r"/\*\s*rexx", r"\bparse\s+(?:arg|pull|var|upper)\b", r"\baddress\s+(?:tso|ispexec|mvs)\b"), "c", (("function", rf"^\s*{ID}:\s*(?:procedure)?"),), (("calls", "function", rf"\bcall\s+{ID}"), ("displays", "screen", r"\bdisplay\s+panel\((\w+)\)"))),
-    "clist": Pack("clist", "clist", (r"^\s*proc\s+\d", r"\bset\s+&?\w+\s*=", r"\bcontrol\s+(?:list|nolist|msg)"), "cl", (("function", r"^\s*(\w+):\s*(?:do|subproc)?\b"),), (("calls", "program", r"%(\w+)"), ("calls", "program", r"\bcall\s+'([^']+)'")), upper=True),
-    "easytrieve": Pack("ezt eztp", "easytrieve", (r"^\s*job\s+input\b", r"^\s*parm\b", r"^\s*report\s+\w+"), "star", (("paragraph", r"^\s*([A-Z][\w-]*)\.?\s+proc\b"),), (("calls", "paragraph", r"\bperform\s+([\w-]+)"), ("reads", "file", r"\bjob\s+input\s+\(?(\w+)"), ("includes", "copybook", r"^\s*%(\w+)")), upper=True),
-    "sas": Pack("sas", "sas", (r"^\s*data\s+\w+", r"^\s*proc\s+\w+", r"^\s*run\s*;", r"%macro\b"), "sas", (("function", rf"%macro\s+{ID}"), ("paragraph", r"^\s*proc\s+(\w+)")), (("calls", "function", r"%(?!macro|mend|let|if|do|end|else|include|put|then|to)(\w+)\s*[(;]"), ("includes", "file", r"%include\s+[\"']([^\"']+)"), ("reads", "table", r"^\s*(?:set|merge)\s+([\w.]+)"), ("writes", "table", r"^\s*data\s+([\w.]+)"))),
-    "plsql": Pack("pls plb pks pkb", "pl/sql|plsql|oracle", (r"\bcreate\s+or\s+replace\s+(?:package|procedure|function)", r"\bexception\s+when\b", r"%(?:row)?type\b"), "sql", (("function", r"\b(?:procedure|function)\s+([\w.$#]+)"), ("class", r"\bpackage\s+(?:body\s+)?([\w.$#]+)")), SQL_USE),
-    "tsql": Pack("tsql", "t-sql|transact-sql|sql server", (r"\bcreate\s+proc(?:edure)?\b", r"\bdeclare\s+@\w+", r"^\s*go\s*$", r"\bset\s+nocount\b"), "sql", (("function", r"\b(?:create|alter)\s+(?:proc(?:edure)?|function)\s+([\w.\[\]]+)"),), (("calls", "function", r"\bexec(?:ute)?\s+([A-Za-z_][\w.]*)"), *SQL_USE)),
-    "powerbuilder": Pack("srw sru srd srf", "powerbuilder", (r"^\s*global type\b", r"^\s*end type\b", r"\btriggerevent\b"), "c", (("class", r"^\s*global\s+type\s+(\w+)"), ("function", r"^\s*(?:public|private|protected)\s+(?:function|subroutine)\s+(?:\w+\s+)?(\w+)\s*\("), ("function", r"^\s*event\s+(\w+)")), (("navigates_to", "screen", r"\bopen(?:sheet)?\s*\(\s*(w_\w+)"), ("uses", "table", r"\bdataobject\s*=\s*\"(\w+)\""), ("reads", "table", r"\bselect\b.*\bfrom\s+(\w+)"), SQL_USE[1])),
-    "coldfusion": Pack("cfm cfc", "coldfusion", (r"<cf(?:query|output|set|component|function)\b", r"#\w+\.\w+#", r"</cf\w+>"), "coldfusion", (("function", r'<cffunction\b[^>]*\bname\s*=\s*"([^"]+)"'), ("class", r'<cfcomponent\b[^>]*\bname\s*=\s*"([^"]+)"')), (("includes", "file", r'<cfinclude\b[^>]*\btemplate\s*=\s*"([^"]+)"'), ("uses", "data_store", r'\bdatasource\s*=\s*"([^"]+)"'), ("navigates_to", "screen", r'<cflocation\b[^>]*\burl\s*=\s*"([^"?]+)'), *SQL_USE)),
-    "php": Pack("php php5 phtml", "php", (r"<\?php", r"\$\w+\s*=", r"\becho\b", r"->\w+\("), "php", (("function", rf"\bfunction\s+{ID}\s*\("), ("class", rf"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+{ID}")), (("includes", "file", r"\b(?:include|require)(?:_once)?\s*\(?\s*[\"']([^\"']+)"), ("uses", "class", rf"\bnew\s+{ID}"), ("inherits", "class", rf"\bextends\s+{ID}"))),
-    "perl": Pack("pl pm cgi", "perl", (r"^\s*use\s+strict", r"\bmy\s+[$@%]\w+", r"^\s*sub\s+\w+", r"=~"), "script", (("function", rf"^\s*sub\s+{ID}"), ("class", r"^\s*package\s+([\w:]+)")), (("includes", "module", r"^\s*(?:use|require)\s+([A-Z][\w:]*)"), ("calls", "function", rf"&{ID}\s*\("))),
-    "shell": Pack("sh ksh bash", "shell|bash|ksh", (r"^#!.*\b(?:ba|k|z)?sh\b", r"\bfi\b", r"\bdone\b", r"\bexport\s+\w+="), "script", (("function", rf"^\s*(?:function\s+)?{ID}\s*\(\)"), ("function", rf"^\s*function\s+{ID}")), (("includes", "file", r"^\s*(?:source|\.)\s+(\S+)"), ("calls", "program", r"\b(?:sh|ksh|bash)\s+([\w./-]+\.k?sh)"), ("uses", "program", r"\b(sqlplus|isql|bteq|db2|sqlldr)\b")), cased=True),
-    "batch": Pack("bat cmd", "batch", (r"^\s*@?echo\s+off", r"\bgoto\s+:?\w+", r"%\w+%", r"\bset\s+\w+="), "batch", (("paragraph", r"^\s*:([A-Za-z]\w*)"),), (("calls", "paragraph", r"\b(?:goto|call)\s+:(\w+)"), ("calls", "program", r"\bcall\s+(?!:)([\w.\\/-]+)"))),
-    "powershell": Pack("ps1 psm1", "powershell", (r"\$\w+\s*=", r"\b(?:get|set|new|invoke)-\w+", r"\bparam\s*\("), "powershell", (("function", rf"^\s*function\s+{ID}"),), (("includes", "module", r"\bimport-module\s+([\w.-]+)"), ("calls", "program", r"\binvoke-(?:expression|command)\s+(\S+)"))),
-    "python": Pack("py pyw", "python", (r"^\s*def\s+\w+\(.*\):", r"^\s*(?:from\s+\S+\s+)?import\s", r"^\s*class\s+\w+.*:", r"\bself\."), "script", (("function", rf"^\s*(?:async\s+)?def\s+{ID}"), ("class", rf"^\s*class\s+{ID}")), (("includes", "module", r"^\s*(?:from|import)\s+([\w.]+)"), ("inherits", "class", r"^\s*class\s+\w+\(([A-Za-z_][\w.]*)")), cased=True),
-    "javascript": Pack("js jsx mjs ts tsx", "javascript|typescript|node", (r"\bfunction\s*\w*\(", r"=>", r"\b(?:const|let|var)\s+\w+\s*=", r"\brequire\("), "c", (("class", rf"\bclass\s+{ID}"), ("function", rf"\bfunction\s+{ID}\s*\("), ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{ID}\s*=\s*(?:async\s*)?\(?[\w,\s]*\)?\s*=>")), (("includes", "module", r"\b(?:require\(\s*|from\s+)[\"']([^\"']+)"), ("inherits", "class", rf"\bextends\s+{ID}"), ("uses", "external_system", r"\bfetch\(\s*[\"']([^\"']+)")), cased=True),
-    "delphi": Pack("pas dpr dfm", "delphi|pascal", (r"^\s*unit\s+\w+;", r"^\s*uses\b", r"\bbegin\b", r"^\s*(?:procedure|function)\b"), "pascal", (("function", r"^\s*(?:procedure|function|constructor|destructor)\s+([\w.]+)"), ("class", r"^\s*(\w+)\s*=\s*class\b")), (("includes", "module", r"^\s*uses\s+([\w.]+)"), ("navigates_to", "screen", r"\b(\w+)\.showmodal\b"))),
-    "foxpro": Pack("prg scx", "foxpro|visual foxpro", (r"^\s*procedure\b", r"\bset\s+(?:talk|exact|deleted)\s", r"\b(?:scan|endscan|seek|replace)\b"), "foxpro", (("function", rf"^\s*(?:procedure|function)\s+{ID}"),), (("calls", "function", rf"^\s*do\s+{ID}"), ("uses", "table", r"^\s*use\s+(\w+)"), ("displays", "screen", r"\bdo\s+form\s+(\w+)"))),
-    "informix4gl": Pack("4gl per", "informix 4gl|4gl", (r"^\s*main\s*$", r"^\s*end\s+(?:main|function|report)", r"\bdefine\s+\w+\s+(?:like|record)"), "fourgl", (("function", rf"^\s*(?:function|report)\s+{ID}"),), (("calls", "function", rf"\bcall\s+{ID}\s*\("), ("displays", "screen", r"\bopen\s+(?:form|window)\s+(\w+)"), *SQL_USE)),
-    "progress": Pack("p w i", "progress|openedge", (r"\bdefine\s+variable\b", r"\bfor\s+each\b", r"\bno-lock\b", r"\bend\s+procedure\b"), "cl", (("function", rf"^\s*(?:procedure|function)\s+([\w-]+)"),), (("calls", "function", r"\brun\s+([\w./-]+)"), ("reads", "table", r"\b(?:for\s+each|find\s+(?:first|last)?)\s*(\w+)"), ("writes", "table", r"^\s*(?:create|delete|assign)\s+(\w+)"), ("includes", "file", r"\{([\w./-]+\.i)"))),
-    "fortran": Pack("f f77 f90 f95 for", "fortran", (r"^\s*program\s+\w+", r"^\s*(?:subroutine|end\s*subroutine)\b", r"\bimplicit\s+none\b"), "bang", (("function", rf"^\s*(?:\w+\s+)?(?:subroutine|function|program)\s+{ID}"), ("class", rf"^\s*module\s+(?!procedure){ID}")), (("calls", "function", rf"\bcall\s+{ID}"), ("includes", "module", rf"^\s*use\s+{ID}"))),
-    "basic": Pack("bas0 gwb qb", "basic|quickbasic", (r"^\s*\d+\s+(?:print|let|goto|rem)\b", r"\bgosub\b", r"\bnext\s+\w+"), "vb", (("function", rf"^\s*(?:\d+\s+)?(?:sub|function|def\s+fn)\s*{ID}"),), (("calls", "function", rf"\bcall\s+{ID}"),)),
+    "vb6": Pack(("frm", "ctl", "vbp", "dsr"), ("visual basic 6", "vb6", "visual basic"), (r"^attribute vb_name", r"^version 5\.00", r"on error (?:goto|resume)", r"\bdim \w+ as\b"), "vb", VB_UNITS, (VB_CALL, ("uses", "external_system", r'createobject\(\s*"([\w.]+)"'), ("navigates_to", "screen", r"\b(frm\w+)\.show\b"))),
+    "vba": Pack(("bas", "cls"), ("vba", "access vba", "excel vba"), (r"\bdocmd\.", r"\bcurrentdb\b", r"\bforms!", r"\bthisworkbook\b"), "vb", VB_UNITS, (VB_CALL, ("navigates_to", "screen", r'docmd\.openform\s+"([^"]+)"'), ("reads", "table", r'openrecordset\(\s*"(\w+)"'))),
+    "vbnet": Pack(("vb",), ("vb.net", "visual basic .net"), (r"^\s*imports\s+system", r"^\s*end\s+(?:module|class|namespace)", r"\bhandles\s+\w+\.\w+"), "vb", VB_UNITS, (VB_CALL, ("inherits", "class", r"^\s*inherits\s+([\w.]+)"), ("includes", "module", r"^\s*imports\s+([\w.]+)"), ("uses", "class", rf"\bnew\s+{ID}\s*\("))),
+    "vbscript": Pack(("vbs", "asp", "inc", "wsf"), ("vbscript", "classic asp", "asp"), (r"<%", r"server\.createobject", r"response\.write", r"wscript\."), "vb", VB_UNITS[:1], (VB_CALL, ("uses", "external_system", r'createobject\(\s*"([\w.]+)"'), ("navigates_to", "screen", r'response\.redirect\s*\(?\s*"([\w./]+)'), ("includes", "file", r'#include\s+(?:file|virtual)\s*=\s*"([^"]+)"'))),
+    "rpg": Pack(("rpg", "rpgle", "sqlrpgle", "rpg38", "rpg36"), ("rpg", "rpgle", "rpg iv", "ile rpg"), (r"\*\*free", r"\bdcl-(?:s|ds|proc|f)\b", r"\b(?:begsr|endsr|exsr|chain|setll)\b"), "c", (("paragraph", rf"\bbegsr\s+{ID}"), ("paragraph", r"^.{5}C\s+([A-Z][\w#@$]*)\s+begsr\b"), ("function", rf"\bdcl-proc\s+{ID}")), (("calls", "paragraph", rf"\bexsr\s+{ID}"), ("calls", "program", r"\bcallp?\s+'?([A-Z][\w#@$]*)'?"), ("includes", "copybook", r"/(?:copy|include)\s+([\w/,]+)"), ("reads", "file", r"\b(?:chain|reade?|setll)\s*(?:\(\w\))?\s+(?:\w+\s+)?([A-Z][\w#@$]*)\s*;?\s*$"), ("writes", "file", r"\b(?:write|update|delete)\s+([A-Z][\w#@$]*)\s*;?\s*$"), ("displays", "screen", r"\bexfmt\s+(\w+)")), upper=True),
+    "cl": Pack(("clp", "clle", "cl", "cmd"), ("cl", "clle", "control language"), (r"^\s*pgm\b", r"\bdcl\s+var\(", r"\bcall\s+pgm\(", r"\bendpgm\b"), "cl", (("paragraph", r"^\s*([A-Z][\w#@$]*):"),), (("calls", "program", r"\bcall\s+pgm\((?:\w+/)?([A-Z][\w#@$]*)\)"), ("calls", "paragraph", r"\bgoto\s+cmdlbl\((\w+)\)"), ("uses", "file", r"\b(?:ovrdbf|dclf)\s+file\((?:\w+/)?(\w+)\)"), ("reads", "file", r"\bfromfile\((?:\w+/)?(\w+)\)"), ("writes", "file", r"\btofile\((?:\w+/)?(\w+)\)")), upper=True),
+    "natural": Pack(("nsp", "nsn", "nss", "nsl", "nsm", "nsc", "nsg", "nsh", "nat"), ("natural",), (r"\bdefine data\b", r"\bend-define\b", r"\bcallnat\b"), "natural", (("paragraph", r"\bdefine\s+subroutine\s+([\w#-]+)"),), (("calls", "program", r"\b(?:callnat|fetch(?:\s+return)?|call)\s+'([\w#-]+)'"), ("calls", "paragraph", r"\bperform\s+([\w#-]+)"), ("includes", "copybook", r"\b(?:local|parameter|global)\s+using\s+([\w#-]+)"), ("reads", "file", r"\b(?:read|find|histogram)\s+([A-Z][\w-]*)\s+(?:by|with)\b"), ("displays", "screen", r"\busing\s+map\s+'([\w#-]+)'")), upper=True),
+    "pli": Pack(("pli", "pl1", "plinc", "pl", "inc"), ("pl/i", "pli", "pl1"), (r"\bproc(?:edure)?\s+options\s*\(\s*main", r"\bdcl\s+\w+\s+(?:fixed|char|bit)", r"\bput\s+(?:skip|list|edit)"), "cl", (("function", r"^\s*([A-Z][\w#@$]*)\s*:\s*proc(?:edure)?\b"),), (("calls", "function", r"\bcall\s+([A-Z][\w#@$]*)"), ("includes", "copybook", r"%include\s+(\w+)"), ("reads", "file", r"\bread\s+file\s*\((\w+)\)"), ("writes", "file", r"\b(?:re)?write\s+file\s*\((\w+)\)")), upper=True),
+    "asm": Pack(("asm", "mac", "mlc", "hlasm", "s"), ("assembler", "hlasm", "bal", "assembly", "assembly language", "ibm assembler"), (r"\bcsect\b", r"\b(?:stm|balr|bas|using)\s", r"\bdc\s+[cfhx]['\d]"), "star", (("function", r"^([A-Z@#$]\w{0,7})\s+(?:csect|start|dsect)\b"),), (("calls", "program", r"\bcall\s+([A-Z@#$]\w*)"), ("calls", "program", r"=v\((\w+)\)"), ("includes", "copybook", r"^\s+copy\s+(\w+)")), upper=True),
+    "rexx": Pack(("rex", "rexx", "exec"), ("rexx",), (r"/\*\s*rexx", r"\bparse\s+(?:arg|pull|var|upper)\b", r"\baddress\s+(?:tso|ispexec|mvs)\b"), "c", (("function", rf"^\s*{ID}:\s*(?:procedure)?"),), (("calls", "function", rf"\bcall\s+{ID}"), ("displays", "screen", r"\bdisplay\s+panel\((\w+)\)"))),
+    "clist": Pack(("clist", "clst"), ("clist",), (r"^\s*proc\s+\d", r"\bset\s+&?\w+\s*=", r"\bcontrol\s+(?:list|nolist|msg)"), "cl", (("function", r"^\s*(\w+):\s*(?:do|subproc)?\b"),), (("calls", "program", r"%(\w+)"), ("calls", "program", r"\bcall\s+'([^']+)'")), upper=True),
+    "easytrieve": Pack(("ezt", "eztrieve", "ezy", "eztp"), ("easytrieve", "easytrieve plus"), (r"^\s*job\s+input\b", r"^\s*parm\b", r"^\s*report\s+\w+"), "star", (("paragraph", r"^\s*([A-Z][\w-]*)\.?\s+proc\b"),), (("calls", "paragraph", r"\bperform\s+([\w-]+)"), ("reads", "file", r"\bjob\s+input\s+\(?(\w+)"), ("includes", "copybook", r"^\s*%(\w+)")), upper=True),
+    "sas": Pack(("sas",), ("sas",), (r"^\s*data\s+\w+", r"^\s*proc\s+\w+", r"^\s*run\s*;", r"%macro\b"), "sas", (("function", rf"%macro\s+{ID}"), ("paragraph", r"^\s*proc\s+(\w+)")), (("calls", "function", r"%(?!macro|mend|let|if|do|end|else|include|put|then|to)(\w+)\s*[(;]"), ("includes", "file", r"%include\s+[\"']([^\"']+)"), ("reads", "table", r"^\s*(?:set|merge)\s+([\w.]+)"), ("writes", "table", r"^\s*data\s+([\w.]+)"))),
+    "plsql": Pack(("pks", "pkb", "pls", "prc", "fnc", "trg", "plsql", "plb"), ("pl/sql", "plsql", "oracle"), (r"\bcreate\s+or\s+replace\s+(?:package|procedure|function)", r"\bexception\s+when\b", r"%(?:row)?type\b"), "sql", (("function", r"\b(?:procedure|function)\s+([\w.$#]+)"), ("class", r"\bpackage\s+(?:body\s+)?([\w.$#]+)")), SQL_USE),
+    "tsql": Pack(("tsql",), ("t-sql", "tsql", "transact-sql", "sql server"), (r"\bcreate\s+proc(?:edure)?\b", r"\bdeclare\s+@\w+", r"^\s*go\s*$", r"\bset\s+nocount\b"), "sql", (("function", r"\b(?:create|alter)\s+(?:proc(?:edure)?|function)\s+([\w.\[\]]+)"),), (("calls", "function", r"\bexec(?:ute)?\s+([A-Za-z_][\w.]*)"), *SQL_USE)),
+    "powerbuilder": Pack(("srw", "sru", "srd", "srm", "srf", "srs", "sra", "srj"), ("powerbuilder", "powerscript"), (r"^\s*global type\b", r"^\s*end type\b", r"\btriggerevent\b"), "c", (("class", r"^\s*global\s+type\s+(\w+)"), ("function", r"^\s*(?:public|private|protected)\s+(?:function|subroutine)\s+(?:\w+\s+)?(\w+)\s*\("), ("function", r"^\s*event\s+(\w+)")), (("navigates_to", "screen", r"\bopen(?:sheet)?\s*\(\s*(w_\w+)"), ("uses", "table", r"\bdataobject\s*=\s*\"(\w+)\""), ("reads", "table", r"\bselect\b.*\bfrom\s+(\w+)"), SQL_USE[1])),
+    "coldfusion": Pack(("cfm", "cfc", "cfml"), ("coldfusion", "cfml"), (r"<cf(?:query|output|set|component|function)\b", r"#\w+\.\w+#", r"</cf\w+>"), "coldfusion", (("function", r'<cffunction\b[^>]*\bname\s*=\s*"([^"]+)"'), ("class", r'<cfcomponent\b[^>]*\bname\s*=\s*"([^"]+)"')), (("includes", "file", r'<cfinclude\b[^>]*\btemplate\s*=\s*"([^"]+)"'), ("uses", "data_store", r'\bdatasource\s*=\s*"([^"]+)"'), ("navigates_to", "screen", r'<cflocation\b[^>]*\burl\s*=\s*"([^"?]+)'), *SQL_USE)),
+    "php": Pack(("php", "php3", "php4", "php5", "phtml"), ("php",), (r"<\?php", r"\$\w+\s*=", r"\becho\b", r"->\w+\("), "php", (("function", rf"\bfunction\s+{ID}\s*\("), ("class", rf"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+{ID}")), (("includes", "file", r"\b(?:include|require)(?:_once)?\s*\(?\s*[\"']([^\"']+)"), ("uses", "class", rf"\bnew\s+{ID}"), ("inherits", "class", rf"\bextends\s+{ID}"))),
+    "perl": Pack(("pl", "pm", "cgi", "t"), ("perl",), (r"^\s*use\s+strict", r"\bmy\s+[$@%]\w+", r"^\s*sub\s+\w+", r"=~"), "script", (("function", rf"^\s*sub\s+{ID}"), ("class", r"^\s*package\s+([\w:]+)")), (("includes", "module", r"^\s*(?:use|require)\s+([A-Z][\w:]*)"), ("calls", "function", rf"&{ID}\s*\("))),
+    "shell": Pack(("sh", "ksh", "bash", "csh"), ("shell", "bash", "ksh", "sh"), (r"^#!.*\b(?:ba|k|z)?sh\b", r"\bfi\b", r"\bdone\b", r"\bexport\s+\w+="), "script", (("function", rf"^\s*(?:function\s+)?{ID}\s*\(\)"), ("function", rf"^\s*function\s+{ID}")), (("includes", "file", r"^\s*(?:source|\.)\s+(\S+)"), ("calls", "program", r"\b(?:sh|ksh|bash)\s+([\w./-]+\.k?sh)"), ("uses", "program", r"\b(sqlplus|isql|bteq|db2|sqlldr)\b")), cased=True),
+    "batch": Pack(("bat", "cmd"), ("batch", "windows batch", "cmd"), (r"^\s*@?echo\s+off", r"\bgoto\s+:?\w+", r"%\w+%", r"\bset\s+\w+="), "batch", (("paragraph", r"^\s*:([A-Za-z]\w*)"),), (("calls", "paragraph", r"\b(?:goto|call)\s+:(\w+)"), ("calls", "program", r"\bcall\s+(?!:)([\w.\\/-]+)"))),
+    "powershell": Pack(("ps1", "psm1", "psd1"), ("powershell",), (r"\$\w+\s*=", r"\b(?:get|set|new|invoke)-\w+", r"\bparam\s*\("), "powershell", (("function", rf"^\s*function\s+{ID}"),), (("includes", "module", r"\bimport-module\s+([\w.-]+)"), ("calls", "program", r"\binvoke-(?:expression|command)\s+(\S+)"))),
+    "python": Pack(("py", "pyw"), ("python", "python 2", "python 3"), (r"^\s*def\s+\w+\(.*\):", r"^\s*(?:from\s+\S+\s+)?import\s", r"^\s*class\s+\w+.*:", r"\bself\."), "script", (("function", rf"^\s*(?:async\s+)?def\s+{ID}"), ("class", rf"^\s*class\s+{ID}")), (("includes", "module", r"^\s*(?:from|import)\s+([\w.]+)"), ("inherits", "class", r"^\s*class\s+\w+\(([A-Za-z_][\w.]*)")), cased=True),
+    "javascript": Pack(("js", "jsx", "mjs", "ts", "tsx"), ("javascript", "js", "typescript", "node"), (r"\bfunction\s*\w*\(", r"=>", r"\b(?:const|let|var)\s+\w+\s*=", r"\brequire\("), "c", (("class", rf"\bclass\s+{ID}"), ("function", rf"\bfunction\s+{ID}\s*\("), ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{ID}\s*=\s*(?:async\s*)?\(?[\w,\s]*\)?\s*=>")), (("includes", "module", r"\b(?:require\(\s*|from\s+)[\"']([^\"']+)"), ("inherits", "class", rf"\bextends\s+{ID}"), ("uses", "external_system", r"\bfetch\(\s*[\"']([^\"']+)")), cased=True),
+    "delphi": Pack(("pas", "dpr", "dpk", "inc", "dfm"), ("delphi", "pascal", "object pascal"), (r"^\s*unit\s+\w+;", r"^\s*uses\b", r"\bbegin\b", r"^\s*(?:procedure|function)\b"), "pascal", (("function", r"^\s*(?:procedure|function|constructor|destructor)\s+([\w.]+)"), ("class", r"^\s*(\w+)\s*=\s*class\b")), (("includes", "module", r"^\s*uses\s+([\w.]+)"), ("navigates_to", "screen", r"\b(\w+)\.showmodal\b"))),
+    "foxpro": Pack(("prg", "spr", "mpr", "qpr", "scx"), ("foxpro", "visual foxpro", "vfp"), (r"^\s*procedure\b", r"\bset\s+(?:talk|exact|deleted)\s", r"\b(?:scan|endscan|seek|replace)\b"), "foxpro", (("function", rf"^\s*(?:procedure|function)\s+{ID}"),), (("calls", "function", rf"^\s*do\s+{ID}"), ("uses", "table", r"^\s*use\s+(\w+)"), ("displays", "screen", r"\bdo\s+form\s+(\w+)"))),
+    "informix4gl": Pack(("4gl", "4gs", "per"), ("informix 4gl", "4gl"), (r"^\s*main\s*$", r"^\s*end\s+(?:main|function|report)", r"\bdefine\s+\w+\s+(?:like|record)"), "fourgl", (("function", rf"^\s*(?:function|report)\s+{ID}"),), (("calls", "function", rf"\bcall\s+{ID}\s*\("), ("displays", "screen", r"\bopen\s+(?:form|window)\s+(\w+)"), *SQL_USE)),
+    "progress": Pack(("p", "w", "i", "cls"), ("progress", "openedge", "abl", "progress 4gl"), (r"\bdefine\s+variable\b", r"\bfor\s+each\b", r"\bno-lock\b", r"\bend\s+procedure\b"), "cl", (("function", rf"^\s*(?:procedure|function)\s+([\w-]+)"),), (("calls", "function", r"\brun\s+([\w./-]+)"), ("reads", "table", r"\b(?:for\s+each|find\s+(?:first|last)?)\s*(\w+)"), ("writes", "table", r"^\s*(?:create|delete|assign)\s+(\w+)"), ("includes", "file", r"\{([\w./-]+\.i)"))),
+    "fortran": Pack(("f", "f77", "f90", "f95", "for"), ("fortran",), (r"^\s*program\s+\w+", r"^\s*(?:subroutine|end\s*subroutine)\b", r"\bimplicit\s+none\b"), "bang", (("function", rf"^\s*(?:\w+\s+)?(?:subroutine|function|program)\s+{ID}"), ("class", rf"^\s*module\s+(?!procedure){ID}")), (("calls", "function", rf"\bcall\s+{ID}"), ("includes", "module", rf"^\s*use\s+{ID}"))),
+    "basic": Pack(("bas0", "gwb", "qb"), ("basic", "quickbasic"), (r"^\s*\d+\s+(?:print|let|goto|rem)\b", r"\bgosub\b", r"\bnext\s+\w+"), "vb", (("function", rf"^\s*(?:\d+\s+)?(?:sub|function|def\s+fn)\s*{ID}"),), (("calls", "function", rf"\bcall\s+{ID}"),)),
 }
-OTHER_FORMATS = {"sql": "sql ddl", "markup": "html htm xml aspx jsp xhtml", "props": "properties ini cfg conf", "java": "java", "csharp": "cs", "c": "c h cpp hpp"}
+OTHER_FORMATS = {"sql": ("sql", "ddl"), "markup": ("html", "htm", "xml", "aspx", "jsp", "xhtml"), "props": ("properties", "ini", "cfg", "conf"), "java": ("java",), "csharp": ("cs",), "c": ("c", "h", "cpp", "hpp")}
 #: The comment style of documents that no pack covers.
 OTHER_STYLES = {"sql": "sql", "markup": "markup", "props": "props", "java": "c", "csharp": "c", "c": "c"}
 LEAST_SIGNS = 3
@@ -132,18 +133,28 @@ def _hits(pattern: str, cased: bool, kind: str, target_kind: str) -> Column:
 
 
 def chosen(docs: DataFrame, key: str = "doc_id", name: str = "name", language: str = "language", text: str = "text") -> DataFrame:
-    """(key, pack, by): by the name's extension, else by the stated language, else by at least `LEAST_SIGNS` signs in the text.
+    """(key, pack, by): by the name's extension (of languages that share it, by their signs), else by the stated language, else by at least `LEAST_SIGNS` signs in the text.
 
     Every matching line of a sign counts once; the pack with most signs wins, then the first by name.
     Documents that none fits have no pack. Only texts that the first two do not settle are searched.
     """
-    of_extension = {e: pack for pack, p in reversed(PACKS.items()) for e in p.extensions.split()} | {e: kind for kind, es in OTHER_FORMATS.items() for e in es.split()}
-    of_name = {n: pack for pack, p in reversed(PACKS.items()) for n in p.names.split("|")}
+    of_extension: dict[str, list[str]] = {e: [kind] for kind, es in OTHER_FORMATS.items() for e in es}
+    for pack, p in PACKS.items():
+        for e in p.extensions:
+            of_extension.setdefault(e, []).append(pack)
+    of_name = {n: pack for pack, p in reversed(PACKS.items()) for n in p.names}
     look = lambda table, value: F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), value)
-    by_extension = look(of_extension, F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1)))
+    extension = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([A-Za-z0-9]+)$", 1))
+    one = look({e: packs[0] for e, packs in of_extension.items() if len(packs) == 1}, extension)
     by_language = look(of_name, F.lower(F.trim(F.coalesce(language, F.lit("")))))
     counts = F.array(*[F.struct(sum((F.size(F.regexp_extract_all(text, F.lit(f"(?im){s}"), F.lit(0))) for s in p.signs), F.lit(0)).alias("n"), F.lit(-at).alias("order"), F.lit(pack).alias("pack")) for at, (pack, p) in enumerate(PACKS.items())])
     best = F.array_max(F.filter(counts, lambda c: c["n"] >= LEAST_SIGNS))
+    shared = F.lit(None)
+    for e, packs in of_extension.items():  # of the languages that share an extension the one with most signs, then the first
+        if len(packs) > 1:
+            most = F.array_max(F.array(*[F.get(counts, list(PACKS).index(pack)) for pack in packs]))
+            shared = F.when(extension == e, most["pack"]).otherwise(shared)
+    by_extension = F.coalesce(one, shared)
     settled = F.coalesce(by_extension, by_language)
     by_signs = F.when(settled.isNull(), best["pack"])
     how = F.when(by_extension.isNotNull(), "extension").when(by_language.isNotNull(), "language").when(by_signs.isNotNull(), "signs")

@@ -22,6 +22,19 @@ def r1(spark: SparkSession, root: str) -> DataFrame:
     return line_rules.scan(table(spark, root, "part").select("p_partkey", F.lit(1).alias("n"), line.alias("line"), F.lit("python").alias("family")), "p_partkey")
 
 
+@add(
+    "r1_rules_on_code",
+    """SELECT p_partkey, 2 AS n, CASE p_partkey % 3 WHEN 0 THEN 'SEC-CRED' WHEN 1 THEN 'SEC-CMD' ELSE 'SEC-SQLI' END AS rule, CASE p_partkey % 3 WHEN 1 THEN 'medium' ELSE 'high' END AS severity, CASE p_partkey % 3 WHEN 0 THEN 'password = "****"  # password = "****"' WHEN 1 THEN 'os.system(command) # x' ELSE 'sql = "SELECT a FROM t WHERE k = " + ' || split_part(p_name, ' ', 1) END AS snippet FROM part
+    WHERE p_size % 2 = 0""",
+)
+def r1_code(spark: SparkSession, root: str) -> DataFrame:
+    """Scripts of three lines; what stands in comments, as all of it does where the part's size is odd, is no finding."""
+    kind = F.col("p_partkey") % 3
+    code = F.when(kind == 0, F.concat(F.lit('password = "'), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit('"  # password = "no"'))).when(kind == 1, "os.system(command) # x").otherwise(F.concat(F.lit('sql = "SELECT a FROM t WHERE k = " + '), F.split_part("p_name", F.lit(" "), F.lit(1))))
+    text = F.concat(F.lit('# password = "abcdef1"\n'), F.when(F.col("p_size") % 2 == 0, code).otherwise(F.concat(F.lit("#"), code)), F.lit("\n# eval(x)"))
+    return line_rules.scan_documents(table(spark, root, "part").select("p_partkey", text.alias("text"), F.lit("python").alias("family")), "p_partkey")
+
+
 @add("r3_missing_guard", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), g AS (SELECT *, max(CASE WHEN contains(line, ' and ') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS g FROM l) SELECT doc_id, n::INTEGER AS n FROM g WHERE contains(line, 'the') AND g = 0""")
 def r3(spark: SparkSession, root: str) -> DataFrame:
     return checks.missing_before(lines.lines_of(table(spark, root, "documents")), "doc_id", "the", " and ")
