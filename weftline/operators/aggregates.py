@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.staging import stage
+
 
 def capped_score(deductions: DataFrame, by: list[str], rule: str, points: str, cap: str) -> DataFrame:
     """Per rule min(sum of points, cap); 100 minus their sum, floor 0."""
@@ -72,25 +76,33 @@ def digit_families(df: DataFrame, name: str, least: int = 4) -> DataFrame:
     return df.groupBy(F.regexp_replace(name, "[0-9]+", "nn").alias("family")).agg(F.count_distinct(name).alias("members"), F.min(name).alias("first")).where(F.col("members") >= least)
 
 
-def segment_families(df: DataFrame, name: str, least: int = 6) -> list[tuple[str, list[str]]]:
-    """A20, second part: families with one dotted segment as wildcard, the largest first, each name in one family.
+def segment_families(df: DataFrame, name: str, digits_least: int = 4, least: int = 6) -> DataFrame:
+    """(name, family, members): names of one digit family, or else of one family with a dotted segment as wildcard.
 
-    Greedy by nature. Candidate families come from a distributed group; the loop on the driver sees
-    only names that are in a family of `least` or more, and ends when none is left.
+    Names in a digit family of `digits_least` or more are settled. The wildcard families of the others (names
+    of three segments or more) go from the largest to the smallest, each taking the names none before it took,
+    if these are `least` or more. Done in rounds: a family whose names are all free of larger undecided
+    families is decided, so each round settles every family that is the largest around; families too small
+    by now go at once. Each round is a written table; nothing is held by the driver.
     """
-    spelled = df.select(F.col(name).alias("name")).distinct().withColumn("p", F.split("name", r"\."))
-    wild = spelled.where(F.size("p") > 1).select("name", F.explode(F.transform("p", lambda x, i: F.array_join(F.transform(F.col("p"), lambda y, j: F.when(i == j, F.lit("*")).otherwise(y)), "."))).alias("family"))
-    large = wild.groupBy("family").agg(F.collect_set("name").alias("names")).where(F.size("names") >= least)
-    families = {r["family"]: set(r["names"]) for r in large.toLocalIterator()}
-    found: list[tuple[str, list[str]]] = []
-    while families:
-        best = min(families, key=lambda f: (-len(families[f]), f))
-        members = families.pop(best)
-        if len(members) < least:
+    spelled = stage(df.select(F.col(name).alias("name")).where("name <> ''").distinct().withColumn("digits", F.regexp_replace("name", "[0-9]+", "nn")), "names")
+    numbered = spelled.where(F.col("name").rlike("[0-9]"))
+    settled = numbered.join(numbered.groupBy("digits").agg(F.count("*").alias("members")).where(F.col("members") >= digits_least), "digits").select("name", F.col("digits").alias("family"), "members")
+    free = spelled.join(settled.select("name"), "name", "left_anti").withColumn("p", F.split("name", r"\.")).where(F.size("p") >= 3)
+    wild = free.select("name", F.explode(F.transform("p", lambda x, i: F.struct(F.array_join(F.transform("p", lambda y, j: F.when(i == j, F.lit("*")).otherwise(y)), ".").alias("family"), i.alias("at")))).alias("w")).select("name", "w.family", "w.at")
+    sizes = wild.groupBy("family", "at").agg(F.struct((-F.count("*")).alias("size"), F.min("name").alias("first"), F.first("at").alias("i")).alias("order")).where(-F.col("order.size") >= least)
+    left = stage(wild.join(sizes, ["family", "at"]).select("name", "family", "order"), "families")
+    found = [settled]
+    while True:
+        remaining = left.groupBy("family").agg(F.count("*").alias("members")).where(F.col("members") >= least)
+        met = left.join(remaining, "family").join(left.join(remaining, "family", "left_semi").groupBy("name").agg(F.min("order").alias("top")), "name")
+        ready = met.groupBy("family").agg(F.bool_and(F.col("order") == F.col("top")).alias("ready")).where("ready").select("family")
+        taken = stage(met.join(ready, "family", "left_semi").select("name", "family", "members"), "taken")
+        if taken.isEmpty():
             break
-        found.append((best, sorted(members)))
-        families = {f: n - members for f, n in families.items() if len(n - members) >= least}
-    return found
+        found.append(taken)
+        left = stage(met.select("name", "family", "order").join(taken.select("name"), "name", "left_anti"), "families")
+    return reduce(DataFrame.unionByName, found)
 
 
 def stamp(df: DataFrame, order: list[str]) -> DataFrame:

@@ -123,6 +123,14 @@ def a20(spark: SparkSession, root: str) -> DataFrame:
     return ag.digit_families(names, "n")
 
 
+@add("a20_segment_families")
+def a20_segments(spark: SparkSession, root: str) -> DataFrame:
+    """Part names, types and the second words of names as dotted names without digits."""
+    part = table(spark, root, "part")
+    dotted = F.regexp_replace(F.lower(F.concat_ws(".", F.split_part("p_name", F.lit(" "), F.lit(1)), "p_type", F.split_part("p_name", F.lit(" "), F.lit(2)))), "[0-9 ]", "")
+    return ag.segment_families(part.select(dotted.alias("n")), "n")
+
+
 @add(
     "a21_ownership_rollup",
     """SELECT l_partkey % 50 AS entity, count(DISTINCT l_suppkey) AS copies, list_sort(list_distinct(list(CASE WHEN l_returnflag = 'A' THEN l_suppkey END))) AS writers,

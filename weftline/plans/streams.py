@@ -53,3 +53,11 @@ def st4(spark: SparkSession, root: str) -> DataFrame:
 def st8(spark: SparkSession, root: str) -> DataFrame:
     """The run is interrupted behind its first batch's rows and started again: every row comes once."""
     return ev.queued(_stream(spark, root).select("event_id"), "event_id", resume_after=0).select("event_id")
+
+
+@add("st4_closed_batches", "WITH e AS (SELECT event_type, event_id, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY event_type) AS k FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) SELECT event_type, i // 70 AS batch, event_id AS item, CASE WHEN (i // 70 + 1) * 70 <= k THEN 'full' ELSE 'quiet' END AS reason FROM e")
+def st4_closed(spark: SparkSession, root: str) -> DataFrame:
+    """Events in batches of 70 a type; the last batch of each closes after a quiet second."""
+    stream = _stream(spark, root)
+    total = spark.read.parquet(f"{root}/events.parquet").count()
+    return ev.run_until(ev.batched(stream, "event_type", "event_id", 70, 1000), lambda rows: rows.count() == total, seconds=300)

@@ -7,6 +7,7 @@ nothing in it needs a stream.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -85,6 +86,71 @@ def kept_by_distance(frames_: DataFrame, key: str, value: str, least: int = 4) -
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def batched(stream: DataFrame, key: str, item: str, most: int = 500, quiet_ms: int = 2000) -> DataFrame:
+    """ST4: (key, batch, item, reason): items of a key in batches that close when they hold `most` items (full) or when nothing came for `quiet_ms` (quiet).
+
+    The open batch is the state of its key, at most `most` items; a processing-time timer that each arrival
+    puts off closes it. Items go in the order of their arrival, those of one micro-batch by value. State and
+    output are committed together, so an item is in one batch whatever fails.
+    """
+
+    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, number = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        out = []
+        if state.hasTimedOut:
+            out, held, number = [(k[0], number, x, "quiet") for x in held], [], number + bool(held)
+        else:
+            for frame in frames:
+                held += sorted(frame[item].tolist())
+            while len(held) >= most:
+                out += [(k[0], number, x, "full") for x in held[:most]]
+                held, number = held[most:], number + 1
+        state.update((held, number))
+        if held:
+            state.setTimeoutDuration(quiet_ms)
+        yield pd.DataFrame(out, columns=[key, "batch", "item", "reason"])
+
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, item)}
+    schema = f"{key} {kinds[key]}, batch long, item {kinds[item]}, reason string"
+    return stream.select(key, item).groupBy(key).applyInPandasWithState(step, schema, f"held array<{kinds[item]}>, number long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def run_until(stream: DataFrame, done, feed=None, fail_after: int | None = None, seconds: float = 60) -> DataFrame:
+    """Drive a stream with timers into a written table until `done(rows)` holds. `feed(round)` may add input; after micro-batch `fail_after` the query is broken off once and started again on its log."""
+    spark = stream.sparkSession
+    base = f"{run_folder(spark)}/timed-{uuid.uuid4().hex}"
+    failed: list[int] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/rows/batch_no={number}")
+        if number == fail_after and not failed:
+            failed.append(number)
+            raise RuntimeError("broken off after the rows were written and before the batch was committed")
+
+    def start():
+        return stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/log").trigger(processingTime="500 milliseconds").start()
+
+    query, end, turn = start(), time.monotonic() + seconds, 0
+    try:
+        while time.monotonic() < end:
+            if query.exception() is not None:
+                if failed != [fail_after] or query.isActive:
+                    raise query.exception()
+                query, fail_after = start(), None
+            if feed is not None:
+                feed(turn)
+            turn += 1
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/rows")
+            if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+                rows = spark.read.schema(stream.schema).parquet(f"{base}/rows").select(*stream.columns)
+                if done(rows):
+                    return rows
+            time.sleep(0.3)
+        raise TimeoutError("the stream has not come to the asked state in time")
+    finally:
+        query.stop()
+
+
 def queued(stream: DataFrame, key: str, resume_after: int | None = None) -> DataFrame:
     """ST4, ST8, ST6: items appended by micro-batches to a JSON-lines log; a batch that is retried writes nothing twice.
 
