@@ -97,3 +97,20 @@ def test_linked_graph(spark):
     found = {(r.from_node, r.to_node, r.kind) for r in edges.collect()}
     assert found == {("program:MAIN", "module:UTIL", "includes"), ("class:MAIN.BOX", "class:BASE", "inherits"), ("function:JCL1.START", "program:UTIL", "calls"), ("function:JCL1.START", "function:JCL1.START2", "calls")}
     assert {r.node for r in nodes.where("origin = 'placeholder'").collect()} == {"module:UTIL", "class:BASE"}
+
+
+def test_lines_behind_a_units_end_belong_to_the_program(spark):
+    texts = [
+        ("a.frm", "vb6", "Sub One()\nCall Inner\nEnd Sub\nCall Outer\nSub Two()\nCall Last\nEnd Sub\n", {("One", "Inner"), ("a", "Outer"), ("Two", "Last")}),
+        ("b.py", "python", "import m0\nclass C:\n    def one(self):\n        import m1\n\n    x = 1\n    import m2\nimport m3\ndef two():\n    import m4\n", {("b", "m0"), ("one", "m1"), ("C", "m2"), ("b", "m3"), ("two", "m4")}),
+        ("c.php", "php", "<?php\nfunction one()\n{\n  if (a) {\n    include 'x1';\n  }\n  include 'x2';\n}\ninclude 'x3';\nfunction two() { include 'x4'; }\ninclude 'x5';\nclass K {\n  function three() {\n    include 'x6';\n  }\n  include 'x7';\n}\n", {("one", "x1"), ("one", "x2"), ("c", "x3"), ("two", "x4"), ("c", "x5"), ("three", "x6"), ("K", "x7")}),
+        ("d.sas", "sas", "%macro m;\n%include 'i1';\n%mend;\n%include 'i2';\n", {("m", "i1"), ("d", "i2")}),
+        ("e.bat", "batch", "call :x\n:one\ncall :y\n:two\ncall :z\n", {("e", "x"), ("one", "y"), ("two", "z")}),
+    ]
+    docs = spark.createDataFrame([(i, n, p, t) for i, (n, p, t, _) in enumerate(texts)], "doc_id long, name string, pack string, text string").repartition(3)
+    _, relations = packs.extracted(docs)
+    got = {}
+    for r in relations.collect():
+        got.setdefault(r.doc_id, set()).add((r.source, r.target))
+    for i, (name, _, _, want) in enumerate(texts):
+        assert got[i] == want, name

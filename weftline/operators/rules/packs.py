@@ -11,9 +11,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.operators.lines import carried_down, lines_of
+from weftline.functions.brackets import counted
+from weftline.operators.lines import lines_of
 from weftline.staging import stage
 
 ID = r"([A-Za-z_][\w$#@-]*)"
@@ -118,6 +120,26 @@ PACKS: dict[str, Pack] = {
     "fortran": Pack(("f", "f77", "f90", "f95", "for"), ("fortran",), (r"^\s*program\s+\w+", r"^\s*(?:subroutine|end\s*subroutine)\b", r"\bimplicit\s+none\b"), "bang", (("function", rf"^\s*(?:\w+\s+)?(?:subroutine|function|program)\s+{ID}"), ("class", rf"^\s*module\s+(?!procedure){ID}")), (("calls", "function", rf"\bcall\s+{ID}"), ("includes", "module", rf"^\s*use\s+{ID}"))),
     "basic": Pack(("bas0", "gwb", "qb"), ("basic", "quickbasic"), (r"^\s*\d+\s+(?:print|let|goto|rem)\b", r"\bgosub\b", r"\bnext\s+\w+"), "vb", (("function", rf"^\s*(?:\d+\s+)?(?:sub|function|def\s+fn)\s*{ID}"),), (("calls", "function", rf"\bcall\s+{ID}"),)),
 }
+# How a unit ends, by pack: a pattern for a kind of unit, or the scope of braces or of indents.
+VB_ENDS = {"function": r"^\s*end\s+(?:sub|function|property)\b", "class": r"^\s*end\s+(?:class|module|structure|interface)\b"}
+ENDS: dict[str, dict[str, str]] = {
+    "vb6": VB_ENDS,
+    "vba": VB_ENDS,
+    "vbnet": VB_ENDS,
+    "vbscript": VB_ENDS,
+    "rpg": {"paragraph": r"\bendsr\b", "function": r"\bend-proc\b|^.{5}p\s+.*\be\b"},
+    "natural": {"paragraph": r"\bend-subroutine\b"},
+    "pli": {"function": r"^\s*end\s+[a-z0-9_#@$]+\s*;"},
+    "easytrieve": {"paragraph": r"\bend-proc\b"},
+    "sas": {"function": r"%mend\b"},
+    "powerbuilder": {"function": r"^\s*end\s+(?:event|function|subroutine)\b"},
+    "coldfusion": {"function": r"</cffunction>|^\s*\}\s*$"},
+    "foxpro": {"function": r"^\s*(?:endproc|endfunc|return)\b"},
+    "informix4gl": {"function": r"^\s*end\s+(?:function|report|main)\b"},
+    "progress": {"function": r"^\s*end\s+(?:procedure|function)\b"},
+}
+BRACED, INDENTED = ("php", "perl", "shell", "powershell", "javascript"), ("python",)
+UNIT_KINDS = ("function", "class", "paragraph")
 OTHER_FORMATS = {"sql": ("sql", "ddl"), "markup": ("html", "htm", "xml", "aspx", "jsp", "xhtml"), "props": ("properties", "ini", "cfg", "conf"), "java": ("java",), "csharp": ("cs",), "c": ("c", "h", "cpp", "hpp")}
 #: The comment style of documents that no pack covers.
 OTHER_STYLES = {"sql": "sql", "markup": "markup", "props": "props", "java": "c", "csharp": "c", "c": "c"}
@@ -172,6 +194,59 @@ def stripped_documents(docs: DataFrame, key: str = "doc_id", pack: str = "pack",
     return docs.select(key, pack, body.alias("text"))
 
 
+SPAN_BUCKET = 64
+
+
+def _shape() -> list[Column]:
+    """What a line tells of the ends of units: its braces, its indent, and the kinds that it ends."""
+    line = F.col("line")
+    ends = []
+    for kind in UNIT_KINDS:
+        found = F.lit(False)
+        for pack, patterns in ENDS.items():
+            if kind in patterns:
+                found = F.when(F.col("pack") == pack, line.rlike(f"(?i){patterns[kind]}")).otherwise(found)
+        ends.append(F.when(found, F.lit(kind)))
+    indent = F.when(F.trim(F.regexp_replace(line, r"\s", "")) != "", F.length(F.regexp_extract(line, r"^(\s*)", 1)))
+    return [counted(line, "{").alias("opens"), counted(line, "}").alias("closes"), indent.alias("indent"), F.array_compact(F.array(*ends)).alias("ends")]
+
+
+def unit_spans(rows: DataFrame) -> DataFrame:
+    """(key, name, kind, low, high): the lines of each unit of rows with their shape; the name as it is written."""
+    order = W.partitionBy("key").orderBy("n")
+    later = order.rowsBetween(1, W.unboundedFollowing)
+    first = lambda when: F.first(F.when(when, F.col("n")), ignorenulls=True).over(later)
+    after = F.sum(F.col("opens") - F.col("closes")).over(order)
+    placed = rows.withColumn("after", after).withColumn("before", F.col("after") - F.col("opens") + F.col("closes"))
+    placed = placed.withColumns({f"end_{k}": first(F.array_contains("ends", k)) for k in UNIT_KINDS} | {"last": F.max("n").over(W.partitionBy("key"))})
+    units = placed.where("unit IS NOT NULL").select("key", "pack", "n", F.col("unit.kind").alias("kind"), F.col("unit.name").alias("name"), "opens", "before", "after", "indent", "last", *[f"end_{k}" for k in UNIT_KINDS])
+    by_word = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"end_{k}")) for k in UNIT_KINDS])
+
+    def closing(events: DataFrame, asked: DataFrame) -> DataFrame:
+        """The first event of the unit's level at or behind it: events key, level, n; asked key, level, n."""
+        both = events.select("key", "level", "n", F.col("n").alias("at")).unionByName(asked.select("key", "level", "n", F.lit(None).cast("int").alias("at")))
+        ahead = W.partitionBy("key", "level").orderBy("n").rangeBetween(W.currentRow, W.unboundedFollowing)
+        return both.withColumn("shut", F.min("at").over(ahead)).where("at IS NULL").select("key", "n", "shut").distinct()
+
+    # a brace closes the levels between the depths around it; a pair on one line the level above the line
+    braced = placed.where(F.col("pack").isin(*BRACED) & (F.col("closes") > 0))
+    top = F.col("before") + F.when((F.col("opens") > 0) & (F.col("after") >= F.col("before")), 1).otherwise(0)
+    events = braced.where(F.col("after") + 1 <= top).select("key", "n", F.explode(F.sequence(F.col("after") + 1, top)).alias("level"))
+    by_brace = closing(events, units.where(F.col("pack").isin(*BRACED)).select("key", "n", (F.col("before") + 1).alias("level")))
+    # a written line closes the units of its own indent and deeper ones, on the line before it
+    indents = units.where(F.col("pack").isin(*INDENTED)).groupBy("key").agg(F.collect_set("indent").alias("levels"))
+    outer = placed.where(F.col("pack").isin(*INDENTED) & F.col("indent").isNotNull()).join(indents, "key")
+    shut = outer.select("key", (F.col("n") - 1).alias("n"), F.explode(F.filter("levels", lambda x: x >= F.col("indent"))).alias("level"))
+    by_indent = closing(shut, units.where(F.col("pack").isin(*INDENTED)).select("key", "n", F.col("indent").alias("level"))).withColumnRenamed("shut", "indent_end")
+    ended = units.join(by_brace, ["key", "n"], "left").join(by_indent, ["key", "n"], "left")
+    following = W.partitionBy("key").orderBy("n").rowsBetween(1, W.unboundedFollowing)
+    next_any = F.first(F.when(F.col("kind").isin("function", "class"), F.col("n") - 1), ignorenulls=True).over(following)
+    next_paragraph = F.first(F.when(F.col("kind").isin("function", "class", "paragraph"), F.col("n") - 1), ignorenulls=True).over(following)
+    follows = F.when(F.col("kind") == "paragraph", next_paragraph).otherwise(next_any)
+    high = F.coalesce(by_word, "shut", F.when(F.col("pack").isin(*INDENTED), F.coalesce("indent_end", "last")), follows, "last")
+    return ended.select("key", "name", "kind", F.col("n").alias("low"), F.greatest(high, "n").alias("high"))
+
+
 def extracted(docs: DataFrame, key: str = "doc_id", pack: str = "pack", name: str = "name", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of documents with a pack.
 
@@ -193,13 +268,17 @@ def extracted(docs: DataFrame, key: str = "doc_id", pack: str = "pack", name: st
         unit = F.flatten(F.array(*[_hits(pattern, spec.cased, kind, "") for kind, pattern in spec.units]))
         use = F.flatten(F.array(*[_hits(pattern, spec.cased, kind, target) for kind, target, pattern in spec.relations]))
         units, used = F.when(here, unit).otherwise(units), F.when(here, use).otherwise(used)
-    rows = rows.select("key", "pack", "program", "n", F.get(units, 0).alias("unit"), used.alias("used"))
-    rows = carried_down(rows, ["key"], ["n"], F.when(F.col("unit").isNotNull(), cased(F.col("unit.name"))), "owner")
-    rows = stage(rows, "units")  # ids, names and line numbers: the texts are read once
+    rows = rows.select("key", "pack", "program", "n", F.get(units, 0).alias("unit"), used.alias("used"), *_shape())
+    rows = stage(rows, "units")  # ids, names, counts and line numbers: the texts are read once
+    spans = unit_spans(rows)
     first = rows.where("unit IS NOT NULL").groupBy("key", F.col("unit.kind").alias("kind"), cased(F.col("unit.name")).alias("name")).agg(F.min("n").alias("n"), F.min("program").alias("parent"))
     own = programs.select("key", F.lit("program").alias("kind"), cased(F.col("program")).alias("name"), F.lit(1).alias("n"), F.lit(None).cast("string").alias("parent"))
     entities = own.unionByName(first)
-    relations = rows.select("key", "n", "pack", F.coalesce("owner", "program").alias("source"), F.explode("used").alias("u"))
+    # the unit of a line that has relations: of those that hold it, the one that started last
+    asked = rows.where(F.size("used") > 0).select("key", "n", "pack", "program", "used").withColumn("b", F.floor(F.col("n") / SPAN_BUCKET))
+    listed = spans.select("key", "low", "high", "name", F.explode(F.sequence(F.floor(F.col("low") / SPAN_BUCKET), F.floor(F.col("high") / SPAN_BUCKET))).alias("b"))
+    owners = asked.select("key", "n", "b").join(listed, ["key", "b"]).where("n BETWEEN low AND high").groupBy("key", "n").agg(F.max_by("name", "low").alias("owner"))
+    relations = asked.join(owners, ["key", "n"], "left").select("key", "n", "pack", F.coalesce(cased(F.col("owner")), "program").alias("source"), F.explode("used").alias("u"))
     relations = relations.select("key", F.col("u.kind").alias("kind"), "source", F.col("u.target_kind").alias("target_kind"), cased(F.col("u.name")).alias("target"), "n").where("target <> '' AND target <> source").distinct()
     return entities.select(F.col("key").alias(key), "kind", "name", "parent", "n"), relations.withColumnRenamed("key", key)
 
