@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import joins, lines, reports
+from weftline.operators import controls, joins, lines, reports
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
 
@@ -181,3 +181,49 @@ def n3(spark: SparkSession, root: str) -> DataFrame:
     return found.withColumn("class", F.when(F.col("shown") > 1, "shown").when(F.col("shown") == 0, "unused").otherwise("neither"))
 
 
+def _evidence(spark: SparkSession, root: str) -> tuple[DataFrame, ...]:
+    """A program a supplier; what its line items say stands for routines, findings and data, its parts for files."""
+    lineitem = table(spark, root, "lineitem").withColumn("program", F.col("l_suppkey")).withColumn("component", F.concat(F.lit("P"), "l_partkey"))
+    programs = table(spark, root, "supplier").select(F.col("s_suppkey").alias("program"), (F.col("s_suppkey") % 3 != 0).alias("money"), (F.col("s_nationkey") < 10).alias("tier1"))
+    late = F.col("l_linenumber") == 7
+    routines = lineitem.select("program", F.lit("paragraph").alias("kind"), F.concat(F.when(late & (F.col("l_partkey") % 5 == 0), "APPROVE-").otherwise("CALC-"), "component").alias("name"), F.lit("extracted").alias("origin"))
+    findings = lineitem.where(late).select("program", F.when(F.col("l_partkey") % 10 == 0, "SEC-AUTHZ").when(F.col("l_partkey") % 10 == 1, "SEC-ERR").otherwise("SEC-XSS").alias("rule"), F.col("component").alias("file"))
+    engine = F.when(F.col("l_partkey") % 50 == 0, "Windows desktop (local file)").when(F.col("l_partkey") % 50 == 1, "Mainframe (files)").otherwise("DB2")
+    occurrences = lineitem.where("l_linenumber >= 6").select("program", "component", F.when(F.col("l_returnflag") == "A", "Payment").otherwise("Staff").alias("business"), engine.alias("engine"), F.concat(F.lit("LOG"), F.col("l_partkey") % 2).alias("store"), F.when(F.col("l_linestatus") == "F", "RW").otherwise("R").alias("access"))
+    part = table(spark, root, "part")
+    files = part.select((F.col("p_partkey") % 10).alias("program"), F.concat(F.when(F.col("p_partkey") % 10 == 4, "tests/").otherwise("src/"), F.lit("P"), "p_partkey").alias("file"), F.concat(F.lit("COMPUTE A = B * "), F.col("p_size").cast("string")).alias("text"))
+    return programs, routines, findings, occurrences, files
+
+
+EVIDENCE = """
+    p AS (SELECT s_suppkey AS program, s_nationkey < 10 AS tier1 FROM supplier WHERE s_suppkey % 3 <> 0),
+    l AS (SELECT *, l_suppkey AS program, 'P' || l_partkey AS c FROM lineitem),
+    a AS (SELECT program, bool_or(l_linenumber = 7 AND l_partkey % 5 = 0) AS approves, list_sort(coalesce(list(DISTINCT c) FILTER (l_linenumber = 7 AND l_partkey % 10 = 0), [])) AS unguarded, list_sort(coalesce(list(DISTINCT c) FILTER (l_linenumber = 7 AND l_partkey % 10 = 1), [])) AS swallowing,
+          list_sort(coalesce(list(DISTINCT c) FILTER (l_linenumber >= 6 AND l_linestatus = 'F' AND l_partkey % 50 = 0), [])) AS local, list_sort(coalesce(list(DISTINCT c) FILTER (l_linenumber >= 6 AND l_linestatus = 'F' AND l_returnflag = 'A' AND l_partkey % 50 = 1), [])) AS exchanges,
+          list_sort(coalesce(list(DISTINCT c) FILTER (l_linenumber >= 6 AND l_linestatus = 'F' AND l_returnflag = 'A'), [])) AS payers, count(DISTINCT l_partkey % 2) FILTER (l_linenumber >= 6 AND l_returnflag = 'A') AS copies, list_sort(coalesce(list(DISTINCT c) FILTER (l_linenumber >= 6 AND l_returnflag = 'A'), [])) AS holders FROM l GROUP BY 1),
+    e AS (SELECT p.program, tier1, coalesce(approves, false) AS approves, coalesce(unguarded, []) AS unguarded, coalesce(swallowing, []) AS swallowing, coalesce(local, []) AS local, coalesce(exchanges, []) AS exchanges, coalesce(payers, []) AS payers, CASE WHEN copies >= 2 THEN holders ELSE [] END AS diverging FROM p LEFT JOIN a USING (program)),
+    c AS (SELECT program, tier1, 'Maker-checker approval' AS control, CASE WHEN approves THEN 'not met' ELSE 'open' END AS state, CASE WHEN approves THEN CASE WHEN len(unguarded) > 0 THEN 5 ELSE 4 END END AS rating, CASE WHEN approves THEN unguarded ELSE [] END AS components FROM e
+          UNION ALL SELECT program, tier1, 'Audit trail integrity', CASE WHEN len(local) > 0 THEN 'not met' ELSE 'open' END, CASE WHEN len(local) > 0 THEN 4 END, local FROM e
+          UNION ALL SELECT program, tier1, 'Error handling in posting', CASE WHEN len(swallowing) > 0 THEN 'not met' ELSE 'open' END, CASE WHEN len(swallowing) > 0 THEN 4 END, CASE WHEN len(list_intersect(swallowing, payers)) > 0 THEN list_sort(list_intersect(swallowing, payers)) ELSE swallowing END FROM e
+          UNION ALL SELECT program, tier1, 'Reconciliation between stores', CASE WHEN len(diverging) > 0 THEN 'not met' ELSE 'open' END, CASE WHEN len(diverging) > 0 THEN 4 END, diverging FROM e
+          UNION ALL SELECT program, tier1, 'Control totals on file exchanges', 'open', NULL, exchanges FROM e WHERE len(exchanges) > 0
+          UNION ALL SELECT program, tier1, 'Automated tests on calculations', CASE WHEN program = 4 THEN 'met' ELSE 'not met' END, CASE WHEN program = 4 THEN 2 ELSE 4 END, [] FROM e)
+"""
+
+
+@add("r21_controls", f"WITH {EVIDENCE} SELECT program, control, state, rating::INTEGER AS rating, array_to_string(components, ',') AS components FROM c")
+def r21_controls(spark: SparkSession, root: str) -> DataFrame:
+    found = controls.assessed(*_evidence(spark, root))
+    return found.select("program", "control", "state", "rating", F.array_join("components", ",").alias("components"))
+
+
+@add(
+    "r21_risk_register",
+    f"""WITH {EVIDENCE}, t AS (SELECT * FROM (VALUES ('Maker-checker approval', 'Payments can be approved without an authorized second person', 1, 4), ('Error handling in posting', 'Unchecked posting errors could leave incomplete or duplicate updates', 1, 3), ('Audit trail integrity', 'The audit trail can be altered or lost', 1, 3), ('Automated tests on calculations', 'Calculation changes need verified regression coverage', 4, 3)) t(control, title, rank, likelihood)),
+    r AS (SELECT program, title, rank, likelihood, CASE WHEN tier1 THEN 5 ELSE 4 END AS impact FROM c JOIN t USING (control) WHERE rating >= 4)
+    SELECT program, row_number() OVER (PARTITION BY program ORDER BY likelihood * impact DESC, rank, title)::INTEGER AS place, title, (likelihood * impact)::INTEGER AS score, CASE WHEN likelihood * impact >= 15 THEN 'High' WHEN likelihood * impact >= 8 THEN 'Medium' ELSE 'Low' END AS band FROM r""",
+)
+def r21_register(spark: SparkSession, root: str) -> DataFrame:
+    evidence = _evidence(spark, root)
+    none = spark.createDataFrame([], "program long, kind string, subject string, unused boolean")
+    return controls.register(evidence[0], controls.assessed(*evidence), none).select("program", "place", "title", "score", "band")
