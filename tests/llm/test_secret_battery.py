@@ -114,3 +114,26 @@ def test_planted_tokens_in_prose(spark):
     wrong = sum(len(spans - {planted[i][:2]} if planted[i][2] else spans) for i, spans in got.items())
     print(f"recall {found / len(secrets):.3f}, wrong spans {wrong} in {len(rows)} documents")
     assert found >= 0.95 * len(secrets) and wrong <= 0.01 * len(rows)
+
+
+WORDS = "get set user account balance from cache load file report final version index value name list map key token count page view model service manager factory bean context handler request response buffer stream reader writer query table column row total amount order item part price date time zone process task queue worker thread pool lock state event error check valid parse format string number".split()
+
+
+def camel(rnd, low, high):
+    while True:
+        words = [rnd.choice(WORDS) for _ in range(rnd.randint(3, 6))]
+        name = words[0] + "".join(w.capitalize() for w in words[1:])
+        if low <= len(name) <= high:
+            return name
+
+
+@pytest.mark.parametrize(("names", "secrets", "least"), [(2500, 0, 0.0), (1500, 500, 0.4), (300, 600, 0.7)])
+def test_reports_hold_few_names(spark, names, secrets, least):
+    """Identifiers of 20 to 30 characters, with and without random tokens of the same lengths among them."""
+    rnd = random.Random(names)
+    rows = [(i, camel(rnd, 20, 30), False) for i in range(names)] + [(names + i, drawn(rnd, rnd.choice(["alnum", "base64"]), rnd.randint(20, 30)), True) for i in range(secrets)]
+    truth = {i: t for i, _, t in rows}
+    got = [r.doc_id for r in scan.find_secrets(spark.createDataFrame([(i, f"see {t} now") for i, t, _ in rows], "doc_id long, text string")).collect() if any(s.rank == 3 for s in r.spans)]
+    hits = sum(truth[i] for i in got)
+    print(f"reported {len(got)}, of them names {len(got) - hits}, recall {hits / max(1, secrets):.3f}")
+    assert len(got) - hits <= scan.FALSE_REPORTS * max(1, len(got)) + 1 and hits >= least * secrets

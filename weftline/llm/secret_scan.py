@@ -21,9 +21,13 @@ Fisher's method combines the three p-values. A small one says that the run is no
 words, a path. All runs of the corpus are held against a false-discovery rate of `RATE`
 (Benjamini-Hochberg) within bands of length, so that long names, which are easily told, do not
 lower the bar for short ones. What the procedure rejects is no secret, and at most that share of what
-it rejects is random after all; the runs it does not reject are the spans. It needs only the counts
-of runs per band and p-value step, a table of fixed size that is summed with a map-side combine;
-p-values are rounded up to their step.
+it rejects is random after all. That says nothing of the runs it does not reject, so a second control
+bounds the share of names among the spans: -ln p of names has few values near zero and more and more up
+to the threshold t, so with d names a step just behind t (where hardly a random run is left), a span set
+cut at a lower step u holds at most some d u^2 / (2 t) names. The largest u is taken at which that is
+no more than FALSE_REPORTS of the runs below it; where names abound and random runs are few, none is
+left. Both need only the counts of runs per band and p-value step, a table of fixed size that is summed
+with a map-side combine; p-values are rounded up to their step.
 
 Texts are read once; spans and p-value steps are written, and the decision is a filter on them.
 
@@ -63,6 +67,8 @@ ENCODINGS = {
 }
 BANDS = (20, 24, 32, 48, 96)
 RATE, STEPS_PER_NAT, STEPS = 0.01, 4, 2000
+#: The share of names among the reported spans of a band that is aimed at.
+FALSE_REPORTS = 0.05
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
@@ -233,15 +239,32 @@ def thresholds(counts: list[tuple[int, int, int]], rate: float = RATE) -> list[i
     return found
 
 
+def reported(counts: list[tuple[int, int, int]], rejected: list[int], share: float = FALSE_REPORTS) -> list[int]:
+    """The step per band below which runs are spans: at most the rejected one, and as low as the bound on names asks for."""
+    found = []
+    for band, t in enumerate(rejected):
+        steps = {s: c for b, s, c in counts if b == band}
+        below = sum(c for s, c in steps.items() if s < t)
+        left = below * math.exp(-t / STEPS_PER_NAT) / (1 - math.exp(-t / STEPS_PER_NAT))  # random runs behind t
+        names = max(0.0, sum(c for s, c in steps.items() if t <= s < 2 * t) - left) / t
+        u = t
+        while u > 0 and names * u * u / (2 * t) > share * below:
+            u -= 1
+            below -= steps.get(u, 0)
+        found.append(u)
+    return found
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """doc_id, base and spans of each document: arrays of start, rank (of KINDS), end, hit (null for random)."""
     text = F.coalesce(column(text_col), F.lit(""))
     scan = docs.select(column(id_col).alias("doc_id"), let(F.struct(text.alias("t")), lambda x: let(base_spans(x["t"]), lambda base: F.struct(base.alias("base"), candidates(x["t"], base).alias("found")))).alias("r"))
     scanned = stage(scan.select("doc_id", "r.base", "r.found"), "secrets")
     tally = scanned.where(F.size("found") > 0).select(F.explode("found").alias("f")).groupBy("f.band", "f.step").agg(F.count("*").alias("n"))
-    rejected = F.array(*[F.lit(t) for t in thresholds([tuple(r) for r in tally.collect()], rate)])
+    counts = [tuple(r) for r in tally.collect()]
+    bounds = F.array(*[F.lit(u) for u in reported(counts, thresholds(counts, rate))])
     random = F.transform(
-        F.filter("found", lambda f: f["step"] < F.element_at(rejected, f["band"] + 1)),
+        F.filter("found", lambda f: f["step"] < F.element_at(bounds, f["band"] + 1)),
         lambda f: F.struct(f["start"].alias("start"), F.lit(KINDS.index("random")).alias("rank"), f["end"].alias("end"), F.lit(None).cast("string").alias("hit")),
     )
     return scanned.select("doc_id", "base", F.array_sort(F.concat("base", random)).alias("spans"))
