@@ -100,8 +100,7 @@ def batched(stream: DataFrame, key: str, item: str, most: int = 500, quiet_ms: i
         if state.hasTimedOut:
             out, held, number = [(k[0], number, x, "quiet") for x in held], [], number + bool(held)
         else:
-            for frame in frames:
-                held += sorted(frame[item].tolist())
+            held += sorted(x for frame in frames for x in frame[item].tolist())
             while len(held) >= most:
                 out += [(k[0], number, x, "full") for x in held[:most]]
                 held, number = held[most:], number + 1
