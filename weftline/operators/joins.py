@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions.text import ratio
 from weftline.operators.lines import squeezed
 
 
@@ -178,29 +179,29 @@ def asof(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_a
     return both.withColumn(value, F.last("__v", ignorenulls=True).over(window)).where("__side = 1").drop("__at", "__v", "__side")
 
 
-def alike_pairs(rows: DataFrame, text: str, floor: float) -> DataFrame:
-    """(a, b, ratio) of all pairs a < b of different texts whose similarity ratio is at least `floor`, without meeting all pairs.
+def alike_candidates(texts: DataFrame, floor: float) -> DataFrame:
+    """(a, b), a < b: pairs of the distinct texts t of one key k that may have a similarity ratio of `floor` or more; none that has is missing.
 
     The ratio is twice the matched characters by the sum of the lengths, and matched characters are
     common to both. So with n and m characters a pair shares floor / 2 (n + m) of them or more, and m is
     at least floor / (2 - floor) n. A text's characters, numbered where they repeat and put in one
     order, rarest first, then meet already in the first n - share + 1 of each side, where share is what any
-    partner needs (a prefix filter, exact). Lengths, numbers of common characters and last the ratio follow.
+    partner needs (a prefix filter, exact). Lengths and numbers of common characters follow.
     """
-    from weftline.functions.text import ratio
-
-    own = rows.select(F.col(text).alias("t")).where("t IS NOT NULL").distinct()
-    marks = own.select("t", F.explode(F.split("t", "")).alias("c")).where("c <> ''")
-    counted = marks.groupBy("t", "c").agg(F.count("*").alias("n")).select("t", "c", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("k"))
-    rarity = counted.groupBy("c", "k").agg(F.count("*").alias("f"))
-    signs = F.array_sort(F.collect_list(F.struct("f", "c", "k")))
-    signed = counted.join(rarity, ["c", "k"]).groupBy("t").agg(signs.alias("s"))
+    marks = texts.select("k", "t", F.explode(F.split("t", "")).alias("c")).where("c <> ''")
+    counted = marks.groupBy("k", "t", "c").agg(F.count("*").alias("n")).select("k", "t", "c", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
+    rarity = counted.groupBy("c", "i").agg(F.count("*").alias("f"))
+    signed = counted.join(rarity, ["c", "i"]).groupBy("k", "t").agg(F.array_sort(F.collect_list(F.struct("f", "c", "i"))).alias("s"))
     size = F.size("s")
     share = F.ceil(F.lit(floor / 2) * size * (1 + floor / (2 - floor)) - 1e-9)
-    first = signed.select("t", "s", F.explode(F.slice("s", F.lit(1), (size - share + 1).cast("int"))).alias("x"))
-    a, b = first.alias("a"), first.alias("b")
-    met = a.join(b, (F.col("a.x.c") == F.col("b.x.c")) & (F.col("a.x.k") == F.col("b.x.k")) & (F.col("a.t") < F.col("b.t")))
+    first = signed.select("k", "t", "s", F.explode(F.slice("s", F.lit(1), (size - share + 1).cast("int"))).alias("x"))
+    met = first.alias("a").join(first.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.x.c") == F.col("b.x.c")) & (F.col("a.x.i") == F.col("b.x.i")) & (F.col("a.t") < F.col("b.t")))
     least = F.lit(floor / 2) * (F.size("a.s") + F.size("b.s")) - 1e-9
     met = met.where((F.least(F.size("a.s"), F.size("b.s")) >= least) & (F.size(F.array_intersect("a.s", "b.s")) >= least))
-    pairs = met.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct()
-    return pairs.withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= floor)
+    return met.select(F.col("a.t").alias("a"), F.col("b.t").alias("b")).distinct()
+
+
+def alike_pairs(rows: DataFrame, text: str, floor: float) -> DataFrame:
+    """(a, b, ratio) of all pairs a < b of different texts whose similarity ratio is at least `floor`, without meeting all pairs."""
+    own = rows.select(F.lit("").alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").distinct()
+    return alike_candidates(own, floor).withColumn("ratio", ratio("a", "b")).where(F.col("ratio") >= floor)

@@ -6,33 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.text import ratio, ratio_bound
+from weftline.functions.text import ratio
+from weftline.operators.joins import alike_candidates
 from weftline.operators.lines import carried_down, folded, squeezed
 
 
-def fuzzy_lines(left: DataFrame, right: DataFrame, left_id: str, right_id: str, line: str, least: float = 0.8, blocks: int = 16) -> DataFrame:
+def fuzzy_lines(left: DataFrame, right: DataFrame, left_id: str, right_id: str, line: str, least: float = 0.8) -> DataFrame:
     """Pairs of lines with the same digits that are alike by the exact ratio, no pair left out.
 
-    Distinct lines meet by equality of their digits; the right side is dealt to `blocks` blocks and the
-    left side repeated in each, so lines without digits are spread. Two bounds come before the exact
-    ratio: that of the lengths, and the characters that only one line has, none of which can match.
+    Distinct lines of the same digits meet by a prefix filter on their characters (`alike_candidates`), equal
+    ones by equality; the exact ratio, which depends on the order of the two, decides.
     """
-    def keyed(df: DataFrame, key: str, name: str) -> DataFrame:
-        body = squeezed(F.col(line))
-        return df.select(F.col(key).alias(f"{name}_id"), body.alias(name)).where(F.length(name) > 0)
-
-    def measured(df: DataFrame, name: str) -> DataFrame:
-        seen = F.aggregate(F.split(name, ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise(a.bitwiseOR(F.element_at(F.array(*[F.lit(1 << k) for k in range(63)]).cast("array<long>"), F.pmod(F.ascii(c), F.lit(63)) + 1))))
-        return df.select(name).distinct().select(name, F.regexp_replace(name, "[^0-9]+", " ").alias("digits"), F.length(name).alias(f"{name}_n"), seen.alias(f"{name}_set"))
-
-    a, b = keyed(left, left_id, "x"), keyed(right, right_id, "y")
-    asked = measured(a, "x").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    held = measured(b, "y").withColumn("block", F.pmod(F.xxhash64("y"), F.lit(blocks)).cast("int"))
-    total = F.col("x_n") + F.col("y_n")
-    alone = F.bit_count(F.col("x_set").bitwiseXOR(F.col("y_set")))
-    texts = asked.join(held, ["digits", "block"]).where((2 * F.least("x_n", "y_n") >= least * total) & (total - alone >= least * total) & (ratio_bound(F.col("x"), F.col("y")) >= least))
-    alike = texts.select("x", "y", F.when(F.col("x") == F.col("y"), 1.0).otherwise(ratio("x", "y")).alias("ratio")).where(F.col("ratio") >= least)
-    return a.join(alike, "x").join(b, "y").select(F.col("x_id").alias(left_id), F.col("y_id").alias(right_id), "ratio")
+    body = squeezed(F.col(line))
+    a = left.select(F.col(left_id).alias("x_id"), body.alias("x")).where(F.length("x") > 0)
+    b = right.select(F.col(right_id).alias("y_id"), body.alias("y")).where(F.length("y") > 0)
+    digits = F.concat_ws(" ", F.regexp_extract_all("t", F.lit("[0-9]+"), F.lit(0)))
+    texts = a.select(F.col("x").alias("t")).unionByName(b.select(F.col("y").alias("t"))).distinct().withColumn("k", digits)
+    met = alike_candidates(texts, least)
+    both = met.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(met.select(F.col("b").alias("x"), F.col("a").alias("y")))
+    asked = both.join(a.select("x").distinct(), "x", "left_semi").join(b.select("y").distinct(), "y", "left_semi")
+    alike = asked.select("x", "y", ratio("x", "y").alias("ratio")).where(F.col("ratio") >= least)
+    same = a.select("x").distinct().join(b.select(F.col("y").alias("x")).distinct(), "x", "left_semi").select("x", F.col("x").alias("y"), F.lit(1.0).alias("ratio"))
+    return a.join(alike.unionByName(same), "x").join(b, "y").select(F.col("x_id").alias(left_id), F.col("y_id").alias(right_id), "ratio")
 
 
 def positioned(source: DataFrame, reading: DataFrame, n: str = "n", line: str = "line", widest: int = 12) -> DataFrame:
