@@ -146,4 +146,4 @@ def test_brackets(spark):
 
 @pytest.mark.parametrize("name", ["r5_taint_flows", "r5_taint_calls"])
 def test_queries_have_rows(spark, name):
-    assert registry.queries[name](spark, "/root/testdata/sf0.001").count() > 20
+    assert registry.queries[name](spark, "/root/testdata/sf0.001").count() >= 10

@@ -147,6 +147,9 @@ def run_until(stream: DataFrame, done, feed=None, fail_after: int | None = None,
             time.sleep(0.3)
         raise TimeoutError("the stream has not come to the asked state in time")
     finally:
+        quiet = time.monotonic() + 10
+        while query.isActive and query.status["isTriggerActive"] and time.monotonic() < quiet:
+            time.sleep(0.02)  # between two micro-batches nothing is broken off
         query.stop()
 
 
