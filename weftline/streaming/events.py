@@ -127,7 +127,7 @@ def run_until(stream: DataFrame, done, feed=None, fail_after: int | None = None,
             raise RuntimeError("broken off after the rows were written and before the batch was committed")
 
     def start():
-        return stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/log").trigger(processingTime="500 milliseconds").start()
+        return stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{base}/log").trigger(processingTime="2 seconds").start()
 
     query, end, turn = start(), time.monotonic() + seconds, 0
     try:
