@@ -30,3 +30,18 @@ def test_flow_chart_without_an_edge_is_null(spark):
     edges = spark.createDataFrame([(100 + i, i % 2) for i in range(20)], "s long, t long")
     assert files.flow_chart(edges, "s", "t", 2).collect()[0].chart is None
     assert files.flow_chart(edges, "s", "t", 22).collect()[0].chart.count("-->") == 20
+
+
+def test_piece_holders_list_a_part_of_the_windows(spark):
+    """Pieces of many lengths are found wherever they stand; far fewer rows are written than the lines have characters."""
+    rng = random.Random(5)
+    lines = [(i, "".join(rng.choice("abcdé\U0001f600 ") for _ in range(rng.randint(0, 300)))) for i in range(400)]
+    pieces = [(t[at : at + n],) for i, t in lines[::7] for n in (8, 9, 13, 20, 37, 150) for at in (rng.randint(0, 40),) if len(t) >= at + n]
+    found = matching.piece_holders(spark.createDataFrame(pieces, "piece string"), spark.createDataFrame(lines, "id long, line string"), "piece", "id", "line")
+    assert sorted(map(tuple, found.collect())) == sorted({(p, i) for (p,) in pieces for i, t in lines if p in t})
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        twenty = matching.piece_holders(spark.createDataFrame([(p,) for (p,) in pieces if len(p) == 20], "piece string"), spark.createDataFrame(lines, "id long, line string"), "piece", "id", "line")
+        assert written(spark, twenty)[0] < sum(len(t) for _, t in lines) / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftline.functions.text import ratio
 from weftline.operators.joins import alike_candidates
 from weftline.operators.lines import carried_down, folded, squeezed
+from weftline.staging import stage
 
 
 def fuzzy_lines(left: DataFrame, right: DataFrame, left_id: str, right_id: str, line: str, least: float = 0.8) -> DataFrame:
@@ -51,16 +52,34 @@ def positioned(source: DataFrame, reading: DataFrame, n: str = "n", line: str =
 def piece_holders(pieces: DataFrame, lines: DataFrame, piece: str, line_id: str, line: str, gram: int = 8) -> DataFrame:
     """(piece, line_id) of lines that hold a piece of `gram` characters or more.
 
-    The index is over distinct lines and holds (line hash, hash of a character window) only for windows
-    that a piece asks for; the line itself is fetched for the pairs that meet, and decides.
+    Of each distinct line only every k-th character window is listed, and of a piece the k windows of its
+    beginning: wherever it stands, one of these is on the line's grid. Windows and k grow with the
+    length of pieces, in four steps an octave, and only steps that pieces have are listed. The line itself
+    is fetched for the pairs that meet, and decides.
     """
+    steps = sorted({gram * 2**octave * quarter // 4 for octave in range(28) for quarter in range(4, 8)})
+    asked = pieces.select(F.col(piece).alias("piece")).where(F.length("piece") >= gram).distinct()
+    step = F.array_max(F.filter(F.array(*[F.lit(x) for x in steps if x < 2**31]), lambda x: x <= F.length("piece")))
+    asked = stage(asked.select("piece", step.alias("step")), "pieces")
     body = lines.select(F.col(line_id).alias("id"), F.col(line).alias("body")).where(F.length("body") >= gram)
-    hashes = F.transform(F.sequence(F.lit(1), F.length("body") - gram + 1), lambda i: F.xxhash64(F.substring("body", i, F.lit(gram))))
-    distinct = body.groupBy("body").agg(F.lit(0).alias("one")).select("body", F.xxhash64("body").alias("h"))
-    asked = pieces.select(F.col(piece).alias("piece")).where(F.length("piece") >= gram).distinct().select("piece", F.xxhash64(F.substring("piece", 1, gram)).alias("g"))
-    index = distinct.select("h", F.explode(F.array_distinct(hashes)).alias("g")).join(asked.select("g").distinct(), "g", "left_semi")
-    met = asked.join(index, "g").select("piece", "h").distinct().join(distinct, "h").where(F.contains("body", "piece"))
-    return met.select("piece", "body").join(body, "body").select(F.col("piece").alias(piece), F.col("id").alias(line_id)).distinct()
+    distinct = body.select("body").distinct()
+
+    def windows(text: str, step: int, wide: int, apart: int) -> Column:
+        """Hashes of the windows that begin `apart` characters from one another, in one pass over the text."""
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{wide}}})).{{1,{apart}}}"), F.lit(1)), lambda w: F.xxhash64(F.lit(step), w))
+
+    asked_by, listed = [], []
+    for row in asked.select("step").distinct().collect():  # at most four an octave
+        wide = max(gram, row.step * 3 // 5)
+        apart = row.step - wide + 1
+        asked_by.append(F.when(F.col("step") == row.step, F.array_distinct(F.slice(windows("piece", row.step, wide, 1), 1, apart))))
+        listed.append(F.array_distinct(windows("body", row.step, wide, apart)))
+    if not listed:
+        return asked.join(body, F.col("piece") == F.col("body")).select(F.col("piece").alias(piece), F.col("id").alias(line_id))
+    index = distinct.select(F.xxhash64("body").alias("h"), F.explode(F.flatten(F.array(*listed))).alias("g"))
+    met = asked.select("piece", F.explode(F.coalesce(*asked_by)).alias("g")).join(index, "g").select("piece", "h").distinct()
+    held = met.join(body.withColumn("h", F.xxhash64("body")), "h").where(F.contains("body", "piece"))
+    return held.select(F.col("piece").alias(piece), F.col("id").alias(line_id)).distinct()
 
 
 def collapsed_doubles(lines: DataFrame, fragments: DataFrame, key: str = "doc_id", least: int = 6) -> DataFrame:
