@@ -45,3 +45,13 @@ def test_piece_holders_list_a_part_of_the_windows(spark):
         assert written(spark, twenty)[0] < sum(len(t) for _, t in lines) / 4
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_labels_of_many_equal_pages(spark):
+    """Pages of one template are one class: what is written grows with the pages, not with their pairs."""
+    html = lambda k: "".join(f'<li><a href="x">{w}</a>' for w in ("a", "b", "c", f"t{k % 3}"))
+    pages = spark.createDataFrame([(i, html(i)) for i in range(600)] + [(600, ">a<>b<>c<"), (601, ">a<>b<>zz<")], "page_id long, html string")
+    labels = spark.createDataFrame([(i, ["a", "b", "c", f"t{i % 3}"]) for i in range(600)] + [(700, ["a", "b", "c", "q", "r"]), (701, ["a", "b"]), (600, ["a", "b", "c"])], "page_id long, labels array<string>")
+    total, rows = written(spark, reports.labelled_elsewhere(labels, pages, "page_id", "html"))
+    assert {r.page_id: r.holder for r in rows} == {i: 0 if i else 1 for i in [*range(600), 600]}
+    assert total < 20_000

@@ -14,12 +14,28 @@ from weftline.staging import stage
 def labelled_elsewhere(labels: DataFrame, pages: DataFrame, key: str, html: str, least: int = 3, share: float = 0.75) -> DataFrame:
     """(key, holder): the first other page that shows at least `least` and `share` of a page's labels as element texts.
 
-    The element texts of all pages are exploded once; labels meet them by equality.
+    The element texts of all pages are exploded once; those that are somebody's label meet labels by
+    equality. Pages that show the same labels are one class, known by its first two pages, and pages that
+    ask for the same labels are one question. A class that answers a question shows one of its
+    rarest labels, of which there are as many as may be missing and one more; only by these they meet.
     """
-    shown = pages.select(F.col(key).alias("holder"), F.explode(F.array_distinct(F.regexp_extract_all(html, F.lit(">([^<>]*)(?=<)"), F.lit(1)))).alias("label"))
-    asked = labels.where(F.size("labels") >= least).select(key, F.size("labels").alias("n"), F.explode("labels").alias("label"))
-    met = asked.join(shown, "label").where(F.col(key) != F.col("holder")).groupBy(key, "holder").agg(F.count("*").alias("found"), F.max("n").alias("n"))
-    return met.where((F.col("found") >= least) & (F.col("found") >= share * F.col("n"))).groupBy(key).agg(F.min("holder").alias("holder"))
+    asked = stage(labels.where(F.size("labels") >= least).select(key, F.array_sort("labels").alias("labels")), "asked")
+    questions = asked.select("labels").distinct()
+    wanted = questions.select(F.explode("labels").alias("label")).distinct()
+    texts = F.array_distinct(F.regexp_extract_all(html, F.lit(">([^<>]*)(?=<)"), F.lit(1)))
+    shown = pages.select(F.col(key).alias("holder"), F.explode(texts).alias("label")).join(wanted, "label", "left_semi")
+    sets = shown.groupBy("holder").agg(F.array_sort(F.collect_list("label")).alias("shown")).where(F.size("shown") >= least)
+    placed = sets.withColumn("place", F.row_number().over(W.partitionBy("shown").orderBy("holder"))).where("place <= 2")
+    classes = stage(placed.groupBy("shown").agg(F.min("holder").alias("first"), F.array_sort(F.collect_list("holder")).alias("holders")), "classes")
+    by_label = classes.select("first", F.explode("shown").alias("label"))
+    rarity = by_label.groupBy("label").agg(F.count("*").alias("f"))
+    need = F.greatest(F.lit(least), F.ceil(F.lit(share) * F.size("labels") - 1e-9).cast("int"))
+    each = questions.select("labels", F.explode("labels").alias("label")).join(rarity, "label", "left")
+    rarest = each.groupBy("labels").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "label"))).alias("by_rarity"))
+    probes = rarest.select("labels", F.explode(F.slice("by_rarity", F.lit(1), F.size("labels") - need + 1)).alias("p")).select("labels", "p.label")
+    met = probes.join(by_label, "label").select("labels", "first").distinct().join(classes, "first").where(F.size(F.array_intersect("labels", "shown")) >= need)
+    answers = met.select("labels", F.explode("holders").alias("holder")).withColumn("place", F.row_number().over(W.partitionBy("labels").orderBy("holder"))).where("place <= 2")
+    return asked.join(answers, "labels").where(F.col(key) != F.col("holder")).groupBy(key).agg(F.min("holder").alias("holder"))
 
 
 def reviewed_levels(findings: DataFrame, facts: DataFrame, key: str, bucket: int = 64) -> DataFrame:
