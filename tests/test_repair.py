@@ -147,3 +147,11 @@ def test_pieces_without_a_place_and_rows_that_differ(spark):
     got, places = sideways(spark, {"a": [r[:36] for r in rows], "b": ["short"] * 5}, [("a", right), ("b", rows)])
     assert got["a"] == [r[:36].rstrip() if i == 4 else r for i, r in enumerate(rows)] and got["b"] == ["short"] * 5
     assert places == {("a", 0): (0, 20, 1)}
+
+
+def test_a_piece_is_placed_by_what_rows_have_in_common(spark):
+    """Where the text and the piece meet, all rows show the same word at different columns; only one shift is contradicted by no row."""
+    word, rng = "abcdefghijklmnopqrstuvwxyz0123456789ABCD", random.Random(9)
+    rows = ["".join(rng.choice("0123456789") for _ in range(at)) + word + "".join(rng.choice("0123456789") for _ in range(60)) for at in (48, 52, 48, 56, 52, 60)]
+    got, places = sideways(spark, {"a": [r[:80] for r in rows], "b": [word] * 6}, [("a", [r[60:] for r in rows]), ("b", [word[9:] + "x"] * 4)])
+    assert got == {"a": rows, "b": [word] * 6} and places == {("a", 0): (0, 60, 0)}

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from weftline.staging import stage
 
 PROVEN, LONG_LINE, MIN_VOTES, LEAST_ALNUM = 5, 12, 2, 12
-GRAM, LEAST_ROWS = 8, 3
+GRAM, LEAST_ROWS, MOST_PLACES = 8, 3, 64
 EDIT = ["key", "n", "action", "line"]
 
 
@@ -217,24 +217,47 @@ def joined_sideways(finals: DataFrame, pieces: DataFrame) -> tuple[DataFrame, Da
     piece. Each votes for a shift of rows and columns; the shift that LEAST_ROWS rows or more agree on, and
     twice as many as on any other, places the piece. Its rows then go over the lines at that column, where
     what both show is equal; where it is not, the line stays and counts as a conflict. Rounds, as a piece
-    may meet the text only after another has made it wider. places: key, ord, rows, columns, conflicts.
+    may meet the text only after another has made it wider. Where too few rows have a stem of their own,
+    stems that stand up to MOST_PLACES times vote as well; a shift that LEAST_ROWS rows agree on and no row that
+    it covers contradicts then places the piece, if there is just one. places: key, ord, rows, columns, conflicts.
     """
     lines = stage(finals.select("key", "n", "line"), "wide")
     left, places = stage(pieces.select("key", "ord", "n", "line"), "pieces"), None
 
-    def stems(rows: DataFrame, by: list[str]) -> DataFrame:
+    def stems(rows: DataFrame, by: list[str], most: int) -> DataFrame:
         cuts = F.transform(F.sequence(F.lit(1), F.length("line") - GRAM + 1), lambda i: F.struct(i.alias("col"), F.substring("line", i, F.lit(GRAM)).alias("g")))
         each = rows.where(F.length("line") >= GRAM).select(*by, "n", F.explode(cuts).alias("c")).select(*by, "n", "c.col", F.xxhash64("c.g").alias("g"), F.regexp_replace("c.g", r"\s", "").alias("ink")).where(F.length("ink") >= GRAM // 2)
-        return each.groupBy(*by, "g").agg(F.min("n").alias("n"), F.min("col").alias("col"), F.count("*").alias("c")).where("c = 1").drop("c")
+        if most == 1:
+            return each.groupBy(*by, "g").agg(F.min("n").alias("n"), F.min("col").alias("col"), F.count("*").alias("c")).where("c = 1").drop("c")
+        rare = each.groupBy(*by, "g").agg(F.count("*").alias("c")).where(F.col("c") <= most).drop("c")
+        return each.join(rare, [*by, "g"]).select(*by, "g", "n", "col")
+
+    def shifts_of(texts: DataFrame, most: int) -> DataFrame:
+        asked = stems(left, ["key", "ord"], most).withColumnsRenamed({"n": "pn", "col": "pcol"})
+        return asked.join(stems(texts, ["key"], most), ["key", "g"]).groupBy("key", "ord", (F.col("n") - F.col("pn")).alias("rows"), (F.col("col") - F.col("pcol")).alias("columns")).agg(F.count_distinct("pn").alias("c"))
+
+    def uncontradicted() -> DataFrame:
+        """Shifts by stems that are not the only ones of their kind, where no other would do."""
+        texts = lines.join(left.select("key").distinct(), "key", "left_semi")
+        offered = stage(shifts_of(texts, MOST_PLACES).where(F.col("c") >= LEAST_ROWS), "offered")
+        laid = left.join(offered, ["key", "ord"]).select("key", "ord", "rows", "columns", "c", (F.col("n") + F.col("rows")).alias("n"), F.col("line").alias("piece"))
+        base, piece, c = F.rtrim("line"), F.rtrim("piece"), F.col("columns")
+        inside = F.substring(base, F.greatest(F.lit(0), c) + 1, F.length(base))
+        shown = F.when(c >= 0, piece).otherwise(F.substring(piece, F.lit(1) - c, F.length(piece)))
+        both = F.least(F.length(inside), F.length(shown))
+        agrees = F.substring(inside, F.lit(1), both) == F.substring(shown, F.lit(1), both)
+        sound = laid.join(texts, ["key", "n"]).groupBy("key", "ord", "rows", "columns", "c").agg(F.bool_and(agrees).alias("sound")).where("sound")
+        return sound.withColumn("others", F.count("*").over(W.partitionBy("key", "ord"))).where("others = 1")
 
     while True:
-        asked = stems(left, ["key", "ord"]).withColumnsRenamed({"n": "pn", "col": "pcol"})
-        shifts = asked.join(stems(lines, ["key"]), ["key", "g"]).groupBy("key", "ord", (F.col("n") - F.col("pn")).alias("rows"), (F.col("col") - F.col("pcol")).alias("columns")).agg(F.count_distinct("pn").alias("c"))
         order = W.partitionBy("key", "ord").orderBy(F.desc("c"), "rows", "columns")
-        best = shifts.withColumns({"r": F.row_number().over(order), "second": F.lead("c").over(order)}).where((F.col("r") == 1) & (F.col("c") >= LEAST_ROWS) & (F.col("c") >= 2 * F.coalesce("second", F.lit(0))))
+        best = shifts_of(lines, 1).withColumns({"r": F.row_number().over(order), "second": F.lead("c").over(order)}).where((F.col("r") == 1) & (F.col("c") >= LEAST_ROWS) & (F.col("c") >= 2 * F.coalesce("second", F.lit(0))))
         # one piece a text and round, so that the next one meets what this one added
         first = F.row_number().over(W.partitionBy("key").orderBy(F.desc("c"), "ord"))
-        best = stage(best.withColumn("turn", first).where("turn = 1").select("key", "ord", "rows", "columns"), "shifts")
+        chosen = lambda shifts: stage(shifts.withColumn("turn", first).where("turn = 1").select("key", "ord", "rows", "columns"), "shifts")  # noqa: B023, E731
+        best = chosen(best)
+        if best.isEmpty():
+            best = chosen(uncontradicted())
         if best.isEmpty():
             none = F.lit(0).cast("long")
             empty = best.select("key", "ord", "rows", "columns", none.alias("conflicts"))
