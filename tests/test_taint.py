@@ -147,3 +147,13 @@ def test_brackets(spark):
 @pytest.mark.parametrize("name", ["r5_taint_flows", "r5_taint_calls"])
 def test_queries_have_rows(spark, name):
     assert registry.queries[name](spark, "/root/testdata/sf0.001").count() >= 10
+
+
+def test_functions_are_sorted_and_not_grouped(spark, monkeypatch):
+    """Many short functions go through Python as sorted rows, without a call for each."""
+    docs = spark.createDataFrame([(f"f{i}.py", "python", f"def g{i}(a, b):\n    c = a\n    os.system(c)\n    return b\n") for i in range(300)], "doc_id string, family string, text string")
+    monkeypatch.setattr(taint, "stage", lambda df, label: df)
+    local = taint.reached(docs)
+    assert "FlatMapGroups" not in local._jdf.queryExecution().executedPlan().toString()
+    found = {(r.doc, r.origin, r.kind) for r in local.collect()}
+    assert found >= {(f"f{i}.py", o, k) for i in range(300) for o, k in (("P:0", "sink"), ("P:1", "ret"))}

@@ -1,7 +1,7 @@
 """Taint (R5): data followed from where it enters a program to where it does harm, through assignments, loops, calls and results.
 
 Statements are parsed by column expressions: what is assigned, looped over, called, returned, and which
-dangerous place a statement has. A function is then read once, in order (`_read_scope`): each variable
+dangerous place a statement has. A function is then read once, in order (`_read_scopes`): each variable
 carries the origins of its value, which are outside data (S), a parameter (P:i), or the result of a call
 (R:n). What comes out is a small table: this origin reaches that place, that call's argument, or the
 function's own result.
@@ -18,7 +18,9 @@ traced; a statement goes on in the next line after an operator, a comma or an op
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -185,44 +187,57 @@ def _sinks(family: Column, line: Column) -> Column:
     return found
 
 
-def _read_scope(group: pd.DataFrame) -> pd.DataFrame:
-    """One function in order: which origin (S, P:i, R:n) reaches which place, argument or result."""
-    held: dict[str, set[str]] = {}
-    out = []
-    doc, scope, fn = group["doc"].iloc[0], int(group["scope"].iloc[0]), group["fn"].iloc[0]
+def _read_scopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Functions in order, one statement at a time: which origin (S, P:i, R:n) reaches which place, argument or result. A function may go on in the next batch."""
+    names = [c.split()[0] for c in REACHED.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    form = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in REACHED.split(", ")])
+    scope, held = None, {}
 
-    def origins(use) -> set[str]:
+    def origins(use: dict) -> set[str]:
         found = {o for name in use["names"] for o in held.get(name, ())}
         return found | ({"S"} if use["source"] else set())
 
-    for row in group.sort_values("n").itertuples(index=False):
-        if row.params is not None:
-            routed = set(row.routed) if row.routed is not None else set()
-            held = {p: {"S"} if p in routed else {f"P:{i}"} for i, p in enumerate(row.params) if p.replace("$", "_").isidentifier()}
-        if row.skipped:
-            continue
-        n = int(row.n)
-        if row.loop_var is not None and held.get(row.loop_of):
-            held[row.loop_var] = set(held[row.loop_of])
-        passed = {(call["callee"], i, o) for call in row.calls for i, arg in enumerate(call["args"]) if not arg["safe"] for o in origins(arg["use"])}
-        result = f"R:{n}" if passed and (row.var is not None and not row.safe or row.returned is not None) else None
-        if row.var is not None:
-            got = origins(row.rhs) if row.hands_on and not row.safe else set()
-            got |= {result} if result else set()
-            held[row.var] = got | (held.get(row.var, set()) if row.op == "+" else set())
-        for callee, i, o in passed:
-            out.append((doc, scope, fn, o, "arg", None, n, True, callee, i, result))
-        for sink in row.sinks:
-            out += [(doc, scope, fn, o, "sink", sink["rule"], n, sink["shared"], None, None, None) for o in origins(sink["use"])]
-        if row.returned is not None:
-            out += [(doc, scope, fn, o, "ret", None, n, True, None, None, None) for o in origins(row.returned) | ({result} if result else set())]
-    return pd.DataFrame(out, columns=[c.split()[0] for c in REACHED.split(", ")])
+    for batch in batches:
+        out = []
+        for row in batch.to_pylist():
+            here = (row["doc"], row["scope"])
+            if here != scope:
+                scope, held = here, {}
+            fn, n = row["fn"], row["n"]
+            if row["params"] is not None:
+                routed = set(row["routed"] or ())
+                held = {p: {"S"} if p in routed else {f"P:{i}"} for i, p in enumerate(row["params"]) if p.replace("$", "_").isidentifier()}
+            if row["skipped"]:
+                continue
+            if row["loop_var"] is not None and held.get(row["loop_of"]):
+                held[row["loop_var"]] = set(held[row["loop_of"]])
+            passed = {(call["callee"], i, o) for call in row["calls"] for i, arg in enumerate(call["args"]) if not arg["safe"] for o in origins(arg["use"])}
+            var, returned = row["var"], row["returned"]
+            result = f"R:{n}" if passed and (var is not None and not row["safe"] or returned is not None) else None
+            if var is not None:
+                got = origins(row["rhs"]) if row["hands_on"] and not row["safe"] else set()
+                got |= {result} if result else set()
+                held[var] = got | (held.get(var, set()) if row["op"] == "+" else set())
+            for callee, i, o in passed:
+                out.append((*here, fn, o, "arg", None, n, True, callee, i, result))
+            for sink in row["sinks"]:
+                out += [(*here, fn, o, "sink", sink["rule"], n, sink["shared"], None, None, None) for o in origins(sink["use"])]
+            if returned is not None:
+                out += [(*here, fn, o, "ret", None, n, True, None, None, None) for o in origins(returned) | ({result} if result else set())]
+        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=form)
 
 
 def reached(docs: DataFrame, key: str = "doc_id", family: str = "family", text: str = "text") -> DataFrame:
-    """Per function and origin, what it reaches inside the function (see REACHED)."""
+    """Per function and origin, what it reaches inside the function (see REACHED).
+
+    Functions are sorted, not grouped: there are many, and each is short. The number of partitions is a
+    stated one, as the work of a row is far above what its bytes tell.
+    """
     rows = parsed(statements(docs, key, family, text))
-    return stage(rows.groupBy("doc", "scope").applyInPandas(_read_scope, REACHED).distinct(), "taint_local")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, "doc", "scope").sortWithinPartitions("doc", "scope", "n")
+    return stage(ordered.mapInArrow(_read_scopes, REACHED).distinct(), "taint_local")
 
 
 NODE = ["doc", "scope", "origin"]
