@@ -2,7 +2,7 @@
 
 import random
 
-from weftline.operators import joins, matching, reports
+from weftline.operators import joins, matching, repair, reports
 from weftline.sources import files
 
 
@@ -93,3 +93,19 @@ def test_overlaps_of_equal_intervals(spark):
     total, rows = written(spark, frame, "GenerateExec", "numOutputRows")
     assert total < 40
     assert sorted((r.a, r.b) for r in rows) == [(a, b) for a in range(60) for b in range(60)]
+
+
+def _long_lines(spark, readings=4):
+    rng = random.Random(9)
+    texts = {k: ["".join(rng.choice("abcdef") for _ in range(600)) for _ in range(12)] for k in range(20)}
+    finals = [(k, n, line) for k, t in texts.items() for n, line in enumerate([*t[:5], *t[3:]], 1)]  # the fourth and fifth line twice
+    read = [(k, o, n, line, 5) for k, t in texts.items() for o in range(readings) for n, line in enumerate(t, 1)]
+    return spark.createDataFrame(finals, "key long, n int, line string"), spark.createDataFrame(read, "key long, ord int, n int, line string, rank int"), sum(len(x[3]) for x in read)
+
+
+def test_repairs_deal_digests_of_lines(spark):
+    """What windows of lines send on grows with the lines, not with their lengths."""
+    finals, readings, chars = _long_lines(spark)
+    sent, rows = written(spark, repair.doubled_pairs(finals, readings), metric="dataSize")
+    assert {(r.key, r.n, r.action) for r in rows} == {(k, n, "drop") for k in range(20) for n in (6, 7)}
+    assert sent < chars / 2

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.staging import stage
+from weftline.staging import discard, stage
 
 PROVEN, LONG_LINE, MIN_VOTES, LEAST_ALNUM = 5, 12, 2, 12
 GRAM, LEAST_ROWS, MOST_PLACES = 8, 3, 64
@@ -23,14 +23,26 @@ def _indent(line: Column) -> Column:
     return F.length(line) - F.length(F.ltrim(line))
 
 
+def _told(rows: DataFrame) -> DataFrame:
+    """Adds what the repairs ask of a line, so that its text stays where it is: digests of the stripped line (k) and of the line but for blanks at its end (said), the stripped line's size, the indent, and of readings whether it is proven."""
+    if "k" in rows.columns:
+        return rows
+    bare = F.trim("line")
+    told = rows.withColumns({"k": F.when(bare.isNotNull(), F.xxhash64(bare)), "said": F.xxhash64(F.rtrim("line")), "size": F.length(bare), "indent": _indent(F.col("line"))})
+    return told.withColumn("proven", F.col("rank") >= PROVEN).drop("rank") if "rank" in rows.columns else told
+
+
 def _windows(rows: DataFrame, by: list[str], size: int, at: int = 0) -> DataFrame:
-    """Adds w, the stripped lines of the `size` rows of which this is row `at`, and p, whether each is proven; only rows with all of them."""
+    """Adds w, z, the digests and lengths of the `size` rows of which this is row `at`, p, whether each is proven, and i, their indents; only rows with all of them.
+
+    Rows are dealt by key alone, so all that is asked of a text's windows afterwards is answered where they are.
+    """
     order = W.partitionBy(*by).orderBy("n")
-    move = lambda column, i: F.lead(column, i - at).over(order) if i > at else F.lag(column, at - i).over(order) if i < at else column
-    bare = rows.withColumn("k", F.trim("line"))
-    wide = bare.withColumn("w", F.array(*[move(F.col("k"), i) for i in range(size)]))
-    if "rank" in rows.columns:
-        wide = wide.withColumn("p", F.array(*[move(F.col("rank") >= PROVEN, i) for i in range(size)])).withColumn("i", F.array(*[move(_indent(F.col("line")), i) for i in range(size)]))
+    move = lambda column, i: F.lead(column, i - at).over(order) if i > at else F.lag(column, at - i).over(order) if i < at else F.col(column)
+    column = lambda name: F.array(*[move(name, i) for i in range(size)])
+    wide = rows.repartition("key").withColumns({"w": column("k"), "z": column("size"), "i": column("indent")})
+    if "proven" in rows.columns:
+        wide = wide.withColumn("p", column("proven"))
     return wide.where(~F.exists("w", lambda x: x.isNull()))
 
 
@@ -45,15 +57,24 @@ def _weight(first: int, last: int) -> Column:
     return F.when(F.forall(F.slice("p", first + 1, last - first), lambda x: F.coalesce(x, F.lit(False))), 2).otherwise(1)
 
 
+def _spelled(found: DataFrame, readings: DataFrame, names: list[str]) -> DataFrame:
+    """Adds, for each column of digests, the stripped line behind it as <name>_text."""
+    asked = stage(found, "asked")
+    wanted = asked.select("key", F.explode(F.array(*names)).alias("k")).distinct()
+    texts = stage(readings.select("key", "k", "line").join(wanted, ["key", "k"], "left_semi").groupBy("key", "k").agg(F.min(F.trim("line")).alias("t")), "texts")
+    for name in names:
+        asked = asked.join(texts.select("key", F.col("k").alias(name), F.col("t").alias(f"{name}_text")), ["key", name])
+    return asked
+
+
 def _runs(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Runs of equal stripped lines: x, size, last (its n), before and after (the lines around), solid (all proven)."""
+    """Runs of equal stripped lines: x (the digest), long (its length), size, last (its n), before and after (the lines around), before_long, solid (all proven)."""
     order = W.partitionBy(*by).orderBy("n")
-    bare = rows.withColumn("k", F.trim("line"))
-    numbered = bare.withColumn("fresh", F.coalesce(F.lag("k").over(order) != F.col("k"), F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(order))
-    solid = F.min((F.col("rank") >= PROVEN).cast("int")) if "rank" in rows.columns else F.lit(0)
-    runs = numbered.groupBy(*by, "run").agg(F.first("k").alias("x"), F.count("*").alias("size"), F.max("n").alias("last"), solid.alias("solid"))
+    numbered = rows.repartition("key").withColumn("fresh", F.coalesce(F.lag("k").over(order) != F.col("k"), F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(order))
+    solid = F.min(F.col("proven").cast("int")) if "proven" in rows.columns else F.lit(0)
+    runs = numbered.groupBy(*by, "run").agg(F.first("k").alias("x"), F.first("size").alias("long"), F.count("*").alias("size"), F.max("n").alias("last"), solid.alias("solid"))
     around = W.partitionBy(*by).orderBy("run")
-    return runs.withColumns({"before": F.lag("x").over(around), "after": F.lead("x").over(around)})
+    return runs.withColumns({"before": F.lag("x").over(around), "before_long": F.lag("long").over(around), "after": F.lead("x").over(around)})
 
 
 def doubled_lines(finals: DataFrame, readings: DataFrame) -> DataFrame:
@@ -61,17 +82,19 @@ def doubled_lines(finals: DataFrame, readings: DataFrame) -> DataFrame:
 
     Of a short line, or one that a reading shows as often, twice as many and two more must.
     """
-    places = _runs(finals, ["key"]).where("size >= 2 AND x <> '' AND before <> '' AND after IS NOT NULL").select("key", "x", "size", "last", "before", "after")
+    finals, readings = _told(finals), _told(readings)
+    places = _runs(finals, ["key"]).where("size >= 2 AND long > 0 AND before_long > 0 AND after IS NOT NULL").select("key", "x", "long", "size", "last", "before", "after")
     seen = _runs(readings, ["key", "ord"]).where("before IS NOT NULL AND after IS NOT NULL").groupBy("key", "x", "before", "after", F.col("size").alias("shown")).agg(F.sum(1 + F.col("solid")).alias("weight"))
-    met = places.join(seen, ["key", "x", "before", "after"]).groupBy("key", "x", "size", "last").agg(F.coalesce(F.sum(F.when(F.col("shown") == F.col("size"), F.col("weight"))), F.lit(0)).alias("twice"), F.coalesce(F.sum(F.when(F.col("shown") == F.col("size") - 1, F.col("weight"))), F.lit(0)).alias("once"))
-    met = met.where((F.col("once") > F.col("twice")) & ((F.length("x") >= LONG_LINE) | (F.col("twice") == 0) | (F.col("once") >= 2 * F.col("twice") + 2)))
+    met = places.join(seen, ["key", "x", "before", "after"]).groupBy("key", "x", "long", "size", "last").agg(F.coalesce(F.sum(F.when(F.col("shown") == F.col("size"), F.col("weight"))), F.lit(0)).alias("twice"), F.coalesce(F.sum(F.when(F.col("shown") == F.col("size") - 1, F.col("weight"))), F.lit(0)).alias("once"))
+    met = met.where((F.col("once") > F.col("twice")) & ((F.col("long") >= LONG_LINE) | (F.col("twice") == 0) | (F.col("once") >= 2 * F.col("twice") + 2)))
     return met.select("key", F.col("last").alias("n"), F.lit("drop").alias("action"), F.lit(None).cast("string").alias("line"))
 
 
 def doubled_pairs(finals: DataFrame, readings: DataFrame) -> DataFrame:
     """Edits that drop the second copy of two lines that stand twice, where readings clearly show them once."""
-    get = lambda i: F.get("w", i)
-    places = _windows(finals, ["key"], 6, 1).where((get(1) == get(3)) & (get(2) == get(4)) & (get(1) != get(2)) & (get(0) != "") & (get(1) != "") & (get(2) != "") & (get(0) != get(2)) & (get(5) != get(1)))
+    finals, readings = _told(finals), _told(readings)
+    get, long = lambda i: F.get("w", i), lambda i: F.get("z", i)
+    places = _windows(finals, ["key"], 6, 1).where((get(1) == get(3)) & (get(2) == get(4)) & (get(1) != get(2)) & (long(0) > 0) & (long(1) > 0) & (long(2) > 0) & (get(0) != get(2)) & (get(5) != get(1)))
     places = places.select("key", "n", F.col("w").alias("twice"), F.array(get(0), get(1), get(2), get(5)).alias("once"))
     places = _counted(places, _windows(readings, ["key", "ord"], 6).select("key", "w", _weight(1, 5).alias("weight")), "twice")
     places = _counted(places, _windows(readings, ["key", "ord"], 4).select("key", "w", _weight(1, 3).alias("weight")), "once")
@@ -85,51 +108,58 @@ def copied_lines(finals: DataFrame, readings: DataFrame) -> DataFrame:
     Two readings, and more than show the pair; an assignment, which hardly ever repeats, needs one and no
     fewer. The line keeps the indent it has there against its neighbour.
     """
-    get = lambda i: F.get("w", i)
-    bare = F.regexp_replace(get(1), r"[\s)}\]>/;,<]", "")
-    places = _windows(finals, ["key"], 4, 1).where((get(1) == get(2)) & (F.length(get(1)) >= 5) & (F.length(bare) >= 4) & (get(0) != "") & (get(3) != "") & (get(0) != get(1)) & (get(3) != get(1)))
-    places = places.select("key", "n", F.col("w").alias("pair"), get(0).alias("before"), get(1).alias("x"), get(3).alias("after"), _indent(F.col("line")).alias("own"))
-    shown = stage(_windows(readings, ["key", "ord"], 4).select("key", "w", "i"), "shown")
+    finals, readings = _told(finals), _told(readings)
+    get, long = lambda i: F.get("w", i), lambda i: F.get("z", i)
+    places = _windows(finals, ["key"], 4, 1).where((get(1) == get(2)) & (long(1) >= 5) & (long(0) > 0) & (long(3) > 0) & (get(0) != get(1)) & (get(3) != get(1)))
+    places = places.select("key", "n", F.col("w").alias("pair"), get(0).alias("before"), get(1).alias("x"), get(3).alias("after"), F.col("indent").alias("own"))
+    shown = _windows(readings, ["key", "ord"], 4).select("key", "w", "z", "i")
     places = _counted(places, shown.select("key", "w", F.lit(1).alias("weight")), "pair")
     slots = F.array(
-        F.when((get(2) != "") & (get(2) != get(1)), F.struct(F.lit(1).alias("slot"), get(1).alias("x"), get(2).alias("y"), (F.get("i", 2) - F.get("i", 1)).alias("d"))),
-        F.when((get(1) != "") & (get(1) != get(2)), F.struct(F.lit(0).alias("slot"), get(2).alias("x"), get(1).alias("y"), (F.get("i", 1) - F.get("i", 2)).alias("d"))),
+        F.when((long(2) > 0) & (get(2) != get(1)), F.struct(F.lit(1).alias("slot"), get(1).alias("x"), get(2).alias("y"), (F.get("i", 2) - F.get("i", 1)).alias("d"))),
+        F.when((long(1) > 0) & (get(1) != get(2)), F.struct(F.lit(0).alias("slot"), get(2).alias("x"), get(1).alias("y"), (F.get("i", 1) - F.get("i", 2)).alias("d"))),
     )
     offered = shown.select("key", get(0).alias("before"), get(3).alias("after"), F.explode(F.array_compact(slots)).alias("s")).select("key", "before", "after", "s.*")
     offered = offered.groupBy("key", "before", "after", "x", "slot", "y", "d").agg(F.count("*").alias("c"))
     met = places.join(offered, ["key", "before", "after", "x"])
     votes = met.groupBy("key", "n", "own", "x", "pair_seen", "slot", "y").agg(F.sum("c").alias("votes"), F.max(F.struct("c", (-F.col("d")).alias("d"))).alias("best"))
-    first = F.row_number().over(W.partitionBy("key", "n").orderBy(F.desc("votes"), F.desc("slot"), F.desc("y")))
-    assignment = F.col("x").rlike(r"^[A-Za-z_][\w.]*\s*[:=]\s*\S").cast("int")
+    votes = _spelled(votes, readings, ["x", "y"]).where(F.length(F.regexp_replace("x_text", r"[\s)}\]>/;,<]", "")) >= 4)
+    first = F.row_number().over(W.partitionBy("key", "n").orderBy(F.desc("votes"), F.desc("slot"), F.desc("y_text")))
+    assignment = F.col("x_text").rlike(r"^[A-Za-z_][\w.]*\s*[:=]\s*\S").cast("int")
     sure = votes.withColumn("r", first).where((F.col("r") == 1) & (F.col("votes") >= MIN_VOTES - assignment) & (F.col("votes") >= F.col("pair_seen") + 1 - assignment))
-    line = F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), F.col("own") - F.col("best.d"))), "y")
+    line = F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), F.col("own") - F.col("best.d"))), "y_text")
     return sure.select("key", (F.col("n") + F.col("slot")).alias("n"), F.lit("replace").alias("action"), line.alias("line"))
 
 
 def skipped_lines(finals: DataFrame, readings: DataFrame) -> DataFrame:
     """Edits that insert (after n) the one line that at least two readings show between the same two lines above and below, more than show these closed up."""
-    get = lambda i: F.get("w", i)
-    places = _windows(finals, ["key"], 4, 1).where((F.length(get(1)) >= 3) & (F.length(get(2)) >= 3) & (get(0) != "") & (get(3) != ""))
-    places = places.select("key", "n", F.col("w").alias("closed"), _indent(F.col("line")).alias("own"))
-    places = _counted(places, _windows(readings, ["key", "ord"], 4).select("key", "w", F.lit(1).alias("weight")), "closed")
-    shown = _windows(readings, ["key", "ord"], 5)
-    between = shown.select("key", F.array(get(0), get(1), get(3), get(4)).alias("closed"), get(2).alias("y"), (F.get("i", 2) - F.get("i", 1)).alias("d"))
-    between = between.where((F.col("y") != "") & (F.col("y") != F.get("closed", 1)) & (F.col("y") != F.get("closed", 2)) & (F.length(F.regexp_replace("y", r"[\s)}\]>/;,]", "")) >= 2) & ~F.contains(F.replace("y", F.lit(" ")), F.replace(F.get("closed", 2), F.lit(" "))))
+    finals, readings = _told(finals), _told(readings)
+    get, long = lambda i: F.get("w", i), lambda i: F.get("z", i)
+    places = _windows(finals, ["key"], 4, 1).where((long(1) >= 3) & (long(2) >= 3) & (long(0) > 0) & (long(3) > 0))
+    places = places.select("key", "n", F.col("w").alias("closed"), F.col("indent").alias("own"))
+    between = _windows(readings, ["key", "ord"], 5).select("key", F.array(get(0), get(1), get(3), get(4)).alias("closed"), get(2).alias("y"), long(2).alias("long"), (F.get("i", 2) - F.get("i", 1)).alias("d"))
+    between = between.where((F.col("long") > 0) & (F.col("y") != F.get("closed", 1)) & (F.col("y") != F.get("closed", 2)))
     counted = between.groupBy("key", "closed", "y", "d").agg(F.count("*").alias("c")).groupBy("key", "closed", "y").agg(F.sum("c").alias("votes"), F.max(F.struct("c", (-F.col("d")).alias("d"))).alias("best"))
-    first = F.row_number().over(W.partitionBy("key", "n").orderBy(F.desc("votes"), "y"))
-    sure = places.join(counted, ["key", "closed"]).withColumn("r", first).where((F.col("r") == 1) & (F.col("votes") >= MIN_VOTES) & (F.col("votes") > F.col("closed_seen")))
-    line = F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), F.col("own") - F.col("best.d"))), "y")
+    met = _counted(places.join(counted, ["key", "closed"]), _windows(readings, ["key", "ord"], 4).select("key", "w", F.lit(1).alias("weight")), "closed")
+    met = _spelled(met.withColumn("below", F.get("closed", 2)), readings, ["y", "below"])
+    met = met.where((F.length(F.regexp_replace("y_text", r"[\s)}\]>/;,]", "")) >= 2) & ~F.contains(F.replace("y_text", F.lit(" ")), F.replace("below_text", F.lit(" "))))
+    first = F.row_number().over(W.partitionBy("key", "n").orderBy(F.desc("votes"), "y_text"))
+    sure = met.withColumn("r", first).where((F.col("r") == 1) & (F.col("votes") >= MIN_VOTES) & (F.col("votes") > F.col("closed_seen")))
+    line = F.concat(F.repeat(F.lit(" "), F.greatest(F.lit(0), F.col("own") - F.col("best.d"))), "y_text")
     return sure.select("key", "n", F.lit("insert").alias("action"), line.alias("line"))
 
 
 def garbled_twins(finals: DataFrame, readings: DataFrame) -> DataFrame:
     """Edits that drop, of two neighbours that differ in punctuation and spacing alone, the one no reading proves, if one proves the other."""
-    proven = readings.where(F.col("rank") >= PROVEN).select("key", F.rtrim("line").alias("said"), F.lit(True).alias("good")).distinct()
-    marked = finals.withColumn("said", F.rtrim("line")).join(proven, ["key", "said"], "left").withColumn("good", F.coalesce("good", F.lit(False)))
+    finals, readings = _told(finals), _told(readings)
     order = W.partitionBy("key").orderBy("n")
-    letters = F.regexp_replace("line", "[^A-Za-z0-9]", "")
-    pair = marked.withColumns({"a": letters, "b": F.lead(letters).over(order), "next": F.lead(F.trim("line")).over(order), "next_n": F.lead("n").over(order), "next_good": F.lead("good").over(order)})
-    twins = pair.where((F.trim("line") != "") & (F.col("next") != "") & (F.trim("line") != F.col("next")) & (F.length("a") >= LEAST_ALNUM) & (F.col("a") == F.col("b")) & (F.col("good") != F.col("next_good")))
+    enough = F.col("line").rlike(rf"(?:[A-Za-z0-9][^A-Za-z0-9]*+){{{LEAST_ALNUM}}}")
+    letters = F.when(enough, F.xxhash64(F.regexp_replace("line", "[^A-Za-z0-9]", "")))
+    pair = finals.select("key", "n", "k", "size", "said", letters.alias("letters")).repartition("key").withColumns({"next": F.lead("k").over(order), "next_n": F.lead("n").over(order), "next_said": F.lead("said").over(order), "next_letters": F.lead("letters").over(order), "next_size": F.lead("size").over(order)})
+    alike = stage(pair.where((F.col("size") > 0) & (F.col("next_size") > 0) & (F.col("k") != F.col("next")) & (F.col("letters") == F.col("next_letters"))).select("key", "n", "said", "next_n", "next_said"), "twins")
+    proven = readings.where("proven").select("key", "said").join(alike.select("key", F.explode(F.array("said", "next_said")).alias("said")).distinct(), ["key", "said"], "left_semi").distinct()
+    good = lambda said, name: proven.select("key", F.col("said").alias(said), F.lit(True).alias(name))
+    twins = alike.join(good("said", "good"), ["key", "said"], "left").join(good("next_said", "next_good"), ["key", "next_said"], "left")
+    twins = twins.select("key", "n", "next_n", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("good", "next_good")]).where(F.col("good") != F.col("next_good"))
     return twins.select("key", F.when(F.col("good"), F.col("next_n")).otherwise(F.col("n")).alias("n"), F.lit("drop").alias("action"), F.lit(None).cast("string").alias("line")).distinct()
 
 
@@ -146,13 +176,16 @@ REPAIRS = (("copied", copied_lines), ("doubled", doubled_lines), ("pairs", doubl
 
 def repaired(finals: DataFrame, readings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Q7: (lines, log): the repairs one after another; the log has (key, n, action, line, repair), n as the lines were numbered before that repair."""
-    readings, log = stage(readings.select("key", "ord", "n", "line", "rank"), "readings"), None
-    lines = stage(finals.select("key", "n", "line"), "finals")
+    readings, log = stage(_told(readings.select("key", "ord", "n", "line", "rank")), "readings"), None
+    lines, numbered = stage(_told(finals.select("key", "n", "line")), "finals"), False
     for name, repair in REPAIRS:
         edits = stage(repair(lines, readings).select(*EDIT), "edits")
         log = (lambda df: df if log is None else log.unionByName(df))(edits.withColumn("repair", F.lit(name)))
-        lines = stage(applied(lines, edits), "finals")
-    return lines, log
+        if numbered and edits.isEmpty():
+            continue
+        older, lines, numbered = lines, stage(_told(applied(lines, edits)), "finals"), True
+        discard(older)
+    return lines.select("key", "n", "line"), log
 
 
 def text_of(lines: DataFrame) -> DataFrame:
