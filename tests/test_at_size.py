@@ -109,3 +109,11 @@ def test_repairs_deal_digests_of_lines(spark):
     sent, rows = written(spark, repair.doubled_pairs(finals, readings), metric="dataSize")
     assert {(r.key, r.n, r.action) for r in rows} == {(k, n, "drop") for k in range(20) for n in (6, 7)}
     assert sent < chars / 2
+
+
+def test_respacing_deals_gaps_of_readings(spark):
+    """A merged text is sent once, its readings as gaps and digests."""
+    finals, readings, chars = _long_lines(spark)
+    sent, rows = written(spark, repair.respaced(finals.where("n <= 5"), readings.where("n <= 5")), metric="dataSize")
+    assert {(r.key, r.n): r.state for r in rows} == {(k, n): "measured" for k in range(20) for n in range(1, 6)}
+    assert sent < chars / 4

@@ -198,23 +198,36 @@ def placed_lines(finals: DataFrame, readings: DataFrame, radii: tuple[int, ...]
     """(key, ord, n, final_n): each read line at the only place of the merged text where it and its neighbours stand, blanks aside.
 
     Neighbours are those on both sides, or on one side where a fragment begins or ends. A wider radius
-    is asked for what a smaller one leaves open.
+    is asked for what a smaller one leaves open. What is dealt is a digest of each line, by key alone.
     """
+    squeezed = F.trim(F.regexp_replace("line", r"\s+", " "))
+    told = lambda rows, by: stage(rows.where(squeezed != "").select(*by, "n", F.xxhash64(squeezed).alias("k")), "told")
 
     def signed(rows: DataFrame, by: list[str], radius: int) -> DataFrame:
         order = W.partitionBy(*by).orderBy("n")
         at = lambda i: F.lead("k", i).over(order) if i > 0 else F.lag("k", -i).over(order) if i < 0 else F.col("k")
-        kinds = [F.array(*[at(i) for i in span]) for span in (range(-radius, radius + 1), range(0, 2 * radius + 1), range(-2 * radius, 1))]
+        neighbours = F.array(*[at(i) for i in range(-2 * radius, 2 * radius + 1)])
+        rows = rows.repartition("key").withColumn("near", neighbours)
+        kinds = [F.slice("near", first, 2 * radius + 1) for first in (radius + 1, 2 * radius + 1, 1)]
         signs = F.array(*[F.when(~F.exists(k, lambda x: x.isNull()), F.struct(F.lit(j).alias("kind"), F.xxhash64(k).alias("sig"))) for j, k in enumerate(kinds)])
-        written = rows.withColumn("k", F.trim(F.regexp_replace("line", r"\s+", " "))).where("k <> ''").withColumn("signs", F.array_compact(signs))
-        return written.select(*by, "n", F.explode("signs").alias("s")).select(*by, "n", "s.kind", "s.sig")
+        return rows.withColumn("signs", F.array_compact(signs))
 
-    found = None
+    each = lambda rows, by: rows.select(*by, "n", F.explode("signs").alias("s")).select(*by, "n", "s.kind", "s.sig")
+    texts, read, found = told(finals, ["key"]), told(readings, ["key", "ord"]).withColumn("open", F.lit(True)), None
     for radius in radii:
-        only = signed(finals, ["key"], radius).groupBy("key", "kind", "sig").agg(F.min("n").alias("final_n"), F.count("*").alias("c")).where("c = 1").drop("c")
-        met = signed(readings, ["key", "ord"], radius).join(only, ["key", "kind", "sig"]).groupBy("key", "ord", "n").agg(F.min("final_n").alias("final_n"), F.max("final_n").alias("other")).where("final_n = other").drop("other")
-        met = met if found is None else met.join(found.select("key", "ord", "n"), ["key", "ord", "n"], "left_anti")
-        found = stage(met if found is None else found.unionByName(met), "placed")
+        only = each(signed(texts, ["key"], radius), ["key"]).groupBy("key", "kind", "sig").agg(F.min("n").alias("final_n"), F.count("*").alias("c")).where("c = 1").drop("c")
+        met = each(signed(read, ["key", "ord"], radius).where("open"), ["key", "ord"]).join(only, ["key", "kind", "sig"]).groupBy("key", "ord", "n").agg(F.min("final_n").alias("final_n"), F.max("final_n").alias("other")).where("final_n = other").drop("other")
+        met = stage(met, "placed")
+        found = met if found is None else found.unionByName(met)
+        if radius == radii[-1]:
+            break
+        # texts of which all read lines have a place are done
+        done = met.select("key", "ord", "n", F.lit(False).alias("still"))
+        read = read.repartition("key").join(done.repartition("key"), ["key", "ord", "n"], "left").withColumn("open", F.col("open") & F.coalesce("still", F.lit(True))).drop("still")
+        read = stage(read.withColumn("left", F.max("open").over(W.partitionBy("key"))).where("left").drop("left"), "told")
+        if read.isEmpty():
+            break
+        texts = texts.join(read.select("key").distinct(), "key", "left_semi")
     return found
 
 
@@ -224,19 +237,22 @@ def respaced(finals: DataFrame, readings: DataFrame) -> DataFrame:
     The words of a line are those of the merged text; each gap before a word, the indent too, is voted on
     by the readings placed there: the only width read, or one that two readings give and twice as many as any
     other. state: measured (all gaps decided), conflict (some are not; those stay as they were), unmeasured
-    (no reading placed), empty for lines without words. Lines with tabs are left alone.
+    (no reading placed), empty for lines without words. Lines with tabs are left alone. Of a reading its
+    gaps and a digest of its words are dealt, of a merged line the same; its text is read again at the end.
     """
     words = lambda line: F.filter(F.split(F.trim(line), " +"), lambda w: w != "")
     gaps = lambda line: F.transform(F.slice(F.split(line, r"[^ ]+", -1), F.lit(1), F.size(words(line))), F.length)
-    spaced = finals.where(~F.contains("line", F.lit("\t"))).select("key", "n", "line", words(F.col("line")).alias("words"), gaps(F.col("line")).alias("own"))
-    read = placed_lines(finals, readings).join(readings.select("key", "ord", "n", "line"), ["key", "ord", "n"]).where(~F.contains("line", F.lit("\t")))
-    votes = read.select("key", F.col("final_n").alias("n"), words(F.col("line")).alias("said"), gaps(F.col("line")).alias("gaps")).join(spaced.select("key", "n", "words"), ["key", "n"]).where(F.col("said") == F.col("words"))
+    finals, readings = stage(finals.select("key", "n", "line"), "finals"), stage(readings.select("key", "ord", "n", "line"), "readings")
+    no_tab, said = ~F.contains("line", F.lit("\t")), F.xxhash64(words(F.col("line")))
+    spaced = finals.where(no_tab).select("key", "n", said.alias("words"))
+    read = readings.where(no_tab).select("key", "ord", "n", said.alias("said"), gaps(F.col("line")).alias("gaps")).repartition("key").join(placed_lines(finals, readings).repartition("key"), ["key", "ord", "n"])
+    votes = read.select("key", F.col("final_n").alias("n"), "said", "gaps").join(spaced.repartition("key"), ["key", "n"]).where(F.col("said") == F.col("words"))
     votes = votes.select("key", "n", F.posexplode("gaps").alias("at", "width")).groupBy("key", "n", "at", "width").agg(F.count("*").alias("c"))
     ranked = votes.groupBy("key", "n", "at").agg(F.reverse(F.array_sort(F.collect_list(F.struct("c", (-F.col("width")).alias("w"))))).alias("v"))
     top, second = F.get("v", 0), F.get("v", 1)
     picked = ranked.select("key", "n", "at", F.when((F.size("v") == 1) | ((top["c"] >= 2) & (top["c"] >= 2 * second["c"])), -top["w"]).alias("width"))
     of_line = picked.groupBy("key", "n").agg(F.map_from_entries(F.collect_list(F.struct("at", "width"))).alias("widths"), F.bool_or(F.col("width").isNull()).alias("open"))
-    joined = finals.select("key", "n", "line").join(spaced.drop("line"), ["key", "n"], "left").join(of_line, ["key", "n"], "left")
+    joined = finals.repartition("key").join(of_line, ["key", "n"], "left").withColumns({"words": F.when(no_tab, words(F.col("line"))), "own": gaps(F.col("line"))})
     width = lambda i: F.coalesce(F.try_element_at("widths", i), F.get("own", i))
     rebuilt = F.array_join(F.transform("words", lambda w, i: F.concat(F.repeat(F.lit(" "), width(i)), w)), "")
     state = F.when(F.trim("line") == "", "").when(F.col("widths").isNull(), "unmeasured").when(F.col("open"), "conflict").otherwise("measured")
