@@ -1,9 +1,11 @@
 """Operators on many equal rows: what they return, and what their work grows with."""
 
 import random
+import time
 
 from weftline.operators import joins, matching, repair, reports
 from weftline.sources import files
+from weftline.streaming import events
 
 
 def written(spark, frame, kind="ShuffleExchangeExec", metric="shuffleRecordsWritten"):
@@ -117,3 +119,10 @@ def test_respacing_deals_gaps_of_readings(spark):
     sent, rows = written(spark, repair.respaced(finals.where("n <= 5"), readings.where("n <= 5")), metric="dataSize")
     assert {(r.key, r.n): r.state for r in rows} == {(k, n): "measured" for k in range(20) for n in range(1, 6)}
     assert sent < chars / 4
+
+
+def test_many_items_of_one_micro_batch():
+    """Cutting batches copies each item once; it copied all that were left for each batch."""
+    began = time.perf_counter()
+    closed, held = events.full_batches(list(range(3_000_001)), 50)
+    assert (len(closed), held) == (3_000_000, [3_000_000]) and time.perf_counter() - began < 5

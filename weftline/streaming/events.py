@@ -86,6 +86,12 @@ def kept_by_distance(frames_: DataFrame, key: str, value: str, least: int = 4) -
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, event_id long", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
+def full_batches(items: list, most: int) -> tuple[list, list]:
+    """The items that fill batches of `most`, and those left; each is copied once, however many there are."""
+    full = len(items) - len(items) % most
+    return items[:full], items[full:]
+
+
 def batched(stream: DataFrame, key: str, item: str, most: int = 500, quiet_ms: int = 2000) -> DataFrame:
     """ST4: (key, batch, item, reason): items of a key in batches that close when they hold `most` items (full) or when nothing came for `quiet_ms` (quiet).
 
@@ -96,18 +102,17 @@ def batched(stream: DataFrame, key: str, item: str, most: int = 500, quiet_ms: i
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, number = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        out = []
         if state.hasTimedOut:
-            out, held, number = [(k[0], number, x, "quiet") for x in held], [], number + bool(held)
+            reason, closed, held, after = "quiet", held, [], number + bool(held)
         else:
-            held += sorted(x for frame in frames for x in frame[item].tolist())
-            while len(held) >= most:
-                out += [(k[0], number, x, "full") for x in held[:most]]
-                held, number = held[most:], number + 1
-        state.update((held, number))
+            reason, (closed, held) = "full", full_batches(held + sorted(x for frame in frames for x in frame[item].tolist()), most)
+            after = number + len(closed) // most
+        state.update((held, after))
         if held:
             state.setTimeoutDuration(quiet_ms)
-        yield pd.DataFrame(out, columns=[key, "batch", "item", "reason"])
+        for at in range(0, len(closed), 50 * most):
+            rows = closed[at : at + 50 * most]
+            yield pd.DataFrame({key: k[0], "batch": [number + (at + i) // most for i in range(len(rows))], "item": rows, "reason": reason}, columns=[key, "batch", "item", "reason"])
 
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, item)}
     schema = f"{key} {kinds[key]}, batch long, item {kinds[item]}, reason string"
