@@ -3,7 +3,7 @@
 import random
 import time
 
-from weftline.operators import joins, matching, repair, reports
+from weftline.operators import joins, lines, matching, repair, reports
 from weftline.sources import files
 from weftline.streaming import events
 
@@ -121,6 +121,25 @@ def test_respacing_deals_gaps_of_readings(spark):
     assert sent < chars / 4
 
 
+def test_islands_sort_without_a_table_of_values(spark):
+    """Repeated values and nulls are passed over in the sorted rows; no exchange but one by the keys."""
+    rng = random.Random(2)
+    rows = [(k, rng.choice([None, *range(30), 2**62, -(2**62)])) for k in range(9) for _ in range(k * 9)]
+    found = lines.islands(spark.createDataFrame(rows, "k long, v long"), ["k"], "v")
+    sent, got = written(spark, found)
+    want = set()
+    for k, v in set(rows):
+        if v is None:
+            want.add((k, None, None, 1))
+        elif (k, v - 1) not in set(rows):
+            high = v
+            while (k, high + 1) in set(rows):
+                high += 1
+            want.add((k, v, high, high - v + 1))
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert sent == len(rows)
+
+
 def test_many_items_of_one_micro_batch():
     """Cutting batches copies each item once; it copied all that were left for each batch."""
     began = time.perf_counter()

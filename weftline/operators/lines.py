@@ -28,10 +28,19 @@ def squeezed(text: Column) -> Column:
 
 
 def islands(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Runs of consecutive distinct integers as (by, low, high, size)."""
-    rows = df.select(*by, value).distinct()
-    marked = rows.withColumn("__run", F.col(value) - F.row_number().over(W.partitionBy(*by).orderBy(value)))
-    return marked.groupBy(*by, "__run").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count("*").alias("size")).drop("__run")
+    """Runs of consecutive distinct integers as (by, low, high, size).
+
+    Rows are sorted once; repeated values are passed over there, and the last row of a run tells of it. A sort
+    spills where hash tables of all values, and of all runs, took a task's memory.
+    """
+    order = W.partitionBy(*by).orderBy(value)
+    joined = lambda a, b: a.eqNullSafe(b) | F.coalesce(a >= b - 1, F.lit(False))
+    there = lambda move: move(F.lit(True)).over(order).isNotNull()
+    here, before, after = F.col(value), F.lag(value).over(order), F.lead(value).over(order)
+    rows = df.select(*by, value).withColumns({"__first": ~(there(F.lag) & joined(before, here)), "__last": ~(there(F.lead) & joined(here, after))})
+    low = F.last(F.when(F.col("__first"), here), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    size = F.coalesce(here.cast("long") - F.col("low") + 1, F.lit(1))
+    return rows.withColumn("low", low).where("__last").select(*by, "low", here.alias("high"), size.alias("size"))
 
 
 def gaps(df: DataFrame, by: list[str], value: str) -> DataFrame:
