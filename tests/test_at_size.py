@@ -145,3 +145,11 @@ def test_many_items_of_one_micro_batch():
     began = time.perf_counter()
     closed, held = events.full_batches(list(range(3_000_001)), 50)
     assert (len(closed), held) == (3_000_000, [3_000_000]) and time.perf_counter() - began < 5
+
+
+def test_flags_without_a_document_are_left_early(spark):
+    docs = spark.range(1, 2).selectExpr("id AS doc_id", "concat('a', char(10), 'b') AS text", "true AS verified", "false AS exact")
+    flags = spark.createDataFrame([(i % 3000, 1 + i // 3000, "dup", False) for i in range(6000)], "doc_id long, line int, kind string, literal boolean")
+    sent, rows = written(spark, reports.capture_quality(docs, flags, spark.createDataFrame([(1, 2)], "doc_id long, line int")))
+    assert [(r.status, [tuple(i) for i in r.issues], r.bad_lines) for r in rows] == [("rescan", [("dup", "1-2"), ("model", "2")], [1, 2])]
+    assert sent < 1000

@@ -106,6 +106,7 @@ def capture_quality(docs: DataFrame, flags: DataFrame, concerns: DataFrame, key:
     cut = docs.select(key, F.posexplode(F.split(text, "\n"))).where(F.contains("col", F.lit("[CUT OFF]"))).select(key, (F.col("pos") + 1).alias("line"), F.lit("cut").alias("kind"))
     said = concerns.select(key, F.col("line").cast("int").alias("line"), F.lit("model").alias("kind"))
     every = flags.select(key, F.col("line").cast("int").alias("line"), kind.alias("kind")).unionByName(cut).unionByName(said)
+    every = every.join(docs.select(key).distinct(), key, "left_semi")
     runs = islands(every.where("line > 0"), [key, "kind"], "line")
     spelled = F.when(F.col("low") == F.col("high"), F.col("low").cast("string")).otherwise(F.concat_ws("-", F.col("low").cast("string"), F.col("high").cast("string")))
     ranges = F.array_sort(F.collect_list(F.struct("low", spelled.alias("range"))))
