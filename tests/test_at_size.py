@@ -3,7 +3,7 @@
 import random
 import time
 
-from weftline.operators import joins, lines, matching, repair, reports
+from weftline.operators import graph, joins, lines, matching, repair, reports
 from weftline.sources import files
 from weftline.streaming import events
 
@@ -153,3 +153,9 @@ def test_flags_without_a_document_are_left_early(spark):
     sent, rows = written(spark, reports.capture_quality(docs, flags, spark.createDataFrame([(1, 2)], "doc_id long, line int")))
     assert [(r.status, [tuple(i) for i in r.issues], r.bad_lines) for r in rows] == [("rescan", [("dup", "1-2"), ("model", "2")], [1, 2])]
     assert sent < 1000
+
+
+def test_ranks_go_not_through_the_driver(spark):
+    edges = spark.createDataFrame([(i // 3, i) for i in range(1, 300)] + [(299, 0)], "from_id long, to_id long")
+    sent, rows = written(spark, graph.ranks_without_cycles(edges), "BroadcastExchangeExec", "dataSize")
+    assert len(rows) == 300 and sent == 0

@@ -125,9 +125,9 @@ def back_edges(edges: DataFrame) -> DataFrame:
     left = stage(left.where("from_id <> to_id"), "undecided")
     while not left.isEmpty():
         down, up = _largest_reaching(left, "from_id", "to_id"), _largest_reaching(left, "to_id", "from_id")
-        both = stage(down.join(up.withColumnRenamed("label", "up"), "node").select("node", "label", (F.col("label") == F.col("up")).alias("done")), "labels")
+        both = stage(down.hint("merge").join(up.withColumnRenamed("label", "up"), "node").select("node", "label", (F.col("label") == F.col("up")).alias("done")), "labels")
         a, b = both.select(F.col("node").alias("from_id"), F.col("label").alias("la"), F.col("done").alias("da")), both.select(F.col("node").alias("to_id"), F.col("label").alias("lb"), F.col("done").alias("db"))
-        judged = stage(left.join(a, "from_id").join(b, "to_id"), "judged")
+        judged = stage(left.hint("merge").join(a, "from_id").hint("merge").join(b, "to_id"), "judged")
         back = back.unionAll(judged.where("da AND db AND la = lb AND from_id > to_id").select("from_id", "to_id"))
         left = stage(judged.where("la = lb AND NOT da AND NOT db").select("from_id", "to_id"), "undecided")
     return back
@@ -139,8 +139,8 @@ def _largest_reaching(edges: DataFrame, source: str, target: str) -> DataFrame:
     labels = stage(nodes.withColumn("label", F.col("node")), "labels")
     before = None
     while True:
-        pushed = edges.join(labels, F.col(source) == F.col("node")).groupBy(F.col(target).alias("node")).agg(F.max("label").alias("pushed"))
-        older, labels = labels, stage(labels.join(pushed, "node", "left").select("node", F.greatest("label", "pushed").alias("label")), "labels")
+        pushed = edges.hint("merge").join(labels, F.col(source) == F.col("node")).groupBy(F.col(target).alias("node")).agg(F.max("label").alias("pushed"))
+        older, labels = labels, stage(labels.hint("merge").join(pushed, "node", "left").select("node", F.greatest("label", "pushed").alias("label")), "labels")
         discard(older)
         state = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if state == before:
@@ -154,8 +154,8 @@ def longest_ranks(edges: DataFrame) -> DataFrame:
     ranks = stage(nodes.withColumn("rank", F.lit(0)), "ranks")
     most, before, rounds = ranks.count(), 0, 0
     while True:
-        pushed = edges.join(ranks, F.col("from_id") == F.col("node")).groupBy(F.col("to_id").alias("node")).agg((F.max("rank") + 1).alias("pushed"))
-        older, ranks = ranks, stage(ranks.join(pushed, "node", "left").select("node", F.greatest("rank", F.coalesce("pushed", F.lit(0))).alias("rank")), "ranks")
+        pushed = edges.hint("merge").join(ranks, F.col("from_id") == F.col("node")).groupBy(F.col("to_id").alias("node")).agg((F.max("rank") + 1).alias("pushed"))
+        older, ranks = ranks, stage(ranks.hint("merge").join(pushed, "node", "left").select("node", F.greatest("rank", F.coalesce("pushed", F.lit(0))).alias("rank")), "ranks")
         discard(older)
         now, rounds = ranks.agg(F.sum("rank")).first()[0] or 0, rounds + 1
         if now == before:
@@ -166,11 +166,14 @@ def longest_ranks(edges: DataFrame) -> DataFrame:
 
 
 def ranks_without_cycles(edges: DataFrame) -> DataFrame:
-    """(node, rank) after the edges that close a cycle are left out; every node of the edges has a row."""
+    """(node, rank) after the edges that close a cycle are left out; every node of the edges has a row.
+
+    The joins of its rounds are merges: staged ids are small files, and a broadcast in each round would send all of them through the driver again.
+    """
     plain = stage(edges.select("from_id", "to_id").distinct(), "ranked")
-    forward = stage(plain.join(back_edges(plain), ["from_id", "to_id"], "left_anti"), "forward")
+    forward = stage(plain.hint("merge").join(back_edges(plain), ["from_id", "to_id"], "left_anti"), "forward")
     nodes = plain.select(F.col("from_id").alias("node")).union(plain.select("to_id")).distinct()
-    return nodes.join(longest_ranks(forward), "node", "left").select("node", F.coalesce("rank", F.lit(0)).alias("rank"))
+    return nodes.hint("merge").join(longest_ranks(forward), "node", "left").select("node", F.coalesce("rank", F.lit(0)).alias("rank"))
 
 
 def lifted(edges: DataFrame, owner: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def g7(spark: SparkSession, root: str) -> DataFrame:
     """The calls, with an edge back from every node to its caller's caller in the way: these close cycles and are left out."""
     calls = _calls(spark, root).where("kind = 'calls'").select("from_id", "to_id")
     a, b = calls.alias("a"), calls.alias("b")
-    back = a.join(b, F.col("a.to_id") == F.col("b.from_id")).select(F.col("b.to_id").alias("from_id"), F.col("a.from_id").alias("to_id"))
+    back = a.hint("merge").join(b, F.col("a.to_id") == F.col("b.from_id")).select(F.col("b.to_id").alias("from_id"), F.col("a.from_id").alias("to_id"))
     return graph.ranks_without_cycles(calls.unionAll(back))
 
 
