@@ -4,6 +4,7 @@ import random
 import time
 
 from weftline.operators import graph, joins, lines, matching, repair, reports
+from weftline.operators.rules import mainframe
 from weftline.sources import files
 from weftline.streaming import events
 
@@ -159,3 +160,12 @@ def test_ranks_go_not_through_the_driver(spark):
     edges = spark.createDataFrame([(i // 3, i) for i in range(1, 300)] + [(299, 0)], "from_id long, to_id long")
     sent, rows = written(spark, graph.ranks_without_cycles(edges), "BroadcastExchangeExec", "dataSize")
     assert len(rows) == 300 and sent == 0
+
+
+def test_rows_of_jobs_need_no_exchange_of_their_own(spark):
+    """Texts are dealt by document, whole; cards, what is carried down to them and relations stay in the same task."""
+    text = "//J JOB (X)\n" + "\n".join(f"//S{i} EXEC PGM=P{i}\n//D{i} DD DSN=A.B{i},\n//   DISP=SHR" for i in range(50))
+    docs = spark.createDataFrame([(i, f"J{i}.jcl", text) for i in range(40)], "doc_id long, name string, text string")
+    sent, rows = written(spark, mainframe.jcl(docs)[1])
+    assert {(r.kind, r.n % 3): r.attrs.get("program") for r in rows if r.n < 4} == {("calls", 2): None, ("reads", 0): "P0"}
+    assert len(rows) == 4000 and sent == 40

@@ -15,11 +15,12 @@ def lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(F.split(F.col(text), "\n"))).select(key, (F.col("pos") + 1).alias("n"), F.col("col").alias("line"))
 
 
-def split_lines_of(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def split_lines_of(docs: DataFrame, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
     """(key, n, line): every kind of line end, no empty last line."""
+    keys = [key] if isinstance(key, str) else key
     body = F.regexp_replace(F.col(text), f"({LINE_END})$", "")
-    cut = docs.where(F.length(text) > 0).select(key, F.posexplode(F.split(body, LINE_END)))
-    return cut.select(key, (F.col("pos") + 1).alias("n"), F.col("col").alias("line"))
+    cut = docs.where(F.length(text) > 0).select(*keys, F.posexplode(F.split(body, LINE_END)))
+    return cut.select(*keys, (F.col("pos") + 1).alias("n"), F.col("col").alias("line"))
 
 
 def squeezed(text: Column) -> Column:

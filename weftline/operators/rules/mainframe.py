@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from weftline.operators.lines import carried_down, folded, split_lines_of
 from weftline.operators.rules.facts import ENTITY, attrs, first_of, relation, united
-from weftline.staging import stage
+from weftline.staging import dealt, stage
 
 NAME = r"[A-Z0-9][A-Z0-9-]*"
 SQLNAME = r"[A-Z0-9_][A-Z0-9_$#@-]*"
@@ -63,9 +63,9 @@ def _stem(name: str) -> Column:
 
 
 def _read(docs: DataFrame, key: str, name: str, text: str) -> DataFrame:
-    """doc, stem, n, line."""
-    held = docs.select(F.struct(F.col(key).cast("string").alias("doc"), F.coalesce(_stem(name), F.lit("")).alias("stem")).alias("k"), F.col(text).alias("text"))
-    return split_lines_of(held, "k").select("k.doc", "k.stem", "n", with_blanks(F.col("line")).alias("line"))
+    """doc, stem, n, line. Texts are dealt by document, whole, so that windows and groups over their rows need no further exchange."""
+    held = docs.select(F.col(key).cast("string").alias("doc"), F.coalesce(_stem(name), F.lit("")).alias("stem"), F.col(text).alias("text"))
+    return split_lines_of(dealt(held, "doc"), ["doc", "stem"]).select("doc", "stem", "n", with_blanks(F.col("line")).alias("line"))
 
 
 def logical_lines(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str = "text") -> DataFrame:
@@ -77,12 +77,13 @@ def logical_lines(docs: DataFrame, key: str = "doc_id", name: str = "name", text
     rows = _read(docs, key, name, text)
     written = F.trim("line") != ""
     start = F.length("line") - F.length(F.ltrim("line"))
-    shape = rows.groupBy("doc").agg(
-        F.count_if(written).alias("rows"), F.count_if(written & F.col("line").rlike(r"^[ 0-9]{6}[ */dD-]")).alias("in_columns"), F.count_if(written & (start == 0)).alias("at_once"),
-        F.max(F.when(written, F.length(F.rtrim("line")))).alias("longest"), F.bool_or(F.col("line").rlike(r"(?i)^\s*(?:\$SET\s+SOURCEFORMAT|>>SOURCE\s+(?:FORMAT\s+)?(?:IS\s+)?)\W*FREE")).alias("declared"),
-    )
+    whole = W.partitionBy("doc").orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    shape = {
+        "rows": F.count_if(written), "in_columns": F.count_if(written & F.col("line").rlike(r"^[ 0-9]{6}[ */dD-]")), "at_once": F.count_if(written & (start == 0)),
+        "longest": F.max(F.when(written, F.length(F.rtrim("line")))), "declared": F.bool_or(F.col("line").rlike(r"(?i)^\s*(?:\$SET\s+SOURCEFORMAT|>>SOURCE\s+(?:FORMAT\s+)?(?:IS\s+)?)\W*FREE")),
+    }
     form = F.when(F.col("declared"), "free").when(F.col("in_columns") >= 0.8 * F.col("rows"), "fixed").when((F.col("at_once") >= 0.3 * F.col("rows")) & (F.col("longest") <= 65), "shifted").otherwise("free")
-    rows = rows.join(shape.select("doc", form.alias("form")), "doc")
+    rows = rows.withColumns({k: v.over(whole) for k, v in shape.items()}).select("doc", "stem", "n", "line", form.alias("form"))
     moved = F.when(F.col("form") == "shifted", F.concat(F.when(F.col("line").rlike(r"^[*/]"), F.lit(" " * 6)).otherwise(F.lit(" " * 7)), "line")).otherwise(F.col("line"))
     rows = rows.withColumn("line", moved).withColumn("free", F.col("form") == "free")
     sign = F.when(F.col("free"), " ").otherwise(F.substring("line", 7, 1))
@@ -101,8 +102,9 @@ def _placed(lines: DataFrame) -> DataFrame:
     """Adds program, data_n and proc_n (where those divisions begin, null without), first_n and last_n."""
     here = lambda division: F.min(F.when(F.upper(F.regexp_extract("code", DIVISION, 1)) == division, F.col("n")))
     stated = F.nullif(F.regexp_extract("code", rf"(?i)\bPROGRAM-ID\s*\.?\s*['\"]?({NAME})", 1), F.lit(""))
-    facts = lines.groupBy("doc").agg(here("DATA").alias("data_n"), here("PROCEDURE").alias("proc_n"), F.min("n").alias("first_n"), F.max("n").alias("end_n"), F.min_by(F.upper(stated), F.when(stated.isNotNull(), F.col("n"))).alias("stated"))
-    return lines.join(facts, "doc").withColumn("program", F.coalesce("stated", F.nullif("stem", F.lit("")), F.lit("PROGRAM"))).drop("stated")
+    whole = W.partitionBy("doc").orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    facts = {"data_n": here("DATA"), "proc_n": here("PROCEDURE"), "first_n": F.min("n"), "end_n": F.max("n"), "stated": F.min_by(F.upper(stated), F.when(stated.isNotNull(), F.col("n")))}
+    return lines.withColumns({k: v.over(whole) for k, v in facts.items()}).withColumn("program", F.coalesce("stated", F.nullif("stem", F.lit("")), F.lit("PROGRAM"))).drop("stated")
 
 
 def fields(rows: DataFrame) -> DataFrame:
@@ -170,7 +172,7 @@ def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     whole = W.partitionBy("doc", "block")
     rows = rows.withColumn("end_n", F.min(F.when(F.col("tail").rlike(END_EXEC), F.col("n"))).over(whole)).withColumn("of", F.max(F.when(F.col("starts"), F.upper(F.regexp_extract("code", EXEC, 1)))).over(whole))
     inside = F.col("of").isNotNull() & (F.col("starts") | F.coalesce(F.col("n") <= F.col("end_n"), F.lit(False)))
-    rows = stage(rows.withColumn("inside", inside), "blocks")
+    rows = stage(rows.withColumn("inside", inside), "blocks", "doc")
     pieces = F.array_sort(F.collect_list(F.struct("n", F.regexp_replace("tail", END_EXEC + ".*$", "").alias("p"))))
     blocks = rows.where("inside").groupBy("doc", "block", "of", "source").agg(F.min("n").alias("n"), F.max("end_n").alias("end_n"), F.trim(F.regexp_replace(F.array_join(F.transform(pieces, lambda x: x["p"]), " "), r"\s+", " ")).alias("body"))
     left = rows.where("NOT inside OR starts").withColumn("code", F.when(F.col("starts"), F.regexp_extract("code", r"(?i)^(.*?)\bEXEC\s+(?:CICS|SQL|DLI)\b", 1)).otherwise(F.col("code")))
@@ -196,7 +198,7 @@ def _opened(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 def cobol(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(entities, relations) of COBOL programs."""
-    lines = stage(_placed(logical_lines(docs, key, name, text)), "cobol")
+    lines = stage(_placed(logical_lines(docs, key, name, text)), "cobol", "doc")
     none = attrs(none=F.lit(""))
     programs = lines.groupBy("doc", "program").agg(F.min("first_n").alias("n"), F.max("end_n").alias("last_n"))
     ahead = lines.where("proc_n IS NULL OR n < proc_n")
@@ -207,7 +209,7 @@ def cobol(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str =
     numbered = ahead.withColumn("statement", F.sum((heads | F.coalesce(F.lag("code").over(order).rlike(r"\.$"), F.lit(True))).cast("int")).over(order))
     pieces = F.array_sort(F.collect_list(F.struct("n", "code")))
     said = numbered.groupBy("doc", "statement").agg(F.min("n").alias("n"), F.array_join(F.transform(pieces, lambda p: p["code"]), " ").alias("said")).where(F.col("said").rlike(SELECT))
-    files = stage(said.select("doc", "n", F.upper(F.regexp_extract("said", SELECT, 1)).alias("file"), F.regexp_replace(F.upper(F.regexp_extract("said", SELECT, 2)), r"\.+$", "").alias("assign")), "files")
+    files = stage(said.select("doc", "n", F.upper(F.regexp_extract("said", SELECT, 1)).alias("file"), F.regexp_replace(F.upper(F.regexp_extract("said", SELECT, 2)), r"\.+$", "").alias("assign")), "files", "doc")
     described = F.when(code.rlike(FILE_DESCRIPTION), F.upper(F.regexp_extract("code", FILE_DESCRIPTION, 2))).when(code.rlike(r"(?i)^(WORKING-STORAGE|LOCAL-STORAGE|LINKAGE)\s+SECTION"), "")
     ahead = carried_down(ahead, ["doc"], ["n"], described, "fd").withColumn("fd", F.nullif("fd", F.lit("")))
     records = ahead.where(F.col("fd").isNotNull() & code.rlike(rf"(?i)^01\s+{NAME}") & ~code.rlike(FILE_DESCRIPTION)).select("doc", F.upper(F.regexp_extract("code", LEVEL, 2)).alias("record"), "fd", "n")
@@ -221,7 +223,7 @@ def cobol(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str =
     body = body.withColumn("title", title).withColumn("header", F.col("title").isNotNull())
     section = F.when(F.col("header") & code.rlike(SECTION), F.col("title"))
     body = carried_down(carried_down(body, ["doc"], ["n"], F.col("title"), "current"), ["doc"], ["n"], section, "section")
-    body = stage(body.select("doc", "program", "n", "code", "title", "header", "section", "end_n", section.isNotNull().alias("is_section"), F.coalesce("current", "program").alias("source"), F.lag("n").over(order).alias("before_n")), "procedure")
+    body = stage(body.select("doc", "program", "n", "code", "title", "header", "section", "end_n", section.isNotNull().alias("is_section"), F.coalesce("current", "program").alias("source"), F.lag("n").over(order).alias("before_n")), "procedure", "doc")
     later = W.partitionBy("doc").orderBy("n").rowsBetween(1, W.unboundedFollowing)
     titled = body.where("header")
     next_any, next_section = F.lead("before_n").over(order), F.first(F.when(F.col("is_section"), F.col("before_n")), ignorenulls=True).over(later)
@@ -342,14 +344,17 @@ def jcl(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str = "t
     carried = lambda df, when, value, column: carried_down(df, ["doc"], ["n"], F.when(F.col("op") == when, value), column)
     cards = carried(cards, "JOB", F.nullif("label", F.lit("")), "job")
     cards = carried(carried(cards, "EXEC", F.col("label"), "step"), "EXEC", F.col("program"), "runs")
-    cards = stage(cards.withColumn("job", F.coalesce("job", F.nullif("stem", F.lit("")), F.lit("JOB"))), "cards")
+    cards = cards.withColumn("job", F.coalesce("job", F.nullif("stem", F.lit("")), F.lit("JOB")))
     step = F.nullif("step", F.lit(""))
-    steps = cards.where("op = 'EXEC' AND (program <> '' OR proc <> '')")
-    calls = relation(steps, "calls", "job", F.when(F.col("program") != "", F.concat(F.lit("program:"), "program")).otherwise(F.concat(F.lit("job:"), "proc")), attrs(step=step, proc=F.when(F.col("program") == "", F.lit("true"))))
-    data = cards.where("op = 'DD'").withColumn("dsn", F.upper(F.regexp_extract("text", r"(?i)\bDSN(?:AME)?=([A-Z0-9#@$.()&+-]+?)(?:,|$)", 1))).where("dsn <> ''")
+    # a card is a step or a data set: both are told of in one pass over the cards
+    runs, uses = F.col("op") == "EXEC", F.col("op") == "DD"
+    dsn = F.when(uses, F.upper(F.regexp_extract("text", r"(?i)\bDSN(?:AME)?=([A-Z0-9#@$.()&+-]+?)(?:,|$)", 1)))
     mode = F.when(F.col("text").rlike(r"(?i)\bDISP="), F.coalesce(F.nullif(F.upper(F.regexp_extract("text", r"(?i)\bDISP=\(?([A-Z]*)", 1)), F.lit("")), F.lit("NEW"))).otherwise("SHR")
-    data = data.withColumn("mode", mode)
-    uses = relation(data, F.when(F.col("mode").isin("SHR", "OLD"), "reads").otherwise("writes"), "job", F.concat(F.lit("data_store:"), "dsn"), attrs(step=step, program=F.col("runs"), ddname=F.col("label"), disp=F.col("mode"), store_type=F.lit("dataset")))
+    told = cards.where(runs | uses).withColumns({"dsn": dsn, "mode": F.when(uses, mode)}).where((runs & ((F.col("program") != "") | (F.col("proc") != ""))) | (F.col("dsn") != ""))
+    kind = F.when(runs, "calls").when(F.col("mode").isin("SHR", "OLD"), "reads").otherwise("writes")
+    target = F.when(uses, F.concat(F.lit("data_store:"), "dsn")).when(F.col("program") != "", F.concat(F.lit("program:"), "program")).otherwise(F.concat(F.lit("job:"), "proc"))
+    about = attrs(step=step, proc=F.when(runs & (F.col("program") == ""), F.lit("true")), program=F.when(uses, F.col("runs")), ddname=F.when(uses, F.col("label")), disp=F.col("mode"), store_type=F.when(uses, F.lit("dataset")))
+    found = relation(told, kind, "job", target, about)
     stated = cards.where("op = 'JOB'").select("doc", "job", "n")
     jobs = last_card.join(stated, "doc", "left").select("doc", F.lit("job").alias("kind"), F.coalesce("job", F.nullif("stem", F.lit("")), F.lit("JOB")).alias("name"), F.lit(None).cast("string").alias("parent"), F.coalesce("n", F.lit(1)).alias("n"), F.coalesce("last_n", "n", F.lit(1)).alias("last_n"), attrs(none=F.lit("")).alias("attrs"))
-    return jobs.select(*ENTITY), first_of(calls.unionByName(uses))
+    return jobs.select(*ENTITY), first_of(found)

@@ -38,10 +38,30 @@ def run_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/weftline-{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` once and return a frame that reads what was written."""
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """`df` by a hash of the columns, in all of the session's shuffle partitions.
+
+    Left to itself Spark merges partitions by their compressed bytes. Where rows then multiply, as texts
+    become lines, or compress a hundredfold, a merged one is more than a task's memory.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write `df` once and return a frame that reads what was written.
+
+    With `by` the table is in buckets of that column: windows, groups and joins by it read it without an exchange.
+    """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if by is not None:
+        rows = dealt(df, by)
+        named = f"weftline_{uuid.uuid4().hex}"
+        rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(named)
+        staged = spark.table(named)
+        spark.sql(f"DROP TABLE {named}")  # the name only: the files stay until they are discarded
+        staged.staged_at = path
+        return staged
     df.write.option("compression", "zstd").parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged.staged_at = path
