@@ -169,3 +169,10 @@ def test_rows_of_jobs_need_no_exchange_of_their_own(spark):
     sent, rows = written(spark, mainframe.jcl(docs)[1])
     assert {(r.kind, r.n % 3): r.attrs.get("program") for r in rows if r.n < 4} == {("calls", 2): None, ("reads", 0): "P0"}
     assert len(rows) == 4000 and sent == 40
+
+
+def test_rows_of_maps_need_no_exchange_of_their_own(spark):
+    text = "S DFHMSD TYPE=MAP\nM  DFHMDI SIZE=(24,80)\n" + "\n".join(f"F{i}  DFHMDF POS=(1,{i})" for i in range(100))
+    docs = spark.createDataFrame([(i, f"S{i}.bms", text) for i in range(40)], "doc_id long, name string, text string")
+    sent, rows = written(spark, mainframe.bms(docs).where("kind = 'ui_element'"))
+    assert len(rows) == 4000 and {r.parent for r in rows} == {"M"} and sent == 40
