@@ -5,7 +5,7 @@ import random
 import pytest
 
 from weftline.operators import sequence
-from weftline.operators.sequence import Stitcher, usual_advance
+from weftline.operators.sequence import Stitcher, stitched, usual_advance
 
 
 def checks(n, limit):
@@ -136,3 +136,13 @@ def test_what_one_reading_alone_has_at_an_edge_is_no_conflict(spark):
     assert combined(spark, lines, lines[3:], None, None).conflicts == []
     assert combined(spark, lines[:9], lines, None, None).conflicts == []
     assert combined(spark, lines[:4] + lines[6:], lines, None, None).conflicts == [5, 6]
+
+
+def test_artifacts_are_dealt_over_all_partitions_as_plain_rows(spark):
+    """Spark would merge the few bytes to one partition, and read each artifact as a pandas group of its own."""
+    texts = {k: [f"row {k} {i}" for i in range(40)] for k in range(60)}
+    parts = [(k, -w, "\n".join(t[8 * w : 8 * w + 12])) for k, t in texts.items() for w in range(5)] + [(60, 0, None), (None, 0, "x")]
+    merged = stitched(spark.createDataFrame(parts, "artifact_id long, ord int, text string"))
+    assert {(r.artifact_id, r.text, r.breaks) for r in merged.collect()} == {(k, "\n".join(t), 0) for k, t in texts.items()} | {(60, "", 0), (None, "x", 0)}
+    assert merged.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "FlatMapGroupsInPandas" not in merged._jdf.queryExecution().toString()

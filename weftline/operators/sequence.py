@@ -10,16 +10,18 @@ import difflib
 import re
 from bisect import insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from weftline.operators.lines import carried_down
+from weftline.staging import dealt
 
 # How far a line's reading is to be trusted.
 RANK = {"verified": 5, "reread": 5, "confirmed": 4, "joined": 3, "unchecked": 2, "edited": 2, "mismatch": 1, "rows": 1, "wrapped": 1, "cut": 0}
@@ -70,7 +72,7 @@ class Stitcher:
     is lost; such a seam counts as ambiguous. Rows that differ at a shared place are conflicts.
     """
 
-    def __init__(self, usual: int | None = None) -> None:
+    def __init__(self, usual: int | Callable[[], int | None] | None = None) -> None:
         self.lines: list[str] = []
         self.keys: list[str] = []
         self.ranks: list[int] = []
@@ -247,6 +249,8 @@ class Stitcher:
                     found = []
             if len(found) > 1:
                 self.ambiguous += 1
+                if callable(self.usual):
+                    self.usual = self.usual()
                 expected = None if self.usual is None else self.span[0] + self.usual
                 offset, how = (expected, "ambiguous") if expected in found else (max(found, key=lambda o: (max(0, -o) + max(0, o + len(new) - len(self.keys)), o)), "ambiguous")
             if found:
@@ -327,18 +331,35 @@ def stitched(fragments: DataFrame, key: str = "artifact_id", order: str = "ord",
     """
     result = f"{key} {fragments.schema[key].dataType.simpleString()}, text string, breaks long, ambiguous long, joins string, conflicts array<struct<kept:string,other:string>>"
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        of = group[key].iloc[0]
-        group = group[group[text].notna()].sort_values([order, text], kind="stable")
-        pieces = [piece.split("\n") for piece in group[text]]
-        stitcher = Stitcher(usual_advance(pieces))
-        trust = list(group[ranks]) if ranks else [None] * len(pieces)
+    def fold(of, group: list[tuple]) -> tuple:
+        group = sorted((g for g in group if g[1] is not None), key=lambda g: (g[0] is None, g[0] or 0, g[1]))
+        pieces = [g[1].split("\n") for g in group]
+        stitcher = Stitcher(lambda: usual_advance(pieces))  # counted only where a seam is ambiguous
+        trust = [g[2] for g in group] if ranks else [None] * len(pieces)
         how = [stitcher.add(piece, after, rank) for piece, after, rank in zip(pieces, [*pieces[1:], None], trust, strict=False)]
         conflicts = [{"kept": a, "other": b} for a, b in stitcher.conflicts]
-        found = ["\n".join(stitcher.lines), how.count("break"), stitcher.ambiguous, ",".join(how), conflicts]
-        return pd.DataFrame([[of, *found]], columns=[key, "text", "breaks", "ambiguous", "joins", "conflicts"])
-
-    return fragments.select(key, order, text, *([ranks] if ranks else [])).groupBy(key).applyInPandas(fold, result)
+        return of, "\n".join(stitcher.lines), how.count("break"), stitcher.ambiguous, ",".join(how), conflicts
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One artifact after another, as their rows come; a batch for each that was read."""
+        of, group, kind = None, [], None
+        reading = pa.list_(pa.struct([("kept", pa.string()), ("other", pa.string())]))
+        table_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (kind, pa.string(), pa.int64(), pa.int64(), pa.string(), reading), strict=True)], [key, "text", "breaks", "ambiguous", "joins", "conflicts"])
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            for this, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if group and this != of:
+                    done.append(fold(of, group))
+                    group = []
+                of = this
+                group.append(row)
+            if done:
+                yield table_of(done)
+        if group:
+            yield table_of([fold(of, group)])
+
+    rows = fragments.select(key, order, text, *([ranks] if ranks else []))
+    return dealt(rows, key).sortWithinPartitions(key).mapInArrow(merged, result)
 
 
 def merged_by_numbers(lines: DataFrame, key: str, n: str, text: str, status: str) -> tuple[DataFrame, DataFrame]:
