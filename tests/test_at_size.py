@@ -193,3 +193,11 @@ def test_texts_with_a_common_line_do_not_meet_for_it(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert total < 8_000
+
+
+def test_passages_cut_documents_only_in_their_own_numbers_of_words(spark):
+    quotes = spark.createDataFrame([(i, f"a{i} b c d{i} e f") for i in range(20)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x a{i} b c d{i} e fg " * 20) for i in range(40)], "doc_id long, text string")
+    total, rows = written(spark, joins.contained_passages(quotes, docs, "item_id", "doc_id", "text", "text"), "GenerateExec", "numOutputRows")
+    assert {tuple(r) for r in rows} == {(i, i) for i in range(20)} and len(rows) == 20
+    assert total <= 40 * 8
