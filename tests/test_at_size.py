@@ -4,7 +4,7 @@ import random
 import time
 
 from weftline.operators import graph, joins, lines, matching, repair, reports
-from weftline.operators.rules import mainframe
+from weftline.operators.rules import definitions, mainframe
 from weftline.sources import files
 from weftline.streaming import events
 
@@ -201,3 +201,11 @@ def test_passages_cut_documents_only_in_their_own_numbers_of_words(spark):
     total, rows = written(spark, joins.contained_passages(quotes, docs, "item_id", "doc_id", "text", "text"), "GenerateExec", "numOutputRows")
     assert {tuple(r) for r in rows} == {(i, i) for i in range(20)} and len(rows) == 20
     assert total <= 40 * 8
+
+
+def test_definitions_of_one_file_are_read_in_all_tasks(spark):
+    text = '{"openapi": "3", "paths": {"/a": {"get": {}}}}'
+    docs = spark.createDataFrame([(i, text) for i in range(80)], "doc_id long, text string").coalesce(1)
+    found = definitions.api_endpoints(docs)
+    sent, rows = written(spark, found)
+    assert {(r.doc_id, r.name) for r in rows} == {(i, "GET /a") for i in range(80)} and sent >= 80
