@@ -209,3 +209,12 @@ def test_definitions_of_one_file_are_read_in_all_tasks(spark):
     found = definitions.api_endpoints(docs)
     sent, rows = written(spark, found)
     assert {(r.doc_id, r.name) for r in rows} == {(i, "GET /a") for i in range(80)} and sent >= 80
+
+
+def test_rows_of_programs_need_no_exchange_of_their_own(spark):
+    """Texts are dealt by document, whole; the form of a text and its continued rows are told in the same task."""
+    body = "".join(f"       P-{i}.\n           PERFORM P-0\n           CALL 'PGM'.\n" for i in range(20))
+    text = "       IDENTIFICATION DIVISION.\n       PROGRAM-ID. C.\n       PROCEDURE DIVISION.\n" + body
+    docs = spark.createDataFrame([(i, f"X{i}.cbl", text) for i in range(30)], "doc_id long, name string, text string")
+    sent, rows = written(spark, mainframe.logical_lines(docs))
+    assert len(rows) == 30 * 63 and sent == 30
