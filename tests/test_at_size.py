@@ -4,7 +4,7 @@ import random
 import time
 
 from weftline.operators import graph, joins, lines, matching, repair, reports
-from weftline.operators.rules import definitions, mainframe
+from weftline.operators.rules import definitions, mainframe, packs
 from weftline.sources import files
 from weftline.streaming import events
 
@@ -218,3 +218,15 @@ def test_rows_of_programs_need_no_exchange_of_their_own(spark):
     docs = spark.createDataFrame([(i, f"X{i}.cbl", text) for i in range(30)], "doc_id long, name string, text string")
     sent, rows = written(spark, mainframe.logical_lines(docs))
     assert len(rows) == 30 * 63 and sent == 30
+
+
+def test_linked_relations_look_for_a_name_once(spark):
+    """Relations stay with their document; what is sent for a name grows with the names, not with the relations that state them."""
+    text = "import one\n" + "\n".join(f"def f{i}():\n    import m{i % 3}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"p{i}.py", "python", text) for i in range(30)], "doc_id long, name string, pack string, text string")
+    entities, relations = packs.extracted(docs)
+    edges = packs.linked(packs.structured(entities), relations, entities)[1]
+    assert edges.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sent, rows = written(spark, edges)
+    assert len(rows) == 30 * 41 and {r.to_node for r in rows} == {"module:ONE", "module:M0", "module:M1", "module:M2"}
+    assert sent < 5 * len(rows)

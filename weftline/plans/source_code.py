@@ -9,6 +9,7 @@ from weftline.operators import graph
 from weftline.operators.rules import packs
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
+from weftline.staging import dealt
 
 registry = Registry()
 add = registry.add
@@ -49,8 +50,7 @@ def sources(spark: SparkSession, root: str) -> DataFrame:
 
 
 def with_packs(spark: SparkSession, root: str) -> DataFrame:
-    docs = sources(spark, root)
-    return docs.join(packs.chosen(docs), "doc_id")
+    return packs.packed(dealt(sources(spark, root), "doc_id"))
 
 
 @add("f9_without_comments", f"SELECT p_partkey AS doc_id, sha256({_texts(BARE)}) AS h FROM part")
