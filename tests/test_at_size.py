@@ -230,3 +230,15 @@ def test_linked_relations_look_for_a_name_once(spark):
     sent, rows = written(spark, edges)
     assert len(rows) == 30 * 41 and {r.to_node for r in rows} == {"module:ONE", "module:M0", "module:M1", "module:M2"}
     assert sent < 5 * len(rows)
+
+
+def test_programs_are_written_twice_and_no_row_holds_its_code_twice(spark, monkeypatch):
+    """Lines and blocks are staged; paragraphs are read from the rows of the blocks."""
+    seen, stage = [], mainframe.stage
+    monkeypatch.setattr(mainframe, "stage", lambda df, label, by=None: seen.append((label, df.columns)) or stage(df, label, by))
+    text = "       IDENTIFICATION DIVISION.\n       program-id. C.\n       PROCEDURE division.\n       P-1.\n           perform P-2\n           Exec SQL SELECT A\n             FROM T end-exec\n           call 'PGM'.\n       P-2.\n           STOP RUN.\n"
+    entities, relations = mainframe.cobol(spark.createDataFrame([(1, "X.cbl", text)], "doc_id long, name string, text string"))
+    assert {(r.kind, r.name, r.parent, r.n, r.last_n) for r in entities.collect()} == {("program", "C", None, 1, 10), ("paragraph", "P-1", "C", 4, 8), ("paragraph", "P-2", "C", 9, 10)}
+    assert {(r.kind, r.source, r.target, r.n) for r in relations.collect()} == {("calls", "P-1", "P-2", 5), ("reads", "P-1", "table:T", 6), ("calls", "P-1", "program:PGM", 8)}
+    assert sorted(label for label, _ in seen) == ["blocks", "blocks", "cobol", "files"]
+    assert not any("tail" in columns for _, columns in seen)

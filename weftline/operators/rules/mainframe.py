@@ -51,6 +51,11 @@ def _all(text: Column, pattern: str, *groups: int) -> Column:
     return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{i}") for i, g in enumerate(groups)])
 
 
+def _has(text: Column, word: str) -> Column:
+    """Whether the text holds the word, in either case: a cheap look before a pattern that needs it."""
+    return F.contains(F.upper(text), F.lit(word))
+
+
 def with_blanks(line: Column) -> Column:
     """Tabs as blanks up to the next eighth column."""
     grown = lambda acc, x: F.concat(acc, F.repeat(F.lit(" "), 8 - F.length(acc) % 8), x)
@@ -80,7 +85,7 @@ def logical_lines(docs: DataFrame, key: str = "doc_id", name: str = "name", text
     whole = W.partitionBy("doc").orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     shape = {
         "rows": F.count_if(written), "in_columns": F.count_if(written & F.col("line").rlike(r"^[ 0-9]{6}[ */dD-]")), "at_once": F.count_if(written & (start == 0)),
-        "longest": F.max(F.when(written, F.length(F.rtrim("line")))), "declared": F.bool_or(F.col("line").rlike(r"(?i)^\s*(?:\$SET\s+SOURCEFORMAT|>>SOURCE\s+(?:FORMAT\s+)?(?:IS\s+)?)\W*FREE")),
+        "longest": F.max(F.when(written, F.length(F.rtrim("line")))), "declared": F.bool_or(_has(F.col("line"), "FREE") & F.col("line").rlike(r"(?i)^\s*(?:\$SET\s+SOURCEFORMAT|>>SOURCE\s+(?:FORMAT\s+)?(?:IS\s+)?)\W*FREE")),
     }
     form = F.when(F.col("declared"), "free").when(F.col("in_columns") >= 0.8 * F.col("rows"), "fixed").when((F.col("at_once") >= 0.3 * F.col("rows")) & (F.col("longest") <= 65), "shifted").otherwise("free")
     rows = rows.withColumns({k: v.over(whole) for k, v in shape.items()}).select("doc", "stem", "n", "line", form.alias("form"))
@@ -100,8 +105,8 @@ def logical_lines(docs: DataFrame, key: str = "doc_id", name: str = "name", text
 
 def _placed(lines: DataFrame) -> DataFrame:
     """Adds program, data_n and proc_n (where those divisions begin, null without), first_n and last_n."""
-    here = lambda division: F.min(F.when(F.upper(F.regexp_extract("code", DIVISION, 1)) == division, F.col("n")))
-    stated = F.nullif(F.regexp_extract("code", rf"(?i)\bPROGRAM-ID\s*\.?\s*['\"]?({NAME})", 1), F.lit(""))
+    here = lambda division: F.min(F.when(_has(F.col("code"), "DIVISION") & (F.upper(F.regexp_extract("code", DIVISION, 1)) == division), F.col("n")))
+    stated = F.when(_has(F.col("code"), "PROGRAM-ID"), F.nullif(F.regexp_extract("code", rf"(?i)\bPROGRAM-ID\s*\.?\s*['\"]?({NAME})", 1), F.lit("")))
     whole = W.partitionBy("doc").orderBy("n").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     facts = {"data_n": here("DATA"), "proc_n": here("PROCEDURE"), "first_n": F.min("n"), "end_n": F.max("n"), "stated": F.min_by(F.upper(stated), F.when(stated.isNotNull(), F.col("n")))}
     return lines.withColumns({k: v.over(whole) for k, v in facts.items()}).withColumn("program", F.coalesce("stated", F.nullif("stem", F.lit("")), F.lit("PROGRAM"))).drop("stated")
@@ -159,30 +164,30 @@ def exec_relations(blocks: DataFrame) -> DataFrame:
     return out
 
 
-def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc, n, code, source, header) to (rows without what EXEC blocks hold, blocks, closed or of one row).
+def _blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc, n, code, source, header, more) to (rows without what EXEC blocks hold, blocks, closed or of one row, all rows), of one staged table.
 
     A block goes on to END-EXEC, unless a header or another EXEC comes first; then its first row alone is the block.
     """
     order = W.partitionBy("doc").orderBy("n")
-    starts = F.col("code").rlike(EXEC) & ~F.col("header")
+    columns = rows.columns
+    starts = _has(F.col("code"), "EXEC") & F.col("code").rlike(EXEC) & ~F.col("header")
     rows = rows.withColumn("starts", starts).withColumn("block", F.sum((starts | F.col("header")).cast("int")).over(order))
     tail = F.when(F.col("starts"), F.regexp_extract("code", EXEC + r"(.*)$", 2)).otherwise(F.col("code"))
-    rows = rows.withColumn("tail", tail)
     whole = W.partitionBy("doc", "block")
-    rows = rows.withColumn("end_n", F.min(F.when(F.col("tail").rlike(END_EXEC), F.col("n"))).over(whole)).withColumn("of", F.max(F.when(F.col("starts"), F.upper(F.regexp_extract("code", EXEC, 1)))).over(whole))
+    rows = rows.withColumn("end_n", F.min(F.when(_has(tail, "END-EXEC") & tail.rlike(END_EXEC), F.col("n"))).over(whole)).withColumn("of", F.max(F.when(F.col("starts"), F.upper(F.regexp_extract("code", EXEC, 1)))).over(whole))
     inside = F.col("of").isNotNull() & (F.col("starts") | F.coalesce(F.col("n") <= F.col("end_n"), F.lit(False)))
     rows = stage(rows.withColumn("inside", inside), "blocks", "doc")
-    pieces = F.array_sort(F.collect_list(F.struct("n", F.regexp_replace("tail", END_EXEC + ".*$", "").alias("p"))))
+    pieces = F.array_sort(F.collect_list(F.struct("n", F.regexp_replace(tail, END_EXEC + ".*$", "").alias("p"))))
     blocks = rows.where("inside").groupBy("doc", "block", "of", "source").agg(F.min("n").alias("n"), F.max("end_n").alias("end_n"), F.trim(F.regexp_replace(F.array_join(F.transform(pieces, lambda x: x["p"]), " "), r"\s+", " ")).alias("body"))
     left = rows.where("NOT inside OR starts").withColumn("code", F.when(F.col("starts"), F.regexp_extract("code", r"(?i)^(.*?)\bEXEC\s+(?:CICS|SQL|DLI)\b", 1)).otherwise(F.col("code")))
-    return left.select("doc", "n", "code", "source", "header"), blocks
+    return left.select(*columns), blocks, rows
 
 
 def _opened(rows: DataFrame, files: DataFrame) -> DataFrame:
     """OPEN statements: each file with the mode stated last before it, over the rows of the statement."""
     order = W.partitionBy("doc").orderBy("n")
-    opens = F.col("code").rlike(r"(?i)(?<![\w-])OPEN\b")
+    opens = _has(F.col("code"), "OPEN") & F.col("code").rlike(r"(?i)(?<![\w-])OPEN\b")
     goes_on = F.col("code").rlike(rf"(?i)^(?:{NAME})\b") & ~F.col("code").rlike(rf"(?i)^(?:{'|'.join(VERBS)})\b")
     breaks = opens | ~goes_on | F.coalesce(F.lag("code").over(order).rlike(r"\.$"), F.lit(True)) | F.col("header")
     rows = rows.withColumn("opens", opens).withColumn("statement", F.sum(breaks.cast("int")).over(order))
@@ -214,7 +219,7 @@ def cobol(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str =
     ahead = carried_down(ahead, ["doc"], ["n"], described, "fd").withColumn("fd", F.nullif("fd", F.lit("")))
     records = ahead.where(F.col("fd").isNotNull() & code.rlike(rf"(?i)^01\s+{NAME}") & ~code.rlike(FILE_DESCRIPTION)).select("doc", F.upper(F.regexp_extract("code", LEVEL, 2)).alias("record"), "fd", "n")
     records = records.groupBy("doc", "record").agg(F.max_by("fd", "n").alias("fd")).unionByName(files.select("doc", F.col("file").alias("record"), F.col("file").alias("fd"))).groupBy("doc", "record").agg(F.min("fd").alias("fd"))
-    copies = ahead.where(~code.rlike(FILE_DESCRIPTION)).withColumn("c", F.explode(F.regexp_extract_all("code", F.lit(rf"(?i)\bCOPY\s+['\"]?({NAME})['\"]?"), F.lit(1))))
+    copies = ahead.where(_has(code, "COPY") & ~code.rlike(FILE_DESCRIPTION)).withColumn("c", F.explode(F.regexp_extract_all("code", F.lit(rf"(?i)\bCOPY\s+['\"]?({NAME})['\"]?"), F.lit(1))))
     includes = relation(copies, "includes", "program", F.concat(F.lit("copybook:"), F.upper("c")), attrs(section=F.concat(F.lit("FD "), "fd")))
     items = fields(ahead.where("n >= data_n").select("doc", "n", "code", F.col("program").alias("owner")))
     # sections and paragraphs
@@ -223,30 +228,30 @@ def cobol(docs: DataFrame, key: str = "doc_id", name: str = "name", text: str =
     body = body.withColumn("title", title).withColumn("header", F.col("title").isNotNull())
     section = F.when(F.col("header") & code.rlike(SECTION), F.col("title"))
     body = carried_down(carried_down(body, ["doc"], ["n"], F.col("title"), "current"), ["doc"], ["n"], section, "section")
-    body = stage(body.select("doc", "program", "n", "code", "title", "header", "section", "end_n", section.isNotNull().alias("is_section"), F.coalesce("current", "program").alias("source"), F.lag("n").over(order).alias("before_n")), "procedure", "doc")
+    body = body.select("doc", "program", "n", "code", "title", "header", "section", F.col("end_n").alias("text_n"), section.isNotNull().alias("is_section"), F.coalesce("current", "program").alias("source"), F.lag("n").over(order).alias("before_n"))
+    rows, blocks, body = _blocks(body)
     later = W.partitionBy("doc").orderBy("n").rowsBetween(1, W.unboundedFollowing)
     titled = body.where("header")
     next_any, next_section = F.lead("before_n").over(order), F.first(F.when(F.col("is_section"), F.col("before_n")), ignorenulls=True).over(later)
-    parts = titled.select("doc", F.when(F.col("is_section"), "section").otherwise("paragraph").alias("kind"), F.col("title").alias("name"), F.when(F.col("is_section"), F.col("program")).otherwise(F.coalesce("section", "program")).alias("parent"), "n", F.coalesce(F.when(F.col("is_section"), next_section).otherwise(next_any), "end_n").alias("last_n"), none.alias("attrs"))
+    parts = titled.select("doc", F.when(F.col("is_section"), "section").otherwise("paragraph").alias("kind"), F.col("title").alias("name"), F.when(F.col("is_section"), F.col("program")).otherwise(F.coalesce("section", "program")).alias("parent"), "n", F.coalesce(F.when(F.col("is_section"), next_section).otherwise(next_any), "text_n").alias("last_n"), none.alias("attrs"))
     # statements
-    rows, blocks = _blocks(body.select("doc", "n", "code", "source", "header"))
-    rows = rows.where(~F.col("header")).join(programs.select("doc", "program"), "doc")
-    perform = rows.withColumn("m", F.explode(_all(F.col("code"), rf"(?i)\bPERFORM\s+({NAME})(?:\s+(?:THRU|THROUGH)\s+({NAME}))?(?:\s+(\S+))?", 1, 2, 3)))
+    rows = rows.where(~F.col("header")).select("doc", "program", "n", "code", "source", "header")
+    perform = rows.where(_has(code, "PERFORM")).withColumn("m", F.explode(_all(F.col("code"), rf"(?i)\bPERFORM\s+({NAME})(?:\s+(?:THRU|THROUGH)\s+({NAME}))?(?:\s+(\S+))?", 1, 2, 3)))
     perform = perform.withColumn("to", F.upper("m.g0")).where(~F.col("to").isin(*NOT_PERFORMED) & ~F.col("to").rlike(r"^\d+$") & ~F.startswith(F.upper("m.g2"), F.lit("TIMES")))
     names = parts.select("doc", F.col("name").alias("to"), F.lit(True).alias("own")).distinct()
     perform = perform.join(names, ["doc", "to"], "left").where(F.col("own") | F.col("to").rlike(r"[0-9-]"))
     target = F.when(F.col("own"), F.col("to")).otherwise(F.concat(F.lit("paragraph:"), "program", F.lit("."), "to"))
     performs = relation(perform, "calls", "source", target, attrs(verb=F.lit("PERFORM"), thru=F.upper("m.g1")))
-    called = rows.withColumn("m", F.explode(_all(F.col("code"), rf"(?i)\bCALL\s+(?:'({NAME})'|\"({NAME})\"|({NAME}))", 1, 2, 3))).withColumns({"literal": F.upper(F.concat("m.g0", "m.g1")), "var": F.upper("m.g2")})
+    called = rows.where(_has(code, "CALL")).withColumn("m", F.explode(_all(F.col("code"), rf"(?i)\bCALL\s+(?:'({NAME})'|\"({NAME})\"|({NAME}))", 1, 2, 3))).withColumns({"literal": F.upper(F.concat("m.g0", "m.g1")), "var": F.upper("m.g2")})
     literal = relation(called.where("literal <> ''"), "calls", "source", F.concat(F.lit("program:"), "literal"), attrs(verb=F.lit("CALL")))
-    moved = rows.withColumn("m", F.explode(_all(F.col("code"), rf"(?i)\bMOVE\s+['\"]({NAME})['\"]\s+TO\s+({NAME})", 1, 2))).groupBy("doc", F.upper("m.g1").alias("var"), F.upper("m.g0").alias("value")).agg(F.min("n").alias("moved_n"))
+    moved = rows.where(_has(code, "MOVE")).withColumn("m", F.explode(_all(F.col("code"), rf"(?i)\bMOVE\s+['\"]({NAME})['\"]\s+TO\s+({NAME})", 1, 2))).groupBy("doc", F.upper("m.g1").alias("var"), F.upper("m.g0").alias("value")).agg(F.min("n").alias("moved_n"))
     by_name = called.where("literal = ''").join(moved, ["doc", "var"], "left").withColumn("known", F.coalesce(F.col("moved_n") <= F.col("n"), F.lit(False)))
     dynamic = relation(by_name.where("known"), "calls", "source", F.concat(F.lit("program:"), "value"), attrs(verb=F.lit("CALL"), dynamic=F.col("var")))
     unknown = by_name.groupBy("doc", "n", "var").agg(F.bool_or("known").alias("known")).where("NOT known").groupBy("doc").agg(F.array_join(F.array_sort(F.collect_set("var")), ",").alias("dynamic_calls"))
-    verb_of = lambda pattern: rows.withColumn("m", F.explode(_all(F.col("code"), pattern, 1, 2))).withColumn("record", F.upper("m.g1"))
-    reads = verb_of(rf"(?i)\b(READ)\s+({NAME})").join(files.select("doc", F.col("file").alias("record")).distinct(), ["doc", "record"])
-    deletes = verb_of(rf"(?i)\b(DELETE)\s+({NAME})").join(files.select("doc", F.col("file").alias("record")).distinct(), ["doc", "record"])
-    writes = verb_of(rf"(?i)\b(WRITE|REWRITE)\s+({NAME})").join(records, ["doc", "record"])
+    verb_of = lambda word, pattern: rows.where(_has(code, word)).withColumn("m", F.explode(_all(F.col("code"), pattern, 1, 2))).withColumn("record", F.upper("m.g1"))
+    reads = verb_of("READ", rf"(?i)\b(READ)\s+({NAME})").join(files.select("doc", F.col("file").alias("record")).distinct(), ["doc", "record"])
+    deletes = verb_of("DELETE", rf"(?i)\b(DELETE)\s+({NAME})").join(files.select("doc", F.col("file").alias("record")).distinct(), ["doc", "record"])
+    writes = verb_of("WRITE", rf"(?i)\b(WRITE|REWRITE)\s+({NAME})").join(records, ["doc", "record"])
     store = lambda column: F.concat(F.lit("data_store:"), column)
     # EXEC SQL ahead of the procedure
     early = _blocks(ahead.select("doc", "n", "code", F.col("program").alias("source"), F.lit(False).alias("header")))[1].where("of = 'SQL'")
