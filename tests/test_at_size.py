@@ -3,7 +3,7 @@
 import random
 import time
 
-from weftline.operators import graph, joins, lines, matching, repair, reports
+from weftline.operators import graph, joins, lines, matching, repair, reports, sideways
 from weftline.operators.rules import definitions, mainframe, packs
 from weftline.sources import files
 from weftline.streaming import events
@@ -242,3 +242,38 @@ def test_programs_are_written_twice_and_no_row_holds_its_code_twice(spark, monke
     assert {(r.kind, r.source, r.target, r.n) for r in relations.collect()} == {("calls", "P-1", "P-2", 5), ("reads", "P-1", "table:T", 6), ("calls", "P-1", "program:PGM", 8)}
     assert sorted(label for label, _ in seen) == ["blocks", "blocks", "cobol", "files"]
     assert not any("tail" in columns for _, columns in seen)
+
+
+def test_pieces_beside_a_text_are_sent_as_rows_not_as_stems(spark, monkeypatch):
+    """Lines and pieces are sent once, by text; the grown lines are read by text without being sent again."""
+    rng = random.Random(7)
+    texts = {k: ["".join(rng.choice("abcdefgh") for _ in range(200)) for _ in range(10)] for k in range(20)}
+    rows = [(k, n, line) for k, t in texts.items() for n, line in enumerate(t, 1)]
+    finals = spark.createDataFrame([(k, n, line[:80]) for k, n, line in rows], "key long, n int, line string")
+    pieces = spark.createDataFrame([(k, o, n, line[at:to]) for k, n, line in rows for o, at, to in ((1, 120, 200), (2, 50, 150))], "key long, ord int, n int, line string")
+    sent, stage = [], repair.stage
+    monkeypatch.setattr(repair, "stage", lambda df, *a, **b: sent.append(written(spark, df)[0]) or stage(df, *a, **b))
+    grown, places = repair.joined_sideways(finals, pieces)
+    again, got = written(spark, repair.text_of(grown))
+    assert {r.key: r.text.split("\n") for r in got} == texts
+    assert {tuple(r) for r in places.collect()} == {(k, o, 0, at, 0) for k in texts for o, at in ((1, 120), (2, 50))}
+    assert sum(sent) == 3 * len(rows) and again == 0
+
+
+def test_pieces_of_a_long_text_are_placed_slice_by_slice(monkeypatch):
+    """What a text larger than a batch gives does not depend on how its stems and shifts are cut."""
+    rng = random.Random(8)
+    rows = [" " * rng.choice([0, 4]) + "ab" * 10 + "".join(rng.choice("abcé\u65e5") for _ in range(100)) for _ in range(60)]
+
+    def grown():
+        text = sideways.Text(1)
+        text.lines = [(n, line[:40]) for n, line in enumerate(rows)]
+        text.pieces = [(o, [(n, line[at : at + wide]) for n, line in enumerate(rows)]) for o, at, wide in ((1, 70, 90), (2, 0, 30), (3, 25, 60))]
+        sideways.placed([text])
+        return sorted(text.lines), text.places
+
+    whole = grown()
+    assert [line for _, line in whole[0]] == rows and len(whole[1]) == 3
+    monkeypatch.setattr(sideways, "SLICE", 500)
+    monkeypatch.setattr(sideways, "PAIRS", 40)
+    assert grown() == whole

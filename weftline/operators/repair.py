@@ -3,7 +3,7 @@
 `finals` are lines (key, n, line) of merged texts, `readings` lines (key, ord, n, line, rank) of the
 fragments; rank tells how far a line's reading is to be trusted (`sequence.RANK`), 5 and more is proven.
 Each repair asks what the readings show at one place, a line between its neighbours: places are windows
-of neighbouring lines, and readings meet them by equality. No text is held in one piece.
+of neighbouring lines, and readings meet them by equality. No text is held in one piece, but by Q5.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StringType, StructField, StructType
 
+from weftline.operators import sideways
 from weftline.staging import discard, stage
 
 PROVEN, LONG_LINE, MIN_VOTES, LEAST_ALNUM = 5, 12, 2, 12
-GRAM, LEAST_ROWS, MOST_PLACES = 8, 3, 64
 EDIT = ["key", "n", "action", "line"]
 
 
@@ -269,66 +271,17 @@ def joined_sideways(finals: DataFrame, pieces: DataFrame) -> tuple[DataFrame, Da
     may meet the text only after another has made it wider. Where too few rows have a stem of their own,
     stems that stand up to MOST_PLACES times vote as well; a shift that LEAST_ROWS rows agree on and no row that
     it covers contradicts then places the piece, if there is just one. places: key, ord, rows, columns, conflicts.
+    Rows are sent once, to the task of their text, which holds it whole (`sideways`); stems are never sent. Both
+    tables returned are in buckets of the key.
     """
-    lines = stage(finals.select("key", "n", "line"), "wide")
-    left, places = stage(pieces.select("key", "ord", "n", "line"), "pieces"), None
-
-    def stems(rows: DataFrame, by: list[str], most: int) -> DataFrame:
-        cuts = F.transform(F.sequence(F.lit(1), F.length("line") - GRAM + 1), lambda i: F.struct(i.alias("col"), F.substring("line", i, F.lit(GRAM)).alias("g")))
-        each = rows.where(F.length("line") >= GRAM).select(*by, "n", F.explode(cuts).alias("c")).select(*by, "n", "c.col", F.xxhash64("c.g").alias("g"), F.regexp_replace("c.g", r"\s", "").alias("ink")).where(F.length("ink") >= GRAM // 2)
-        if most == 1:
-            return each.groupBy(*by, "g").agg(F.min("n").alias("n"), F.min("col").alias("col"), F.count("*").alias("c")).where("c = 1").drop("c")
-        rare = each.groupBy(*by, "g").agg(F.count("*").alias("c")).where(F.col("c") <= most).drop("c")
-        return each.join(rare, [*by, "g"]).select(*by, "g", "n", "col")
-
-    def shifts_of(texts: DataFrame, most: int) -> DataFrame:
-        asked = stems(left, ["key", "ord"], most).withColumnsRenamed({"n": "pn", "col": "pcol"})
-        return asked.join(stems(texts, ["key"], most), ["key", "g"]).groupBy("key", "ord", (F.col("n") - F.col("pn")).alias("rows"), (F.col("col") - F.col("pcol")).alias("columns")).agg(F.count_distinct("pn").alias("c"))
-
-    def uncontradicted() -> DataFrame:
-        """Shifts by stems that are not the only ones of their kind, where no other would do."""
-        texts = lines.join(left.select("key").distinct(), "key", "left_semi")
-        offered = stage(shifts_of(texts, MOST_PLACES).where(F.col("c") >= LEAST_ROWS), "offered")
-        laid = left.join(offered, ["key", "ord"]).select("key", "ord", "rows", "columns", "c", (F.col("n") + F.col("rows")).alias("n"), F.col("line").alias("piece"))
-        base, piece, c = F.rtrim("line"), F.rtrim("piece"), F.col("columns")
-        inside = F.substring(base, F.greatest(F.lit(0), c) + 1, F.length(base))
-        shown = F.when(c >= 0, piece).otherwise(F.substring(piece, F.lit(1) - c, F.length(piece)))
-        both = F.least(F.length(inside), F.length(shown))
-        agrees = F.substring(inside, F.lit(1), both) == F.substring(shown, F.lit(1), both)
-        sound = laid.join(texts, ["key", "n"]).groupBy("key", "ord", "rows", "columns", "c").agg(F.bool_and(agrees).alias("sound")).where("sound")
-        return sound.withColumn("others", F.count("*").over(W.partitionBy("key", "ord"))).where("others = 1")
-
-    while True:
-        order = W.partitionBy("key", "ord").orderBy(F.desc("c"), "rows", "columns")
-        best = shifts_of(lines, 1).withColumns({"r": F.row_number().over(order), "second": F.lead("c").over(order)}).where((F.col("r") == 1) & (F.col("c") >= LEAST_ROWS) & (F.col("c") >= 2 * F.coalesce("second", F.lit(0))))
-        # one piece a text and round, so that the next one meets what this one added
-        first = F.row_number().over(W.partitionBy("key").orderBy(F.desc("c"), "ord"))
-        chosen = lambda shifts: stage(shifts.withColumn("turn", first).where("turn = 1").select("key", "ord", "rows", "columns"), "shifts")  # noqa: B023, E731
-        best = chosen(best)
-        if best.isEmpty():
-            best = chosen(uncontradicted())
-        if best.isEmpty():
-            none = F.lit(0).cast("long")
-            empty = best.select("key", "ord", "rows", "columns", none.alias("conflicts"))
-            return lines, empty if places is None else places
-        laid = left.join(best, ["key", "ord"]).select("key", (F.col("n") + F.col("rows")).alias("n"), F.col("line").alias("piece"), "columns")
-        over = lines.join(laid, ["key", "n"], "full")
-        base, piece, c = F.rtrim(F.coalesce("line", F.lit(""))), F.rtrim(F.coalesce("piece", F.lit(""))), F.col("columns")
-        at = F.greatest(F.lit(0), c)
-        shown = F.when(c >= 0, piece).otherwise(F.substring(piece, F.lit(1) - c, F.length(piece)))
-        inside = F.substring(base, at + 1, F.length(base))
-        both = F.least(F.length(inside), F.length(shown))
-        equal = F.substring(inside, F.lit(1), both) == F.substring(shown, F.lit(1), both)
-        front = F.when(c < 0, F.rpad(F.substring(piece, F.lit(1), -c), -c, " ")).otherwise("")
-        grown = F.when(F.length(shown) > F.length(inside), F.concat(F.rpad(F.substring(base, F.lit(1), at), at, " "), shown)).otherwise(base)
-        wider = F.when(piece == "", F.when(c < 0, F.concat(F.repeat(F.lit(" "), -c), base)).otherwise(base)).when(equal, F.concat(front, grown)).otherwise(F.when(c < 0, F.concat(F.repeat(F.lit(" "), -c), base)).otherwise(base))
-        result = stage(over.select("key", "n", F.when(F.col("columns").isNull(), F.col("line")).otherwise(F.rtrim(wider)).alias("line"), (F.col("columns").isNotNull() & ~equal).alias("differs"), F.col("columns").alias("c")), "wide")
-        told = result.groupBy("key").agg(F.count_if("differs").alias("conflicts"))
-        here = stage(best.join(told, "key"), "placed")
-        places = here if places is None else places.unionByName(here)
-        # rows that a piece with columns further left does not cover move along with the text
-        behind = best.where("columns < 0").select("key", (-F.col("columns")).alias("push"))
-        result = result.join(behind, "key", "left")
-        line = F.when(F.col("c").isNull() & F.col("push").isNotNull() & (F.trim("line") != ""), F.concat(F.repeat(F.lit(" "), F.coalesce("push", F.lit(0))), "line")).otherwise(F.col("line"))
-        lines = stage(result.select("key", "n", line.alias("line")), "wide")
-        left = stage(left.join(best.select("key", "ord"), ["key", "ord"], "left_anti"), "pieces")
+    number = finals.schema["n"].dataType if finals.schema["n"].dataType == pieces.schema["n"].dataType else LongType()
+    key, order = finals.schema["key"].dataType, pieces.schema["ord"].dataType
+    side = lambda rows, order_, part: rows.select("key", order_.alias("ord"), F.col("n").cast(number).alias("n"), "line", F.lit(part).alias("part"))
+    rows = side(finals, F.lit(None).cast(order), False).unionByName(side(pieces, F.col("ord"), True))
+    # a window asks for the rows of a text in one task, in order; where they are so already, nothing is exchanged
+    rows = rows.withColumn("at", F.row_number().over(W.partitionBy("key").orderBy("part", "ord", "n")))
+    names = (key, number, StringType(), BooleanType(), order, number, IntegerType(), LongType())
+    result = StructType([StructField(c, kind) for c, kind in zip(("key", "n", "line", "placed", "ord", "rows", "columns", "conflicts"), names, strict=True)])
+    of_arrow = [to_arrow_type(x) for x in (key, order, number)]
+    told = stage(rows.mapInArrow(sideways.fold(*of_arrow), result), "sideways", "key", here=True)
+    return told.where("NOT placed").select("key", "n", "line"), told.where("placed").select("key", "ord", "rows", "columns", "conflicts")

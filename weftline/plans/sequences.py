@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from weftline.operators import lines, repair, sequence
 from weftline.plans.registry import Registry
 from weftline.sources.tables import table
+from weftline.staging import dealt
 
 registry = Registry()
 add = registry.add
@@ -133,9 +134,8 @@ def q7(spark: SparkSession, root: str) -> DataFrame:
     return sequence.voted(readings, ["user_id", "n"], "text", "status")
 
 
-def _texts(spark: SparkSession, root: str) -> DataFrame:
+def _texts(orders: DataFrame) -> DataFrame:
     """(key, n, line): one text a customer with six orders or more, one line an order."""
-    orders = table(spark, root, "orders")
     line = F.concat(F.repeat(F.lit(" "), (F.col("o_orderkey") % 3).cast("int") * 4), F.sha1(F.col("o_orderkey").cast("string")), F.lit(" "), F.regexp_replace(F.lower("o_orderpriority"), "[^a-z]+", "x"), F.lit(" "), F.sha1(F.col("o_custkey").cast("string")), F.lit(" "), F.sha1((-F.col("o_orderkey")).cast("string")))
     order = W.partitionBy("o_custkey").orderBy("o_orderkey")
     rows = orders.select(F.col("o_custkey").alias("key"), F.row_number().over(order).alias("n"), F.count("*").over(W.partitionBy("o_custkey")).alias("of"), line.alias("line"))
@@ -154,7 +154,7 @@ def _readings(lines: DataFrame) -> DataFrame:
 @add("q7_repaired_texts", f"{SPELLED} SELECT key, sha256(text) AS h, CASE WHEN key % 4 = 3 THEN 0 ELSE 1 END::BIGINT AS edits FROM t")
 def q7_repaired(spark: SparkSession, root: str) -> DataFrame:
     """Texts whose third line was doubled, skipped, or read like the second, by customer, come back as they were."""
-    lines = _texts(spark, root)
+    lines = _texts(table(spark, root, "orders"))
     above = F.lag("line").over(W.partitionBy("key").orderBy("n"))
     kind = F.col("key") % 4
     copies = F.when((F.col("n") == 3) & (kind == 0), 2).when((F.col("n") == 3) & (kind == 1), 0).otherwise(1)
@@ -168,7 +168,7 @@ def q7_repaired(spark: SparkSession, root: str) -> DataFrame:
 @add("q15_respaced_texts", f"{SPELLED} SELECT key, sha256(text) AS h, k::BIGINT AS measured FROM t")
 def q15(spark: SparkSession, root: str) -> DataFrame:
     """Each reading has one gap too wide in some lines, the merged text in others: the votes give the true ones."""
-    lines = _texts(spark, root)
+    lines = _texts(table(spark, root, "orders"))
     wider = lambda when: F.when(when, F.regexp_replace("line", r"(\S) (\S)", "$1   $2")).otherwise(F.col("line"))
     finals = lines.select("key", "n", wider(F.col("n") % 2 == 0).alias("line"))
     readings = _readings(lines).withColumn("line", wider((F.col("n") % 5 == F.col("ord")) & (F.col("n") > 1) & (F.col("n") < 4)))
@@ -180,7 +180,8 @@ def q15(spark: SparkSession, root: str) -> DataFrame:
 @add("q5_joined_sideways", f"{SPELLED} SELECT key, sha256(text) AS h, 2::BIGINT AS pieces FROM t")
 def q5(spark: SparkSession, root: str) -> DataFrame:
     """Of each text the columns 1 to 60 are at hand, 31 to 100 and 81 to the end come as pieces, the latter first."""
-    lines = _texts(spark, root)
+    # orders are dealt by customer before they are lines, so lines and pieces are where their text is
+    lines = _texts(dealt(table(spark, root, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), "o_custkey"))
     pieces = lines.withColumn("s", F.explode(F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(a).alias("at"), F.lit(n).alias("wide")) for o, a, n in ((1, 81, 1000), (2, 31, 70))])))
     pieces = pieces.select("key", F.col("s.ord").alias("ord"), "n", F.expr("substring(line, s.at, s.wide)").alias("line"))
     whole, places = repair.joined_sideways(lines.select("key", "n", F.substring("line", 1, 60).alias("line")), pieces)

@@ -47,15 +47,16 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def stage(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, by: str | None = None, here: bool = False) -> DataFrame:
     """Write `df` once and return a frame that reads what was written.
 
     With `by` the table is in buckets of that column: windows, groups and joins by it read it without an exchange.
+    Rows are dealt for that, but with `here`: then each task writes what it has.
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if by is not None:
-        rows = dealt(df, by)
+        rows = df if here else dealt(df, by)
         named = f"weftline_{uuid.uuid4().hex}"
         rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).saveAsTable(named)
         staged = spark.table(named)
