@@ -23,22 +23,24 @@ class Text:
     def __init__(self, key):
         self.key, self.lines, self.pieces, self.places = key, [], [], []
 
-    def sound(self, piece: int, shift: int, columns: int) -> bool:
-        """No row that the shift covers contradicts it, and it covers some."""
-        at: dict = {}
+    def shown(self) -> dict[int, list[str]]:
+        """What stands in each row, without blanks at its end."""
+        at: dict[int, list[str]] = {}
         for n, line in self.lines:
             if n is not None and line is not None:
-                at.setdefault(n, []).append(line)
-        met = False
+                at.setdefault(n, []).append(line.rstrip(" "))
+        return at
+
+    def sound(self, at: dict[int, list[str]], piece: int, shift: int, columns: int) -> bool:
+        """No row that the shift covers contradicts it, and it covers some; at: what is `shown`."""
+        met, low, front = False, max(0, columns), max(0, -columns)
         for n, line in self.pieces[piece][1]:
-            if n is None or line is None:
+            if n is None or line is None or n + shift not in at:
                 continue
-            shown = line.rstrip(" ")
-            shown = shown if columns >= 0 else shown[-columns:]
-            for base in at.get(n + shift, ()):
-                inside = base.rstrip(" ")[max(0, columns) :]
-                both = min(len(inside), len(shown))
-                if inside[:both] != shown[:both]:
+            shown = line.rstrip(" ")[front:]
+            for base in at[n + shift]:
+                inside = base[low:]
+                if not (inside.startswith(shown) or shown.startswith(inside)):
                     return False
                 met = True
         return met
@@ -114,39 +116,36 @@ class Rows:
         except UnicodeEncodeError:
             self.codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-    def stems(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(digest, row, column) of the stems, in as many slices as are needed; all equal ones of a text are in one slice."""
+    def stems(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(digest, place) of the stems, in as many slices as are needed; all equal ones of a text are in one slice. The last bit of a digest tells whether the row is a line of the text."""
         slices = np.uint64(1 + len(self.codes) // SLICE)
-        ends = np.searchsorted(self.first, np.arange(SLICE, len(self.codes) + SLICE, SLICE)) if len(self.first) else []
-        cuts = sorted({0, len(self.first), *map(int, ends)})
+        cuts = sorted({0, len(self.first), *map(int, np.searchsorted(self.first, np.arange(SLICE, len(self.codes) + SLICE, SLICE)))})
         for s in range(int(slices)):
             found = [self._stems(a, b, np.uint64(s), slices) for a, b in zip(cuts, cuts[1:], strict=False)]
             if found:
                 yield found[0] if len(found) == 1 else tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
-    def _stems(self, a: int, b: int, s: np.uint64, slices: np.uint64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        low, high = self.first[a], self.first[b - 1] + self.size[b - 1]
-        codes, count = self.codes[low:high], self.size[a:b] - GRAM + 1
-        inked = np.concatenate([[0], np.cumsum((codes != 32) & ((codes < 9) | (codes > 13)))])
-        row = np.repeat(np.arange(a, b), count)
-        col = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        at = self.first[row] - low + col
-        ink = inked[at + GRAM] - inked[at] >= GRAM // 2
-        if not ink.all():
-            row, col, at = row[ink], col[ink], at[ink]
+    def _stems(self, a: int, b: int, s: np.uint64, slices: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        low, ends = self.first[a], self.first[a:b] + self.size[a:b] - self.first[a]
+        codes = self.codes[low : low + ends[-1]]
+        many = len(codes) - GRAM + 1
+        inked = np.zeros(len(codes) + 1, np.int32)
+        np.cumsum((codes != 32) & ((codes < 9) | (codes > 13)), out=inked[1:])
+        good = inked[GRAM:] - inked[:-GRAM] >= GRAM // 2
+        over = (ends[:-1, None] - np.arange(1, GRAM)).ravel()  # places where a stem would reach into the next row
+        good[over] = False
         if codes.dtype == np.uint8:  # eight characters are one number
-            g = np.ndarray(len(codes) - GRAM + 1, "<u8", codes.tobytes(), strides=(1,))[at] * FACTORS[GRAM]
+            h = np.ndarray(many, "<u8", codes.tobytes(), strides=(1,)) * FACTORS[GRAM]
         else:
             m = _mixed(codes)
-            each = m[: len(m) - GRAM + 1] * FACTORS[0]
+            h = m[:many] * FACTORS[0]
             for i in range(1, GRAM):
-                each += m[i : len(m) - GRAM + 1 + i] * FACTORS[i]
-            g = each[at]
-        h = g ^ _mixed(self.of)[row]
-        if slices > 1:
-            mine = (h >> np.uint64(20)) % slices == s
-            h, row, col = h[mine], row[mine], col[mine]
-        return h, row, col
+                h += m[i : many + i] * FACTORS[i]
+        h ^= np.repeat(_mixed(self.of[a:b]), self.size[a:b])[:many]
+        h &= ~np.uint64(1)
+        h |= np.repeat((self.piece[a:b] == 0).astype(np.uint64), self.size[a:b])[:many]
+        at = np.flatnonzero(good if slices == 1 else good & ((h >> np.uint64(20)) % slices == s))
+        return h[at], at + low
 
 
 def _shifts(rows: Rows, met: Met, asked: np.ndarray, least: int) -> list[np.ndarray]:
@@ -190,27 +189,26 @@ class Met:
 
     def __init__(self, rows: Rows):
         texts, pieces, base, self.line = [], [], 0, rows.line
-        for h, row, col in rows.stems():
+        for h, at in rows.stems():
             if not len(h):
                 continue
             order = np.argsort(h)
             h = h[order]
-            fresh = np.concatenate([[True], h[1:] != h[:-1]])
-            starts = np.flatnonzero(fresh)
-            of_text = (rows.piece == 0)[row[order]]
+            of_text, h = (h & np.uint64(1)).astype(bool), h >> np.uint64(1)
+            starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size, lines = np.diff(np.append(starts, len(h))), np.add.reduceat(of_text, starts, dtype=np.int64)
             kept = (lines > 0) & (lines <= MOST_PLACES) & (size > lines)
             mine = np.repeat(kept, size)
-            order, of_text, lines = order[mine], of_text[mine], lines[kept]
+            at, of_text, lines = at[order[mine]], of_text[mine], lines[kept]
             gram = np.repeat(np.arange(len(lines)), size[kept])
-            row, col = row[order], col[order]
+            row = np.searchsorted(rows.first, at, side="right") - 1
+            col = at - rows.first[row]
             texts.append(np.stack([row[of_text], col[of_text]]))
-            at = (np.cumsum(lines) - lines)[gram[~of_text]]
             row, col, gram = row[~of_text], col[~of_text], gram[~of_text]
             groups = int(rows.group[-1]) + 1
             _, back, often = np.unique(gram * groups + rows.group[row], return_inverse=True, return_counts=True)
             often = often[back]
-            pieces.append(np.stack([row, col, at + base, lines[gram], (often == 1) & (lines[gram] == 1)])[:, often <= MOST_PLACES])
+            pieces.append(np.stack([row, col, (np.cumsum(lines) - lines)[gram] + base, lines[gram], (often == 1) & (lines[gram] == 1)])[:, often <= MOST_PLACES])
             base += texts[-1].shape[1]
         self.texts = np.hstack(texts) if texts else np.zeros((2, 0), np.int64)
         self.pieces = np.hstack(pieces) if pieces else np.zeros((5, 0), np.int64)
@@ -254,9 +252,12 @@ def _chosen(texts: list[Text]) -> list[tuple[int, int, int] | None]:
 
     stuck = np.array([x is None for x in best])
     asked = stuck[rows.of[met.pieces[0]]]
-    sound: dict[int, list] = {}
+    sound, shown = {}, {}
     for group, shift, columns, c in zip(*(x.tolist() for x in _shifts(rows, met, asked, LEAST_ROWS)), strict=True):
-        if texts[text_of[group]].sound(int(piece_of[group]) - 1, shift, columns):
+        i = int(text_of[group])
+        if i not in shown:
+            shown[i] = texts[i].shown()
+        if texts[i].sound(shown[i], int(piece_of[group]) - 1, shift, columns):
             sound.setdefault(group, []).append((group, shift, columns, c))
     for _, offers in sorted(sound.items()):
         if len(offers) == 1:
